@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,8 @@ from ._common import materialize
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
+#: Open units of a source that the landing settles by trying all ways to round them.
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -47,9 +48,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     return per.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
-def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, stop: int = 2) -> np.ndarray:
     """Move ``share`` (inclusion probabilities) along null vectors of the two balancing
-    constraints, total size and number, until fewer than three are strictly between 0 and 1.
+    constraints, total size and number, until ``stop`` (2 or more) or fewer are strictly
+    between 0 and 1.
 
     Three open units a, b, c have the null vector (b - c, c - a, a - b) of their sizes, or
     (1, -1, 0) where these agree. The step up or down is drawn so that each share keeps
@@ -65,7 +67,7 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.
         while len(open_) < 3 and nxt < len(todo):
             open_.append(todo[nxt])
             nxt += 1
-        if len(open_) < 3:
+        if len(open_) < 3 or len(open_) + len(todo) - nxt <= stop:
             return np.array([0.0 if v <= _EPS else 1.0 if v >= 1 - _EPS else v for v in x])
         a, b, c = (s[i] for i in open_)
         u = (b - c, c - a, a - b)
@@ -87,14 +89,17 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.
 
 
 def landing(share: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the few open units of a whole source: of all ways to round them, that whose
-    total size is nearest to the expected one (then the fewer units, then the first)."""
+    """Settle the few open units (at most ``LANDING``) of a whole source: of all ways to
+    round them, that whose total size is nearest to the expected one; then the nearest to
+    the expected number; then the first."""
     out = share.astype(float).copy()
-    left = [i for i in range(len(out)) if _EPS < out[i] < 1 - _EPS]
-    want = sum(out[i] * size[i] for i in left)
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda p: (abs(sum(a * size[i] for a, i in zip(p, left, strict=True)) - want), sum(p), p))
-    for i, v in zip(left, best, strict=True):
-        out[i] = v
+    left = np.flatnonzero((out > _EPS) & (out < 1 - _EPS))
+    if not len(left):
+        return out
+    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
+    off = np.abs(ways @ size[left] - out[left] @ size[left])
+    many = np.abs(ways.sum(1) - out[left].sum())
+    out[left] = ways[np.lexsort((many, off))[0]]
     return out
 
 
@@ -104,7 +109,7 @@ def _block_flight(seed: int, last: bool):
         mark = hashlib.blake2b(repr((seed, str(key[0]), int(key[1]))).encode(), digest_size=8).digest()
         rng = np.random.default_rng(int.from_bytes(mark, "little"))
         size = rows["size"].to_numpy(float)
-        share = flight(rows["share"].to_numpy(float), size, rng)
+        share = flight(rows["share"].to_numpy(float), size, rng, LANDING if last else 2)
         rows["share"] = landing(share, size) if last else share
         return rows
 
@@ -130,7 +135,7 @@ def mix_sources(
     size times copies. The flight runs in blocks of about ``block`` documents of a source
     (a source with most of the rows has most of the blocks), each of which leaves two
     open units or fewer; these meet in new blocks until a source has one, whose landing
-    rounds the last two to the nearest total. Draws are seeded by source and block and
+    rounds the last dozen to the nearest total. Draws are seeded by source and block and
     documents ordered by a hash of id and size, so that reruns agree. Null texts have size
     0, null is a source of its own, repeated rows count each, ids may be null.
     """
