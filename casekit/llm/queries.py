@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, mixing, simhash, tokens
+from . import chat, decontam, html_tree, langid, mixing, secret_scan, simhash, tokens
 from ._common import table
 
 
@@ -16,6 +16,16 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of base kinds, base_sha256 and all spans of every document."""
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    every = secret_scan.spans_text(F.array_sort(F.concat("base", "linked")))
+    return out.select(
+        "doc_id", *[secret_scan.count_kind("base", k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"), every.alias("spans"),
+    )
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files of token ids."""
     return tokens.encode_to_directory(table(spark, sf_dir, "documents"))
@@ -36,6 +46,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_tree.extract_text(pages, html_tree.train())
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -46,12 +63,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of conversation -7, read back from the windows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.conversation_digests(chat.format_conversations(turns.unionByName(hard)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_output": op3_token_output,
     "op5_decontamination": op5_decontamination,
     "op6_source_mix": op6_source_mix,
+    "op7_html_extraction": op7_html_extraction,
     "op9_language_id": op9_language_id,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
