@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html_tree, langid, mixing, secret_scan, simhash, tokens
+from . import chat, decontam, html_tree, langid, mixing, passages, secret_scan, simhash, tokens
 from ._common import table
 
 
@@ -53,6 +53,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_repeated, spans of every document that has repeated passages."""
+    out = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_repeated", F.array_join("spans", ",").alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_source_mix": op6_source_mix,
     "op7_html_extraction": op7_html_extraction,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
