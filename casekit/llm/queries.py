@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html_tree, langid, mixing, passages, secret_scan, simhash, tokens
+from . import chat, decontam, html_tree, langid, media, mixing, passages, secret_scan, simhash, tokens
 from ._common import table
 
 
@@ -31,6 +31,13 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_to_directory(table(spark, sf_dir, "documents"))
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, class_id, n_links of the image of every vector and of the edited copies
+    of those whose id is divisible by 20 (under the id -vec_id - 1)."""
+    images = media.media_of_vectors(table(spark, sf_dir, "embeddings"))
+    return media.image_copies(images)[0].withColumnRenamed("id", "image_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     out = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_output": op3_token_output,
+    "op4_image_copies": op4_image_copies,
     "op5_decontamination": op5_decontamination,
     "op6_source_mix": op6_source_mix,
     "op7_html_extraction": op7_html_extraction,
