@@ -15,9 +15,11 @@ at most one block give, is its place in the next level. All numbers are little-e
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ BITS = 8
 #: 64-bit bitmap words per entry of the rank directory.
 BLOCK_WORDS = 8
 _TOKENIZERS: dict[str, tuple] = {}
+#: Words whose ids a worker keeps.
 _CACHE_WORDS = 400_000
 _SPECIAL = "<|"
+_BESIDE = re.compile(r" \s|\s ")
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -127,74 +131,95 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str):
+class _Known(dict):
+    """Words seen before and, behind them, those of the current call."""
+
+    def __init__(self):
+        super().__init__()
+        self.late: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.late[word]
+
+
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, what it made of words, and the bytes that each id stands for."""
     if path not in _TOKENIZERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        sizes = np.zeros(tok.get_vocab_size(), np.int64)
+        for token, i in tok.get_vocab().items():
+            sizes[i] = len(token)  # one character for each byte
+        _TOKENIZERS[path] = (tok, _Known(), sizes)
     return _TOKENIZERS[path]
 
 
+def _encode_words(words: list[str], tok, sizes: np.ndarray) -> list[bytes]:
+    """Of each word the ids of a space and the word: all are encoded as one text, and the
+    bytes that its ids stand for say where a word ends."""
+    ids = np.array(tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    ends = np.cumsum(sizes[ids])
+    wanted = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+    at = np.searchsorted(ends, wanted)
+    if len(ends) != at[-1] + 1 or not np.array_equal(ends[at], wanted):
+        raise ValueError("the tokenizer joined what stands before and after a space")
+    raw, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+    return [raw[a:b] for a, b in pairwise(cuts)]
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """Per text its ids and ``end_id``, as little-endian unsigned 32-bit integers.
 
     The byte-level splitter never joins what stands before a single space, after which
-    something else follows, to what stands after it. So a text is encoded in pieces that
-    begin at such spaces, and pieces seen before, up to a bound, are looked up. Texts with
-    runs of white space at a space, or with a special token, are encoded whole.
+    something else follows, to what stands after it. So a text is encoded in words that
+    begin at such spaces, and words seen before, up to a bound, are looked up. Texts with
+    other white space beside a space, or with special tokens, are encoded whole.
     """
-    tok, known = _tokenizer(path)
+    tok, known, sizes = _tokenizer(path)
     end = struct.pack("<I", end_id)
-    split: list[list[str] | None] = []
-    fresh: dict[str, None] = {}
+    whole = lambda t: np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    split: list[list[str] | bytes] = []
+    fresh: set[str] = set()
     for text in texts:
-        text = text or ""
         if not text:
-            split.append([])
-            continue
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        if _SPECIAL in text or "" in rest or not first or any(x[-1:].isspace() or x[1:2].isspace() for x in pieces):
-            split.append(None)
-            continue
-        split.append(pieces)
-        fresh.update((x, None) for x in pieces if x not in known)
-    for i in [i for i, x in enumerate(split) if x is None]:
-        got = tok.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids
-        split[i] = np.array(got, "<u4").tobytes()
-    late: dict[str, bytes] = {}
-    todo = list(fresh)
-    for at in range(0, len(todo), 20_000):
-        some = todo[at : at + 20_000]
-        into = known if len(known) < _CACHE_WORDS else late
-        for x, got in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            ids = got.ids
-            into[x] = struct.pack(f"<{len(ids)}I", *ids)
-    if late:
-        look = lambda x: known.get(x) or late[x]
-        return [(x if isinstance(x, bytes) else b"".join(map(look, x))) + end for x in split]
-    return [(x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x))) + end for x in split]
-
-
-_SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
+            split.append(b"")
+        elif _SPECIAL in text or text[0] == " " or text[-1] == " " or _BESIDE.search(text):
+            split.append(whole(text))
+        else:
+            words = text.split(" ")
+            split.append(words)
+            fresh.update(words[1:])
+    todo = sorted(fresh.difference(known))
+    known.late = {}
+    for at in range(0, len(todo), 5000):
+        some = todo[at : at + 5000]
+        into = known if len(known) < _CACHE_WORDS else known.late
+        into.update(zip(some, _encode_words(some, tok, sizes), strict=True))
+    out = [x + end if isinstance(x, bytes) else whole(x[0]) + b"".join(map(known.__getitem__, x[1:])) + end for x in split]
+    known.late = {}
+    return out
+
+
+_SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
 
 
 def _writer(encode: Callable[[list[str | None]], list[bytes]], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         codes: list[bytes] = []
         size = 0
 
         def flush():
-            nonlocal ids, codes, size, seq
+            nonlocal ids, codes, size, seq, before
             data = encode_segment(ids, [len(c) // 4 for c in codes], np.frombuffer(b"".join(codes), "<u4"))
-            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, len(ids), size, data), _SEGMENT.types, strict=True)], schema=_SEGMENT)
-            ids, codes, size, seq = [], [], 0, seq + 1
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, before, len(ids), size, data), _SEGMENT.types, strict=True)], schema=_SEGMENT)
+            ids, codes, before, size, seq = [], [], before + size, 0, seq + 1
             return out
 
         for batch in batches:
@@ -236,16 +261,17 @@ def write_tokens(
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     encode = lambda texts: encode_texts(texts, vocabulary, end_id)
-    made = rows.mapInArrow(_writer(encode, segment_tokens), "part int, seq int, n_docs long, n_tokens long, data binary")
+    made = rows.mapInArrow(_writer(encode, segment_tokens), "part int, seq int, before long, n_docs long, n_tokens long, data binary")
     made.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(part, seq, n_docs, n_tokens, data) of each segment; their order is (part, seq)."""
+    """(part, seq, before, n_docs, n_tokens, data) of each segment; their order is (part,
+    seq), and ``before`` counts the tokens of the part before it."""
     return spark.read.parquet(path)
 
 
-def _reader(starts: dict[int, int], seqs: dict[tuple[int, int], int] | None = None):
+def _reader(starts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, data in zip(*[batch.column(k).to_pylist() for k in ("part", "before", "data")], strict=True):
@@ -266,21 +292,15 @@ def _reader(starts: dict[int, int], seqs: dict[tuple[int, int], int] | None = No
 def token_directory(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32.
 
-    Only sums per part come to the driver (one number for each task that wrote); the
-    segments of a part are numbered up in a window over their counts.
+    Only sums per part come to the driver: one number for each task that wrote.
     """
-    from pyspark.sql import Window
-
     sums = sorted((r[0], r[1]) for r in read_segments(spark, path).groupBy("part").agg(F.sum("n_tokens")).collect())
     starts, at = {}, 0
     for part, n in sums:
         starts[part] = at
         at += n
-    earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    counts = read_segments(spark, path).select("part", "seq", "n_tokens")
-    counts = counts.select("part", "seq", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before"))
-    rows = read_segments(spark, path).select("part", "seq", "data").join(counts, ["part", "seq"])
-    return rows.select("part", "before", "data").mapInArrow(_reader(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = read_segments(spark, path).select("part", "before", "data")
+    return rows.mapInArrow(_reader(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_directory(docs: DataFrame, **how) -> DataFrame:
