@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+_PRIME = np.uint64(0x100000001B3)
 _CACHE: dict[bytes, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
@@ -22,11 +23,29 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def subwords(word: str, buckets: int, low: int = 2, high: int = 4) -> list[int]:
-    """Hash buckets of the marked word and of its character ``low``- to ``high``-grams."""
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % buckets for g in grams]
+def subwords(words: list[str], buckets: int, low: int = 2, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of its word) of every subword of ``words``: of each word, marked as
+    ``<word>``, the whole and all character ``low``- to ``high``-grams."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(points))
+    place = sizes[word] - left
+    most = int(sizes.max()) if len(words) else 0
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(most, _PRIME, np.uint64)))
+    whole = np.add.reduceat(points * power[place], ends - sizes) if len(words) else points
+    hashes, of = [whole], [np.arange(len(words))]
+    for n in range(low, high + 1):
+        at = np.flatnonzero(left >= n)
+        value = np.full(len(at), n * 0x51ED270B, np.uint64)
+        for k in range(n):
+            value = value * _PRIME + points[at + k]
+        hashes.append(value)
+        of.append(word[at])
+    mixed = np.concatenate(hashes)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), np.concatenate(of)
 
 
 @dataclass
@@ -53,20 +72,15 @@ class LanguageModel:
 
 def _features(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text: the buckets that occur and their share of all its subwords."""
-    known: dict[str, np.ndarray] = {}
     rows = []
     for text in texts:
-        ids, weights = [], []
-        for word, n in Counter(words_of(text)).items():
-            if (got := known.get(word)) is None:
-                got = known[word] = np.array(subwords(word, buckets), np.int64)
-            ids.append(got)
-            weights.append(np.full(len(got), n, np.float64))
-        if not ids:
+        counts = Counter(words_of(text))
+        if not counts:
             rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
             continue
-        where, back = np.unique(np.concatenate(ids), return_inverse=True)
-        share = np.bincount(back, np.concatenate(weights))
+        grams, of = subwords(list(counts), buckets)
+        where, back = np.unique(grams, return_inverse=True)
+        share = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts))[of])
         rows.append((where, (share / share.sum()).astype(np.float32)))
     return rows
 
@@ -160,35 +174,38 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r[0] for r in rows], [r[1] for r in rows], **how)
 
 
-def _logits(texts, model: LanguageModel, weights: np.ndarray, cache, most: int = 150_000):
+def _word_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Per word the sum of its subwords' logits and, last, the number of subwords."""
+    grams, of = subwords(words, len(weights))
+    sums = [np.bincount(of, weights[grams, k], len(words)) for k in range(weights.shape[1])]
+    return np.stack([*sums, np.bincount(of, minlength=len(words))], 1)
+
+
+def _logits(texts: list[str | None], weights: np.ndarray, cache: tuple[dict[str, int], list[np.ndarray]], most: int = 400_000):
     """Per text the mean logits over its subwords, or None without letters. ``cache``
-    holds words' sums up to ``most`` words; further words are summed anew each time."""
+    holds the sums of up to ``most`` words; others are summed anew for each call."""
     index, sums = cache
-    buckets = len(model.embed)
-    for text in texts:
-        words = words_of(text) if text else []
+    found = [words_of(t) if t else [] for t in texts]
+    fresh = list(dict.fromkeys(w for words in found for w in words if w not in index))
+    now, rows = index, sums[0]
+    if fresh:
+        added = _word_sums(fresh, weights)
+        n = len(index)
+        if n + len(fresh) <= most:
+            while n + len(fresh) > len(sums[0]):
+                sums[0] = np.concatenate([sums[0], np.zeros_like(sums[0])])
+            sums[0][n : n + len(fresh)] = added
+            index.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+            rows = sums[0]
+        else:
+            now = dict(zip(fresh, range(n, n + len(fresh)), strict=True))
+            rows = np.concatenate([sums[0][:n], added])
+    for words in found:
         if not words:
             yield None
             continue
-        ids = [index.get(w, -1) for w in words]
-        late = []
-        for at, w in enumerate(words):
-            if ids[at] >= 0:
-                continue
-            if (got := index.get(w)) is None:
-                grams = subwords(w, buckets)
-                one = np.append(weights[grams].sum(0), len(grams))
-                if len(index) >= most:
-                    late.append(one)
-                    continue
-                if len(index) == len(sums[0]):
-                    sums[0] = np.concatenate([sums[0], np.zeros_like(sums[0])])
-                got = index[w] = len(index)
-                sums[0][got] = one
-            ids[at] = got
-        total = sums[0][[i for i in ids if i >= 0]].sum(0)
-        if late:
-            total = total + np.sum(late, 0)
+        ids = [index[w] if w in index else now[w] for w in words] if now is not index else [index[w] for w in words]
+        total = rows[ids].sum(0)
         yield total[:-1] / total[-1]
 
 
@@ -208,7 +225,8 @@ def predict_column(text: Column | str, model: LanguageModel) -> Column:
             _CACHE.clear()
             _CACHE[mark] = ({}, [np.zeros((1024, weights.shape[1] + 1))])
         rows = []
-        for logits in _logits(texts, model, weights, _CACHE[mark]):
+        values = texts.tolist()
+        for logits in (x for at in range(0, len(values), 500) for x in _logits(values[at : at + 500], weights, _CACHE[mark])):
             if logits is None or not model.langs:
                 rows.append((UNDETERMINED, 0.0, True))
                 continue
