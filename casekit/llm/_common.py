@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_CACHE: dict[object, object] = {}
+
+
+def worker_cache(owner: object, make):
+    """What ``make()`` gave for ``owner`` in this worker. A worker keeps the cache of one
+    owner at a time, so that operators that follow one another don't add up."""
+    if owner not in _CACHE:
+        _CACHE.clear()
+        _CACHE[owner] = make()
+    return _CACHE[owner]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

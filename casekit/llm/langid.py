@@ -12,10 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ._common import worker_cache
+
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _PRIME = np.uint64(0x100000001B3)
-_CACHE: dict[bytes, tuple[dict[str, int], list[np.ndarray]]] = {}
+#: Words whose sums a worker keeps.
+_CACHE_WORDS = 250_000
 
 
 def words_of(text: str) -> list[str]:
@@ -181,7 +184,7 @@ def _word_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
     return np.stack([*sums, np.bincount(of, minlength=len(words))], 1)
 
 
-def _logits(texts: list[str | None], weights: np.ndarray, cache: tuple[dict[str, int], list[np.ndarray]], most: int = 400_000):
+def _logits(texts: list[str | None], weights: np.ndarray, cache: tuple[dict[str, int], list[np.ndarray]], most: int = _CACHE_WORDS):
     """Per text the mean logits over its subwords, or None without letters. ``cache``
     holds the sums of up to ``most`` words; others are summed anew for each call."""
     index, sums = cache
@@ -220,13 +223,10 @@ def predict_column(text: Column | str, model: LanguageModel) -> Column:
 
     @pandas_udf("lang string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        mark = zlib.crc32(weights.tobytes()).to_bytes(4, "big")
-        if mark not in _CACHE:
-            _CACHE.clear()
-            _CACHE[mark] = ({}, [np.zeros((1024, weights.shape[1] + 1))])
+        cache = worker_cache(("langid", zlib.crc32(weights.tobytes())), lambda: ({}, [np.zeros((1024, weights.shape[1] + 1))]))
         rows = []
         values = texts.tolist()
-        for logits in (x for at in range(0, len(values), 500) for x in _logits(values[at : at + 500], weights, _CACHE[mark])):
+        for logits in (x for at in range(0, len(values), 500) for x in _logits(values[at : at + 500], weights, cache)):
             if logits is None or not model.langs:
                 rows.append((UNDETERMINED, 0.0, True))
                 continue

@@ -15,7 +15,6 @@ at most one block give, is its place in the next level. All numbers are little-e
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,17 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import new_path
+from ._common import new_path, worker_cache
 
 MAGIC = b"CKDAC001"
 BITS = 8
 #: 64-bit bitmap words per entry of the rank directory.
 BLOCK_WORDS = 8
-_TOKENIZERS: dict[str, tuple] = {}
 #: Words whose ids a worker keeps.
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 500_000
 _SPECIAL = "<|"
-_BESIDE = re.compile(r" \s|\s ")
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -131,20 +128,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Known(dict):
-    """Words seen before and, behind them, those of the current call."""
-
-    def __init__(self):
-        super().__init__()
-        self.late: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.late[word]
-
-
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer, what it made of words, and the bytes that each id stands for."""
-    if path not in _TOKENIZERS:
+    """The tokenizer, what it made of words, the bytes that each id stands for, and what
+    it made of first words."""
+
+    def load() -> tuple:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -153,16 +141,19 @@ def _tokenizer(path: str) -> tuple:
         sizes = np.zeros(tok.get_vocab_size(), np.int64)
         for token, i in tok.get_vocab().items():
             sizes[i] = len(token)  # one character for each byte
-        _TOKENIZERS[path] = (tok, _Known(), sizes)
-    return _TOKENIZERS[path]
+        return tok, {}, sizes, {}
+
+    return worker_cache(("tokens", path), load)
 
 
 def _encode_words(words: list[str], tok, sizes: np.ndarray) -> list[bytes]:
     """Of each word the ids of a space and the word: all are encoded as one text, and the
     bytes that its ids stand for say where a word ends."""
-    ids = np.array(tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    text = " " + " ".join(words)
+    ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
     ends = np.cumsum(sizes[ids])
-    wanted = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+    data = np.frombuffer(text.encode(), np.uint8)
+    wanted = np.append(np.flatnonzero(data == 0x20)[1:], len(data))
     at = np.searchsorted(ends, wanted)
     if len(ends) != at[-1] + 1 or not np.array_equal(ends[at], wanted):
         raise ValueError("the tokenizer joined what stands before and after a space")
@@ -178,28 +169,35 @@ def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]
     begin at such spaces, and words seen before, up to a bound, are looked up. Texts with
     other white space beside a space, or with special tokens, are encoded whole.
     """
-    tok, known, sizes = _tokenizer(path)
+    tok, known, sizes, firsts = _tokenizer(path)
     end = struct.pack("<I", end_id)
-    whole = lambda t: np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
-    split: list[list[str] | bytes] = []
+    plain = lambda some: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+    split = [[] if not t or _SPECIAL in t else t.split(" ") for t in texts]
     fresh: set[str] = set()
-    for text in texts:
-        if not text:
-            split.append(b"")
-        elif _SPECIAL in text or text[0] == " " or text[-1] == " " or _BESIDE.search(text):
-            split.append(whole(text))
-        else:
-            words = text.split(" ")
-            split.append(words)
-            fresh.update(words[1:])
-    todo = sorted(fresh.difference(known))
-    known.late = {}
-    for at in range(0, len(todo), 5000):
-        some = todo[at : at + 5000]
-        into = known if len(known) < _CACHE_WORDS else known.late
-        into.update(zip(some, _encode_words(some, tok, sizes), strict=True))
-    out = [x + end if isinstance(x, bytes) else whole(x[0]) + b"".join(map(known.__getitem__, x[1:])) + end for x in split]
-    known.late = {}
+    for words in split:
+        fresh.update(words[1:])
+    local = dict(zip(fresh, map(known.get, fresh), strict=True))
+    todo = [w for w, code in local.items() if code is None]
+    # Words that are known have no white space at their ends.
+    bad = {w for w in todo if not w or w[0].isspace() or w[-1].isspace()}
+    if bad:
+        split = [[] if not bad.isdisjoint(words[1:]) else words for words in split]
+        todo = [w for w in todo if w not in bad]
+    split = [[] if words and (not words[0] or words[0][-1].isspace()) and len(words) > 1 else words for words in split]
+    for at in range(0, len(todo), 20_000):
+        some = todo[at : at + 20_000]
+        codes = dict(zip(some, _encode_words(some, tok, sizes), strict=True))
+        local.update(codes)
+        if len(known) < _CACHE_WORDS:
+            known.update(codes)
+    begin = list({words[0] for words in split if words}.difference(firsts))
+    if len(firsts) > _CACHE_WORDS // 4:
+        firsts.clear()
+        begin = list({words[0] for words in split if words})
+    firsts.update(zip(begin, plain(begin), strict=True))
+    whole = [i for i, words in enumerate(split) if not words and texts[i]]
+    alone = {i: code for at in range(0, len(whole), 20) for i, code in zip(whole[at : at + 20], plain([texts[i] for i in whole[at : at + 20]]), strict=True)}
+    out = [firsts[words[0]] + b"".join(map(local.__getitem__, words[1:])) + end if words else alone.get(i, b"") + end for i, words in enumerate(split)]
     return out
 
 
