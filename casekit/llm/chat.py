@@ -80,7 +80,7 @@ def format_conversations(
     last = F.when(F.col("system"), F.col("window")).otherwise(F.greatest(F.col("window"), F.floor((F.col("before") + history) / F.col("step"))))
     rows = rows.withColumn("at", F.explode(F.sequence("window", last)))
     fresh = F.col("at") == F.col("window")
-    turn = F.struct("place", "before", fresh.alias("fresh"), "role", "text", "head")
+    turn = F.struct("place", "before", fresh.alias("fresh"), "role", "text", F.when(fresh, F.col("head")).alias("head"))
     packed = rows.groupBy("conv", "at").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.min(F.when(fresh & ~F.col("system"), F.col("before"))).alias("first"), F.max(fresh).alias("any"))
     packed = packed.where("any")
     kept = F.filter("turns", lambda t: t["fresh"] | (F.col("first") - t["before"] <= history))

@@ -59,7 +59,7 @@ class _Page:
         for _ in range(r.randint(1, most)):
             kind = r.random()
             if kind < 0.68:
-                out.append(self.node("p", y, self.text(1, r.choice((3, 12, 60)))))
+                out.append(self.node("p", y, self.text(1, r.choice((3, 12, 60, 240)))))
             elif kind < 0.78:
                 out.append(self.node(r.choice(("h2", "h3", "h4")), y, self.words(1, 7)))
             elif kind < 0.86:
@@ -90,9 +90,10 @@ class _Page:
             body = r.choice((self.words(3, 25), self.node("p", 0, self.text(3, 30)) + self.node("button", 0, self.words(1, 2))))
             return self.node(r.choice(("div", "div", "section", "aside")), 0, body, r.choice(NOTICE), r.choice(("", "", ' role="alert"', ' role="dialog"')))
         if kind == "comment":
-            one = lambda: self.node(r.choice(("div", "li", "article")), 0, self.node("p", 0, self.text(2, 50)), r.choice(("comment", "reply", "comment-body", "")))
+            one = lambda t, names: self.node(t, 0, self.node("p", 0, self.text(2, r.choice((50, 50, 150)))), r.choice(names))
+            kinds = (("div", ("comment", "reply", "comment-body", "")), ("li", ("comment", "")), ("article", ("comment", "reply")))
             head = self.node("h3", 0, self.words(1, 3)) if r.random() < 0.5 else ""
-            return self.node(r.choice(("section", "div", "ol")), 0, head + "".join(one() for _ in range(r.randint(1, 4))), r.choice(COMMENT))
+            return self.node(r.choice(("section", "div", "ol")), 0, head + "".join(one(*r.choice(kinds)) for _ in range(r.randint(1, 4))), r.choice(COMMENT))
         fields = self.node("label", 0, self.words(1, 3)) + r.choice(("<input>", self.node("button", 0, self.words(1, 2)), self.node("select", 0, self.node("option", 0, self.words(1, 2)))))
         return self.node("form", 0, r.choice(("", self.node("p", 0, self.words(2, 12)))) + fields, r.choice(("", "search", "login", "subscribe")))
 
@@ -102,7 +103,9 @@ class _Page:
     def article(self) -> str:
         r = self.r
         title = self.node("h1", 1, self.words(1, 12)) if r.random() < 0.8 else ""
-        parts = self.blocks(1) + (self.mixed(True, 2) if r.random() < 0.5 else "") + (self.blocks(1) if r.random() < 0.6 else "")
+        parts = self.blocks(1, r.choice((1, 1, 9, 9)))
+        if r.random() < 0.6:
+            parts += (self.mixed(True, 2) if r.random() < 0.7 else "") + (self.blocks(1) if r.random() < 0.8 else "")
         if r.random() < 0.15:
             parts += self.mixed(True, 1)
         kind = r.random()
@@ -116,7 +119,7 @@ class _Page:
 
     def make(self) -> str:
         r = self.r
-        header = self.node("header", 0, self.node(r.choice(("div", "h1", "p")), 0, self.words(1, 4), r.choice(HEAD)) + (self.node("nav", 0, self.links(0)) if r.random() < 0.5 else ""), r.choice((*HEAD, ""))) if r.random() < 0.45 else ""
+        header = self.node("header", 0, self.node(r.choice(("div", "h1", "h1", "p")), 0, self.words(1, 4), r.choice((*HEAD, "", ""))) + (self.node("nav", 0, self.links(0)) if r.random() < 0.5 else ""), r.choice((*HEAD, ""))) if r.random() < 0.45 else ""
         if header and r.random() < 0.3:
             header = self.node("div", 0, self.words(1, 6), r.choice(HEAD))
         footer = self.node("footer", 0, r.choice((self.words(3, 15), self.node("p", 0, self.words(3, 20)), self.links(0), self.words(1, 4) + self.node("p", 0, self.words(1, 9)))), r.choice((*FOOT, "")))
@@ -127,6 +130,8 @@ class _Page:
             core = self.node("div", 0, self.mixed(False, 1) + core + self.mixed(False, 1), r.choice(NEUTRAL))
         if r.random() < 0.06:
             return self.node("body", 1, self.node("h1", 1, self.words(1, 6)) + self.blocks(1))
+        if r.random() < 0.12:
+            return core  # a page that is cut, or has no body tag
         page = header + self.mixed(False, 2) + core + self.mixed(False, 2) + (footer if r.random() < 0.85 else "")
         return self.node("body", 0, page)
 

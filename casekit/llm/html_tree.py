@@ -255,7 +255,7 @@ class TreeModel:
         return marginals(nodes, self.unary(nodes), self.edge)[0]
 
 
-def train(n_pages: int = 600, epochs: int = 12, rate: float = 0.15, decay: float = 1e-4, seed: int = 5) -> TreeModel:
+def train(n_pages: int = 900, epochs: int = 12, rate: float = 0.15, decay: float = 1e-4, seed: int = 5) -> TreeModel:
     """Maximum likelihood on labelled pages, by AdaGrad: observed minus expected features."""
     rows = []
     for source in pages.labelled_pages(n_pages, seed):

@@ -14,6 +14,8 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Open units of a source that the landing settles by trying all ways to round them.
 LANDING = 12
+#: Documents of a source, about, that fly last, to make good what large ones add.
+RESERVE = 200
 _EPS = 1e-9
 
 
@@ -88,34 +90,67 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, stop:
         open_ = left
 
 
-def landing(share: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the few open units (at most ``LANDING``) of a whole source: of all ways to
-    round them, that whose total size is nearest to the expected one; then the nearest to
+def landing(share: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
+    """Settle the few open units (at most ``LANDING``): of all ways to round them, that
+    whose total size, decided units included, is nearest to ``want``; then the nearest to
     the expected number; then the first."""
     out = share.astype(float).copy()
-    left = np.flatnonzero((out > _EPS) & (out < 1 - _EPS))
+    open_ = (out > _EPS) & (out < 1 - _EPS)
+    left = np.flatnonzero(open_)
     if not len(left):
         return out
     ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
-    off = np.abs(ways @ size[left] - out[left] @ size[left])
+    off = np.abs(ways @ size[left] - (want - out[~open_] @ size[~open_]))
     many = np.abs(ways.sum(1) - out[left].sum())
     out[left] = ways[np.lexsort((many, off))[0]]
     return out
 
 
+def settle(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The last flight and the landing of a source.
+
+    A unit far larger than the others would stay open to the end and land by itself. So
+    units over four times the median size are drawn first, largest first; what a draw
+    adds to the total or takes from it the smaller open units make good by their shares,
+    which then fly and land. Where they cannot, the draw goes to the smaller error.
+    """
+    out = share.astype(float).copy()
+    want = float(out @ size)
+    open_ = np.flatnonzero((out > _EPS) & (out < 1 - _EPS))
+    if len(open_) > LANDING:
+        edge = 4 * float(np.median(size[open_]))
+        large = sorted(open_[size[open_] > edge].tolist(), key=lambda i: (-size[i], i))
+        small = open_[size[open_] <= edge]
+        up, down = float((1 - out[small]) @ size[small]), float(out[small] @ size[small])
+        error = 0.0
+        for i in large:
+            without, within = error - out[i] * size[i], error + (1 - out[i]) * size[i]
+            free = -without <= up / 2 and within <= down / 2
+            take = rng.random() < out[i] if free else abs(within) < abs(without)
+            error = within if take else without
+            out[i] = float(take)
+        if error > 0 and down > 0:
+            out[small] *= 1 - min(1.0, error / down)
+        elif error < 0 and up > 0:
+            out[small] += (1 - out[small]) * min(1.0, -error / up)
+    return landing(flight(out, size, rng, LANDING), size, want)
+
+
 def _block_flight(seed: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "size"], kind="stable").reset_index(drop=True)
         mark = hashlib.blake2b(repr((seed, str(key[0]), int(key[1]))).encode(), digest_size=8).digest()
         rng = np.random.default_rng(int.from_bytes(mark, "little"))
         size = rows["size"].to_numpy(float)
-        share = flight(rows["share"].to_numpy(float), size, rng, LANDING if last else 2)
-        rows["share"] = landing(share, size) if last else share
+        rows["share"] = (settle if last else flight)(rows["share"].to_numpy(float), size, rng)
         return rows
 
     return run
 
 
+_FLYING = ("id", "source", "size", "order", "source_size", "n_docs", "target", "whole", "share")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -134,8 +169,8 @@ def mix_sources(
     balanced on the sum of sizes and the number of documents of its source. ``taken`` is
     size times copies. The flight runs in blocks of about ``block`` documents of a source
     (a source with most of the rows has most of the blocks), each of which leaves two
-    open units or fewer; these meet in new blocks until a source has one, whose landing
-    rounds the last dozen to the nearest total. Draws are seeded by source and block and
+    open units or fewer; these meet in new blocks until a source has one. There a reserve
+    of about ``RESERVE`` documents joins them, and the last dozen land at the nearest total. Draws are seeded by source and block and
     documents ordered by a hash of id and size, so that reruns agree. Null texts have size
     0, null is a source of its own, repeated rows count each, ids may be null.
     """
@@ -149,14 +184,19 @@ def mix_sources(
     rows = rows.withColumn("share", F.greatest(F.lit(0.0), ratio - F.col("whole")))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     blocks = F.ceil(F.col("n_docs") / block)
+    # A share of the hash range, as large as the reserve is of the source.
+    kept_back = F.pmod(F.xxhash64("order"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * RESERVE / F.col("n_docs")
+    reserve = rows.where(kept_back) if most > block else None
+    rows = rows if reserve is None else rows.where(~kept_back)
     done = []
     level = 0
     while True:
         last = most <= block
-        at = F.pmod(F.shiftright("order", level % 8), F.greatest(blocks, F.lit(1))).cast("int")
+        if last and reserve is not None:
+            rows = rows.unionByName(reserve.select(*rows.columns))
+        at = F.lit(0) if last else F.pmod(F.shiftright("order", level % 8), F.greatest(blocks, F.lit(1))).cast("int")
         now = rows.withColumn("block", at)
-        order = ["id", "source", "size", "order", "source_size", "n_docs", "target", "whole", "share", "block"]
-        now = now.select(*order)
+        now = now.select(*_FLYING, "block")
         moved = now.groupBy("source", "block").applyInPandas(_block_flight(seed + level, last), now.schema)
         moved = materialize(moved, f"flight{level}")
         if last:
@@ -164,7 +204,7 @@ def mix_sources(
             break
         closed = (F.col("share") <= _EPS) | (F.col("share") >= 1 - _EPS)
         done.append(moved.where(closed))
-        rows = moved.where(~closed).drop("block")
+        rows = moved.where(~closed).select(*_FLYING)
         level += 1
         blocks = F.ceil(F.col("n_docs") * F.pow(F.lit(3.0 / block), F.lit(level)) / block)
         most = most * 3.0 / block

@@ -97,7 +97,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
+def _escaped_sql(x: str) -> str:
+    """``chat.escape`` in SQL."""
+    out = f"replace({x}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_MARK_CHARS = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_chat_format": rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+  p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+    len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + {chat.MARKS} as n, length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {_MARK_CHARS} as chars from t),
+  q as (select *, place = 1 and role = 'system' as sys from p),
+  s as (select *, sum(case when sys then n else 0 end) over (partition by conv_id) as sys_n, sum(case when sys then chars else 0 end) over (partition by conv_id) as head,
+    coalesce(sum(case when sys then 0 else n end) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0) as before from q),
+  w as (select *, before // greatest(1, ({chat.BUDGET - chat.HISTORY} - sys_n) // 2) as win from s),
+  f as (select conv_id, win, min(before) filter (not sys) as first, max(head) as head from w group by all),
+  again as (select w.conv_id, sum(chars) as chars from w join f on w.conv_id = f.conv_id and f.win > w.win and not w.sys and f.first - w.before <= {chat.HISTORY} group by 1),
+  heads as (select conv_id, sum(head) as chars from f where win > 0 group by 1)
+select w.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+  (sum(w.chars) + coalesce(any_value(again.chars), 0) + coalesce(any_value(heads.chars), 0))::bigint as formatted_chars
+from w left join again on again.conv_id = w.conv_id left join heads on heads.conv_id = w.conv_id group by w.conv_id
+""",
     "op5_decontamination": r"""
 with docs as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 items as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
