@@ -33,6 +33,7 @@ BLOCK_WORDS = 8
 #: Words whose ids a worker keeps.
 _CACHE_WORDS = 500_000
 _SPECIAL = "<|"
+_MARKS = ".,;:!?#*%&$"
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -130,7 +131,7 @@ def default_vocabulary() -> str:
 
 def _tokenizer(path: str) -> tuple:
     """The tokenizer, what it made of words, the bytes that each id stands for, and what
-    it made of first words."""
+    it made of first words and of marks."""
 
     def load() -> tuple:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -147,13 +148,14 @@ def _tokenizer(path: str) -> tuple:
 
 
 def _encode_words(words: list[str], tok, sizes: np.ndarray) -> list[bytes]:
-    """Of each word the ids of a space and the word: all are encoded as one text, and the
-    bytes that its ids stand for say where a word ends."""
-    text = " " + " ".join(words)
+    """Of each word the ids of a space and the word, or of the word alone if it begins
+    with a line end: all are encoded as one text, and the bytes that its ids stand for say
+    where a word ends."""
+    text = (" " + " ".join(words)).replace(" \n", "\n")
     ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
     ends = np.cumsum(sizes[ids])
     data = np.frombuffer(text.encode(), np.uint8)
-    wanted = np.append(np.flatnonzero(data == 0x20)[1:], len(data))
+    wanted = np.append(np.flatnonzero((data == 0x20) | (data == 0x0A))[1:], len(data))
     at = np.searchsorted(ends, wanted)
     if len(ends) != at[-1] + 1 or not np.array_equal(ends[at], wanted):
         raise ValueError("the tokenizer joined what stands before and after a space")
@@ -164,36 +166,48 @@ def _encode_words(words: list[str], tok, sizes: np.ndarray) -> list[bytes]:
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """Per text its ids and ``end_id``, as little-endian unsigned 32-bit integers.
 
-    The byte-level splitter never joins what stands before a single space, after which
-    something else follows, to what stands after it. So a text is encoded in words that
-    begin at such spaces, and words seen before, up to a bound, are looked up. Texts with
-    other white space beside a space, or with special tokens, are encoded whole.
+    The byte-level splitter never joins what stands before a single space or line end,
+    after which something else follows, to what stands after it. So a text is encoded in
+    words that begin there, and words seen before, up to a bound, are looked up. Nor does
+    it join marks to letters or digits before them, so these are encoded apart. Texts with
+    more white space in one place, or with special tokens, are encoded whole.
     """
     tok, known, sizes, firsts = _tokenizer(path)
     end = struct.pack("<I", end_id)
     plain = lambda some: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-    split = [[] if not t or _SPECIAL in t else t.split(" ") for t in texts]
+    if len(firsts) > _CACHE_WORDS // 4:
+        firsts.clear()
+    split = [[] if not t or _SPECIAL in t else t.replace("\n", " \n").split(" ") for t in texts]
     fresh: set[str] = set()
     for words in split:
         fresh.update(words[1:])
     local = dict(zip(fresh, map(known.get, fresh), strict=True))
     todo = [w for w, code in local.items() if code is None]
-    # Words that are known have no white space at their ends.
-    bad = {w for w in todo if not w or w[0].isspace() or w[-1].isspace()}
+    # Words that are known have no white space at their ends but a line end before them.
+    bad = {w for w in todo if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())}
     if bad:
         split = [[] if not bad.isdisjoint(words[1:]) else words for words in split]
         todo = [w for w in todo if w not in bad]
     split = [[] if words and (not words[0] or words[0][-1].isspace()) and len(words) > 1 else words for words in split]
+    # Marks after a letter or digit are a piece of their own.
+    marked = [(w, stem) for w in todo if len(stem := w.rstrip(_MARKS)) < len(w) and stem and stem[-1].isalnum()]
+    need = dict.fromkeys(todo)
+    for w, _ in marked:
+        del need[w]
+    need.update((stem, None) for _, stem in marked if stem not in known)
+    todo = list(need)
+    codes: dict[str, bytes] = {}
     for at in range(0, len(todo), 20_000):
         some = todo[at : at + 20_000]
-        codes = dict(zip(some, _encode_words(some, tok, sizes), strict=True))
-        local.update(codes)
-        if len(known) < _CACHE_WORDS:
-            known.update(codes)
+        codes.update(zip(some, _encode_words(some, tok, sizes), strict=True))
+    tails = list({w[len(stem) :] for w, stem in marked}.difference(firsts))
+    firsts.update(zip(tails, plain(tails), strict=True))
+    local.update(codes)
+    codes.update([(w, (codes.get(stem) or known[stem]) + firsts[w[len(stem) :]]) for w, stem in marked])
+    local.update(codes)
+    if len(known) < _CACHE_WORDS:
+        known.update(codes)
     begin = list({words[0] for words in split if words}.difference(firsts))
-    if len(firsts) > _CACHE_WORDS // 4:
-        firsts.clear()
-        begin = list({words[0] for words in split if words})
     firsts.update(zip(begin, plain(begin), strict=True))
     whole = [i for i, words in enumerate(split) if not words and texts[i]]
     alone = {i: code for at in range(0, len(whole), 20) for i, code in zip(whole[at : at + 20], plain([texts[i] for i in whole[at : at + 20]]), strict=True)}
