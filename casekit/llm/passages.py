@@ -15,14 +15,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialize
+from ._common import materialize, worker_cache
 
 #: Words of the shortest passage, and of the grams whose minima are retained.
 LEAST, GRAM = 50, 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
-_KNOWN: dict[bytes, int] = {}
 _MOST_KNOWN = 400_000
 
 
@@ -49,13 +48,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     """XXH64 of each run of anything but ASCII white space, as it stands."""
+    known: dict[bytes, int] = worker_cache("passages", dict)
     out = []
     for word in text.encode().split():
-        value = _KNOWN.get(word)
+        value = known.get(word)
         if value is None:
             value = xxhash.xxh64_intdigest(word)
-            if len(_KNOWN) < _MOST_KNOWN:
-                _KNOWN[word] = value
+            if len(known) < _MOST_KNOWN:
+                known[word] = value
         out.append(value)
     return np.array(out, np.uint64)
 
@@ -272,22 +272,47 @@ def _along(contexts: DataFrame, order: list[str], least: int, gram: int, tag: st
     return inner.unionByName(over)
 
 
-def _window_rows(least: int, gram: int):
-    """Hashes of all windows of ``least`` words through the anchor, by words before it."""
+def _window_rows(least: int):
+    """Hashes of windows of ``least`` words through an anchor, by the words before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for r in batch.to_pylist():
-                for o in range(max(0, least - len(r["after"]) // 4), len(r["before"]) // 4 + 1):
+                for o in r["offsets"]:
                     value = xxhash.xxh64_intdigest(r["before"][: 4 * o] + b"|" + r["after"][: 4 * (least - o)]) - (1 << 63)
-                    for column, x in zip(out, (r["gram"], r["context"], r["mark"], r["many"], o, value), strict=True):
+                    for column, x in zip(out, (r["gram"], r["context"], r["mark"], r["many"], r["open"], o, value), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()), strict=True)], names=["gram", "context", "mark", "many", "o", "value"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["gram", "context", "mark", "many", "open", "o", "value"])
 
     return run
 
 
+def _open_windows(around: DataFrame, reach: DataFrame, least: int) -> DataFrame:
+    """(gram, context, reach) of the windows that the sorted orders left open.
+
+    No match of an anchor reaches farther than the longest on each side. Where a match that
+    makes up a passage reaches as far on both sides, all is known. Else the windows that
+    reach farther than these, but not farther than the longest, are hashed; and those of
+    all anchors of the same gram that have them, too, for comparison.
+    """
+    most = lambda side: F.coalesce(F.array_max(F.transform("reach", lambda s: s[side])), F.lit(-1))
+    first, last = least - F.col("far_r"), F.col("far_l")
+    ranges = reach.where(F.col("far_r") + F.col("far_l") >= least).select("gram", "context", "far_l", "far_r", F.greatest(most("l") + 1, first).alias("a"), F.least(least - most("r") - 1, last).alias("b"), first.alias("first"), last.alias("last"))
+    part = lambda x, y: F.when(F.col(x) <= F.col(y), F.sequence(x, y)).otherwise(F.expr("cast(array() as array<int>)"))
+    ranges = ranges.select("gram", "context", "far_l", "far_r", F.array_union(part("a", "last"), part("first", "b")).alias("wanted"))
+    asked = ranges.where(F.size("wanted") > 0).groupBy("gram").agg(F.array_distinct(F.flatten(F.collect_set("wanted"))).alias("asked"))
+    offsets = F.filter("asked", lambda o: (o <= F.col("far_l")) & (least - o <= F.col("far_r")))
+    rows = ranges.join(asked, "gram").select("gram", "context", offsets.alias("offsets"), (F.size("wanted") > 0).alias("open")).where(F.size("offsets") > 0)
+    hashed = around.join(rows, ["gram", "context"]).mapInArrow(_window_rows(least), "gram long, context long, mark long, many boolean, open boolean, o int, value long")
+    hashed = materialize(hashed, "windows")
+    shared = hashed.groupBy("gram", "o", "value").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("many").alias("many")).where("low <> high or many")
+    found = hashed.where("open").join(shared.select("gram", "o", "value"), ["gram", "o", "value"])
+    ends = F.array(F.struct(F.max("o").alias("l"), F.lit(0).alias("r")), F.struct(F.lit(0).alias("l"), F.max(least - F.col("o")).alias("r")))
+    return found.groupBy("gram", "context").agg(ends.alias("reach"))
+
+
 def _merged(spans):
     """Union of the [begin, end) intervals of an array of struct(a, b), as a flat array."""
     return F.aggregate(
@@ -311,8 +336,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     in other texts need no comparison; for the rest the contexts (at most
     ``2 * least - gram`` words of four bytes) are fetched and sorted. Neighbours in the sort
     by what follows have the longest match to the right, those in the sort by what precedes
-    the longest to the left; where these together, but no neighbour alone, could make up a
-    passage, all windows of ``least`` words through the anchor are compared by hash.
+    the longest to the left; what these leave open is decided by windows' hashes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     per_doc = materialize(rows.mapInArrow(_anchor_rows(least, gram), f"id {docs.schema[id_col].dataType.simpleString()}, mark long, n_words int, place array<int>, gram array<long>, context array<long>"), "anchors")
@@ -336,12 +360,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     good = F.filter(F.array(*[F.struct(F.col(f"l{i}").alias("l"), F.col(f"r{i}").alias("r")) for i in (1, 2)]), lambda s: s["l"] + s["r"] >= least)
     reach = reach.groupBy("gram", "context").agg(F.array_distinct(F.flatten(F.collect_list(good))).alias("reach"), F.max("far_r").alias("far_r"), F.max("far_l").alias("far_l"))
     reach = materialize(reach, "reach")
-    doubt = reach.where((F.size("reach") == 0) & (F.col("far_r") + F.col("far_l") >= least)).select("gram").distinct()
-    windows = around.join(doubt, "gram", "left_semi").mapInArrow(_window_rows(least, gram), "gram long, context long, mark long, many boolean, o int, value long")
-    windows = materialize(windows, "windows")
-    shared = windows.groupBy("gram", "o", "value").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.max("many").alias("many")).where("low <> high or many")
-    exact = windows.join(shared.select("gram", "o", "value"), ["gram", "o", "value"]).select("gram", "context", F.struct(F.col("o").alias("l"), (least - F.col("o")).alias("r")).alias("s"))
-    exact = exact.groupBy("gram", "context").agg(F.collect_set("s").alias("reach"))
+    exact = _open_windows(around, reach, least)
     whole = contexts.where("low <> high").select("gram", "context", F.array(F.struct(F.lit(least - gram).alias("l"), F.lit(least).alias("r"))).alias("reach"))
     matched = reach.where(F.size("reach") > 0).select("gram", "context", "reach").unionByName(exact).unionByName(whole)
     hits = every.join(matched, ["gram", "context"]).select("mark", "place", F.explode("reach").alias("s"))
