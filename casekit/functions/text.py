@@ -146,3 +146,10 @@ def span_colour(value: Column, most: Column) -> Column:
     share = F.least(F.lit(1.0), F.abs(value) / F.greatest(most, F.lit(1e-12)))
     fade = F.floor(F.lit(255) * (F.lit(1.0) - share)).cast("int")
     return F.when(value >= 0, F.format_string("rgb(255,%d,%d)", fade, fade)).otherwise(F.format_string("rgb(%d,%d,255)", fade, fade))
+
+
+def blend_with_white(colour: str, share: Column) -> Column:
+    """#rrggbb between white (0) and ``colour`` (1)."""
+    base = [int(colour.lstrip("#")[i : i + 2], 16) for i in (0, 2, 4)]
+    parts = [F.lower(F.lpad(F.hex(F.round(F.lit(255.0) + share * (b - 255.0)).cast("int")), 2, "0")) for b in base]
+    return F.concat(F.lit("#"), *parts)

@@ -225,3 +225,21 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     for more in frames[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     return out
+
+
+def resolve_limit(wanted: object, total: int, default: int = 5) -> int:
+    """``wanted`` as a number of rows, at most ``total``; ``default`` for what is none."""
+    try:
+        n = int(str(wanted).strip())
+    except ValueError:
+        n = default
+    return max(0, min(n if n > 0 else default, total))
+
+
+def first_rows(df: DataFrame, n: int, order: str = "_row_id") -> DataFrame:
+    return df.orderBy(order).limit(n)
+
+
+def over_splits(splits: dict[str, DataFrame], work) -> DataFrame:
+    """``work`` on every named split, results united with the name in ``split``."""
+    return union_all([work(df).withColumn("split", F.lit(name)) for name, df in splits.items()])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -82,6 +82,19 @@ class ScaledPCA:
         self.pca = full
         return self
 
+    def save(self, path: str) -> None:
+        """Write both models and the parameters under ``path``."""
+        self.scaler.write().overwrite().save(f"{path}/scaler")
+        self.pca.write().overwrite().save(f"{path}/pca")
+
+    @classmethod
+    def load(cls, path: str, share: float = 0.95) -> ScaledPCA:
+        out = cls(share)
+        out.scaler, out.pca = StandardScalerModel.load(f"{path}/scaler"), PCAModel.load(f"{path}/pca")
+        out.dim = out.scaler.mean.size
+        out.k = int((out.pca.explainedVariance.toArray().cumsum() < share - 1e-12).sum()) + 1
+        return out
+
     def transform(self, df: DataFrame, vector_col: str, out: str = "features") -> DataFrame:
         made = df.withColumn("raw", array_to_vector(F.col(vector_col).cast("array<double>")))
         made = self.pca.transform(self.scaler.transform(made))
@@ -96,7 +109,33 @@ def fit_head(df: DataFrame, vector_col: str, label: str, reg: float = 1e-4, epoc
     return LogisticRegression(maxIter=epochs, regParam=reg, weightCol="weight", family="multinomial").fit(rows)
 
 
-def score_head(df: DataFrame, model: LogisticRegressionModel, vector_col: str) -> DataFrame:
+def fit_mlp(df: DataFrame, vector_col: str, label: str, hidden: int = 256, epochs: int = 100, seed: int = 42) -> MultilayerPerceptronClassificationModel:
+    """A network with one hidden layer on vectors; labels are codes from 0."""
+    rows = df.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    classes = int(rows.agg(F.max("label")).first()[0]) + 1
+    return MultilayerPerceptronClassifier(layers=[rows.first()["features"].size, hidden, classes], maxIter=epochs, seed=seed).fit(rows)
+
+
+def cross_validated(df: DataFrame, folds: DataFrame, key: str, vector_col: str, label: str, fit=None) -> DataFrame:
+    """(fold, y_true, y_pred) on the validation rows of each fold (key, fold, role), the head
+    being fitted on its training rows. Folds are few; each is one fit."""
+    parts = []
+    for fold in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+        of = lambda role, f=fold: df.join(folds.where((F.col("fold") == f) & (F.col("role") == role)).select(key), key, "left_semi")
+        model = (fit or fit_head)(of("train"), vector_col, label)
+        parts.append(score_head(of("val"), model, vector_col).select(F.lit(fold).alias("fold"), F.col(label).alias("y_true"), "y_pred"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def mean_windows(pooled_: DataFrame) -> DataFrame:
+    """(n_docs, mean_windows)."""
+    return pooled_.agg(F.count("*").alias("n_docs"), F.avg("window_count").alias("mean_windows"))
+
+
+def score_head(df: DataFrame, model: LogisticRegressionModel | MultilayerPerceptronClassificationModel, vector_col: str) -> DataFrame:
     """``df`` with ``proba`` (array) and ``y_pred``."""
     made = df.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
     made = model.transform(made)
@@ -122,4 +161,4 @@ def stop_epoch(losses: Column, patience: int = 10) -> Column:
     return F.aggregate(losses, zero, step, lambda a: a["at"])
 
 
-__all__ = ["ScaledPCA", "class_weights", "fit_head", "pooled", "positive_weight", "score_head", "smoothed_losses", "spaced_subset", "stop_epoch", "token_windows"]
+__all__ = ["ScaledPCA", "class_weights", "cross_validated", "fit_head", "fit_mlp", "mean_windows", "pooled", "positive_weight", "score_head", "smoothed_losses", "spaced_subset", "stop_epoch", "token_windows"]

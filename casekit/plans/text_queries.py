@@ -140,7 +140,7 @@ def name_cleaning(spark, sf_dir):
     return p.select("page_id", t.safe_name(F.col("url")).alias("safe"), t.url_middle(F.col("url")).alias("middle"), t.display_label(F.col("url"), 20).alias("label"), t.safe_fragment(F.col("url")).alias("fragment"))
 
 
-_TOP = "select quality, term, count(*) as freq, row_number() over (partition by quality order by count(*) desc, term) as rank from ({}) group by 1, 2 qualify rank <= 20"
+_TOP = "select quality, term, count(*) as freq, (row_number() over (partition by quality order by count(*) desc, term))::int as rank from ({}) group by 1, 2 qualify rank <= 20"
 
 
 def _grams(n: int) -> str:
@@ -163,7 +163,7 @@ PAIRS = {
       w as (select tf.quality, doc_id, tf.term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) as w, n from tf join df on tf.quality = df.quality and tf.term = df.term join n on tf.quality = n.quality),
       u as (select quality, term, w / sqrt(sum(w * w) over (partition by quality, doc_id)) as u, n from w),
       m as (select quality, term, round(sum(u) / any_value(n), 9) as score from u group by all)
-      select quality, term, round(score, 6) as score, row_number() over (partition by quality order by m.score desc, term) as rank from m qualify rank <= 15"""),
+      select quality, term, round(score, 6) as score, (row_number() over (partition by quality order by m.score desc, term))::int as rank from m qualify rank <= 15"""),
     "sentence_split": (sentence_split, f"select doc_id, len(s)::int as n, md5(array_to_string(s, '|')) as md5 from (select doc_id, {_SENTENCES} as s from documents)"),
     "anchor_scores": (anchor_scores, None),
     "summary_selection": (summary_selection, None),

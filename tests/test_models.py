@@ -186,3 +186,29 @@ def test_annotation(spark):
 
     parity = "dv" if int(hashlib.sha256(b"ANA").hexdigest()[:2], 16) % 2 == 0 else "ic"
     assert [x[0] for x in users.select(annotate.assign_branch(F.col("u"))).collect()] == ["dv", "ic", parity]
+
+
+def test_fitted_models(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) + 4 * (i % 2)).tolist(), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    model = pooling.ScaledPCA().fit(df, "v")
+    model.save(f"{tmp_path}/pca")
+    again = pooling.ScaledPCA.load(f"{tmp_path}/pca")
+    a, b = (m.transform(df, "v").orderBy("id").select("features").collect() for m in (model, again))
+    assert np.allclose([r[0] for r in a], [r[0] for r in b]) and 1 <= model.k <= 4
+    folds = spark.createDataFrame([(i, f, "train" if i < 20 * (f + 1) else "val") for f in range(2) for i in range(20 * (f + 2))], "id long, fold int, role string")
+    out = pooling.cross_validated(df, folds, "id", "v", "y")
+    assert out.where("y_true = y_pred").count() >= 38 and out.count() == 40
+    assert pooling.score_head(df, pooling.fit_mlp(df, "v", "y", 4, 30), "v").where("y = y_pred").count() >= 55
+
+
+def test_small_helpers(spark):
+    from casekit.functions.text import blend_with_white
+    from casekit.operators import curate
+
+    assert [curate.resolve_limit(x, 10) for x in ("3", "99", "x", None, -1)] == [3, 10, 5, 5, 5]
+    row = spark.range(1).select(blend_with_white("#ff0000", F.lit(0.0)), blend_with_white("#ff0000", F.lit(1.0))).first()
+    assert tuple(row) == ("#ffffff", "#ff0000")
+    out = curate.over_splits({"a": spark.range(2), "b": spark.range(1)}, lambda d: d)
+    assert out.groupBy("split").count().count() == 2
