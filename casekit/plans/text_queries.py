@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.vectors import argmax, one_hot, smoothed, softmax
 from ..operators import extract, profile, prompts, sentences
-from ..vocabulary import TRUNCATION_MARK
+from ..vocabulary import ANCHOR_WEIGHTS, ANCHORS, CITY_COURTS, COURT_PATTERNS, TRUNCATION_MARK
 from .stand_ins import table
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -151,6 +151,35 @@ _MARK = TRUNCATION_MARK.replace("\n", "' || chr(10) || '")
 _ROOM = 800 - len(TRUNCATION_MARK)
 _HEAD = int(_ROOM * 0.55)
 
+_WITH_ANCHORS = "(select doc_id, text || case when doc_id % 3 = 0 then '. Dos factos provados resulta dos autos; não assiste razão.' else '' end as text from documents)"
+
+
+def _anchor_sql() -> str:
+    hit = {g: "(" + " or ".join(f"contains(lower(s), '{p}')" for p in phrases) + ")" for g, phrases in ANCHORS.items()}
+    score = " + ".join(f"case when {hit[g]} then {w}::double else 0 end" for g, w in ANCHOR_WEIGHTS.items())
+    groups = ", ".join(f"case when {c} then '{g}' end" for g, c in hit.items())
+    return f"select * from (select doc_id, round(({score}) / {sum(ANCHOR_WEIGHTS.values())}, 6) as score, concat_ws(',', {groups}) as groups, greatest(1, floor(length(s) / 4) + 2)::int as tokens from (select doc_id, unnest({_SENTENCES}) as s from {_WITH_ANCHORS})) where score > 0"
+
+
+def _court_sql() -> str:
+    text = "case when doc_id % 4 = 0 then 'Acordam no Tribunal da Relação de Lisboa. ' when doc_id % 4 = 2 then 'no supremo tribunal de justiça ' else '' end || text || ' Porto'"
+    city = lambda x: "case " + " ".join(f"when contains(lower({x}), '{n}') then '{c}'" for n, c in CITY_COURTS.items()) + " end"
+    arms = [city(f"regexp_extract(h, '{p}', 1, 'i')") if "(" in p.replace("(?:", "") else f"case when regexp_matches(h, '{p}', 'i') then 'STJ' end" for p in COURT_PATTERNS]
+    return f"select doc_id, case when t = 'CSM' then coalesce({', '.join(arms)}, {city('h')}, {city('f')}, t) else t end as tribunal from (select doc_id, case when doc_id % 2 = 0 then 'CSM' else 'TRX' end as t, substr(x, 1, n) as h, substr(x, length(x) - n + 1) as f from (select doc_id, x, greatest(1, floor(length(x) * 0.3))::int as n from (select doc_id, {text} as x from documents)))"
+
+
+def _html_sql() -> str:
+    out = "html"
+    for tag in ("script", "style"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)', chr(1), 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?(?:-->|$)', chr(1), 'g')"
+    out = f"regexp_replace({out}, '(?s)<[/!?]?[A-Za-z][^>]*(?:>|$)|<![^>]*>', chr(1), 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    lines = rf"list_filter(list_transform(string_split({out}, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+    return rf"select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, len(string_split(array_to_string({lines}, chr(10)), chr(10)))::int as n_lines from pages"
+
+
 PAIRS = {
     "text_metrics": (text_metrics, rf"select doc_id, md5(c) as clean_md5, length(text)::int as raw_length, length(c)::int as clean_length, len(list_filter(string_split(c, ' '), lambda w: w <> ''))::int as word_count from (select doc_id, text, {_CLEAN} as c from documents)"),
     "length_quantiles_by_class": (length_quantiles_by_class, "select quality, count(*) as n, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3, min(v) as low, max(v) as high from (select quality, length(text)::double as v from documents d join labels l on d.doc_id = l.doc_id) group by 1"),
@@ -165,18 +194,18 @@ PAIRS = {
       m as (select quality, term, round(sum(u) / any_value(n), 9) as score from u group by all)
       select quality, term, round(score, 6) as score, (row_number() over (partition by quality order by m.score desc, term))::int as rank from m qualify rank <= 15"""),
     "sentence_split": (sentence_split, f"select doc_id, len(s)::int as n, md5(array_to_string(s, '|')) as md5 from (select doc_id, {_SENTENCES} as s from documents)"),
-    "anchor_scores": (anchor_scores, None),
+    "anchor_scores": (anchor_scores, _anchor_sql()),
     "summary_selection": (summary_selection, None),
     "truncate_head_tail": (truncate_head_tail, rf"select doc_id, md5(case when length(text) <= 800 then text else substr(regexp_replace(substr(text, 1, {_HEAD}), '\s+$', '') || '{_MARK}' || regexp_replace(substr(text, length(text) - {_ROOM - _HEAD} + 1), '^\s+', ''), 1, 800) end) as md5, length(text) > 800 as truncated, ceil(length(text) / 4)::bigint as tokens from documents"),
     "think_strip": (think_strip, r"select conv_id, turn, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as answer_md5, case when turn % 2 = 1 then 'why ' || role else '' end as thinking from conversations"),
     "prompt_messages": (prompt_messages, None),
     "json_label_validate": (json_label_validate, "select case when event_id % 7 = 0 or event_id % 5 = 0 then null when event_type in ('click', 'view', 'purchase', 'login', 'logout', 'signup', 'search', 'error') then event_type end as label, count(*) as n from events group by 1"),
     "one_hot_smoothing": (one_hot_smoothing, "select vec_id, array_to_string(list_transform(range(10), lambda i: case when i = label then 1 else 0 end), '') as hot, label::int as pick, round(exp(1.0) / (exp(1.0) + 9), 6) as soft, round(case when label = 0 then 0.9 else 0.1 / 9 end, 6) as first from embeddings"),
-    "page_title_and_text": (page_title_and_text, None),
+    "page_title_and_text": (page_title_and_text, _html_sql()),
     "page_links": (page_links, r"select distinct page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*[\"'']([^\"'']*)[\"'']', 1)) as href from pages"),
     "court_link_rules": (court_link_rules, "select distinct 'https://host.example/jtrl.nsf/' || md5(page_id::varchar) || case when page_id % 3 = 0 then '?OpenDocument' else '/x' end as href from pages where page_id % 2 = 0 and page_id % 3 <> 1"),
     "field_extract": (field_extract, "select doc_id, doc_id || '/20' as n_processo, 'ANA ' || source as juiz_relator, '01-02-2020' as data_acordao, 'UNANIMIDADE' as votacao, null::varchar as meio_processual, 'Negado provimento.' as decisao, 'S' as texto_integral_disponivel, case when length(lang) > 2 then 'contrato|mora|' || lang || '|Decisão' else 'contrato|mora|Decisão' end as descritores from documents"),
     "decision_cascade": (decision_cascade, None),
-    "court_repair": (court_repair, None),
+    "court_repair": (court_repair, _court_sql()),
     "name_cleaning": (name_cleaning, r"""select page_id, regexp_replace(url, '[/\\:*?"<>|]', '_', 'g') as safe, nullif(regexp_extract(url, '^[a-z]+://[^/]+/(.*)/[^/]*$', 1), '') as middle, case when length(url) > 20 then rtrim(substr(url, 1, 17)) || '…' else url end as label, regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g') as fragment from pages"""),
 }
