@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import materialize
+from ._common import free_name, materialize
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -222,18 +222,19 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     """The mix itself: each row of ``docs`` as often as ``mix_sources`` takes it.
 
     Copies are joined to the documents by id, source and size; of rows that agree in all
-    three the sums of their copies are dealt out in the order of their text's hash.
+    three the sums of their copies are dealt out in the order of their text's hash. What is
+    chosen grows with the documents, so it is merged at every size and never broadcast.
     Documents without words are taken as often as their inclusion says, like any other.
     """
     size = word_count(F.col(text_col))
+    i, s, n, c, k, copies, at = free_name(docs, "_i", "_s", "_n", "_c", "_k", "_copies", "_at")
     chosen = mix_sources(docs, id_col, source_col, text_col=text_col, **how)
-    chosen = chosen.groupBy(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_n")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_k"))
-    chosen = materialize(chosen.where("_c > 0"), "chosen")
-    on = docs[id_col].eqNullSafe(chosen["_i"]) & docs[source_col].eqNullSafe(chosen["_s"]) & (size == chosen["_n"])
-    found = docs.join(chosen, on)
-    one = found.where("_k = 1").select(*docs.columns, F.col("_c").alias("_copies"))
-    alike = Window.partitionBy("_i", "_s", "_n").orderBy(F.xxhash64(text_col))
-    share = F.floor(F.col("_c") / F.col("_k")) + F.when(F.row_number().over(alike) <= F.col("_c") % F.col("_k"), 1).otherwise(0)
-    many = found.where("_k > 1").withColumn("_copies", share).select(*docs.columns, "_copies")
-    both = one.unionByName(many.select(*docs.columns, F.col("_copies").cast("long").alias("_copies")))
-    return both.where("_copies > 0").withColumn("_at", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    chosen = chosen.groupBy(F.col(id_col).alias(i), F.col(source_col).alias(s), F.col("size").alias(n)).agg(F.sum("copies").alias(c), F.count("*").alias(k))
+    chosen = materialize(chosen.where(F.col(c) > 0), "chosen").hint("merge")
+    found = docs.join(chosen, docs[id_col].eqNullSafe(chosen[i]) & docs[source_col].eqNullSafe(chosen[s]) & (size == chosen[n]))
+    one = found.where(F.col(k) == 1).select(*docs.columns, F.col(c).cast("long").alias(copies))
+    alike = Window.partitionBy(i, s, n).orderBy(F.xxhash64(text_col))
+    share = F.floor(F.col(c) / F.col(k)) + F.when(F.row_number().over(alike) <= F.col(c) % F.col(k), 1).otherwise(0)
+    many = found.where(F.col(k) > 1).withColumn(copies, share.cast("long")).select(*docs.columns, copies)
+    both = one.unionByName(many).where(F.col(copies) > 0)
+    return both.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

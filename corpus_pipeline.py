@@ -28,9 +28,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
-    out = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    hit, words = "n_hit", "n_words"
-    return out.where(~decontam.contaminated(hit, words)).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # what is found has names of its own
+    text = names[docs.columns.index("text")]
+    found = decontam.find_contamination(docs.toDF(*names), table(spark, sf_dir, "benchmark"), text_col=text, keep=tuple(names))
+    return found.where(~decontam.contaminated()).select(*names).toDF(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
