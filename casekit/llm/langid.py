@@ -75,16 +75,17 @@ class LanguageModel:
 
 def _features(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text: the buckets that occur and their share of all its subwords."""
+    kind = np.min_scalar_type(buckets)
     rows = []
     for text in texts:
         counts = Counter(words_of(text))
         if not counts:
-            rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
+            rows.append((np.zeros(0, kind), np.zeros(0, np.float32)))
             continue
         grams, of = subwords(list(counts), buckets)
         where, back = np.unique(grams, return_inverse=True)
         share = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts))[of])
-        rows.append((where, (share / share.sum()).astype(np.float32)))
+        rows.append((where.astype(kind), (share / share.sum()).astype(np.float32)))
     return rows
 
 
