@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.rules import normalise_case_type
+from ..functions.text import let
 from ..vocabulary import (
     AFTER_HEADING,
     ANY_DATE,
@@ -147,28 +148,30 @@ def _match_starts(text: Column, pattern: str) -> Column:
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
-def _layer(text: Column, start: Column, layer: tuple) -> tuple[Column, Column]:
-    """(whether the layer decides, its result or null) for the part of the text from ``start``."""
+def _layer(text: Column, part: Column, start: Column, layer: tuple) -> Column:
+    """struct(result) if the layer decides for ``part``, the text from ``start`` on, else
+    null; the result is null where what it decides on fails the checks. Every step is bound
+    to a name once, as a CASE would compute it for each use."""
     name, confidence, pattern, ignore, which, verbs, goes_on = layer
     pattern = ("(?ium)" if ignore else "(?m)") + pattern
-    part = F.substring(text, start + 1, F.length(text))
-    found = F.when(part.rlike(pattern), _match_starts(part, pattern))
-    match = F.element_at(found, 1 if which == "first" else -1)
-    at = start + match["start"]
-    decision = _strip(F.substring(text, at + 1, F.length(text)))
-    valid = (F.length(decision) > 50) & (F.length(decision) < 50000)
-    if verbs:
-        valid = valid & F.substring(decision, 1, 1000).rlike("(?iuU)" + DECISION_VERBS)
-    review = name in REVIEW
-    metadata = F.struct(
-        F.lit(name).alias("extraction_method"), F.lit(confidence).alias("confidence"),
-        F.substring(_strip(match["hit"]), 1, 50).alias("keyword_found"), F.lit(review).alias("requires_manual_review"),
-        F.lit(REVIEW.get(name)).cast("string").alias("review_reason"),
-        F.concat(F.floor(at * 100 / F.length(text)).cast("string"), F.lit("%")).alias("document_position"),
-    )
-    result = F.when(valid, F.struct(decision.alias("decisao_extraida"), _strip(F.substring(text, F.lit(1), at)).alias("texto_sem_decisao"), metadata.alias("metadata")))
-    decides = found.isNotNull() & (valid if goes_on else F.lit(True))
-    return F.coalesce(decides, F.lit(False)), result
+
+    def outcome(match: Column) -> Column:
+        return let(F.struct((start + match["start"]).alias("at"), match["hit"].alias("hit")), lambda m: let(_strip(F.substring(text, m["at"] + 1, F.length(text))), lambda d: checked(m, d)))
+
+    def checked(m: Column, decision: Column) -> Column:
+        valid = (F.length(decision) > 50) & (F.length(decision) < 50000)
+        if verbs:
+            valid = valid & F.substring(decision, 1, 1000).rlike("(?iuU)" + DECISION_VERBS)
+        metadata = F.struct(
+            F.lit(name).alias("extraction_method"), F.lit(confidence).alias("confidence"),
+            F.substring(_strip(m["hit"]), 1, 50).alias("keyword_found"), F.lit(name in REVIEW).alias("requires_manual_review"),
+            F.lit(REVIEW.get(name)).cast("string").alias("review_reason"),
+            F.concat(F.floor(m["at"] * 100 / F.length(text)).cast("string"), F.lit("%")).alias("document_position"),
+        )
+        result = F.struct(decision.alias("decisao_extraida"), _strip(F.substring(text, F.lit(1), m["at"])).alias("texto_sem_decisao"), metadata.alias("metadata")).cast(_DECISION)
+        return F.when(valid, F.struct(result.alias("result"))) if goes_on else F.struct(F.when(valid, result).alias("result"))
+
+    return F.when(part.rlike(pattern), let(F.element_at(_match_starts(part, pattern), 1 if which == "first" else -1), outcome))
 
 
 def _undecided(text: Column, reason: str) -> Column:
@@ -186,22 +189,15 @@ def split_decision(df: DataFrame, text_col: str = "texto_integral_completo", out
     share of the text. Shorter texts than 100 characters, and null, are left for review.
     """
     text = F.col(text_col)
-    shares, kept = [], df
-    for share in CASCADE_STARTS:
+
+    def searched(share: int) -> Column:
         start = F.floor(F.length(text) * share / 100).cast("int")
-        chosen = None
-        for layer in CASCADE:
-            decides, result = _layer(text, start, layer)
-            chosen = F.when(decides, result) if chosen is None else chosen.when(decides, result)
-        shares.append(f"_share{share}")
-        earlier = [F.col(s).isNotNull() for s in shares[:-1]]
-        open_ = F.length(text) >= 100
-        for e in earlier:
-            open_ = open_ & ~e
-        kept = kept.withColumn(shares[-1], F.when(open_, chosen).cast(_DECISION))
+        layers = lambda part: F.coalesce(*[_layer(text, part, start, layer) for layer in CASCADE])
+        return let(F.substring(text, start + 1, F.length(text)), layers)["result"]
+
     short = F.when(F.coalesce(F.length(text), F.lit(0)) < 100, _undecided(text, REVIEW["short"]).cast(_DECISION))
     none = _undecided(text, REVIEW["none"]).cast(_DECISION)
-    return kept.withColumn(out_col, F.coalesce(*shares, short, none)).drop(*shares)
+    return df.withColumn(out_col, F.coalesce(short, *[searched(share) for share in CASCADE_STARTS], none))
 
 
 # Repairs ------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import sentence_tokens, sentences
+from ..functions.text import let, sentence_tokens, sentences
 from ..functions.vectors import centroid, cosine
 from ..vocabulary import ANCHOR_WEIGHTS, ANCHORS, QUERIES
 
@@ -17,16 +17,16 @@ from ..vocabulary import ANCHOR_WEIGHTS, ANCHORS, QUERIES
 WEIGHTS, MIN_ANCHOR_RATIO = (0.7, 0.3, 0.35), 0.6
 
 
+def _has_anchor(low: Column, group: str) -> Column:
+    found = F.lit(False)
+    for p in ANCHORS[group]:
+        found = found | F.contains(low, F.lit(p))
+    return found
+
+
 def anchor_groups(sentence: Column) -> Column:
     """Names of the anchor groups with a phrase in the sentence, in any case."""
-    low = F.lower(sentence)
-    hits = []
-    for name, phrases in ANCHORS.items():
-        found = F.lit(False)
-        for p in phrases:
-            found = found | F.contains(low, F.lit(p))
-        hits.append(F.when(found, F.lit(name)))
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return let(F.lower(sentence), lambda low: F.filter(F.array(*[F.when(_has_anchor(low, g), F.lit(g)) for g in ANCHORS]), lambda x: x.isNotNull()))
 
 
 def anchor_score(sentence: Column, weights: Mapping[str, float] | None = None) -> Column:
@@ -36,11 +36,11 @@ def anchor_score(sentence: Column, weights: Mapping[str, float] | None = None) -
     bad = [k for k, w in weights.items() if k not in ANCHORS or w < 0]
     if bad:
         raise ValueError(f"unknown group or negative weight: {bad}")
-    total = sum(weights.values())
-    value = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))]) if weights else None
+    total = float(sum(weights.values()))
     if not total:
         return F.lit(0.0)
-    return F.aggregate(anchor_groups(sentence), F.lit(0.0), lambda s, g: s + F.coalesce(value[g], F.lit(0.0))) / F.lit(float(total))
+    weigh = lambda low: sum((F.when(_has_anchor(low, g), float(weights[g])).otherwise(0.0) for g in ANCHORS if g in weights), F.lit(0.0))
+    return F.coalesce(let(F.lower(sentence), weigh), F.lit(0.0)) / F.lit(total)
 
 
 def sentence_table(df: DataFrame, id_col: str, text_col: str, min_chars: int = 8) -> DataFrame:
