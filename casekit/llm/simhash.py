@@ -1,17 +1,18 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""Near-duplicates: by the Jaccard similarity of shingles, or by SimHash with multi-index hashing."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import materialize
+from ._common import discard, materialize, worker_cache
 from .components import connected_components
 
 #: (lowest bit, width, radius) of each segment. The radii plus one sum to one more than
@@ -20,6 +21,137 @@ from .components import connected_components
 SEGMENTS = ((0, 21, 0), (21, 21, 1), (42, 22, 1))
 DISTANCE = 4
 _ROWS = 1 << 16
+#: Words of a shingle and least Jaccard similarity of near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Tables of MinHash keys and minima in a key. A pair at similarity 0.8 shares no key with
+#: a chance of (1 - 0.8 ** 5) ** 32, or 3 in a million; at 0.9 it is under 1 in 10 ** 12.
+BANDS, MINIMA = 32, 5
+#: Times that each bucket is linked to one of its members before it is joined with itself.
+STAR_ROUNDS = 4
+_MIX = np.random.default_rng(8).integers(0, 1 << 63, (3, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _spans(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of ``text`` joined by spaces, and where its shingles begin and end."""
+    found = text.encode().lower().split() if text else []
+    if not found:
+        return b"", [], []
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(found) - words + 1)
+    return b" ".join(found), starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist()
+
+
+def shingles(text: str | None, words: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 values (uint64, ascending) of the shingles of whole ``text``, as
+    ``fingerprint`` takes them; none for a null text or one without words."""
+    data, starts, ends = _spans(text, words)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(data[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """``BANDS`` MinHash keys (int64) of a set of shingles that is not empty."""
+    times, plus, weight = _MIX
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 512):
+        mixed = values[at : at + 512, None] * times + plus
+        np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(0), out=least)
+    return (least * weight).reshape(BANDS, MINIMA).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _shingle_rows(words: int, seed: int, whole: bool):
+    """Batches whose last column is a text to the other columns and fp, n, and the keys of
+    the bands or, if ``whole``, the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(_shingle_rows, lambda: None)  # frees what an operator before has kept
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                *others, texts = some.columns
+                sets = [shingles(t.as_py(), words, seed) for t in texts]
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)
+                sizes = pa.array([len(x) for x in sets], pa.int32())
+                found = [x.view(np.int64) if whole else band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(fps), sizes, _lists(found)], names=[*some.schema.names[:-1], "fp", "n", "found"])
+
+    return run
+
+
+def _likely(rows: DataFrame, key: str, need: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``need``, before they move: by
+    a bitmap of 2 ** 24 bits, whatever the size of ``need``."""
+    word = f"pmod({key}, {1 << 24}) div 64"
+    bit = f"shiftleft(1L, cast(pmod({key}, 64) as int))"
+    bits = need.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_bits"))
+    return rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word").where(F.expr(f"_bits & {bit} <> 0")).select(*rows.columns)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets of shingles are similar enough."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    a = _likely(sets.select(F.col("fp").alias("u"), F.col("found").alias("a")), "u", pairs.select("u"))
+    b = _likely(sets.select(F.col("fp").alias("v"), F.col("found").alias("b")), "v", pairs.select("v"))
+    both = F.size(F.array_intersect("a", "b"))
+    out = materialize(pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"), "similar")
+    discard(pairs)
+    return out
+
+
+def shingle_links(texts: DataFrame, marked: DataFrame, words: int = SHINGLE, seed: int = 42, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between sets of shingles that join sets of at least that Jaccard
+    similarity, directly or through others. ``marked`` has rows (fp, n, found, hash) with
+    the bands' keys of each of ``texts`` (hash, text).
+
+    Sets that share a MinHash key are candidates, and are compared as a whole; shingles
+    are made again for texts that have candidates only. As in ``media.image_copies``, every
+    member of a bucket meets one of its members first, in up to ``STAR_ROUNDS`` rounds;
+    then all that are not connected yet meet each other. No bucket is capped, and a large
+    group of near-copies costs links in proportion to its size.
+    """
+    each = marked.groupBy("fp").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("found").alias("found"))
+    thin = each.select("fp", "n", "hash", F.explode("found").alias("key"))
+    met_by = thin.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key")
+    entries = materialize(thin.join(met_by, "key"), "entries")
+    need = materialize(entries.select("fp", "hash").distinct(), "need")
+    again = _likely(texts, "hash", need).mapInArrow(_shingle_rows(words, seed, True), "hash long, fp long, n int, found array<long>")
+    sets = materialize(again.select("fp", "found").join(need, "fp", "left_semi").groupBy("fp").agg(F.first("found").alias("found")), "sets")
+    sizes = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")
+    links = roots = None
+
+    def placed() -> DataFrame:
+        if roots is None:
+            return entries.withColumn("root", F.col("fp"))
+        return entries.join(roots, entries["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("key", F.col("fp").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"))
+
+    for turn in range(STAR_ROUNDS):
+        now, one = placed(), F.struct("root", "fp", "n")
+        hub = now.groupBy("key").agg((F.max(one) if turn % 2 else F.min(one)).alias("h"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        met = side(now, "v").join(side(hub.select("key", "h.*"), "u"), "key").where(F.col("root_u") != F.col("root_v")).where(sizes)
+        more = _similar(met.select("u", "v"), sets, similarity)
+        links = more if links is None else links.unionByName(more)
+        roots = materialize(connected_components(links), "star_roots")
+        if more.isEmpty():
+            break
+    now = placed()
+    open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    now = materialize(now.join(open_, "key"), "open")
+    a, b = side(now, "u"), side(now, "v")
+    rest = a.join(b, (a["key"] == b["key"]) & (a["u"] < b["v"]) & (a["root_u"] != b["root_v"]) & sizes).select("u", "v")
+    links = links.unionByName(_similar(rest, sets, similarity))
+    for done in (entries, need, sets, now):
+        discard(done)
+    return links
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -133,22 +265,34 @@ def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    words: int = 4,
+    words: int = SHINGLE,
     seed: int = 42,
-    distance: int = DISTANCE,
+    distance: int | None = None,
     segments: Sequence[tuple[int, int, int]] = SEGMENTS,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """One row per row of ``docs``: (id, ``fp``, ``component_id``).
 
-    Two documents are linked if their fingerprints differ in ``distance`` bits or fewer;
-    ``component_id`` is the smallest id that can be reached over links. Null and empty
-    texts have fingerprint 0 and are linked like any other. A row with a null id keeps its
+    Two documents are linked if the Jaccard similarity of their sets of shingles is at
+    least ``similarity`` (then ``fp`` is a hash of the set) or, if ``distance`` is given,
+    if their SimHash fingerprints differ in so many bits or fewer; ``component_id`` is the
+    smallest id that can be reached over links. Null and empty texts have the same ``fp``
+    (as SimHash 0) and are linked. A row with a null id keeps its
     row and joins its component, but null is no component's id unless all its ids are
     null. Repeated rows each give a row. Other columns are not read.
     """
-    marked = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words, seed).alias("fp")), "fps")
-    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(least.select("fp"), distance, segments))
+    if distance is None:
+        text = F.col(text_col).cast("string")
+        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, n int, found array<long>"
+        marked = materialize(rows.mapInArrow(_shingle_rows(words, seed, False), schema), "bands")
+        least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+        roots = connected_components(shingle_links(rows.select("hash", "text"), marked, words, seed, similarity))
+        marked = marked.select("id", "fp")
+    else:
+        marked = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words, seed).alias("fp")), "fps")
+        least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+        roots = connected_components(fingerprint_links(least.select("fp"), distance, segments))
     placed = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "roots")
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))

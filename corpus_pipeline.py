@@ -22,7 +22,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest doc_id."""
+    """One document of each component of near-copies (five-word shingles, Jaccard similarity
+    of 0.8 or more): that with the smallest doc_id."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -87,3 +87,33 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)} | {201: 200}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def slow_shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_by_similarity(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(40, 300)))]
+        texts.append(" ".join(words))
+        for edits in rng.integers(1, 9, 3):  # copies at 0.3 to 0.97
+            copy = list(words)
+            for k in rng.choice(len(words), edits, replace=False):
+                copy[k] = "new"
+            texts.append(" ".join(copy))
+    sets = [slow_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    alike = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    for _ in range(4):
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(alike) > 40
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(label)
+    far = simhash.near_duplicates(df, words=4, distance=4)  # 4 bits miss most of them
+    assert far.select("component_id").distinct().count() > len(set(label)) + 20
