@@ -20,9 +20,13 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""(class|id|role|data-y|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins_", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture"}
+#: Embedded content, formulas and drawings, whose text is part of the block around them.
+_INLINE |= {"audio", "canvas", "math", "object", "svg", "video"}
+_INLINE |= {"annotation", "annotation-xml", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics"}
+_INLINE |= {"animate", "circle", "clippath", "defs", "desc", "ellipse", "filter", "foreignobject", "g", "image", "line", "lineargradient", "marker", "mask", "metadata", "path", "pattern", "polygon", "polyline", "radialgradient", "rect", "stop", "symbol", "text", "textpath", "tspan", "use"}
 #: Start tags that end an open element of the first set, within the second.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SKIP = {"head"}
@@ -43,8 +47,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes of a page (the first is the root; parents precede children), and its
     blocks (node, text) in page order: text between the bounds of block elements.
 
-    Comments, declarations, scripts, styles and other elements without text of their own
-    are left out; inline elements are part of their block. Character references are
+    Comments, declarations, scripts, styles and the other elements of ``_RAW`` are left
+    out; inline elements, formulas and embedded content are part of their block. Character references are
     decoded, white space becomes one space, and empty blocks are dropped. Unclosed and
     stray tags are taken as browsers do in the common cases; any input is parsed.
     """

@@ -67,3 +67,11 @@ def test_odd_pages(spark, model):
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "x", "&amp", "<", ">", "<!--", "-->", "<script>", "</script>", '"', "<a href=", "</", "<article>"]
     for _ in range(500):
         html_tree.main_text("".join(rng.choices(bits, k=rng.randint(1, 30))), model)
+
+
+def test_formulas_and_embedded_content_keep_their_text():
+    texts = lambda page: [t for _, t in html_tree.parse(page)[1]]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>next") == ["so x=2 holds", "next"]
+    assert texts("<p>a <svg><title>no</title><style>no</style><text>chart</text></svg> b</p>") == ["a chart b"]
+    for tag in ("video", "audio", "object", "canvas", "math", "svg"):
+        assert texts(f"<div>a</div><{tag} class=x>fallback<p>the article</p><p>goes on</p>") == ["a", "fallback", "the article", "goes on"]
