@@ -136,7 +136,8 @@ def pca_projection(spark, sf_dir):
 def head_predictions(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     model = pooling.fit_head(e.where("vec_id % 5 <> 0"), "embedding", "label", epochs=20)
-    return pooling.score_head(e.where("vec_id % 5 = 0"), model, "embedding").select("vec_id", "label", "y_pred")
+    held_out = F.coalesce(F.col("vec_id") % 5 == 0, F.lit(True))
+    return pooling.score_head(e, model, "embedding").select("vec_id", "label", "y_pred", held_out.alias("held_out"))
 
 
 def _long(spark, sf_dir):
