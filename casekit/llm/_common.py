@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
@@ -20,6 +24,31 @@ def worker_cache(owner: object, make):
     return _CACHE[owner]
 
 
+def drop_worker_caches() -> None:
+    """Free what operators before have kept in this worker. Every function that runs in
+    workers and keeps nothing itself begins with it: workers are used again by later stages."""
+    _CACHE.clear()
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts in ``column`` have about ``most`` bytes, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand workers at most ``rows`` rows at a time in this session, as a row is a whole
+    document; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``sf_dir``, read by Spark alone (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

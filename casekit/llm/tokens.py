@@ -1,39 +1,48 @@
 """Token ids in directly addressable codes (DAC): any token can be read without its block.
 
-A segment holds the tokens of consecutive documents:
+A file is a run of segments, each followed by a line end. A segment holds the tokens of
+consecutive documents:
 
-    magic "CKDAC001" | uint32 documents, levels | uint64 tokens
+    magic "CKDAC002" | uint32 documents, levels | uint64 tokens
+    for each level: uint64 codes | uint64 place of its chunks in the segment
     int64 id of each document | uint8 1 if that id is not null | uint64 end of each document
-    for each level: uint8 bits | uint64 codes | chunks (one byte each)
-                    | continuation bitmap, 64-bit words | uint32 rank at each bitmap block
+    for each level: chunks (one byte each) | continuation bitmap, 64-bit words
+                    | uint32 rank at each bitmap block
 
-Level 0 has the lowest ``bits`` bits of each id. Bit i of a level's bitmap says that code i
+Level 0 has the lowest ``BITS`` bits of each id. Bit i of a level's bitmap says that code i
 goes on; the number of such bits before it, which the rank directory and the popcount of
 at most one block give, is its place in the next level. All numbers are little-endian.
+Nothing is compressed, so that a token is read by a few reads of known place and size.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import new_path, worker_cache
+from ._common import bound_batches, drop_worker_caches, materialize, new_path, pieces, worker_cache
 
-MAGIC = b"CKDAC001"
+MAGIC = b"CKDAC002"
 BITS = 8
 #: 64-bit bitmap words per entry of the rank directory.
 BLOCK_WORDS = 8
-#: Words whose ids a worker keeps.
-_CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps, and the longest first word of a text that it keeps.
+_CACHE_WORDS, _LONGEST = 600_000, 64
+#: Bytes of text that are encoded together.
+_TOGETHER = 3 << 20
+#: Segments of a file, about; a task begins another file then.
+_FILE_SEGMENTS = 8
 _SPECIAL = "<|"
-_MARKS = ".,;:!?#*%&$"
+_HEAD, _LEVEL = struct.Struct("<8sIIQ"), struct.Struct("<QQ")
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -52,75 +61,102 @@ def encode_levels(ids: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
             return out
 
 
-def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_segment(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of one segment."""
     levels = encode_levels(ids)
-    parts = [
-        MAGIC,
-        struct.pack("<IIQ", len(doc_ids), len(levels), len(ids)),
+    at = _HEAD.size + _LEVEL.size * len(levels) + 17 * len(doc_ids)
+    parts = [_HEAD.pack(MAGIC, len(doc_ids), len(levels), len(ids))]
+    for n, *sections in levels:
+        parts.append(_LEVEL.pack(n, at))
+        at += sum(map(len, sections))
+    parts += [
         np.array([d or 0 for d in doc_ids], np.int64).tobytes(),
         np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
         np.cumsum(np.array(lengths, np.uint64), dtype=np.uint64).tobytes(),
     ]
-    for n, chunks, bitmap, rank in levels:
-        parts += [struct.pack("<BQ", BITS, n), chunks, bitmap, rank]
+    for _, *sections in levels:
+        parts += sections
     return b"".join(parts)
 
 
 class Segment:
-    """Reads a segment; ``token(i)`` touches one byte and one bitmap block per level."""
-
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    """Reads the segment at ``at`` of ``source``: bytes, or a function (place, size) that
+    reads as many bytes there. ``token(i)`` asks for one byte, one bitmap block and one
+    rank of each level that the token reaches, whatever the segment's size."""
+
+    def __init__(self, source: bytes | memoryview | Callable[[int, int], bytes], at: int = 0):
+        self.read = source if callable(source) else lambda place, size: source[place : place + size]
+        self.at = at
+        head = bytes(self.read(at, _HEAD.size))
+        if head[:8] != MAGIC:
             raise ValueError("not a token segment")
-        docs, levels, self.n_tokens = struct.unpack_from("<IIQ", data, 8)
-        at = 24
+        _, self.n_docs, n, self.n_tokens = _HEAD.unpack(head)
+        self.levels = list(_LEVEL.iter_unpack(bytes(self.read(at + _HEAD.size, _LEVEL.size * n))))
+        last, place = self.levels[-1]
+        self.size = place + self._places(last)[2]
 
-        def take(kind, n):
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
+    @staticmethod
+    def _places(n: int) -> tuple[int, int, int]:
+        """Where, from its chunks on, a level of ``n`` codes has its bitmap, ranks and end."""
+        words = -(-n // 64)
+        return n, n + 8 * words, n + 8 * words + 4 * (-(-words // BLOCK_WORDS) + 1)
 
-        ids, has = take(np.int64, docs), take(np.uint8, docs)
-        self.doc_ids = [int(d) if h else None for d, h in zip(ids, has, strict=True)]
-        self.ends = take(np.uint64, docs)
-        self.levels = []
-        for _ in range(levels):
-            bits, n = struct.unpack_from("<BQ", data, at)
-            at += 9
-            words = -(-n // 64)
-            self.levels.append((bits, n, take(np.uint8, n), take(np.uint64, words), take(np.uint32, -(-words // BLOCK_WORDS) + 1)))
+    def _take(self, kind, place: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.read(self.at + place, n * np.dtype(kind).itemsize), kind)
 
     def token(self, i: int) -> int:
         """Token ``i`` of the segment, by access and rank alone."""
         if not 0 <= i < self.n_tokens:
             raise IndexError(i)
-        value = shift = 0
-        for bits, _, chunks, bitmap, rank in self.levels:
-            value |= int(chunks[i]) << shift
+        value = 0
+        for level, (n, place) in enumerate(self.levels):
+            bitmap, ranks, _ = self._places(n)
+            value |= int(self._take("u1", place + i, 1)[0]) << BITS * level
             word, bit = divmod(i, 64)
-            if not int(bitmap[word]) >> bit & 1:
-                return value
             block = word // BLOCK_WORDS
-            before = int(np.bitwise_count(bitmap[block * BLOCK_WORDS : word]).sum())
-            i = int(rank[block]) + before + (int(bitmap[word]) & (1 << bit) - 1).bit_count()
-            shift += bits
+            first = block * BLOCK_WORDS
+            words = self._take("<u8", place + bitmap + 8 * first, word + 1 - first)
+            if not int(words[-1]) >> bit & 1:
+                return value
+            rank = int(self._take("<u4", place + ranks + 4 * block, 1)[0])
+            i = rank + int(np.bitwise_count(words[:-1]).sum()) + (int(words[-1]) & (1 << bit) - 1).bit_count()
         raise ValueError("a code goes on after the last level")
 
     def tokens(self) -> np.ndarray:
         """All ids, as unsigned 32-bit integers."""
         above = np.zeros(0, np.uint32)
-        for bits, n, chunks, bitmap, _ in reversed(self.levels):
-            now = chunks.astype(np.uint32)
-            more = np.unpackbits(bitmap.view(np.uint8), bitorder="little", count=n).astype(bool)
-            now[more] |= above << np.uint32(bits)
+        for n, place in reversed(self.levels):
+            now = self._take("u1", place, n).astype(np.uint32)
+            bitmap = self._take("u1", place + n, 8 * -(-n // 64))
+            more = np.unpackbits(bitmap, bitorder="little", count=n).astype(bool)
+            now[more] |= above << np.uint32(BITS)
             above = now
         return above
 
+    @property
+    def doc_ids(self) -> list[int | None]:
+        place = _HEAD.size + _LEVEL.size * len(self.levels)
+        ids, has = self._take("<i8", place, self.n_docs), self._take("u1", place + 8 * self.n_docs, self.n_docs)
+        return [int(d) if h else None for d, h in zip(ids, has, strict=True)]
+
+    @property
+    def ends(self) -> np.ndarray:
+        """Where each document's tokens end in the segment."""
+        return self._take("<u8", _HEAD.size + _LEVEL.size * len(self.levels) + 9 * self.n_docs, self.n_docs)
+
     def document(self, k: int) -> np.ndarray:
         """The ids of the segment's document ``k``."""
-        return self.tokens()[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])]
+        ends = self.ends
+        return self.tokens()[int(ends[k - 1]) if k else 0 : int(ends[k])]
+
+
+def segments_of(content: bytes | memoryview) -> Iterator[Segment]:
+    """The segments of a file, in order."""
+    at = 0
+    while at < len(content):
+        found = Segment(content, at)
+        yield found
+        at += found.size + 1
 
 
 def default_vocabulary() -> str:
@@ -129,118 +165,198 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer, what it made of words, the bytes that each id stands for, and what
-    it made of first words and of marks."""
+# Encoding ---------------------------------------------------------------------------------
+
+#: The code of a word by which its text must be encoded whole.
+_WHOLE = -1
+
+
+class _Encoder:
+    """Encodes texts by the ids of their words, which it keeps in one array."""
 
-    def load() -> tuple:
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        sizes = np.zeros(tok.get_vocab_size(), np.int64)
-        for token, i in tok.get_vocab().items():
-            sizes[i] = len(token)  # one character for each byte
-        return tok, {}, sizes, {}
-
-    return worker_cache(("tokens", path), load)
-
-
-def _encode_words(words: list[str], tok, sizes: np.ndarray) -> list[bytes]:
-    """Of each word the ids of a space and the word, or of the word alone if it begins
-    with a line end: all are encoded as one text, and the bytes that its ids stand for say
-    where a word ends."""
-    text = (" " + " ".join(words)).replace(" \n", "\n")
-    ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-    ends = np.cumsum(sizes[ids])
-    data = np.frombuffer(text.encode(), np.uint8)
-    wanted = np.append(np.flatnonzero((data == 0x20) | (data == 0x0A))[1:], len(data))
-    at = np.searchsorted(ends, wanted)
-    if len(ends) != at[-1] + 1 or not np.array_equal(ends[at], wanted):
-        raise ValueError("the tokenizer joined what stands before and after a space")
-    raw, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-    return [raw[a:b] for a, b in pairwise(cuts)]
-
-
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
-    """Per text its ids and ``end_id``, as little-endian unsigned 32-bit integers.
-
-    The byte-level splitter never joins what stands before a single space or line end,
-    after which something else follows, to what stands after it. So a text is encoded in
-    words that begin there, and words seen before, up to a bound, are looked up. Nor does
-    it join marks to letters or digits before them, so these are encoded apart. Texts with
-    more white space in one place, or with special tokens, are encoded whole.
-    """
-    tok, known, sizes, firsts = _tokenizer(path)
-    end = struct.pack("<I", end_id)
-    plain = lambda some: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-    if len(firsts) > _CACHE_WORDS // 4:
-        firsts.clear()
-    split = [[] if not t or _SPECIAL in t else t.replace("\n", " \n").split(" ") for t in texts]
-    fresh: set[str] = set()
-    for words in split:
-        fresh.update(words[1:])
-    local = dict(zip(fresh, map(known.get, fresh), strict=True))
-    todo = [w for w, code in local.items() if code is None]
-    # Words that are known have no white space at their ends but a line end before them.
-    bad = {w for w in todo if not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())}
-    if bad:
-        split = [[] if not bad.isdisjoint(words[1:]) else words for words in split]
-        todo = [w for w in todo if w not in bad]
-    split = [[] if words and (not words[0] or words[0][-1].isspace()) and len(words) > 1 else words for words in split]
-    # Marks after a letter or digit are a piece of their own.
-    marked = [(w, stem) for w in todo if len(stem := w.rstrip(_MARKS)) < len(w) and stem and stem[-1].isalnum()]
-    need = dict.fromkeys(todo)
-    for w, _ in marked:
-        del need[w]
-    need.update((stem, None) for _, stem in marked if stem not in known)
-    todo = list(need)
-    codes: dict[str, bytes] = {}
-    for at in range(0, len(todo), 20_000):
-        some = todo[at : at + 20_000]
-        codes.update(zip(some, _encode_words(some, tok, sizes), strict=True))
-    tails = list({w[len(stem) :] for w, stem in marked}.difference(firsts))
-    firsts.update(zip(tails, plain(tails), strict=True))
-    local.update(codes)
-    codes.update([(w, (codes.get(stem) or known[stem]) + firsts[w[len(stem) :]]) for w, stem in marked])
-    local.update(codes)
-    if len(known) < _CACHE_WORDS:
-        known.update(codes)
-    begin = list({words[0] for words in split if words}.difference(firsts))
-    firsts.update(zip(begin, plain(begin), strict=True))
-    whole = [i for i, words in enumerate(split) if not words and texts[i]]
-    alone = {i: code for at in range(0, len(whole), 20) for i, code in zip(whole[at : at + 20], plain([texts[i] for i in whole[at : at + 20]]), strict=True)}
-    out = [firsts[words[0]] + b"".join(map(local.__getitem__, words[1:])) + end if words else alone.get(i, b"") + end for i, words in enumerate(split)]
-    return out
-
-
-_SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-
-
-def _writer(encode: Callable[[list[str | None]], list[bytes]], most: int):
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        before = made.get("pre_tokenizer") or {}
+        #: Whether words can be encoded by themselves.
+        self.splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        self.sizes = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab().items():
+            self.sizes[i] = len(token)  # one character for each byte
+        #: Known words; the code of each is its place among them and 2. Code 0 has no ids.
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.firsts: dict[str, np.ndarray] = {}
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids, encoded as it stands. Long texts are cut before a single space
+        between other characters, where the splitter always cuts."""
+        out: list[np.ndarray] = []
+        for text in texts:
+            parts, at = [], 0
+            if self.splits and _SPECIAL not in text:
+                while len(text) - at > 1 << 20:
+                    cut = next((m.start() + 1 for m in re.compile(r"\S \S").finditer(text, at + (1 << 19))), None)
+                    if cut is None:
+                        break
+                    parts.append(text[at:cut])
+                    at = cut
+            parts.append(text[at:])
+            found = [np.array(self.tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32) for x in parts]
+            out.append(np.concatenate(found))
+        return out
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and where each one's end: of a space and the word, or of the
+        word alone if it begins with a line end. All are encoded as one text, and the bytes
+        that its ids stand for say where a word ends."""
+        text = (" " + " ".join(words)).replace(" \n", "\n")
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(self.sizes[ids])
+        data = np.frombuffer(text.encode(), np.uint8)
+        wanted = np.append(np.flatnonzero((data == 0x20) | (data == 0x0A))[1:], len(data))
+        at = np.searchsorted(ends, wanted)
+        if len(ends) != at[-1] + 1 or not np.array_equal(ends[at], wanted):
+            raise ValueError("the tokenizer joined what stands before and after a space")
+        return ids, at + 1
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by ``end_id``; number of ids of each text).
+
+        The byte-level splitter never joins what stands before a single space or line end,
+        after which something else follows, to what stands after it. So a text is encoded
+        in words that begin there, each distinct word once, and words seen before, up to a
+        bound, are looked up. Texts with more white space in one place, with special
+        tokens, or for another kind of splitter, are encoded whole.
+        """
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.splits:
+            found = self.plain(texts.to_pylist())
+            end = np.array([end_id], np.uint32)
+            return np.concatenate([x for ids in found for x in (ids, end)]), np.array([len(x) + 1 for x in found], np.int64)
+        if len(self.firsts) > _CACHE_WORDS // 8:
+            self.firsts.clear()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        off = lists.offsets.to_numpy()
+        off = off - off[0]
+        words = lists.flatten().dictionary_encode()
+        distinct, indices = words.dictionary, words.indices.to_numpy()
+        # Ids that only these texts need stand behind those that are kept.
+        ids, ends = [self.ids, np.array([end_id], np.uint32)], [self.ends, np.array([len(self.ids) + 1])]
+        size, made = len(self.ids) + 1, len(self.ends) + 1
+
+        def add(new: np.ndarray, new_ends: np.ndarray) -> np.ndarray:
+            """The codes of new words, given their ids and where each one's end."""
+            nonlocal size, made
+            ids.append(new)
+            ends.append(new_ends + size)
+            size, made = size + len(new), made + len(new_ends)
+            return np.arange(made - len(new_ends), made)
+
+        of = pc.index_in(distinct, self.known)
+        fresh = of.is_null().to_numpy(zero_copy_only=False)
+        of = pc.fill_null(of, 0).to_numpy().astype(np.int64) + 2
+        of[fresh] = _WHOLE
+        fresh = np.flatnonzero(fresh)
+        new = distinct.take(pa.array(fresh))
+        fresh, alone = fresh[(ok := self._alone(new))], new.filter(pa.array(ok))
+        for at in range(0, len(fresh), 20_000):
+            of[fresh[at : at + 20_000]] = add(*self._words(alone.slice(at, 20_000).to_pylist()))
+        code = of[indices]
+        # First words stand without a space before them.
+        starts = off[:-1]
+        first = distinct.take(pa.array(indices[starts])).to_pylist()
+        good = [one or bool(w) and not w[-1].isspace() for w, one in zip(first, (np.diff(off) == 1).tolist(), strict=True)]
+        good &= ~pc.match_substring(texts, _SPECIAL).to_numpy(zero_copy_only=False)
+        local: dict[str, int] = {}
+        for w, ok in zip(first, good.tolist(), strict=True):
+            if ok and w not in local:
+                one = self.firsts.get(w)
+                one = self.plain([w])[0] if one is None else one
+                if len(w) <= _LONGEST:
+                    self.firsts[w] = one
+                local[w] = int(add(one, np.array([len(one)]))[0])
+        code[starts] = [local[w] if ok else _WHOLE for w, ok in zip(first, good.tolist(), strict=True)]
+        whole = np.logical_or.reduceat(code == _WHOLE, starts)
+        code[np.repeat(whole, np.diff(off))] = 0
+        closing = np.full(len(texts), len(self.ends))
+        for i in np.flatnonzero(whole).tolist():
+            one = np.append(self.plain([texts[i].as_py()])[0], np.uint32(end_id))
+            closing[i] = add(one, np.array([len(one)]))[0]
+        code = np.insert(code, off[1:], closing)
+        ids, ends = np.concatenate(ids), np.concatenate(ends)
+        n = np.diff(ends, prepend=0)[code]
+        to = np.cumsum(n)
+        kind = np.int32 if max(int(to[-1]), len(ids)) < 1 << 31 else np.int64
+        place = np.repeat((ends[code] - to).astype(kind), n)
+        place += np.arange(int(to[-1]), dtype=kind)
+        out = ids[place]
+        room = _CACHE_WORDS - len(self.known)
+        if room > 0 and len(fresh) and alone.nbytes < 64 << 20:
+            keep = min(room, len(fresh))
+            last, begin = int(of[fresh[keep - 1]]), int(of[fresh[0]])
+            low = int(ends[begin - 1])
+            self.ends = np.concatenate([self.ends, ends[begin : last + 1] - low + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids[low : int(ends[last])]])
+            self.known = pa.concat_arrays([self.known, alone.slice(0, keep)])
+        return out, np.add.reduceat(n, off[:-1] + np.arange(len(texts)))
+
+    @staticmethod
+    def _alone(words: pa.Array) -> np.ndarray:
+        """Which words can be encoded by themselves: without white space at their ends, but
+        for a line end before them."""
+        cut = lambda a, b: pc.utf8_is_space(pc.utf8_slice_codeunits(words, a, b)).to_numpy(zero_copy_only=False)
+        some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        return some & ~cut(-1, None) & np.where(line, ~cut(1, 2), ~cut(0, 1))
+
+
+def _encoder(path: str) -> _Encoder:
+    return worker_cache(("tokens", path), lambda: _Encoder(path))
+
+
+def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
+    """Per text its ids and ``end_id``."""
+    ids, sizes = _encoder(path).encode(pa.array(texts, pa.large_string()), end_id)
+    return np.split(ids, np.cumsum(sizes)[:-1])
+
+
+# Files ------------------------------------------------------------------------------------
+
+
+def _writer(vocabulary: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        encoder = _encoder(vocabulary)
         ids: list[int | None] = []
-        codes: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
         size = 0
 
-        def flush():
-            nonlocal ids, codes, size, seq, before
-            data = encode_segment(ids, [len(c) // 4 for c in codes], np.frombuffer(b"".join(codes), "<u4"))
-            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, before, len(ids), size, data), _SEGMENT.types, strict=True)], schema=_SEGMENT)
-            ids, codes, before, size, seq = [], [], before + size, 0, seq + 1
-            return out
+        def flush() -> pa.RecordBatch:
+            nonlocal ids, lengths, codes, size
+            data = encode_segment(ids, np.concatenate(lengths), np.concatenate(codes))
+            ids, lengths, codes, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()).view(pa.string())], names=["value"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for doc, code in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(doc)
-                    codes.append(code)
-                    size += len(code) // 4
+            for some in pieces(batch, 1, _TOGETHER):
+                found, sizes = encoder.encode(some.column(1), end_id)
+                names, to, at = some.column(0).to_pylist(), np.cumsum(sizes), 0
+                while at < len(names):
+                    begin = int(to[at - 1]) if at else 0
+                    last = min(len(names), int(np.searchsorted(to, begin + most - size)) + 1)
+                    ids += names[at:last]
+                    lengths.append(sizes[at:last])
+                    codes.append(found[begin : int(to[last - 1])])
+                    size += len(codes[-1])
+                    at = last
                     if size >= most:
                         yield flush()
         if ids:
@@ -258,65 +374,97 @@ def write_tokens(
     end_id: int = 2,
     segment_tokens: int = 1 << 20,
 ) -> None:
-    """Encode whole texts and write their ids to ``path`` in ascending id order.
+    """Encode whole texts and write their ids to files in ``path``, in ascending id order.
 
     The texts are dealt out by ranges of id once, and encoded where they arrive; each
-    task writes segments of about ``segment_tokens`` tokens (never cutting a document) as
-    rows of Parquet files, whose commit keeps a lost task's remains out. Ids are integers;
-    null ids come first; rows with the same id are ordered by a hash of the text. Null and
-    empty texts have the end id only. Other columns are not read; an empty table gives
-    files without segments.
+    task writes segments of about ``segment_tokens`` tokens (never cutting a document) to
+    files of about 8 segments, through the engine's commit protocol, which keeps a lost
+    task's remains out. Ids are integers (others must be cast before; a value that is no
+    integer fails); null ids come first; rows with the same id are ordered by a hash of the
+    text. Null and empty texts have the end id only. Any vocabulary of the tokenizers
+    library will do; with one that is not byte-level, texts are encoded whole. Other
+    columns are not read; an empty table gives files without segments.
     """
     vocabulary = vocabulary or default_vocabulary()
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    encode = lambda texts: encode_texts(texts, vocabulary, end_id)
-    made = rows.mapInArrow(_writer(encode, segment_tokens), "part int, seq int, before long, n_docs long, n_tokens long, data binary")
-    made.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    made = rows.mapInArrow(_writer(vocabulary, end_id, segment_tokens), "value string")
+    made.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", _FILE_SEGMENTS).text(path)
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(part, seq, before, n_docs, n_tokens, data) of each segment; their order is (part,
-    seq), and ``before`` counts the tokens of the part before it."""
-    return spark.read.parquet(path)
+_ENTRY = "file string, segment long, k int, doc_id long, first long, begin long, n_tokens long, ids_crc32 long"
 
 
-def _reader(starts: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, before, data in zip(*[batch.column(k).to_pylist() for k in ("part", "before", "data")], strict=True):
-                seg = Segment(data)
-                ids = seg.tokens().astype("<u4")
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Directory rows of whole files (path, content)."""
+    drop_worker_caches()
+    for batch in batches:
+        for row in range(batch.num_rows):
+            name, before = batch.column(0)[row].as_py(), 0
+            content = memoryview(batch.column(1)[row].as_buffer())
+            for seg in segments_of(content):
+                raw = memoryview(seg.tokens().astype("<u4").tobytes())
                 ends = seg.ends.astype(np.int64)
                 begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-                raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                n = seg.n_docs
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seg.doc_ids, pa.int64()), pa.array(begins + before + starts[part]), pa.array(ends - begins), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                    [
+                        pa.array([name] * n, pa.string()), pa.array(np.full(n, seg.at)), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.doc_ids, pa.int64()),
+                        pa.array(begins + before), pa.array(begins), pa.array(ends - begins), pa.array(crc, pa.int64()),
+                    ],
+                    names=[x.split()[0] for x in _ENTRY.split(", ")],
+                )
+                before += seg.n_tokens
 
-    return run
+
+def _file_order(path: str) -> tuple[int, int]:
+    found = re.search(r"part-(\d+)-[^/]*?(?:-c(\d+))?(?:\.[a-z]+)*$", path)
+    return int(found[1]), int(found[2] or 0)
 
 
 def token_directory(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32.
+    """Per document of the files at ``path``, read back from them: doc_id, start (ids of all
+    documents before it), n_tokens, ids_crc32, and where it is: file, segment (its place in
+    the file), k (its number in the segment), begin (its first token in the segment).
 
-    Only sums per part come to the driver: one number for each task that wrote.
+    Only sums per file come to the driver: two numbers for each.
     """
-    sums = sorted((r[0], r[1]) for r in read_segments(spark, path).groupBy("part").agg(F.sum("n_tokens")).collect())
-    starts, at = {}, 0
-    for part, n in sums:
-        starts[part] = at
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = materialize(files.mapInArrow(_entries, _ENTRY), "directory")
+    sums = sorted(((r[0], r[1]) for r in rows.groupBy("file").agg(F.sum("n_tokens")).collect()), key=lambda r: _file_order(r[0]))
+    before, at = [], 0
+    for name, n in sums:
+        before.append((name, at))
         at += n
-    rows = read_segments(spark, path).select("part", "before", "data")
-    return rows.mapInArrow(_reader(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = spark.createDataFrame(before, "file string, before long")
+    out = rows.join(F.broadcast(starts), "file")
+    return out.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "segment", "k", "begin")
+
+
+def read_token(spark: SparkSession, file: str, segment: int, i: int) -> int:
+    """Token ``i`` of the segment at place ``segment`` of ``file``, read by seeking: well
+    under 1 KB of any file that Spark can open. With a row of ``token_directory``, a
+    document's token t is ``read_token(spark, file, segment, begin + t)``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+
+    def read(place: int, size: int) -> bytes:
+        stream.seek(place)
+        return bytes(stream.readNBytes(size))
+
+    try:
+        return Segment(read, segment).token(i)
+    finally:
+        stream.close()
 
 
 def encode_to_directory(docs: DataFrame, **how) -> DataFrame:
-    """``write_tokens`` to a new path of the shared folder, and ``token_directory`` of it."""
+    """``write_tokens`` to a new path of the shared folder; doc_id, start, n_tokens and
+    ids_crc32 of its ``token_directory``."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, **how)
-    return token_directory(docs.sparkSession, path)
+    return token_directory(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -24,7 +24,7 @@ def test_pieces_give_the_ids_of_whole_texts(plain):
     for at in range(0, len(texts), 97):
         some = texts[at : at + 97]
         for text, code in zip(some, tokens.encode_texts(some, tokens.default_vocabulary(), 2)):
-            assert np.frombuffer(code, "<u4").tolist() == expected(plain, text), text
+            assert code.tolist() == expected(plain, text), text
 
 
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(3000))])
@@ -57,12 +57,52 @@ def test_files_round_trip(spark, plain, tmp_path):
         at += r.n_tokens
         crcs = [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in by_id[r.doc_id]]
         assert (r.n_tokens, r.ids_crc32) in crcs
-    segments = tokens.read_segments(spark, path).collect()
-    assert sum(s.n_docs for s in segments) == len(rows) and len(segments) > 4
-    for s in segments:
-        seg = tokens.Segment(s.data)
-        every = seg.tokens().tolist()
-        assert [seg.token(i) for i in range(0, len(every), 37)] == every[::37]
+    places = {(r.file, r.segment) for r in got}
+    assert len(places) > 4
+    for r in got:
+        with open(r.file.removeprefix("file:"), "rb") as f:
+            data = f.read()
+        asked = []
+        seg = tokens.Segment(lambda at, n, data=data, asked=asked: asked.append(n) or data[at : at + n], r.segment)
+        ids = seg.document(r.k).tolist()
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+        asked.clear()
+        for t in range(0, r.n_tokens, 37):
+            assert seg.token(r.begin + t) == ids[t]
+            assert sum(asked) <= 4 * (1 + 8 * tokens.BLOCK_WORDS + 4)  # whatever the size
+            asked.clear()
+    row = got[-1]
+    last = tokens.read_token(spark, row.file, row.segment, row.begin + row.n_tokens - 1)
+    assert last == 2
+
+
+def test_files_roll_and_keep_their_order(spark, plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "_FILE_SEGMENTS", 2)
+    df = spark.createDataFrame([(i, "some words here") for i in range(200)], "doc_id long, text string")
+    tokens.write_tokens(df, str(tmp_path / "ids"), segment_tokens=10)
+    got = sorted(tokens.token_directory(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == list(range(200)) and [r.start for r in got] == [4 * i for i in range(200)]
+
+
+def test_another_vocabulary_encodes_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, texts = Tokenizer.from_file(path), ["Two  Words\nhere", None, "", "a b c " * 50]
+    got = [x.tolist() for x in tokens.encode_texts(texts, path, 7)]
+    assert got == [[*other.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_words_beyond_the_cache_and_long_texts(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHE_WORDS", 50)
+    encoder = tokens._Encoder(tokens.default_vocabulary())
+    rng = random.Random(5)
+    long = "".join(rng.choice("ab ,.é") for _ in range(1_200_000)).replace("  ", " x ")
+    for at in range(5):
+        texts = [f"First{at} " + " ".join(f"w{rng.randint(0, 99)}," for _ in range(40)) for _ in range(20)] + ["word  " + long] * (at == 4)
+        ids, sizes = encoder.encode(__import__("pyarrow").array(texts), 2)
+        assert ids.tolist() == [i for t in texts for i in expected(plain, t)] and sizes.sum() == len(ids)
+    assert len(encoder.known) == 50
 
 
 def test_empty_table(spark):
