@@ -8,14 +8,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import free_name, materialize
+from casekit.operators.curate import global_rank
+
+from ._common import bound_batches, discard, drop_worker_caches, free_name, materialize
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-#: Open units of a source that the landing settles by trying all ways to round them.
+#: Open units of a source with which the landing begins.
 LANDING = 12
 #: Documents of a source, about, that fly last, to make good what large ones add.
 RESERVE = 200
+#: Share of a source's expected total (or twice the median size, if that is more) by which the
+#: draw of a document that others cannot make good may miss the total; beyond that the total
+#: comes first.
+SLACK = 0.01
 _EPS = 1e-9
 
 
@@ -30,24 +36,24 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     Sources by code point, null last, take ``weights`` in turn and share the total size in
     proportion; a target stops at ``cap`` times its source's size and the excess goes to
     the others by weight: target = min(cap * size, level * weight), where the level is
-    fixed by the total. One row per source is ranked and summed in one task; documents
-    never are.
+    fixed by the total. Sources are ranked by ranges of their order. The level is found
+    by aggregates over the sources: those above their stop at the level so far are taken
+    out, which raises it, until none is.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("weight", F.element_at(turn, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    filled = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    level = rest / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level)
-    per = per.withColumn("open", F.col("level") * F.col("weight") <= F.col("most"))
-    final = F.min(F.when(F.col("open"), F.struct(F.col("most") / F.col("weight"), F.col("level").alias("level")))).over(whole)
-    target = F.when(final.isNull(), F.col("most")).otherwise(F.least("most", final["level"] * F.col("weight")))
-    return per.withColumn("target", target).select("source", "source_size", "n_docs", "target")
+    per = global_rank(per, [F.col("source").asc_nulls_last()])
+    per = per.withColumn("weight", F.element_at(turn, ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))).drop("_rank")
+    per = materialize(per.withColumn("most", F.col("source_size") * F.lit(float(cap))), "sources")
+    total, level, n_over = per.agg(F.sum("source_size")).first()[0] or 0, -1.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > F.col("most")
+        stopped, open_weight, n = per.agg(F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if n == n_over or not open_weight:
+            break
+        level, n_over = (total - cap * (stopped or 0)) / open_weight, n
+    target = F.when(over, F.col("most")).otherwise(F.least("most", F.lit(level) * F.col("weight")))
+    return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, stop: int = 2) -> np.ndarray:
@@ -90,54 +96,65 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, stop:
         open_ = left
 
 
-def landing(share: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
-    """Settle the few open units (at most ``LANDING``): of all ways to round them, that
-    whose total size, decided units included, is nearest to ``want``; then the nearest to
-    the expected number; then the first."""
-    out = share.astype(float).copy()
-    open_ = (out > _EPS) & (out < 1 - _EPS)
-    left = np.flatnonzero(open_)
-    if not len(left):
-        return out
-    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
-    off = np.abs(ways @ size[left] - (want - out[~open_] @ size[~open_]))
-    many = np.abs(ways.sum(1) - out[left].sum())
-    out[left] = ways[np.lexsort((many, off))[0]]
-    return out
+def _draw(x: np.ndarray, size: np.ndarray, i: int, want: float, slack: float, rng: np.random.Generator) -> None:
+    """Settle unit ``i`` of ``x``: a step along the null vector of the total size that moves
+    it against all other open units, each as far as it can make good. Drawn up or down so
+    that every share keeps its expectation. Where the others cannot make it good: by its
+    share, too, if the total then stays within ``slack`` of ``want`` either way; else to
+    its nearer side, and what the others can they still make good."""
+    others = np.flatnonzero((x > _EPS) & (x < 1 - _EPS))
+    others = others[others != i]
+    p, error = float(x[i]), float(x @ size) - want
+    room = np.minimum(x[others] / (1 - p), (1 - x[others]) / p)
+    able = float(room @ size[others])
+    x[i] = float(rng.random() < p)
+    up, down = abs(error + (1 - p) * size[i]), abs(error - p * size[i])
+    if able >= size[i] > 0:
+        x[others] -= room * ((x[i] - p) * size[i] / able)
+    elif max(up, down) > slack:
+        x[i] = float(up < down)
+        error += (x[i] - p) * size[i]
+        far = 1 - x[others] if error < 0 else -x[others]
+        x[others] += far * min(1.0, abs(error) / max(_EPS, abs(float(far @ size[others]))))
+    x[others] = np.clip(x[others], 0.0, 1.0)
+    x[x <= _EPS] = 0.0
+    x[x >= 1 - _EPS] = 1.0
 
 
 def settle(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The last flight and the landing of a source.
 
     A unit far larger than the others would stay open to the end and land by itself. So
-    units over four times the median size are drawn first, largest first; what a draw
-    adds to the total or takes from it the smaller open units make good by their shares,
-    which then fly and land. Where they cannot, the draw goes to the smaller error.
+    units over four times the median size are drawn first, largest first, against all
+    others. The rest fly on both constraints until ``LANDING`` or fewer are open. Then the
+    constraints are relaxed one by one: the number is given up, and the open units are
+    drawn against the smaller ones, largest first, which keeps the total size; the last
+    has nothing to be held against. Shares keep their expectations throughout, but for a
+    unit that would move the total by more than ``SLACK`` says and that all others together
+    cannot make good: there the total comes first, as it does in sources with ``LANDING`` or
+    fewer open documents, which have no room for both.
     """
     out = share.astype(float).copy()
+    if not len(out):
+        return out
     want = float(out @ size)
-    open_ = np.flatnonzero((out > _EPS) & (out < 1 - _EPS))
-    if len(open_) > LANDING:
-        edge = 4 * float(np.median(size[open_]))
-        large = sorted(open_[size[open_] > edge].tolist(), key=lambda i: (-size[i], i))
-        small = open_[size[open_] <= edge]
-        up, down = float((1 - out[small]) @ size[small]), float(out[small] @ size[small])
-        error = 0.0
-        for i in large:
-            without, within = error - out[i] * size[i], error + (1 - out[i]) * size[i]
-            free = -without <= up / 2 and within <= down / 2
-            take = rng.random() < out[i] if free else abs(within) < abs(without)
-            error = within if take else without
-            out[i] = float(take)
-        if error > 0 and down > 0:
-            out[small] *= 1 - min(1.0, error / down)
-        elif error < 0 and up > 0:
-            out[small] += (1 - out[small]) * min(1.0, -error / up)
-    return landing(flight(out, size, rng, LANDING), size, want)
+    find = lambda: np.flatnonzero((out > _EPS) & (out < 1 - _EPS))
+    first = find()
+    slack = max(SLACK * want, 2 * float(np.median(size))) if len(first) > LANDING else 0.0
+    if len(first) > LANDING:
+        for i in sorted(first[size[first] > 4 * float(np.median(size[first]))].tolist(), key=lambda i: (-size[i], i)):
+            if _EPS < out[i] < 1 - _EPS:
+                _draw(out, size, i, want, slack, rng)
+        out = flight(out, size, rng, LANDING)
+    for i in sorted(find().tolist(), key=lambda i: (-size[i], i)):
+        if _EPS < out[i] < 1 - _EPS:
+            _draw(out, size, i, want, slack, rng)
+    return out
 
 
 def _block_flight(seed: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        drop_worker_caches()
         rows = rows.sort_values(["order", "size"], kind="stable").reset_index(drop=True)
         mark = hashlib.blake2b(repr((seed, str(key[0]), int(key[1]))).encode(), digest_size=8).digest()
         rng = np.random.default_rng(int.from_bytes(mark, "little"))
@@ -170,10 +187,14 @@ def mix_sources(
     size times copies. The flight runs in blocks of about ``block`` documents of a source
     (a source with most of the rows has most of the blocks), each of which leaves two
     open units or fewer; these meet in new blocks until a source has one. There a reserve
-    of about ``RESERVE`` documents joins them, and the last dozen land at the nearest total. Draws are seeded by source and block and
+    of about ``RESERVE`` documents joins them (where one block holds every source, all its
+    documents are there already), and they are settled: the total comes near its target,
+    each document keeps its share, but for one that is too large for both; see ``settle``.
+    The number of documents is balanced by the flights alone. Draws are seeded by source and block and
     documents ordered by a hash of id and size, so that reruns agree. Null texts have size
     0, null is a source of its own, repeated rows count each, ids may be null.
     """
+    bound_batches(docs.sparkSession)
     size = word_count(F.col(text_col)) if size is None else size
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"))
     rows = materialize(rows.withColumn("order", F.xxhash64(F.col("id").cast("string"), "source", F.lit(seed))), "sizes")

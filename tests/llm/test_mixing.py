@@ -64,6 +64,43 @@ def test_each_share_keeps_its_expectation():
     assert np.abs(runs - 0.5).max() < 0.05
 
 
+def settled(share, size, runs=2000):
+    every = np.stack([mixing.settle(share, size, np.random.default_rng(s)) for s in range(runs)])
+    assert set(np.unique(every)) <= {0.0, 1.0}
+    return every
+
+
+def test_settling_keeps_shares_and_totals():
+    rng = np.random.default_rng(1)
+    for sizes in (rng.lognormal(3, 1, 200), rng.lognormal(3, 1.5, 200), np.array([40.0, 60, 120] + [5.0] * 17), np.array([5000.0] + [50.0] * 199), rng.integers(1, 30, 40).astype(float)):
+        share = rng.uniform(0.1, 0.9, len(sizes)) if len(sizes) == 40 else np.full(len(sizes), 0.4)
+        runs = settled(share, sizes)
+        assert np.abs(runs.mean(0) - share).max() < 0.05
+        off = np.abs(runs @ sizes - share @ sizes)
+        assert off.max() <= max(0.02 * (share @ sizes), 3 * np.median(sizes))
+
+
+def test_a_document_that_outweighs_the_others_yields_to_the_total():
+    sizes, share = np.array([100_000.0] + [10.0] * 99), np.full(100, 0.4)
+    runs = settled(share, sizes, 50)
+    assert (runs[:, 0] == 0).all() and (runs[:, 1:] == 1).all()  # 990 is as near to 40396 as it gets
+    assert settled(np.zeros(0), np.zeros(0), 1).shape == (1, 0)
+
+
+def test_shares_hold_over_blocks(spark):
+    sizes = np.random.default_rng(2).lognormal(3, 1, 60).astype(int) + 1
+    rows = [(i, f"s{k:04d}", int(n)) for k in range(900) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    for block in (20, 100):  # levels with a reserve, and one block
+        out = mixing.mix_sources(df, size=F.col("n"), block=block).withColumn("ratio", F.col("target") / F.col("source_size"))
+        means = out.groupBy("ratio", "doc_id").agg(F.avg("copies").alias("mean"), F.count("*").alias("n")).collect()
+        assert {r.n for r in means} == {300}
+        off = np.array([r.mean - r.ratio for r in means])
+        assert np.abs(off).max() < 0.11 and np.abs(off).mean() < 0.03  # 300 draws: 0.029 by chance
+        for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+            assert abs(r.t - r.g) <= 0.05 * r.g
+
+
 def test_mix(spark):
     for block in (40, 1000):  # several levels of blocks, and one
         rows = docs(3, 1500)
