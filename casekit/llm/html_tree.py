@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import html_pages as pages
+from ._common import bound_batches, drop_worker_caches, free_name
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -21,6 +22,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""(class|id|role|data-y|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
+_CLOSING = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for tag in _RAW}
+#: Those that run to the page's end where they are not closed; of the others only the tag goes.
+_TO_THE_END = {"script", "style"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins_", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture"}
 #: Embedded content, formulas and drawings, whose text is part of the block around them.
@@ -57,7 +61,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack, bits = [0], []
     links = text_links = 0
     at, end = 0, len(source)
-    search, lower = _TOKEN.search, None
+    search = _TOKEN.search
 
     def close_block() -> None:
         nonlocal bits, text_links
@@ -98,19 +102,16 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in _RAW or tag in _SKIP:
             if not m["end"] and not m["attr"].endswith("/"):
-                if lower is None:
-                    lower = source.lower()
-                to = lower.find(f"</{tag}", at)
                 if tag in _SKIP:
                     body = re.compile(r"</head|<body", re.I).search(source, _after_raw(source, at))
                     to = body.start() if body else at
                     at = to
                     continue
-                if to < 0:
-                    at = at if tag == "title" else end
-                    continue
-                stop = source.find(">", to)
-                at = end if stop < 0 else stop + 1
+                closing = _CLOSING[tag].search(source, at)
+                if closing:
+                    at = closing.end()
+                elif tag in _TO_THE_END:
+                    at = end
             continue
         close_block()
         if m["end"]:
@@ -308,12 +309,16 @@ def text_column(source: Column | str, model: TreeModel) -> Column:
 
     @pandas_udf("string")
     def extract(rows: pd.Series) -> pd.Series:
+        drop_worker_caches()
         return pd.Series([main_text(x, model) for x in rows], dtype="object")
 
     return extract(source)
 
 
 def extract_text(docs: DataFrame, model: TreeModel, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``docs`` with the main text of each whole page in ``out_col``; rows stay as they
-    are. Null and empty pages, and pages without content, give an empty text."""
-    return docs.withColumn(out_col, text_column(F.col(html_col), model))
+    """``docs`` with the main text of each whole page in ``out_col``, which gets underscores
+    at its end where ``docs`` has such a column; rows and columns stay as they are. Null and
+    empty pages, and pages without content, give an empty text."""
+    bound_batches(docs.sparkSession)
+    (name,) = free_name(docs, out_col)
+    return docs.withColumn(name, text_column(F.col(html_col), model))

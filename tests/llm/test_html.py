@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 from itertools import product
 
 import numpy as np
@@ -60,7 +61,9 @@ def test_a_page(model):
 def test_odd_pages(spark, model):
     rows = [None, "", "plain text only", "<article><p>cut <b>of", "<p" * 3000, "<article>" + "<div>" * 3000 + "deep", '<article><p title="a > b">x</p><p title="un>y</p></article>', "<article><p>" + "long " * 50000 + "</p></article>", "</p></div><script>never ended"]
     df = spark.createDataFrame([(h, i, "old") for i, h in enumerate(rows)], "html string, page_id int, text string")
-    got = {r.page_id: r.text for r in html_tree.extract_text(df, model).collect()}
+    out = html_tree.extract_text(df, model)
+    assert out.columns == ["html", "page_id", "text", "text_"] and out.where("text <> 'old'").isEmpty()
+    got = {r.page_id: r.text_ for r in out.collect()}
     assert len(got) == len(rows) and got[0] == got[1] == got[4] == got[8] == ""
     assert got[3] == "cut of" and got[7] == ("long " * 50000).strip() and got[6].startswith("x")
     rng = random.Random(1)
@@ -75,3 +78,70 @@ def test_formulas_and_embedded_content_keep_their_text():
     assert texts("<p>a <svg><title>no</title><style>no</style><text>chart</text></svg> b</p>") == ["a chart b"]
     for tag in ("video", "audio", "object", "canvas", "math", "svg"):
         assert texts(f"<div>a</div><{tag} class=x>fallback<p>the article</p><p>goes on</p>") == ["a", "fallback", "the article", "goes on"]
+
+
+def test_raw_elements_end_where_they_end():
+    texts = lambda page: [t for _, t in html_tree.parse(page)[1]]
+    assert texts("<p>" + "İ" * 60 + "</p><script>var x = '<p>';</SCRIPT ><p>one</p><p>two</p>") == ["İ" * 60, "one", "two"]
+    for tag in ("textarea", "iframe", "noscript", "template", "title"):
+        assert texts(f"<p>a</p><{tag}><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><script>x </scripts> <p>b</p></script><p>c</p>") == ["a", "c"]
+
+
+class Slow(HTMLParser):
+    """Blocks of a page by the library's parser: text between the bounds of block elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.bits, self.skip = [], [], 0
+
+    def close_block(self):
+        text = " ".join("".join(self.bits).split())
+        self.out += [text] if text else []
+        self.bits = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skip += 1
+        elif tag == "br":
+            self.bits.append(" ")
+        elif tag not in html_tree._INLINE:
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip = 0
+        elif tag not in html_tree._INLINE and tag != "br":
+            self.close_block()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.bits.append(data)
+
+
+def test_parsing_against_the_librarys_parser():
+    rng = random.Random(3)
+    tags = ["p", "div", "b", "i", "ul", "li", "span", "article", "h2", "blockquote", "td", "em", "a"]
+
+    def make(depth):
+        kind = rng.random()
+        if depth > 5 or kind < 0.3:
+            return rng.choice(["word ", "é &amp; &lt;x&gt; ", "İstanbul", "\n\t", "a&nbsp;b", "1 < 2", "<br>", "<!-- no <p> -->", "<script>var a = '<p>no</p>';</script>", "<STYLE>p{}</STYLE>"])
+        inner = "".join(make(depth + 1) for _ in range(rng.randint(0, 4)))
+        tag = rng.choice(tags)
+        return f'<{tag.upper() if rng.random() < 0.2 else tag} class="x > y" id=z>{inner}</{tag}>'
+
+    for _ in range(400):
+        page = "".join(make(0) for _ in range(4))
+        slow = Slow()
+        slow.feed(page)
+        slow.close()
+        slow.close_block()
+        assert [t for _, t in html_tree.parse(page)[1]] == slow.out, page
+
+
+def test_repeated_rows_and_empty_tables(spark, model):
+    df = spark.createDataFrame([(1, PAGE), (1, PAGE)], "page_id int, html string")
+    rows = [r.text for r in html_tree.extract_text(df, model).collect()]
+    assert len(rows) == 2 and rows[0] == rows[1] != ""
+    assert html_tree.extract_text(df.limit(0), model).count() == 0
