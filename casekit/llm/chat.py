@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that must not occur in a role or text as they are: the template's marks, and
@@ -32,7 +32,9 @@ def unescape(text: Column) -> Column:
 
 def turn_tokens(text: Column) -> Column:
     """Estimate of a turn's tokens: runs of ASCII word characters and each other
-    character that is not ASCII white space, and the marks."""
+    character that is not ASCII white space, and the marks. At least ``MARKS``. The budget is
+    one of this estimate: a tokenizer can't be run by DataFrame functions; where its tokens
+    are what counts, pass a budget that is smaller by its tokens per unit of the estimate."""
     return (F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]")) + MARKS).cast("long")
 
 
@@ -48,46 +50,59 @@ def format_conversations(
     """Windows of conversations: (id, window, n_turns, n_repeated, text, loss).
 
     A conversation's turns in the order of ``turn`` (ties: role, text; nulls first) have
-    prefix sums of their tokens; a turn belongs to the window that its sum before it falls
-    in, counted in steps of half of what the budget leaves beside the system turn and
-    history. So a window ends at a turn and keeps the budget if no turn is longer than a
-    step; longer turns are never cut. A leading system turn opens every window. Between it
-    and the new turns stand the turns before them that fit in ``history`` tokens. ``loss``
-    has struct(start, length) in code points of the texts of assistant turns that are new
-    in their window: repeated turns are masked, so each is a target once. The first
-    ``n_repeated`` turns of a window repeat others. Null texts and roles are empty; a null
-    id is a conversation of its own; repeated rows are turns of their own; other columns
-    are not read. Conversations have no gap windows: numbers may be skipped.
+    prefix sums of their tokens (``turn_tokens``, an estimate), by which spans are packed: a
+    leading system turn opens every window; a window's new turns go on until the next one
+    would pass what the budget leaves beside the system turn and the room for history, and
+    that next turn begins the next window. Between the system turn and the new turns stand
+    the turns before them that fit in the room for history: ``history`` tokens or, before
+    a long turn, what that leaves; the first window has none. So a window keeps the budget
+    unless a single new turn, with the system turn, does not fit; such a turn stands alone
+    and is not cut. ``loss`` has struct(start, length) in code points of the texts of
+    assistant turns that are new in their window: repeated turns are masked, so each is a
+    target once. The first ``n_repeated`` turns of a window repeat others. Null texts and
+    roles are empty; a null id is a conversation of its own; repeated rows are turns of
+    their own; other columns are not read. A conversation is one row, and is packed in one
+    task.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than the budget")
-    rows = turns.select(
-        F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    ordered = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("*", F.row_number().over(ordered).alias("place"), turn_tokens(F.col("text")).alias("n"))
-    rows = rows.withColumn("system", (F.col("place") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("system_n", F.first(F.when(F.col("system"), F.col("n")).otherwise(F.lit(0))).over(ordered))
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.when(F.col("system"), 0).otherwise(F.col("n"))).over(earlier), F.lit(0)))
-    step = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("system_n")) / 2))
-    rows = rows.withColumn("step", step).withColumn("window", F.floor(F.col("before") / F.col("step")))
-    head = F.first(F.when(F.col("system"), F.col("text"))).over(ordered)
-    opens = ~F.col("system") & ~F.coalesce(F.lag("window").over(ordered) == F.col("window"), F.lit(False)) & (F.col("window") > 0)
-    rows = rows.withColumn("head", F.when(opens, head))
-    # Its own window, and those that may have the turn as history.
-    last = F.when(F.col("system"), F.col("window")).otherwise(F.greatest(F.col("window"), F.floor((F.col("before") + history) / F.col("step"))))
-    rows = rows.withColumn("at", F.explode(F.sequence("window", last)))
-    fresh = F.col("at") == F.col("window")
-    turn = F.struct("place", "before", fresh.alias("fresh"), "role", "text", F.when(fresh, F.col("head")).alias("head"))
-    packed = rows.groupBy("conv", "at").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.min(F.when(fresh & ~F.col("system"), F.col("before"))).alias("first"), F.max(fresh).alias("any"))
-    packed = packed.where("any")
-    kept = F.filter("turns", lambda t: t["fresh"] | (F.col("first") - t["before"] <= history))
-    packed = packed.select("conv", "at", F.transform(kept, lambda t: t.dropFields("before")).alias("turns"))
-    heads = F.filter("turns", lambda t: t["head"].isNotNull())
-    opening = F.transform(heads, lambda t: F.struct(F.lit(0).alias("place"), F.lit(False).alias("fresh"), F.lit("system").alias("role"), t["head"].alias("text")))
-    packed = packed.select("conv", "at", F.concat(opening, F.transform("turns", lambda t: t.dropFields("head"))).alias("turns"))
+    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    turn = F.struct(F.col(turn_col).isNotNull().alias("known"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), turn_tokens(text).alias("n"))
+    packed = turns.select(F.col(id_col).alias("conv"), turn.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    system = F.get("turns", F.lit(0))["role"] == "system"
+    packed = packed.select("conv", "turns", F.when(system, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0)).alias("head"))
+    room = F.lit(budget) - F.aggregate("head", F.lit(0).cast("long"), lambda a, t: a + t["n"])
+    packed = packed.select("conv", "turns", "head", room.alias("room"), F.size("head").alias("first"))
+    # (turns so far, tokens that the window may still take, places where windows begin)
+    none = F.struct(F.lit(0).alias("place"), F.lit(None).cast("long").alias("left"), F.expr("cast(array() as array<int>)").alias("starts"))
+
+    def step(acc: Column, t: Column) -> Column:
+        skip = acc["place"] < F.col("first")
+        opens = ~skip & F.coalesce(acc["left"] < t["n"], F.lit(True))
+        back = F.greatest(F.lit(0).cast("long"), F.least(F.lit(history).cast("long"), F.col("room") - t["n"]))
+        left = F.when(opens, F.col("room") - t["n"] - F.when(acc["left"].isNull(), F.lit(0).cast("long")).otherwise(back)).when(skip, acc["left"]).otherwise(acc["left"] - t["n"])
+        return F.struct((acc["place"] + 1).alias("place"), left.alias("left"), F.when(opens, F.concat(acc["starts"], F.array(acc["place"]))).otherwise(acc["starts"]).alias("starts"))
+
+    starts = F.aggregate("turns", none, step, lambda acc: acc["starts"])
+    packed = packed.select("*", F.when(F.size("turns") > F.col("first"), starts).otherwise(F.array(F.lit(1))).alias("starts"), F.size("turns").alias("count"))
+    spans = F.transform("starts", lambda a, i: F.struct(i.alias("at"), a.alias("a"), F.coalesce(F.get("starts", i + 1), F.col("count")).alias("b")))
+    packed = packed.select("conv", "turns", "head", "room", "first", F.explode(spans).alias("w")).select("conv", "turns", "head", "room", "first", "w.*")
+    fresh = F.slice("turns", F.col("a") + 1, F.greatest(F.lit(0), F.col("b") - F.col("a")))
+    most = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.lit(history).cast("long"), F.col("room") - F.get("turns", F.col("a"))["n"])))
+    # A turn has one token or more, so that no more than ``history`` of them can fit.
+    before = F.slice("turns", F.greatest(F.col("first"), F.col("a") - history) + 1, F.greatest(F.lit(0), F.least(F.lit(history), F.col("a") - F.col("first"))))
+    count = F.aggregate(
+        F.reverse("before"),
+        F.struct(F.col("most").alias("left"), F.lit(0).alias("k")),
+        lambda acc, t: F.struct((acc["left"] - t["n"]).alias("left"), (acc["k"] + F.when(acc["left"] >= t["n"], 1).otherwise(0)).alias("k")),
+        lambda acc: acc["k"],
+    )
+    packed = packed.select("conv", "at", "head", "first", fresh.alias("fresh"), before.alias("before"), most.alias("most"))
+    packed = packed.select("conv", "at", "head", "fresh", F.slice("before", F.size("before") - count + 1, count).alias("back"))
+    opening = F.transform("head", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), (F.col("at") == 0).alias("fresh")))
+    marked = lambda new: lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.lit(new).alias("fresh"))
+    rest = [F.transform("back", marked(False)), F.transform("fresh", marked(True))]
+    packed = packed.select("conv", "at", F.concat(opening, *rest).alias("turns"))
     parts = F.transform(
         "turns",
         lambda t: F.struct(
@@ -96,15 +111,16 @@ def format_conversations(
         ),
     )
     packed = packed.select("conv", "at", parts.alias("parts"))
+    sizes = F.transform("parts", lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), p["target"].alias("target")))
+    packed = packed.select("conv", "at", "parts", sizes.alias("sizes"))
 
     def mark(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"])
-        size = F.length(p["body"])
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), size.alias("length"))))
-        return F.struct((start + size + len(END)).alias("at"), F.when(p["target"], more).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + p["head"]
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), p["body"].alias("length"))))
+        return F.struct((start + p["body"] + len(END)).alias("at"), F.when(p["target"], more).otherwise(acc["out"]).alias("out"))
 
     none = F.expr("cast(array() as array<struct<start: int, length: int>>)")
-    loss = F.aggregate("parts", F.struct(F.lit(0).alias("at"), none.alias("out")), mark, lambda acc: acc["out"])
+    loss = F.aggregate("sizes", F.struct(F.lit(0).alias("at"), none.alias("out")), mark, lambda acc: acc["out"])
     return packed.select(
         F.col("conv").alias(id_col), F.col("at").alias("window"), F.size("parts").alias("n_turns"),
         F.size(F.filter("parts", lambda p: ~p["fresh"])).alias("n_repeated"),

@@ -79,8 +79,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, and of conversation -7, read back from the windows."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    kinds = ", ".join(f"cast({v} as {turns.schema[c].dataType.simpleString()}) as {c}" for c, v in (("conv_id", "-7"), ("turn", "turn"), ("role", "role"), ("text", "'</s>[INST] ok [/INST]'")))
+    hard = spark.sql(f"select {kinds} from values (0, 'user'), (1, 'assistant') as t(turn, role)")
     return chat.conversation_digests(chat.format_conversations(turns.unionByName(hard)))
 
 
@@ -109,21 +109,29 @@ _MARK_CHARS = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
 
 ORACLE_SQL: dict[str, str] = {
     "op10_chat_format": rf"""
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+with recursive t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
-  p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+  p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place,
     len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + {chat.MARKS} as n, length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {_MARK_CHARS} as chars from t),
-  q as (select *, place = 1 and role = 'system' as sys from p),
-  s as (select *, sum(case when sys then n else 0 end) over (partition by conv_id) as sys_n, sum(case when sys then chars else 0 end) over (partition by conv_id) as head,
-    coalesce(sum(case when sys then 0 else n end) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0) as before from q),
-  w as (select *, before // greatest(1, ({chat.BUDGET - chat.HISTORY} - sys_n) // 2) as win from s),
-  f as (select conv_id, win, min(before) filter (not sys) as first, max(head) as head from w group by all),
-  again as (select w.conv_id, sum(chars) as chars from w join f on w.conv_id = f.conv_id and f.win > w.win and not w.sys and f.first - w.before <= {chat.HISTORY} group by 1),
-  heads as (select conv_id, sum(head) as chars from f where win > 0 group by 1)
-select w.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  c as (select conv_id, max(case when place = 0 and role = 'system' then 1 else 0 end) as first, {chat.BUDGET} - sum(case when place = 0 and role = 'system' then n else 0 end) as room,
+    sum(case when place = 0 and role = 'system' then chars else 0 end) as head, count(*) as many from p group by conv_id),
+  s as (select p.conv_id, place, n, chars, c.first, c.room, c.head, sum(n) over (partition by p.conv_id order by place) as upto from p join c on p.conv_id is not distinct from c.conv_id),
+  w(conv_id, win, a) as (select conv_id, 0, first from c where many > first
+    union all select any_value(w.conv_id), any_value(w.win) + 1, min(x.place) from w
+      join s on s.conv_id is not distinct from w.conv_id and s.place = w.a
+      join s x on x.conv_id is not distinct from w.conv_id and x.place > w.a
+        and x.upto - s.upto + s.n > s.room - case when w.win = 0 then 0 else greatest(0, least({chat.HISTORY}, s.room - s.n)) end
+      group by w.conv_id, w.win),
+  again as (select w.conv_id, w.win, any_value(s.head) as head, coalesce(sum(x.chars), 0) as chars from w
+    join s on s.conv_id is not distinct from w.conv_id and s.place = w.a
+    left join s x on x.conv_id is not distinct from w.conv_id and x.place < w.a and x.place >= s.first
+      and s.upto - s.n - x.upto + x.n <= greatest(0, least({chat.HISTORY}, s.room - s.n))
+    where w.win > 0 group by w.conv_id, w.win),
+  more as (select conv_id, sum(head + chars) as chars from again group by conv_id)
+select p.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
-  (sum(w.chars) + coalesce(any_value(again.chars), 0) + coalesce(any_value(heads.chars), 0))::bigint as formatted_chars
-from w left join again on again.conv_id = w.conv_id left join heads on heads.conv_id = w.conv_id group by w.conv_id
+  (sum(p.chars) + coalesce(any_value(more.chars), 0))::bigint as formatted_chars
+from p left join more on more.conv_id is not distinct from p.conv_id group by p.conv_id
 """,
     "op5_decontamination": r"""
 with docs as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

@@ -56,12 +56,52 @@ def test_round_trip(spark, budget, history):
         assert len(units) == r.n_turns
         if c in heads:
             assert units[0].startswith(chat.TURN + "system" + chat.TEXT)
-        repeated = units[(1 if c in heads and w else 0) : r.n_repeated]
         undo = lambda x: __import__("functools").reduce(lambda a, k: a.replace(k[0] + "\\" + k[1:], k), chat.CONTROL, x).replace("\\\\", "\\")
-        assert sum(size(undo(u.split(chat.TEXT, 1)[1])) for u in repeated) <= history
-        step = max(1, (budget - history - (size(heads[c]) if c in heads else 0)) // 2)
-        new = [size(undo(u.split(chat.TEXT, 1)[1])) for u in units[r.n_repeated :]]
-        assert sum(new[:-1]) < step or len(new) == 1 or w == 0 and c in heads
+        sizes = [size(undo(u.split(chat.TEXT, 1)[1])) for u in units]
+        head = sizes[0] if c in heads else 0
+        repeated, new = sizes[(1 if head else 0) : r.n_repeated] if w else [], sizes[r.n_repeated :] if w else sizes[(1 if head else 0) :]
+        assert sum(repeated) <= history
+        assert sum(sizes) <= budget or len(new) == 1 and not repeated
+        follows = parsed.get((c, w + 1))
+        if follows is not None:  # the next turn did not fit, even with as much history as there may be
+            after = size(undo([u for u in follows.text.split(chat.END) if u][follows.n_repeated].split(chat.TEXT, 1)[1]))
+            assert head + sum(new) + after + (min(history, max(0, budget - head - new[0])) if w else 0) > budget
+    windows_of = {c: sorted(w for d, w in parsed if d == c) for c, _ in parsed}
+    assert all(ws == list(range(len(ws))) for ws in windows_of.values())
+
+
+def by_hand(turns, budget, history):
+    """[(repeated, new)] as lists of places, for turns [(role, tokens)]."""
+    first = 1 if turns and turns[0][0] == "system" else 0
+    room, out, i = budget - sum(n for _, n in turns[:first]), [], first
+    while i < len(turns):
+        back = max(0, min(history, room - turns[i][1])) if out else 0
+        j, held = i, 0
+        while j > first and held + turns[j - 1][1] <= back:
+            j -= 1
+            held += turns[j][1]
+        k, used = i + 1, turns[i][1]
+        while k < len(turns) and used + turns[k][1] <= room - back:
+            used += turns[k][1]
+            k += 1
+        out.append((list(range(j, i)), list(range(i, k))))
+        i = k
+    return out or [([], [])]
+
+
+def test_spans_against_a_loop(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for c in range(120):
+        turns = [("system" if t == 0 and c % 2 else "user", rng.choice((5, 9, 30, 60, 101, 130))) for t in range(rng.randint(1, 25))]
+        rows += [(c, t, r, " ".join(f"t{t}" for _ in range(n - chat.MARKS))) for t, (r, n) in enumerate(turns)]
+        want[c] = by_hand(turns, 128, 40)
+    got = {}
+    for r in chat.format_conversations(spark.createDataFrame(rows, SCHEMA), budget=128, history=40).orderBy("conv_id", "window").collect():
+        places = [int(u.split(chat.TEXT)[1].split()[0][1:]) for u in r.text.split(chat.END) if u]
+        skip = 1 if r.conv_id % 2 else 0
+        got.setdefault(r.conv_id, []).append((places[skip : r.n_repeated] if r.window else [], places[r.n_repeated if r.window else skip :]))
+    assert got == want
 
 
 def test_nothing_and_bad_parameters(spark):
