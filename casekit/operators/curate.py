@@ -243,3 +243,11 @@ def first_rows(df: DataFrame, n: int, order: str = "_row_id") -> DataFrame:
 def over_splits(splits: dict[str, DataFrame], work) -> DataFrame:
     """``work`` on every named split, results united with the name in ``split``."""
     return union_all([work(df).withColumn("split", F.lit(name)) for name, df in splits.items()])
+
+
+def epoch_order(df: DataFrame, key: str, epochs: int, seed: int = 42) -> DataFrame:
+    """``df`` once per epoch with ``epoch`` (from 0) and ``place`` (from 1): a fixed shuffle,
+    by a hash of seed, epoch and key; ties by key. One sorted window per epoch."""
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")))
+    return each.withColumn("_m", mark).withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy("_m", key))).drop("_m")

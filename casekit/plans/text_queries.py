@@ -84,7 +84,16 @@ def think_strip(spark, sf_dir):
 def prompt_messages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = prompts.with_prompts(docs, "dv", "doc_id", "text", max_tokens=600)
-    return out.select("doc_id", "prompt_truncated", F.length(F.col("messages")[1]["content"]).alias("user_chars"), F.size("messages").alias("n_messages"))
+    system, user = (F.col("messages")[i]["content"] for i in (0, 1))
+    return out.select("doc_id", "prompt_truncated", F.md5(system).alias("system_md5"), F.md5(user).alias("user_md5"), F.length(user).alias("user_chars"), F.size("messages").alias("n_messages"))
+
+
+def prompt_examples(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 100).alias("text"))
+    one = F.struct(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("n_processo"), F.lit("some text").alias("text"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("first."), F.lit("second."))).alias("selected_sentences"), F.lit("decisao_mantida").alias("label"))
+    docs = docs.withColumn("examples", F.array(one, one))
+    out = prompts.with_prompts(docs, "boc", "doc_id", "text", "examples", reasoning=True)
+    return out.select("doc_id", F.md5(F.col("messages")[0]["content"]).alias("system_md5"), F.md5(F.col("messages")[1]["content"]).alias("user_md5"))
 
 
 def json_label_validate(spark, sf_dir):
@@ -104,7 +113,7 @@ def one_hot_smoothing(spark, sf_dir):
 
 
 def page_title_and_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", extract.page_title(F.col("html")).alias("title"), F.size(F.split(extract.html_text(F.col("html")), "\n")).alias("n_lines"))
+    return table(spark, sf_dir, "pages").select("page_id", extract.page_title(F.col("html")).alias("title"), F.md5(extract.html_text(F.col("html"))).alias("text_md5"))
 
 
 def page_links(spark, sf_dir):
@@ -177,7 +186,58 @@ def _html_sql() -> str:
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
         out = f"replace({out}, '&{name};', '{char}')"
     lines = rf"list_filter(list_transform(string_split({out}, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
-    return rf"select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, len(string_split(array_to_string({lines}, chr(10)), chr(10)))::int as n_lines from pages"
+    return rf"select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, md5(array_to_string({lines}, chr(10))) as text_md5 from pages"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt_sql(budget: int) -> str:
+    least, mark = prompts.LEAST_TEXT_TOKENS, len(TRUNCATION_MARK)
+    system = prompts.SYSTEM["dv"]
+    return rf"""with a as (select doc_id, coalesce(text, '') as x, 'Processo: ' || doc_id || chr(10) || chr(10) || 'Texto da decisão:' || chr(10) as lead from documents),
+  b as (select *, ceil({len(system)} / 4.0) + ceil((length(lead) + length(x)) / 4.0) as n, ceil(length(x) / 4.0) as own from a),
+  c as (select *, 4 * greatest({least}, {budget} - (n - own))::bigint as most, n > {budget} as over from b),
+  d as (select *, floor((most - {mark}) * 0.55::double)::bigint as head from c),
+  e as (select *, over and length(x) > most as cut, case when over and length(x) > most then substr(regexp_replace(substr(x, 1, head), '\s+$', '') || '{_MARK}' || regexp_replace(substr(x, length(x) - (most - {mark} - head) + 1), '^\s+', ''), 1, most) else x end as y from d)
+select doc_id, cut as prompt_truncated, md5({_quoted(system)}) as system_md5, md5(lead || y) as user_md5, length(lead || y)::int as user_chars, 2 as n_messages from e"""
+
+
+def _examples_sql() -> str:
+    one = lambda i: f"'[Exemplo {i}]' || chr(10) || 'Processo: p' || doc_id || chr(10) || 'Texto da decisão:' || chr(10) || case when doc_id % 2 = 0 then '- first.' || chr(10) || '- second.' else 'some text' end || chr(10) || 'Classificação: {{\"predicted_label\": \"decisao_mantida\"}}' || chr(10)"
+    block = f"'Aqui estão 2 exemplos de classificações corretas:' || chr(10) || chr(10) || {one(1)} || chr(10) || {one(2)} || chr(10) || 'Agora classifica este processo:'".replace("{{", "{").replace("}}", "}")
+    user = f"{block} || chr(10) || chr(10) || 'Processo: ' || doc_id || chr(10) || chr(10) || 'Texto da decisão:' || chr(10) || substr(coalesce(text, ''), 1, 100)"
+    return f"select doc_id, md5({_quoted(prompts.SYSTEM['boc'] + prompts.REASONING)}) as system_md5, md5({user}) as user_md5 from documents"
+
+
+def _cascade_sql() -> str:
+    """The layers of each share of the text as columns, and a CASE over them."""
+    from ..vocabulary import CASCADE, CASCADE_STARTS, DECISION_VERBS, REVIEW
+
+    ctes = [
+        rf"f as (select doc_id, text || case doc_id % 4 when 0 then chr(10) || 'III - DECISÃO' || chr(10) when 1 then chr(10) || 'Pelo exposto, ' when 2 then chr(10) || 'Acordam os juízes ' else chr(10) end || 'julga-se improcedente o recurso e confirma-se a decisão recorrida nos seus precisos termos.' as x from documents)"
+    ]
+    codes = []
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    for share in CASCADE_STARTS:
+        columns, arms = [], []
+        for i, (_, _, pattern, ignore, which, verbs, goes_on) in enumerate(CASCADE):
+            scoped = f"({'?im' if ignore else '?m'}:{pattern})".replace("'", "''").replace("(?=", "(?:")  # no look-ahead there
+            lead = "(?s:^(.*?))" if which == "first" else "(?s:^(.*))"
+            columns.append(f"regexp_matches(part, '{scoped}') as m{i}, start + length(regexp_extract(part, '{lead}{scoped}', 1)) as a{i}")
+            decision = strip(f"substr(x, a{i} + 1)")
+            ok = f"length({decision}) > 50 and length({decision}) < 50000" + (f" and regexp_matches(substr({decision}, 1, 1000), '(?i){DECISION_VERBS}')" if verbs else "")
+            arms.append(f"when m{i} and ({ok}) then {{'layer': {i}, 'at': a{i}}}" + ("" if goes_on else f" when m{i} then {{'layer': -1, 'at': 0}}"))
+        ctes.append(f"s{share} as (select *, {', '.join(columns)} from (select doc_id, x, floor(length(x) * {share} / 100.0)::bigint as start, substr(x, floor(length(x) * {share} / 100.0)::bigint + 1) as part from f))")
+        ctes.append(f"c{share} as (select doc_id, case {' '.join(arms)} end as c from s{share})")
+        codes.append(f"case when c{share}.c.layer >= 0 then c{share}.c end")
+    found = " ".join(f"join c{share} using (doc_id)" for share in CASCADE_STARTS)
+    ctes.append(f"r as (select doc_id, x, case when length(x) >= 100 then coalesce({', '.join(codes)}) end as c from f {found})")
+    name = "case c.layer " + " ".join(f"when {i} then '{layer[0]}'" for i, layer in enumerate(CASCADE)) + " else 'none' end"
+    sure = "case c.layer " + " ".join(f"when {i} then '{layer[1]}'" for i, layer in enumerate(CASCADE)) + " else 'low' end"
+    review = [i for i, layer in enumerate(CASCADE) if layer[0] in REVIEW]
+    return f"with {', '.join(ctes)} select doc_id, {name} as extraction_method, {sure} as confidence, c is null or c.layer in ({', '.join(map(str, review))}) as requires_manual_review, length({strip('substr(x, c.at + 1)')})::int as n_decision, case when c is null then length(x) else length({strip('substr(x, 1, c.at)')}) end::int as n_rest from r"
 
 
 PAIRS = {
@@ -198,14 +258,15 @@ PAIRS = {
     "summary_selection": (summary_selection, None),
     "truncate_head_tail": (truncate_head_tail, rf"select doc_id, md5(case when length(text) <= 800 then text else substr(regexp_replace(substr(text, 1, {_HEAD}), '\s+$', '') || '{_MARK}' || regexp_replace(substr(text, length(text) - {_ROOM - _HEAD} + 1), '^\s+', ''), 1, 800) end) as md5, length(text) > 800 as truncated, ceil(length(text) / 4)::bigint as tokens from documents"),
     "think_strip": (think_strip, r"select conv_id, turn, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as answer_md5, case when turn % 2 = 1 then 'why ' || role else '' end as thinking from conversations"),
-    "prompt_messages": (prompt_messages, None),
+    "prompt_messages": (prompt_messages, _prompt_sql(600)),
+    "prompt_examples": (prompt_examples, _examples_sql()),
     "json_label_validate": (json_label_validate, "select case when event_id % 7 = 0 or event_id % 5 = 0 then null when event_type in ('click', 'view', 'purchase', 'login', 'logout', 'signup', 'search', 'error') then event_type end as label, count(*) as n from events group by 1"),
     "one_hot_smoothing": (one_hot_smoothing, "select vec_id, array_to_string(list_transform(range(10), lambda i: case when i = label then 1 else 0 end), '') as hot, label::int as pick, round(exp(1.0) / (exp(1.0) + 9), 6) as soft, round(case when label = 0 then 0.9 else 0.1 / 9 end, 6) as first from embeddings"),
     "page_title_and_text": (page_title_and_text, _html_sql()),
     "page_links": (page_links, r"select distinct page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*[\"'']([^\"'']*)[\"'']', 1)) as href from pages"),
     "court_link_rules": (court_link_rules, "select distinct 'https://host.example/jtrl.nsf/' || md5(page_id::varchar) || case when page_id % 3 = 0 then '?OpenDocument' else '/x' end as href from pages where page_id % 2 = 0 and page_id % 3 <> 1"),
     "field_extract": (field_extract, "select doc_id, doc_id || '/20' as n_processo, 'ANA ' || source as juiz_relator, '01-02-2020' as data_acordao, 'UNANIMIDADE' as votacao, null::varchar as meio_processual, 'Negado provimento.' as decisao, 'S' as texto_integral_disponivel, case when length(lang) > 2 then 'contrato|mora|' || lang || '|Decisão' else 'contrato|mora|Decisão' end as descritores from documents"),
-    "decision_cascade": (decision_cascade, None),
+    "decision_cascade": (decision_cascade, _cascade_sql()),
     "court_repair": (court_repair, _court_sql()),
     "name_cleaning": (name_cleaning, r"""select page_id, regexp_replace(url, '[/\\:*?"<>|]', '_', 'g') as safe, nullif(regexp_extract(url, '^[a-z]+://[^/]+/(.*)/[^/]*$', 1), '') as middle, case when length(url) > 20 then rtrim(substr(url, 1, 17)) || '…' else url end as label, regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g') as fragment from pages"""),
 }

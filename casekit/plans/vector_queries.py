@@ -42,7 +42,8 @@ def bootstrap_ci(spark, sf_dir):
 
 def metrics_wide(spark, sf_dir):
     long = evaluate.bootstrap_intervals(_labels(spark, sf_dir), "quality", "toxic", LABELS, 100)
-    return evaluate.metrics_wide(long, {0: "LOW", 1: "HIGH"})
+    out = evaluate.metrics_wide(long, {0: "LOW", 1: "HIGH"})
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 def mann_whitney_auc(spark, sf_dir):
@@ -127,12 +128,6 @@ def class_weights(spark, sf_dir):
     return out.select("label", "n", F.round("weight", 6).alias("weight"))
 
 
-def pca_projection(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    model = pooling.ScaledPCA().fit(e, "embedding")
-    return model.transform(e, "embedding").select("vec_id", F.size("features").alias("k"))
-
-
 def head_predictions(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     model = pooling.fit_head(e.where("vec_id % 5 <> 0"), "embedding", "label", epochs=20)
@@ -229,18 +224,34 @@ _SETS = """with w as (select unnest([1.0, 1.0/2, 1.0/3, 1.0/4, 1.0/5]) / (1.0 +
   named as (select sets.doc, d, (select min(label) from embeddings where vec_id // 5 = sets.doc) as class, doc % 2 as ct from sets),
   pairs as (select q.doc as query_id, c.doc, c.class, list_dot_product(q.d, c.d) as similarity from named q join named c on q.ct = c.ct and q.doc <> c.doc where q.doc % 20 = 0)"""
 
+
+
+def _resampled(n: int) -> str:
+    """Sums of the cells of ``n`` resamples (m) and of the table itself (o)."""
+    return f"""with {_CELLS}, pl as (select t, p, sum(n) over (partition by t order by p) - n as a, sum(n) over (partition by t order by p) as b, sum(n) over (partition by t) as z from cells),
+      sz as (select distinct t, z::bigint as z from pl), dr as (select b, t, ('0x' || substr(md5('42|' || b || '|' || t || '|' || slot), 1, 8))::bigint % z as k from (select b, t, z, unnest(range(z)) as slot from sz, (select unnest(range({n})) as b))),
+      c2 as (select dr.b as b, dr.t, pl.p, count(*) as n from dr join pl on dr.t = pl.t and dr.k >= pl.a and dr.k < pl.b group by all),
+      m as (select b, sum(n) as s, sum(n) filter (t = p) as c, {_SUMS} from c2 group by b), {_M.format(sums=_SUMS).replace('m as', 'o as')}"""
+
+
+def _wide_sql(n: int) -> str:
+    each = {"macro_f1": _F1, "mcc": _MCC}
+    for code, name in ((0, "LOW"), (1, "HIGH")):
+        each[f"precision_{name}"] = f"case when p{code} > 0 then h{code} / p{code} else 0 end"
+        each[f"recall_{name}"] = f"case when t{code} > 0 then h{code} / t{code} else 0 end"
+        each[f"f1_{name}"] = f"case when t{code} + p{code} > 0 then 2 * h{code} / (t{code} + p{code}) else 0 end"
+    parts = [f"(select round({x}, 6) from o) as {k}_point, (select round(quantile_cont({x}, 0.025), 6) from m) as {k}_ci_lower, (select round(quantile_cont({x}, 0.975), 6) from m) as {k}_ci_upper" for k, x in each.items()]
+    return f"{_resampled(n)} select {', '.join(parts)}"
+
+
 PAIRS = {
     "confusion_matrix": (confusion_matrix, f"with {_CELLS} select x::int as y_true, coalesce(sum(n) filter (p = 0), 0)::bigint as pred_0, coalesce(sum(n) filter (p = 1), 0)::bigint as pred_1 from (select unnest([0, 1]) as x) left join cells on t = x group by 1"),
     "class_metrics": (class_metrics, f"with {_CELLS}, {_M.format(sums=_SUMS)} " + " union all ".join(f"select {x}::int as label, t{x}::bigint as support, round(case when p{x} > 0 then h{x} / p{x} else 0 end, 6) as precision, round(case when t{x} > 0 then h{x} / t{x} else 0 end, 6) as recall, round(case when t{x} + p{x} > 0 then 2 * h{x} / (t{x} + p{x}) else 0 end, 6) as f1 from m" for x in LABELS)),
     "mcc_macro_f1": (mcc_macro_f1, f"with {_CELLS}, {_M.format(sums=_SUMS)} select s::bigint as n_samples, c::bigint as n_correct, round(c::double / s, 6) as accuracy, round({_F1}, 6) as macro_f1, round({_MCC}, 6) as mcc from m"),
-    "bootstrap_ci": (bootstrap_ci, f"""with {_CELLS}, pl as (select t, p, sum(n) over (partition by t order by p) - n as a, sum(n) over (partition by t order by p) as b, sum(n) over (partition by t) as z from cells),
-      sz as (select distinct t, z::bigint as z from pl), dr as (select b, t, ('0x' || substr(md5('42|' || b || '|' || t || '|' || slot), 1, 8))::bigint % z as k from (select b, t, z, unnest(range(z)) as slot from sz, (select unnest(range(200)) as b))),
-      c2 as (select dr.b as b, dr.t, pl.p, count(*) as n from dr join pl on dr.t = pl.t and dr.k >= pl.a and dr.k < pl.b group by all),
-      m as (select b, sum(n) as s, sum(n) filter (t = p) as c, {_SUMS} from c2 group by b), v as (select {_F1} as f, {_MCC} as k from m),
-      {_M.format(sums=_SUMS).replace('m as', 'o as')}, ov as (select {_F1} as f, {_MCC} as k from o)
+    "bootstrap_ci": (bootstrap_ci, f"""{_resampled(200)}, v as (select {_F1} as f, {_MCC} as k from m), ov as (select {_F1} as f, {_MCC} as k from o)
       select 'macro_f1' as metric, round((select f from ov), 6) as point, round(quantile_cont(f, 0.025), 6) as ci_lower, round(quantile_cont(f, 0.975), 6) as ci_upper from v
       union all select 'mcc', round((select k from ov), 6), round(quantile_cont(k, 0.025), 6), round(quantile_cont(k, 0.975), 6) from v"""),
-    "metrics_wide": (metrics_wide, None),
+    "metrics_wide": (metrics_wide, _wide_sql(100)),
     "mann_whitney_auc": (mann_whitney_auc, """with d as (select n_chars::double as v, toxic = 1 as g from documents d join labels l on d.doc_id = l.doc_id), r as (select g, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from d),
       k as (select count(*) filter (g)::double as n1, count(*) filter (not g)::double as n2, sum(r) filter (g) as r1 from r), t as (select sum(c * c * c - c)::double as t from (select count(*)::double as c from d group by v)),
       u as (select n1, n2, r1 - n1 * (n1 + 1) / 2 as u, t from k, t) select n1::bigint as n1, n2::bigint as n2, u, round(u / (n1 * n2), 6) as auc, round(greatest((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))), 0), 6) as z from u"""),
@@ -249,15 +260,19 @@ PAIRS = {
     "baseline_summary": (baseline_summary, "select count(*) as n, round((select max(c) / sum(c) from (select count(*) as c from embeddings group by label)), 6)::double as majority_share, round(min(m), 6) as confidence_min, round(avg(m), 6) as confidence_mean, round(max(m), 6) as confidence_max, round(stddev_pop(m), 6) as confidence_std from (select list_max(embedding[1:3])::double as m from embeddings)"),
     "rank_weights": (rank_weights, "select vec_id, round(1.0 / list_sum(list_transform(range(1, label + 2), lambda i: 1.0::double / i)), 6)::double as first, 1.0::double as total from embeddings"),
     "set_similarity_topk": (set_similarity_topk, f"{_SETS} select query_id, doc, round(similarity, 5) as similarity, row_number() over (partition by query_id order by similarity desc, doc)::int as candidate_rank from pairs qualify candidate_rank <= 3"),
-    "diverse_topk": (diverse_topk, None),
+    "diverse_topk": (diverse_topk, f"""{_SETS}, t as (select pairs.*, named.d, row_number() over (partition by query_id order by similarity desc, pairs.doc) as r from pairs join named on pairs.doc = named.doc qualify r <= 10),
+      p1 as (select * from t where r = 1), p2 as (select t.* from t join p1 on t.query_id = p1.query_id where t.r > 1 and list_dot_product(t.d, p1.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1),
+      p3 as (select t.* from t join p1 on t.query_id = p1.query_id join p2 on t.query_id = p2.query_id where t.r > p2.r and list_dot_product(t.d, p1.d) < 0.5 and list_dot_product(t.d, p2.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1)
+      """ + " union all ".join(f"select query_id, doc, round(similarity, 5) as similarity, {k} as diversity_rank from p{k}" for k in (1, 2, 3))),
     "few_shot_balanced": (few_shot_balanced, f"{_SETS}, t as (select *, row_number() over (partition by query_id, class order by similarity desc, doc) as r from pairs qualify r <= 2), n as (select query_id, class, max(r) as n from t group by all), l as (select query_id, min(n) as l from n group by 1) select t.query_id, class, doc, r::int as few_shot_rank from t join l on t.query_id = l.query_id where r <= l"),
-    "few_shot_map": (few_shot_map, None),
+    "few_shot_map": (few_shot_map, f"""{_SETS}, b as (select *, row_number() over (partition by query_id order by class) as k, count(*) over (partition by query_id) as n from (select * from pairs qualify row_number() over (partition by query_id, class order by similarity desc, doc) = 1)),
+      c as (select query_id, class, doc, case when n > 5 then k else 1 end as k from b where k <= 5)
+      select query_id, count(*)::int as n, '[' || string_agg('{{"class":' || class || ',"few_shot_rank":' || k || ',"doc":' || doc || '}}', ',' order by class, k, doc) || ']' as examples from c group by 1"""),
     "candidate_pools": (candidate_pools, "with s as (select doc, class, case when doc % 2 = 0 then 'dv' else 'boc' end as case_type from (select vec_id // 5 as doc, min(label) as class from embeddings group by 1)), r as (select *, row_number() over (partition by case_type, class order by doc) as k from s qualify k <= 20) select case_type, class, string_agg(doc::varchar, ',' order by doc) as ids, count(*)::int as n from r group by all"),
     "window_slices": (window_slices, r"select doc_id, case when n <= 128 then 1 else (ceil((n - 128) / 100.0) + 1)::int end as n_windows, case when n <= 128 then n else (n - 100 * ceil((n - 128) / 100.0))::int end as last_size, least(4, case when n <= 128 then 1 else (ceil((n - 128) / 100.0) + 1)::int end)::int as n_spaced from (select doc_id, len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> ''))::int as n from documents)"),
     "weighted_pool": (weighted_pool, "select vec_id // 4 as doc, count(*) as window_count, round(sum(embedding[1]::double * (label + 1)) / sum(label + 1), 5) as x0, round(sum(embedding[64]::double * (label + 1)) / sum(label + 1), 5) as x63 from embeddings group by 1"),
     "centroid": (centroid, "with l as (select vec_id // 5 as doc, unnest(embedding)::double as x, unnest(range(1, 65)) as i from embeddings), s as (select doc, i, avg(x) as x from l group by all), c as (select doc, list(x order by i) as c from s group by doc), f as (select vec_id // 5 as doc, embedding::double[] as v from embeddings where vec_id % 5 = 0) select c.doc, round(c[1], 5) as x0, round(list_dot_product(c, v) / (greatest(sqrt(list_dot_product(c, c)), 1e-9) * greatest(sqrt(list_dot_product(v, v)), 1e-9)), 5) as cos from c join f on c.doc = f.doc"),
     "class_weights": (class_weights, "select label, count(*) as n, round((select count(*) from embeddings) / ((select count(distinct label) from embeddings) * count(*))::double, 6) as weight from embeddings group by label"),
-    "pca_projection": (pca_projection, None),
     "head_predictions": (head_predictions, None),
     "attribution_long": (attribution_long, f"{_LONG} select case_id, sentence_idx, sentence_text, round(shap_value, 6) as shap_value from long"),
     "attribution_topn": (attribution_topn, f"{_LONG}, m as (select case_id, sentence_text as key, avg(shap_value) as mean from long group by all) select case_id, key, round(mean, 6) as mean, 'positive' as sign, row_number() over (partition by case_id order by m.mean desc, key)::int as rank from m where m.mean > 0 qualify rank <= 2 union all select case_id, key, round(mean, 6) as mean, 'negative' as sign, row_number() over (partition by case_id order by m.mean, key)::int as rank from m where m.mean < 0 qualify rank <= 2"),

@@ -35,8 +35,13 @@ def test_tables_round_trip(spark, tmp_path):
     sinks.write_csv(df, f"{tmp_path}/a.csv")
     back = readers.read_table(spark, f"{tmp_path}/a.csv", ["id", "t"])
     assert {tuple(r) for r in back.collect()} == {("1", 'say "x"\nnew'), ("2", None)}
-    sinks.write_table_json(df.drop("v"), f"{tmp_path}/t")
-    assert sinks.read_table_json(spark, f"{tmp_path}/t").schema == df.drop("v").schema
+    (path,) = sinks.write_table_json(df.drop("v").coalesce(1), f"{tmp_path}/t", "gold")
+    got = json.loads(open(path.removeprefix("file:"), encoding="utf-8").read())
+    assert got == {"schema": {"fields": [{"name": "id", "type": "integer"}, {"name": "t", "type": "string"}]}, "data": [{"id": 1, "t": 'say "x"\nnew'}, {"id": 2, "t": None}]}
+    assert sorted(map(tuple, sinks.read_table_json(spark, f"{tmp_path}/t").collect())) == [(1, 'say "x"\nnew'), (2, None)]
+    (path,) = sinks.write_json_array(df.drop("v").coalesce(1), f"{tmp_path}/arrays", "raw")
+    assert json.loads(open(path.removeprefix("file:"), encoding="utf-8").read()) == got["data"]
+    assert sinks.write_json_array(df.limit(0), f"{tmp_path}/arrays", "none") == []
     sinks.write_parquet(df, f"{tmp_path}/p.parquet", ["id"])
     assert readers.read_table(spark, f"{tmp_path}/p.parquet").count() == 2
     flat = spark.createDataFrame([(1, float("nan"))], "id int, x double")
