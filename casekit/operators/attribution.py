@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .curate import exact_quantiles
 from .sentences import anchor_groups
 
 MASK = "..."
@@ -51,7 +52,9 @@ def case_summary(long: DataFrame, case: str = "case_id", value: str = "shap_valu
 
 def spread(long: DataFrame, by: str, value: str = "shap_value") -> DataFrame:
     """Per group: mean, median, sample deviation, mean and largest size, share positive."""
-    return long.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.avg(F.abs(value)).alias("mean_abs"), F.max(F.abs(value)).alias("max_abs"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("share_positive"))
+    rest = long.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg(F.abs(value)).alias("mean_abs"), F.max(F.abs(value)).alias("max_abs"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("share_positive"))
+    middle = exact_quantiles(long, by, value, (0.5,)).select(F.col(by).alias("_by"), F.col("quantiles")[0].alias("median"))
+    return rest.join(middle, rest[by].eqNullSafe(middle["_by"]), "left").drop("_by")
 
 
 def length_effect(cases: DataFrame, size: str = "n_sentences", mass: str = "total") -> DataFrame:

@@ -251,3 +251,26 @@ def epoch_order(df: DataFrame, key: str, epochs: int, seed: int = 42) -> DataFra
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")))
     return each.withColumn("_m", mark).withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy("_m", key))).drop("_m")
+
+
+def exact_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, n, quantiles): exact percentiles of ``value`` (nulls left out) per group, by
+    linear interpolation. Equal values are counted before they move; the values of a group
+    are dealt out by ranges, and the counts of the ranges give every value's ranks, so that
+    no task holds a group. A null group is a group."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    dealt = written(counts.repartitionByRange(parts, "_by", "_v").withColumn("_part", F.spark_partition_id()), "quantiles")
+    sums = dealt.groupBy(F.col("_by").alias("_g"), F.col("_part").alias("_p")).agg(F.sum("_c").alias("_s"))
+    earlier = Window.partitionBy("_g").orderBy("_p")
+    sums = sums.select("_g", "_p", (F.sum("_s").over(earlier) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_g")).alias("_n"))
+    ranked = dealt.join(sums, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_part", "_by").orderBy("_v"))
+    ranked = ranked.select("_by", "_n", "_v", upto.alias("_b"), (upto - F.col("_c")).alias("_a"))
+    at = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
+    ends = [end for x in at for end in (F.floor(x), F.ceil(x))]
+    wanted = F.exists(F.array(*ends), lambda r: (F.col("_a") <= r) & (r < F.col("_b")))
+    few = ranked.where(wanted).groupBy("_by").agg(F.first("_n").alias("_n"), F.collect_list(F.struct("_a", "_b", "_v")).alias("_r"))
+    pick = lambda r: F.element_at(F.filter("_r", lambda x: (x["_a"] <= r) & (r < x["_b"])), 1)["_v"]
+    values = [F.when(F.floor(x) == F.ceil(x), pick(F.floor(x))).otherwise((F.ceil(x) - x) * pick(F.floor(x)) + (x - F.floor(x)) * pick(F.ceil(x))) for x in at]
+    return few.select(F.col("_by").alias(by), F.col("_n").alias("n"), F.array(*values).alias("quantiles"))

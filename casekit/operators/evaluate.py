@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.shared import written
 
 METRICS = ("macro_f1", "mcc")
+#: Draws of the bootstrap that are made from one row.
+_SLOTS = 8192
 
 
 def confusion_counts(df: DataFrame, true: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -85,7 +87,11 @@ def bootstrap_cells(df: DataFrame, true: str, pred: str, n_resamples: int = 1000
     ])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = spark.range(0, n_resamples, 1, min(parts, n_resamples)).select(F.col("id").alias("b"), F.explode(classes).alias("c")).select("b", "c.*")
-    drawn = runs.select("b", "y_true", "size", "ranges", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("slot"))
+    # Slots in blocks, so that no array is as long as a class.
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / _SLOTS))).alias("block")
+    drawn = runs.select("b", "y_true", "size", "ranges", blocks)
+    slots = F.explode(F.sequence(F.col("block") * _SLOTS, F.least(F.col("size"), (F.col("block") + 1) * _SLOTS) - 1)).alias("slot")
+    drawn = drawn.select("b", "y_true", "size", "ranges", slots)
     key = F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("y_true").cast("string"), F.col("slot").cast("string"))
     pick = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("size"))
     hit = F.filter("ranges", lambda r: (r["begin"] <= pick) & (pick < r["end"]))

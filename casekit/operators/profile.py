@@ -7,6 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_basic, first_name, ngrams, sentences, words
+from ..sources.shared import written
+from .curate import exact_quantiles
+
+#: Classes, and terms of very many documents, that may go to all tasks.
+_CLASSES, _HOT_TERMS = 100_000, 100_000
+#: What a missing text is shown as.
+_NULL_TEXT = "nan"
 
 
 def counts_by(df: DataFrame, key: Column | str, name: str = "key") -> DataFrame:
@@ -33,23 +40,27 @@ def row_shares(df: DataFrame, row: Column | str, label: str, labels: Sequence[st
 
 def box_statistics(df: DataFrame, label: str, value: Column | str) -> DataFrame:
     """(label, n, low, q1, median, q3, high, whisker_low, whisker_high), exact percentiles
-    by linear interpolation. Whiskers end at the last values within 1.5 ranges."""
+    by linear interpolation. Whiskers end at the last values within 1.5 ranges. Raises for
+    more than 100,000 classes, whose bounds go to all tasks."""
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(F.col(label), value.cast("double").alias("v")).where(F.col(label).isNotNull() & F.col("v").isNotNull())
-    q = rows.groupBy(label).agg(F.count("*").alias("n"), F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p"))
-    q = q.select(label, "n", *[F.col("p")[i].alias(x) for i, x in enumerate(("low", "q1", "median", "q3", "high"))])
+    q = exact_quantiles(rows, label, "v", (0.0, 0.25, 0.5, 0.75, 1.0))
+    q = written(q.select(label, "n", *[F.col("quantiles")[i].alias(x) for i, x in enumerate(("low", "q1", "median", "q3", "high"))]), "boxes")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    near = rows.join(q, label)
+    if q.count() > _CLASSES:
+        raise ValueError(f"more than {_CLASSES} classes")
+    near = rows.join(F.broadcast(q), label)  # one row a class
     ends = near.groupBy(label).agg(F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("whisker_low"), F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("whisker_high"))
     return q.join(ends, label)
 
 
 def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with clean_text, raw_length, clean_length, word_count and sentence_count."""
+    """``df`` with clean_text, raw_length, clean_length, word_count and sentence_count. The
+    raw length of a null is that of the text it is shown as."""
     text = F.col(text_col)
     clean = clean_basic(text)
     return df.withColumns({
-        "clean_text": clean, "raw_length": F.coalesce(F.length(text), F.lit(0)), "clean_length": F.length(clean),
+        "clean_text": clean, "raw_length": F.coalesce(F.length(text), F.lit(len(_NULL_TEXT))), "clean_length": F.length(clean),
         "word_count": F.size(words(clean)), "sentence_count": F.size(sentences(text, 1)),
     })
 
@@ -79,10 +90,14 @@ def top_tfidf(df: DataFrame, label: str, doc: str, tokens: Column, n: int = 20)
     fitted on the class; documents without terms count in the mean."""
     rows = df.where(F.col(label).isNotNull()).select(F.col(label), F.col(doc).alias("_doc"), tokens.alias("_tokens"))
     docs = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    tf = rows.select(label, "_doc", F.explode("_tokens").alias("term")).groupBy(label, "_doc", "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy(label, "term").agg(F.count("*").alias("_df"))
-    idf = df_.join(docs, label).select(label, "term", "_n", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))
-    raw = tf.join(idf, [label, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    tf = written(rows.select(label, "_doc", F.explode("_tokens").alias("term")).groupBy(label, "_doc", "term").agg(F.count("*").alias("tf")), "tf")
+    df_ = written(tf.groupBy(label, "term").agg(F.count("*").alias("_df")), "df")
+    idf = df_.join(docs, label).select(label, "term", "_n", "_df", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))
+    # Terms of very many documents are few: they go to all tasks, the others are dealt out.
+    hot = F.col("_df") > max(1000, (df_.agg(F.sum("_df")).first()[0] or 0) // _HOT_TERMS)
+    known = F.broadcast(idf.where(hot).select(label, "term", "_n", "idf"))
+    rest = tf.join(known.select(label, "term"), [label, "term"], "left_anti").join(idf.where(~hot).select(label, "term", "_n", "idf"), [label, "term"])
+    raw = tf.join(known, [label, "term"]).unionByName(rest).withColumn("w", F.col("tf") * F.col("idf"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(label, "_doc")))
     mean = raw.withColumn("w", F.col("w") / size).groupBy(label, "term").agg((F.sum("w") / F.first("_n")).alias("score"))
     return _top(mean.withColumn("score", F.round("score", 9)), label, "score", n)

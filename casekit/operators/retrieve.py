@@ -8,6 +8,8 @@ from ..functions.vectors import dot, weighted_direction
 
 #: Candidates kept by relevance, picks per class, greatest similarity of two picks.
 TOP_N, PER_CLASS, MAX_SIMILARITY = 20, 1, 0.9
+#: Bytes of query vectors that go to all tasks at once, about.
+BLOCK_BYTES = 64 << 20
 
 
 def directions(df: DataFrame, vectors: str, out: str = "direction") -> DataFrame:
@@ -34,10 +36,18 @@ def candidate_pools(df: DataFrame, case_type: str, label: str, id_col: str, cap:
 def similarities(queries: DataFrame, candidates: DataFrame, id_col: str, case_type: str, vectors: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, similarity, keep): every query with every candidate of its case type
     but itself. Each side is reduced to one direction per row first, so that a pair costs
-    one dot product. Queries are a stated set; they are joined in blocks by case type."""
+    one dot product. Queries are a stated set: they go to all tasks in blocks whose vectors
+    take ``BLOCK_BYTES`` at most, so that candidates stay where they are, and the cut to the
+    best that follows is made there first."""
     q = directions(queries, vectors).select(F.col(id_col).alias("query_id"), F.col(case_type).alias("_case"), F.col("direction").alias("_q"))
     c = directions(candidates, vectors).select(id_col, F.col(case_type).alias("_case"), F.col("direction").alias("_c"), *keep)
-    pairs = c.join(q, "_case").where(F.col("query_id") != F.col(id_col))
+    size = q.agg(F.sum(F.size("_q") * F.lit(8) + F.lit(64))).first()[0] or 0
+    blocks = -(-int(size) // BLOCK_BYTES) or 1
+    part = lambda i: q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+    pairs = c.join(F.broadcast(part(0)), "_case")
+    for i in range(1, blocks):
+        pairs = pairs.unionByName(c.join(F.broadcast(part(i)), "_case"))
+    pairs = pairs.where(F.col("query_id") != F.col(id_col))
     score = F.when((F.size("_q") > 0) & (F.size("_c") > 0), dot(F.col("_q"), F.col("_c"))).otherwise(F.lit(0.0))
     return pairs.select("query_id", id_col, score.alias("similarity"), F.col("_c").alias("direction"), *keep)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,22 @@ def encoded(text: Column, encoder: Callable[[], Callable[[list[str]], np.ndarray
     return run(text)
 
 
+def encoded_all(texts: Column, encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> Column:
+    """array<array<float>> of an array of texts, as ``encoded``: a row's texts stay together."""
+
+    @pandas_udf("array<array<float>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder()
+        for part in parts:
+            lists = [[] if some is None else ["" if x is None else x for x in some] for some in part]
+            flat = [x for some in lists for x in some]
+            rows = [v.astype(np.float32) for at in range(0, len(flat), batch) for v in encode(flat[at : at + batch])]
+            ends = np.cumsum([0, *map(len, lists)])
+            yield pd.Series([rows[a:b] for a, b in pairwise(ends.tolist())], index=part.index, dtype="object")
+
+    return run(texts)
+
+
 def query_vector(case_type: str, encode: Callable[[list[str]], np.ndarray]) -> list[float]:
     """Mean vector of the case type's query templates."""
     return np.asarray(encode(list(QUERIES[case_type]))).mean(0).tolist()
@@ -172,13 +189,11 @@ def summary_text(sentence_col: str = "sentences", selected_col: str = "selected"
 
 
 def sentence_frame(df: DataFrame, id_col: str, text_col: str, case_type: str, encoder: Callable[[], Callable] = hash_encoder, min_chars: int = 8, **limits) -> DataFrame:
-    """``df`` with sentences, vectors, scores, selected and summary_text: split, encode (by
-    exploded rows, so that a long document is many), score and select."""
+    """``df`` with sentences, vectors, scores, selected and summary_text: split, encode,
+    score and select. No rows move; ``id_col`` may repeat."""
     split = df.withColumn("sentences", sentences(F.col(text_col), min_chars))
-    rows = split.select(id_col, F.posexplode("sentences").alias("idx", "sentence"))
-    vectors = rows.select(id_col, "idx", encoded(F.col("sentence"), encoder).alias("v")).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("vectors"))
-    joined = split.join(vectors, id_col, "left").withColumn("vectors", F.coalesce("vectors", _empty("array<float>")))
-    scored = with_scores(joined, query_vector(case_type, encoder()))
+    made = split.withColumn("vectors", encoded_all(F.col("sentences"), encoder))
+    scored = with_scores(made, query_vector(case_type, encoder()))
     return with_selection(scored, **limits).withColumn("summary_text", summary_text())
 
 

@@ -241,7 +241,7 @@ def _cascade_sql() -> str:
 
 
 PAIRS = {
-    "text_metrics": (text_metrics, rf"select doc_id, md5(c) as clean_md5, length(text)::int as raw_length, length(c)::int as clean_length, len(list_filter(string_split(c, ' '), lambda w: w <> ''))::int as word_count from (select doc_id, text, {_CLEAN} as c from documents)"),
+    "text_metrics": (text_metrics, rf"select doc_id, md5(c) as clean_md5, coalesce(length(text), 3)::int as raw_length, length(c)::int as clean_length, len(list_filter(string_split(c, ' '), lambda w: w <> ''))::int as word_count from (select doc_id, text, {_CLEAN} as c from documents)"),
     "length_quantiles_by_class": (length_quantiles_by_class, "select quality, count(*) as n, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3, min(v) as low, max(v) as high from (select quality, length(text)::double as v from documents d join labels l on d.doc_id = l.doc_id) group by 1"),
     "top_tokens_by_class": (top_tokens_by_class, f"{_JOINED} " + _TOP.format("select quality, unnest(w) as term from d")),
     "top_tokens_no_stop_words": (top_tokens_no_stop_words, f"{_JOINED} " + _TOP.format("select * from (select quality, unnest(w) as term from d) where term not in ('the', 'de', 'und', 'la')")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.text import clean_basic, words
@@ -175,9 +175,9 @@ def normalised_values(spark, sf_dir):
 
 def _responses(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    last = Window.partitionBy("judge", "case_id").orderBy(F.col("event_id").desc())
     rows = e.select("event_id", (F.col("user_id") % 5).alias("judge"), (F.col("event_id") % 20).alias("case_id"), F.col("event_type").alias("decision"), F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("event_type")).alias("confidence"))
-    return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").select(F.concat(F.lit("J"), F.col("judge").cast("string")).alias("judge"), F.col("case_id").cast("string").alias("case_id"), F.col("case_id").alias("place"), "decision", "confidence")
+    last = rows.groupBy("judge", "case_id").agg(F.max_by(F.struct("decision", "confidence"), "event_id").alias("r"))
+    return last.select(F.concat(F.lit("J"), F.col("judge").cast("string")).alias("judge"), F.col("case_id").cast("string").alias("case_id"), F.col("case_id").alias("place"), "r.*")
 
 
 def annotation_matrix(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder of this process where it is unset."""
+    """``spark.checkpoint.dir``, or, where that is unset and the master is local, a temporary
+    folder of this process. Raises on a cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="casekit-"))
     return _OWN[0]
