@@ -304,6 +304,12 @@ def _letters():
     return lambda texts: np.array([[len(x), x.count("a"), x.count("e"), x.count(" ")] for x in texts], np.float64)
 
 
+def summary_selection(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentences.sentence_frame(docs, "doc_id", "text", "dv", _letters, top_k=5, max_tokens=400)
+    return out.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("selected", ",").alias("selected"), F.md5("summary_text").alias("md5"))
+
+
 def combined_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s")).withColumn("v", sentences.encoded(F.col("s"), _letters))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("z")).select("doc_id", F.transform("z", lambda x: x["s"]).alias("sentences"), F.transform("z", lambda x: x["v"]).alias("vectors"))
@@ -439,17 +445,17 @@ _SCORED_SQL = f"""d as (select doc_id, {_SENTENCES} as ss from (select doc_id, t
 _ANCHORED = " or ".join(f"contains(lower(s), '{p}')" for group in ANCHORS.values() for p in group)
 
 
-def _selection_sql(top_k: int, max_tokens: int, bare: int) -> str:
+def _selection_sql(top_k: int, max_tokens: int, bare: int, scored: str = _SCORED_SQL, more: str = "") -> str:
     """The two walks over ranked sentences as one walk over twice as many places: the first
     takes sentences with an anchor, the second all that are left."""
-    return f"""with recursive {_SCORED_SQL},
+    return f"""with recursive {scored},
   k as (select *, ({_ANCHORED}) as anchored, row_number() over (partition by doc_id order by score desc, i desc) as r, count(*) over (partition by doc_id) as n from x),
   w as (select doc_id, i, s, tokens, anchored, r, 1 as pass from k union all select doc_id, i, s, tokens, anchored, n + r, 2 from k),
   f(doc_id, r, sel, used, plain) as (select doc_id, 0::bigint, []::int[], 0, 0 from d
     union all select f.doc_id, f.r + 1, case when ok then list_append(f.sel, w.i) else f.sel end, case when ok then f.used + w.tokens else f.used end, case when ok and not w.anchored then f.plain + 1 else f.plain end
     from f join w on w.doc_id = f.doc_id and w.r = f.r + 1, lateral (select not list_contains(f.sel, w.i) and len(f.sel) < {top_k} and f.used + w.tokens <= {max_tokens} and (w.anchored or w.pass = 2 and f.plain < {bare}) as ok)),
   e as (select doc_id, list_sort(arg_max(sel, r)) as sel from f group by 1)
-select doc_id, array_to_string(sel, ',') as selected, md5(array_to_string(list_transform(sel, lambda j: ss[j + 1]), ' ')) as md5 from e join d using (doc_id)"""
+select doc_id, {more} array_to_string(sel, ',') as selected, md5(array_to_string(list_transform(sel, lambda j: ss[j + 1]), ' ')) as md5 from e join d using (doc_id)"""
 
 
 def _query_sql() -> str:
@@ -475,6 +481,19 @@ def _combined_sql() -> str:
 select doc_id, count(*)::int as n, round(max({_weights_sql('a')}), 5) as most, round(sum({_weights_sql('a')}), 4) as total from y group by 1"""
 
 
+def _summary_sql() -> str:
+    from .text_queries import ANCHOR_WEIGHTS
+
+    hit = " + ".join(f"case when {' or '.join(f'''contains(lower(s), '{p}')''' for p in ANCHORS[g])} then {w}::double else 0 end" for g, w in ANCHOR_WEIGHTS.items())
+    norm = lambda x: f"greatest(sqrt(list_dot_product({x}, {x})), 1e-9)"
+    letters = "[length(s)::double, length(s) - length(replace(s, 'a', '')), length(s) - length(replace(s, 'e', '')), length(s) - length(replace(s, ' ', ''))]"
+    scored = f"""d as (select doc_id, {_SENTENCES} as ss from documents), q as (select doc_id, s, i, {letters} as v from (select doc_id, unnest(ss) as s, unnest(range(len(ss))) as i from d)),
+  c as (select doc_id, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] as c from q group by 1),
+  y as (select q.doc_id, i, s, list_dot_product(v, {_query_sql()}) / ({norm('v')} * {norm(_query_sql())}) as qs, list_dot_product(v, c) / ({norm('v')} * {norm('c')}) as cs, ({hit}) / {sum(ANCHOR_WEIGHTS.values())}::double as a from q join c on q.doc_id = c.doc_id),
+  x as (select doc_id, i::int as i, s, {_weights_sql('a')} as score, greatest(1, floor(length(s) / 4) + 2)::int as tokens from y)"""
+    return _selection_sql(5, 400, int(5 * (1 - sentences.MIN_ANCHOR_RATIO)), scored, "len(ss)::int as n_sentences,")
+
+
 _TOKENS = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 PAIRS = {
@@ -518,6 +537,7 @@ PAIRS = {
     "new_links": (new_links, "select distinct url as href from pages where page_id % 2 = 0 and url not in (select url from pages where page_id % 3 = 0)"),
     "sentence_ranks": (sentence_ranks, "select vec_id // 10 as doc, (vec_id % 10)::int as idx, row_number() over (partition by vec_id // 10 order by label desc, vec_id % 10 desc)::int as rank from embeddings"),
     "sentence_selection": (sentence_selection, _selection_sql(6, 300, int(6 * (1 - sentences.MIN_ANCHOR_RATIO)))),
+    "summary_selection": (summary_selection, _summary_sql()),
     "enriched_ranks": (enriched_ranks, f"""with {_SCORED_SQL}, k as (select *, row_number() over (partition by doc_id order by score desc, i desc) as r from x),
       n as (select d.doc_id, len(ss) as n, string_agg(r::varchar, ',' order by i) as ranks, min(i) filter (r = 1) as best from d left join k on d.doc_id = k.doc_id group by d.doc_id, len(ss))
       select n.doc_id, n::int as sentence_count, case when n > 2 then 2 else 0 end as selected_count, round(case when n > 2 then 200.0 / n else 0 end, 6)::double as percentage, coalesce(ranks, '') as ranks, best::int as best, coalesce(lang, '?') as decision_class from n join documents on n.doc_id = documents.doc_id"""),

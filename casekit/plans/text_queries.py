@@ -64,12 +64,6 @@ def anchor_scores(spark, sf_dir):
     return out.where("score > 0")
 
 
-def summary_selection(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sentences.sentence_frame(docs, "doc_id", "text", "dv", top_k=5, max_tokens=400)
-    return out.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("selected", ",").alias("selected"), F.length("summary_text").alias("summary_chars"))
-
-
 def truncate_head_tail(spark, sf_dir):
     cut = t.truncate_middle(F.col("text"), 200)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(cut["text"]).alias("md5"), cut["truncated"].alias("truncated"), t.text_tokens(F.col("text")).alias("tokens"))
@@ -255,7 +249,6 @@ PAIRS = {
       select quality, term, round(score, 6) as score, (row_number() over (partition by quality order by m.score desc, term))::int as rank from m qualify rank <= 15"""),
     "sentence_split": (sentence_split, f"select doc_id, len(s)::int as n, md5(array_to_string(s, '|')) as md5 from (select doc_id, {_SENTENCES} as s from documents)"),
     "anchor_scores": (anchor_scores, _anchor_sql()),
-    "summary_selection": (summary_selection, None),
     "truncate_head_tail": (truncate_head_tail, rf"select doc_id, md5(case when length(text) <= 800 then text else substr(regexp_replace(substr(text, 1, {_HEAD}), '\s+$', '') || '{_MARK}' || regexp_replace(substr(text, length(text) - {_ROOM - _HEAD} + 1), '^\s+', ''), 1, 800) end) as md5, length(text) > 800 as truncated, ceil(length(text) / 4)::bigint as tokens from documents"),
     "think_strip": (think_strip, r"select conv_id, turn, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as answer_md5, case when turn % 2 = 1 then 'why ' || role else '' end as thinking from conversations"),
     "prompt_messages": (prompt_messages, _prompt_sql(600)),
