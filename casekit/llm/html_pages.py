@@ -20,8 +20,12 @@ NEUTRAL = ("", "", "", "row", "col", "wrapper", "container", "box", "inner", "x1
 
 
 class _Page:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, unknown: float = 0.2):
         self.r = random.Random(seed)
+        #: Share of the parts whose name says nothing: pages of other makers have their own
+        #: names, so that tags, links, lengths and neighbours must do.
+        self.unknown = unknown
+        self.names: dict[str, str] = {}
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -31,6 +35,8 @@ class _Page:
         return " ".join(out)
 
     def node(self, tag: str, y: int, inner: str, name: str = "", extra: str = "") -> str:
+        if name and tag != "article" and self.r.random() < self.unknown:
+            name = self.names.setdefault(name, "".join(self.r.choices(_SYLLABLES, k=2)) + "-" + self.r.choice(_SYLLABLES))
         if name and self.r.random() < 0.3:
             name = f"{self.r.choice(('c', 'm', 'js'))}-x {name}"
         key = "id" if self.r.random() < 0.25 else "class"
@@ -136,6 +142,7 @@ class _Page:
         return self.node("body", 0, page)
 
 
-def labelled_pages(n: int, seed: int = 5) -> list[str]:
-    """``n`` bodies of pages with a ``data-y`` on every element but inline ones."""
-    return [_Page(seed * 1_000_003 + i).make() for i in range(n)]
+def labelled_pages(n: int, seed: int = 5, unknown: float = 0.2) -> list[str]:
+    """``n`` bodies of pages with a ``data-y`` on every element but inline ones; ``unknown``
+    is the share of names that say nothing."""
+    return [_Page(seed * 1_000_003 + i, unknown).make() for i in range(n)]

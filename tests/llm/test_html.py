@@ -145,3 +145,41 @@ def test_repeated_rows_and_empty_tables(spark, model):
     rows = [r.text for r in html_tree.extract_text(df, model).collect()]
     assert len(rows) == 2 and rows[0] == rows[1] != ""
     assert html_tree.extract_text(df.limit(0), model).count() == 0
+
+
+def test_names_that_say_nothing(model):
+    right = total = 0
+    for source in html_pages.labelled_pages(150, 78, unknown=1.0):
+        nodes, blocks = html_tree.parse(source)
+        gold = [int(m[1]) if (m := re.search(r'data-y="(\d)"', n.attr)) else 0 for n in nodes]
+        for n in nodes:
+            n.attr = re.sub(r'\s*data-y="\d"', "", n.attr)
+        p = model.content(nodes)
+        right += sum((p[k] >= 0.5) == gold[k] for k, _ in blocks)
+        total += len(blocks)
+    assert right / total > 0.97
+
+
+#: Pages of other makers, by hand: (page, blocks that are content, blocks that are not).
+OTHERS = [
+    ("""<html><body class="home single"><div id="page" class="hfeed"><header id="top"><a href="/">The Daily Stone</a><p>News since 1901</p></header><nav id="site"><ul><li><a href=1>World</a></li><li><a href=2>Sport</a></li></ul></nav>
+    <div id="primary"><article id="p-12" class="hentry"><h1>Bridge reopens after a long repair</h1><p>The old bridge over the river was opened again on Monday, after two years of work on its arches.</p><p>Engineers said that the stones had been cleaned and put back one by one.</p></article>
+    <section id="talk"><h2>3 thoughts</h2><ol class="commentlist"><li><p>Great news, I missed that way to work.</p></li></ol></section></div><aside id="second"><h3>Recent</h3><ul><li><a href=3>Older item</a></li></ul></aside><footer><p>All rights reserved.</p></footer></div></body></html>""",
+     ["Bridge reopens after a long repair", "The old bridge over the river was opened again on Monday, after two years of work on its arches.", "Engineers said that the stones had been cleaned and put back one by one."],
+     ["The Daily Stone", "News since 1901", "World", "Sport", "3 thoughts", "Great news, I missed that way to work.", "Recent", "Older item", "All rights reserved."]),
+    ("""<body><div role="banner"><a href=/>Docs</a></div><div class="wy-grid"><nav><ul><li><a href=a>Install</a></li><li><a href=b>Use</a></li></ul></nav><main role="main"><div><h1>Install</h1><p>Get the archive and unpack it into a folder of your own.</p><pre>tar xf tool.tar</pre><p>Then run the script with the name of the folder.</p><ul><li>Linux and others need a shell.</li><li>No account is needed.</li></ul></div></main></div><footer role="contentinfo">Built by a tool</footer></body>""",
+     ["Install", "Get the archive and unpack it into a folder of your own.", "tar xf tool.tar", "Then run the script with the name of the folder.", "Linux and others need a shell.", "No account is needed."],
+     ["Docs", "Use", "Built by a tool"]),
+    ("""<body><div class="z1"><div class="z2"><a href=1>Shop</a> <a href=2>Cart</a> <a href=3>Help</a></div><div class="z3"><div class="z4"><h2>On keeping bees in town</h2><p>Bees do well in towns, since gardens flower from spring to autumn and few sprays are used there.</p><p>A hive needs sun in the morning, a little water near by and a place where nobody walks past its front.</p><blockquote><p>They taught me to be slow, said one keeper.</p></blockquote><p>Two hives make it easier to tell whether one of them is ill.</p></div><div class="z5"><form><label>Mail</label><input><button>Join</button></form></div></div><div class="z6"><a href=4>Imprint</a> <a href=5>Terms</a></div></div></body>""",
+     ["On keeping bees in town", "Bees do well in towns, since gardens flower from spring to autumn and few sprays are used there.", "A hive needs sun in the morning, a little water near by and a place where nobody walks past its front.", "They taught me to be slow, said one keeper.", "Two hives make it easier to tell whether one of them is ill."],
+     ["Shop Cart Help", "Mail", "Join", "Imprint Terms"]),
+]
+
+
+def test_pages_of_other_makers(model):
+    right = total = 0
+    for page, content, rest in OTHERS:
+        got = html_tree.main_text(page, model).split("\n")
+        right += sum(x in got for x in content) + sum(x not in got for x in rest)
+        total += len(content) + len(rest)
+    assert right / total > 0.9, right / total
