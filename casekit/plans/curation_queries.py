@@ -45,8 +45,9 @@ def label_ternary_counts(spark, sf_dir):
 
 
 def label_vocabulary_hits(spark, sf_dir):
-    hits = label_hits(F.col("decisao_binaria"))
-    return _labelled(spark, sf_dir).agg(hits["dv"].alias("dv_hits"), hits["boc"].alias("boc_hits"))
+    hits = label_hits(F.col("label"))
+    label = F.when(F.col("_row_id") % 3 == 0, F.lower("decisao_binaria")).when(F.col("_row_id") % 3 == 1, " parcial ").otherwise(F.col("decisao_binaria"))
+    return _labelled(spark, sf_dir).withColumn("label", label).agg(hits["dv"].alias("dv_hits"), hits["boc"].alias("boc_hits"))
 
 
 def decision_rules(spark, sf_dir):
@@ -153,7 +154,7 @@ PAIRS = {
     "class_by_group_share": (class_by_group_share, f"{_L} select court, court || ' (n=' || n || ')' as shown, n, kept, altered from (select case when tribunal like 'JP%' then 'JP' else tribunal end as court, count(*) as n, {_TWO} from labelled where tribunal is not null group by 1)"),
     "cases_per_year": (cases_per_year, f"{_C} select year({DAY_SQL})::int as year, count(*) as n from cases where {DAY_SQL} is not null group by 1"),
     "label_ternary_counts": (label_ternary_counts, f"{_C} select l as decisao_ternaria, case l when 'DESFAVORÁVEL' then 0 when 'PARCIAL' then 1 else 2 end as code, count(*) as n from (select {TERNARY_SQL} as l from cases) where l is not null group by 1, 2"),
-    "label_vocabulary_hits": (label_vocabulary_hits, f"{_L} select count(*) as dv_hits, 0::bigint as boc_hits from labelled"),
+    "label_vocabulary_hits": (label_vocabulary_hits, f"{_L} select count(*) filter (_row_id % 3 <> 1) as dv_hits, count(*) filter (_row_id % 3 = 1) as boc_hits from labelled"),
     "decision_rules": (decision_rules, f"{_C} select _row_id, {SUMMARY_SQL} as summary, {BINARY_SQL} as two, {TERNARY_SQL} as three from cases"),
     "decision_backfill": (decision_backfill, f"{_C} select case when b then s else decisao end as decisao, case when b then s end as decisao_resumo_extraida, count(*) as n from (select decisao, coalesce(trim(decisao) = '', true) as b, {SUMMARY_SQL} as s from cases) group by 1, 2"),
     "peace_court_filter": (peace_court_filter, f"{_C} select tribunal, texto_integral_disponivel, count(*) as n from cases where coalesce(tribunal like 'JP\\_%' escape '\\', false) or texto_integral_disponivel is not null group by 1, 2"),
