@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casekit.functions.text import let
+
 from ._common import materialize
 
 #: kind -> (pattern, group whose length counts, least length). All are matched leftmost,
@@ -31,26 +33,41 @@ SCOPE = 300
 _SPAN = "array<struct<start: int, rank: int, kind: string, end: int>>"
 
 
+#: Matches of a text that are placed together.
+_BLOCK = 256
+
+
 def match_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of struct(start, rank, kind, end) of the matches of ``pattern`` in ``text``.
 
     The pieces between the matches give their places: splitting and extracting follow the
-    same leftmost matches.
+    same leftmost matches. Places are summed in blocks, then over blocks, so that very many
+    matches of one text don't copy a growing array for each.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("hit"), sized.alias("sized"))
     rank = KINDS.index(kind)
+    none = F.expr(f"cast(array() as {_SPAN})")
+
+    def placed(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
+        sums = F.transform(blocks, lambda some: F.struct(some.alias("rows"), F.aggregate(some, F.lit(0), lambda a, r: a + r["skip"] + r["size"]).alias("sum")))
+        return let(sums, spread)
+
+    def spread(sums: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        bases = F.aggregate(sums, zero, lambda acc, x: F.struct((acc["at"] + x["sum"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(sums, bases, lambda x, base: F.aggregate(x["rows"], F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
 
     def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["piece"])
-        end = start + F.length(row["hit"])
+        start = acc["at"] + row["skip"]
+        end = start + row["size"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(row["sized"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(row["counts"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    none = F.expr(f"cast(array() as {_SPAN})")
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("hit"), sized.alias("sized"))
+    rows = F.transform(rows, lambda r: F.struct(F.length(r["piece"]).alias("skip"), F.length(r["hit"]).alias("size"), F.length(r["sized"]).alias("counts")))
+    return F.when(text.rlike(pattern), let(rows, placed)).otherwise(none)
 
 
 def _bins(low: Column, high: Column, width: int) -> Column:

@@ -80,3 +80,11 @@ def test_repeated_rows_and_long_texts(spark):
 def test_no_python_in_the_plan(spark):
     plan = s.find_secrets(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "é password=abcdef1 x " * 2000 + "token: zzzzzz"
+    df = spark.createDataFrame([(1, text), (2, "no"), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.base for r in s.find_secrets(df).collect()}
+    want = [m.span() for m in ASSIGN.finditer(text)]
+    assert [(x.start, x.end) for x in got[1]] == want and len(want) == 2001 and got[2] == got[3] == []
