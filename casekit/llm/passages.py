@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialize, worker_cache
+from ._common import bound_batches, discard, drop_worker_caches, materialize, worker_cache
 
 #: Words of the shortest passage, and of the grams whose minima are retained.
 LEAST, GRAM = 50, 8
@@ -197,8 +197,13 @@ def compare_neighbours(rows: list[dict], least: int, gram: int) -> list[tuple]:
     return [(r["gram"], r["context"], int(a), int(b), int(c), int(d)) for r, a, b, c, d in zip(rows, out[0][0], out[0][1], out[1][0], out[1][1], strict=True)]
 
 
-_FOUND = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("l1", pa.int32()), ("r1", pa.int32()), ("l2", pa.int32()), ("r2", pa.int32()), ("part", pa.int32()), ("edge", pa.list_(pa.struct([("gram", pa.int64()), ("context", pa.int64()), ("mark", pa.int64()), ("many", pa.bool_()), ("before", pa.binary()), ("after", pa.binary())])))])
-_FOUND_SQL = "gram long, context long, l1 int, r1 int, l2 int, r2 int, part int, edge array<struct<gram: long, context: long, mark: long, many: boolean, before: binary, after: binary>>"
+_ROW = pa.struct([("gram", pa.int64()), ("context", pa.int64()), ("mark", pa.int64()), ("many", pa.bool_()), ("before", pa.binary()), ("after", pa.binary())])
+_FOUND = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("l1", pa.int32()), ("r1", pa.int32()), ("l2", pa.int32()), ("r2", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("edge", pa.list_(_ROW))])
+_FOUND_SQL = "gram long, context long, l1 int, r1 int, l2 int, r2 int, part int, kind int, edge array<struct<gram: long, context: long, mark: long, many: boolean, before: binary, after: binary>>"
+#: Kinds of rows: neighbours compared; rows of a partition's first run; of its last; what
+#: other partitions must know of it.
+_INNER, _FIRST, _LAST, _ENDS = range(4)
+_AT_ONCE = 1000
 
 
 def _same_run(a: dict, b: dict) -> bool:
@@ -206,21 +211,29 @@ def _same_run(a: dict, b: dict) -> bool:
 
 
 def _neighbour_rows(least: int, gram: int):
-    """Compare along a sorted partition, batch by batch; a last row carries the partition's
-    first and last runs, whose other neighbours are in other partitions."""
+    """Compare along a sorted partition, batch by batch. The rows of its first and last runs,
+    whose other neighbours are in other partitions, are given as they are, and a last row
+    has what decides on those neighbours: its first row, the first of its second run, the
+    last of its last run but one, and its last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        drop_worker_caches()
         part = TaskContext.get().partitionId()
-        first: list[dict] = []
         held: list[dict] = []
         beginning = True
         keep = 0  # rows at the front of ``held`` that have been compared
+        first = second = last = but_one = None
 
-        def found(rows: list[tuple], edge: list[dict] | None = None) -> pa.RecordBatch:
+        def found(rows: list[tuple], kind: int = _INNER, edge: list[dict | None] | None = None) -> pa.RecordBatch:
             lists = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(6)]
-            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(lists, _FOUND.types, strict=False)], pa.array([part] * len(lists[0]), pa.int32()), pa.array([edge] * len(lists[0]), _FOUND.types[7])], schema=_FOUND)
+            n = len(lists[0])
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(lists, _FOUND.types, strict=False)], pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([edge] * n, _FOUND.types[8])], schema=_FOUND)
+
+        def edges(rows: list[dict], kind: int) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), _AT_ONCE):
+                yield found([(0,) * 6], kind, rows[at : at + _AT_ONCE])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
@@ -228,11 +241,15 @@ def _neighbour_rows(least: int, gram: int):
                 if not rows:
                     continue
                 held += rows
-                for r in rows if beginning else ():
-                    if first and not _same_run(first[-1], r):
-                        beginning = False
-                        break
-                    first.append(r)
+                first = first or rows[0]
+                begun = []
+                for r in rows:
+                    if last is not None and not _same_run(last, r):
+                        but_one, second, beginning = last, second or r, False
+                    if beginning:
+                        begun.append(r)
+                    last = r
+                yield from edges(begun, _FIRST)
                 cut = len(held) - 1
                 while cut > 0 and _same_run(held[cut - 1], held[cut]):
                     cut -= 1
@@ -246,7 +263,51 @@ def _neighbour_rows(least: int, gram: int):
         if held:
             if len(held) > keep:
                 yield found(compare_neighbours(held, least, gram)[keep:])
-            yield found([(0, 0, 0, 0, 0, 0)], [*first, *held[keep:]])
+            yield from edges(held[keep:], _LAST)
+            yield found([(0,) * 6], _ENDS, [first, second, but_one, last])
+
+    return run
+
+
+def _beyond(ends: dict[int, list]) -> dict[int, tuple[dict | None, dict | None]]:
+    """For each partition the rows next to its first run and to its last one, in the nearest
+    partitions that do not continue these runs."""
+    parts, out = sorted(ends), {}
+    for at, part in enumerate(parts):
+        first, _, _, last = ends[part]
+        left = right = None
+        for q in reversed(parts[:at]):
+            left = ends[q][2] if _same_run(ends[q][3], first) else ends[q][3]
+            if left is not None:
+                break
+        for q in parts[at + 1 :]:
+            right = ends[q][1] if _same_run(last, ends[q][0]) else ends[q][0]
+            if right is not None:
+                break
+        out[part] = left, right
+    return out
+
+
+def _edge_rows(beyond: dict[int, tuple[dict | None, dict | None]], least: int, gram: int):
+    """(gram, context, l1, r1, 0, 0) of the rows of first and last runs against the rows next
+    to them in other partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
+        for batch in batches:
+            for part, kind, rows in zip(*[batch.column(c).to_pylist() for c in ("part", "kind", "edge")], strict=True):
+                other = beyond[part][0 if kind == _FIRST else 1]
+                rows = [r for r in rows if other is not None and r["gram"] == other["gram"]]
+                if not rows:
+                    continue
+                i, j = np.arange(len(rows)), np.full(len(rows), len(rows))
+                left = _common(_matrix([r["before"] for r in [*rows, other]], least - gram, 0), i, j)
+                right = _common(_matrix([r["after"] for r in [*rows, other]], least, len(rows) + 1), i, j)
+                none = pa.array([0] * len(rows), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["gram"] for r in rows], pa.int64()), pa.array([r["context"] for r in rows], pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), none, none],
+                    names=["gram", "context", "l1", "r1", "l2", "r2"],
+                )
 
     return run
 
@@ -255,21 +316,21 @@ def _along(contexts: DataFrame, order: list[str], least: int, gram: int, tag: st
     """(gram, context, l1, r1, l2, r2) of the contexts sorted by ``order``.
 
     The sort is dealt out by ranges of the whole order, so that a gram of very many
-    suffixes is shared by many tasks; the few rows at the bounds of the ranges come to the
-    driver (two runs of each task) and are compared there.
+    suffixes is shared by many tasks. Of each task four rows come to the driver, which
+    says what stands next to its first and last runs; these are compared with that where
+    they are, in a second pass.
     """
     spark = contexts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     got = materialize(sorted_.mapInArrow(_neighbour_rows(least, gram), _FOUND_SQL), tag)
-    bounds = got.where("edge is not null").select("part", "edge").collect()
-    rows = [r.asDict() for _, edge in sorted(bounds, key=lambda b: b[0]) for r in edge]
+    ends = {r["part"]: [x and x.asDict() for x in r["edge"]] for r in got.where(F.col("kind") == _ENDS).select("part", "edge").collect()}
     columns = ["gram", "context", "l1", "r1", "l2", "r2"]
-    inner = got.where("edge is null").select(*columns)
-    if not rows:
+    inner = got.where(F.col("kind") == _INNER).select(*columns)
+    if len(ends) < 2:
         return inner
-    over = spark.createDataFrame(compare_neighbours(rows, least, gram), "gram long, context long, l1 int, r1 int, l2 int, r2 int")
-    return inner.unionByName(over)
+    edges = got.where(F.col("kind").isin(_FIRST, _LAST)).select("part", "kind", "edge")
+    return inner.unionByName(edges.mapInArrow(_edge_rows(_beyond(ends), least, gram), "gram long, context long, l1 int, r1 int, l2 int, r2 int"))
 
 
 def _window_rows(least: int):
@@ -338,6 +399,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by what follows have the longest match to the right, those in the sort by what precedes
     the longest to the left; what these leave open is decided by windows' hashes.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     per_doc = materialize(rows.mapInArrow(_anchor_rows(least, gram), f"id {docs.schema[id_col].dataType.simpleString()}, mark long, n_words int, place array<int>, gram array<long>, context array<long>"), "anchors")
     long_ = per_doc.where(F.col("n_words") >= least)

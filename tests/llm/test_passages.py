@@ -79,3 +79,17 @@ def test_anchors_depend_on_content_alone():
         at, grams, _ = passages.anchors(words)
         found.append({(p - left, g) for p, g in zip(at.tolist(), grams.tolist()) if left <= p <= left + 42})
     assert set.intersection(*found)
+
+
+def test_runs_over_many_partitions(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(14))
+    texts = ["a b " * 300 + passage, passage + " a b" * 200, "c " * 500, "c " * 30 + " ".join(rng.choices("defgh", k=40)), "a b " * 300 + "z " + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = {r.doc_id: list(r.spans) for r in passages.repeated_passages(df, least=12, gram=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: s for i, s in enumerate(by_hand(texts, 12)) if s}
