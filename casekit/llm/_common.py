@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,27 +12,49 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FALLBACK: list[str] = []
 _CACHE: dict[object, object] = {}
+_LEAN: list[bool] = []
 
 
 def worker_cache(owner: object, make):
     """What ``make()`` gave for ``owner`` in this worker. A worker keeps the cache of one
     owner at a time, so that operators that follow one another don't add up."""
     if owner not in _CACHE:
-        _CACHE.clear()
+        drop_worker_caches()
         _CACHE[owner] = make()
     return _CACHE[owner]
 
 
 def drop_worker_caches() -> None:
     """Free what operators before have kept in this worker. Every function that runs in
-    workers and keeps nothing itself begins with it: workers are used again by later stages."""
+    workers and keeps nothing itself begins with it: workers are used again by later stages.
+
+    From the first call on, large blocks go back to the system as soon as they are free, in
+    Arrow and in the C library, as several workers share an executor's memory.
+    """
+    if not _LEAN:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL(None)
+            for option, value in ((-8, 1), (-3, 256 << 10), (-1, 1 << 20)):  # arenas, mmap threshold, trim threshold
+                libc.mallopt(option, value)
+        except (AttributeError, OSError):
+            pass  # another C library
+        _LEAN.append(True)
     _CACHE.clear()
 
 
+def trim_memory() -> None:
+    """Give the memory that this process has freed back to the system, where that can be."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts in ``column`` have about ``most`` bytes, or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -41,7 +66,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         at = to
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand workers at most ``rows`` rows at a time in this session, as a row is a whole
     document; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -56,10 +81,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that
-    is unset (tests), a temporary folder of this process."""
+    is unset and the master is local (tests), a temporary folder of this process. Raises on a
+    cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="casekit-"))
     return _FALLBACK[0]
@@ -92,6 +120,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what nothing refers to any more: shuffle files and broadcasts of
+    finished steps go with their last reference, which else waits for a collection of the
+    driver's garbage, half an hour by default. For a few calls between an operator's steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores added until no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -101,3 +137,27 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of a bitmap's row, as a power of two.
+_CHUNK = 16
+
+
+def likely(rows: DataFrame, key: str, need: DataFrame, bits: int = 24, there: bool = True) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``need``, before they move; or,
+    if not ``there``, exactly the rows that this leaves out.
+
+    A bitmap of 2 ** ``bits`` bits (2 MB by default), whatever the size of ``need``, comes
+    to the driver and goes to all tasks. Follow it by an inner join: the optimiser would move
+    a semi join before it.
+    """
+    place = f"pmod(xxhash64({key}), {1 << bits})"
+    words = need.groupBy(F.expr(f"{place} div 64").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("b")).toArrow()
+    held = np.zeros(1 << bits - 6, np.int64)
+    held[words["w"].to_numpy()] = words["b"].to_numpy()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(held) + 1, 1 << _CHUNK - 6, dtype=np.int32)), pa.array(held))
+    bitmap = rows.sparkSession.createDataFrame(pa.table({"_chunk": pa.array(np.arange(len(lists), dtype=np.int64)), "_bits": lists}))
+    marked = rows.withColumn("_place", F.expr(place)).withColumn("_chunk", F.expr(f"_place div {1 << _CHUNK}"))
+    hit = F.expr(f"_bits[cast(_place % {1 << _CHUNK} div 64 as int)] & shiftleft(1L, cast(_place % 64 as int)) <> 0")
+    found = marked.join(F.broadcast(bitmap), "_chunk").where(hit if there else ~hit)
+    return found.select(*rows.columns)

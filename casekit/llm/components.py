@@ -7,18 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Nodes whose minima are sent to all tasks, at most: those with most edges.
+_HUBS = 100_000
+
+
+def _attach(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of their u in ``least`` (u, m, n): hubs' rows stay where
+    they are and meet their minimum there, as hubs are few; the others are dealt out by u."""
+    hub = F.col("n") > max(256, n_edges // _HUBS * 2)
+    hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m")))
+    known = rows.join(hubs, "u", "left")
+    # A merge join: broadcasts of small tables, one after the other, cost the driver more.
+    rest = known.where("hub_m is null").join(least.where(~hub).select("u", "m").hint("merge"), "u")
+    return known.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each node sends its larger neighbours to the smallest node that it knows."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _attach(both.where("v > u"), least, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each node sends its smaller neighbours, and itself, to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _attach(edges, least, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -28,8 +42,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, root), one row per node that has an edge to another node; a node that
     only has an edge to itself, or none, has no row. Null ends are ignored, repeated edges
     count once, and an empty table gives an empty table. Minima are aggregated with a
-    map-side combine before any join, so that a node with very many edges is no hot task;
-    each round is written to the shared folder. Raises if ``max_rounds`` do not suffice.
+    map-side combine. The edges of a node with more than 256 of them (and more than a share
+    of all that bounds the number of such nodes) are not moved to one task: its minimum is
+    sent to them. Each round is written to the shared folder. Raises if ``max_rounds`` do
+    not suffice.
     """
     now = materialize(
         edges.where("u is not null and v is not null and u <> v")
@@ -37,9 +53,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    seen = None
+    n_edges, seen = now.count(), None
     for _ in range(max_rounds):
-        after = materialize(_small_star(_large_star(now)), "star")
+        if not n_edges:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = materialize(_large_star(now, n_edges), "large")  # read several times
+        after = materialize(_small_star(large, n_edges), "star")
+        discard(large)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
@@ -47,3 +67,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def near_labels(edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(node, root): a label of each node of ``edges`` (u, v), such that nodes with the same
+    one are connected: the least node within ``hops`` edges. Groups around a few hubs get one
+    label each; wider components may keep several, which ``connected_components`` would
+    join. One plan, no rounds."""
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    out = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
+    for _ in range(hops - 1):
+        known = out.select(F.col("node").alias("other"), "root").hint("merge")
+        out = both.join(known, "other").groupBy("node").agg(F.min("root").alias("root"))
+    return out

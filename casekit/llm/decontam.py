@@ -5,18 +5,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialize
+from ._common import bound_batches, drop_worker_caches, materialize, pieces
 
 WINDOW = 13
 SHINGLE = 3
 #: Bytes of benchmark text that one index, sent to all tasks, may be made of.
 INDEX_BYTES = 16 << 20
 _CHUNK = 1 << 20
+#: Bytes of documents that are searched together.
+_TOGETHER = 2 << 20
 _WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
@@ -79,6 +82,7 @@ class WindowIndex:
             s = min(SHINGLE, len(self.windows[w]))
             at = min(range(len(keys)), key=lambda i: (counts.get((s, keys[i]), 0), keys[i]))
             found.setdefault(s, []).append((keys[at], w, at))
+        del self._of_window, self.shingles, self.windows  # what workers need is in arrays
         self.prefix = {}
         for s, rows in found.items():
             rows = np.array(sorted(rows), np.int64)
@@ -92,12 +96,12 @@ def _key(ids) -> int:
     return out
 
 
-def _ids(batch_texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _ids(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word ids of all texts in one array, each text followed by a 0, and words per text.
     Words of no item are 0, too, so that no shingle reaches over them or a text's end."""
     rows, counts = [], []
-    for text in batch_texts:
-        words = words_of(text)
+    for text in texts:
+        words = words_of(text.as_py())
         counts.append(len(words))
         rows.append(np.fromiter(map(vocabulary.get, words, repeat(0)), np.int64, len(words)))
         rows.append(np.zeros(1, np.int64))
@@ -119,22 +123,20 @@ def _shingles(ids: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
     return at, out
 
 
-def _parts(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about ``most`` characters."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i == len(texts) - 1:
-            yield begin, texts[begin : i + 1]
-            begin, size = i + 1, 0
+class _Shingles(NamedTuple):
+    """What counting needs of an index."""
 
+    vocabulary: dict[bytes, int]
+    shingles: dict[int, np.ndarray]
 
-def _counter(index: WindowIndex):
+
+def _counter(index: _Shingles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         sums = {s: np.zeros(len(keys), np.int64) for s, keys in index.shingles.items()}
         for batch in batches:
-            for _, texts in _parts(batch.column(0).to_pylist()):
-                ids, _ = _ids(texts, index.vocabulary)
+            for some in pieces(batch, 0, _TOGETHER):
+                ids, _ = _ids(some.column(0), index.vocabulary)
                 for s, keys in index.shingles.items():
                     _, got = _shingles(ids, s)
                     place = np.searchsorted(keys, got)
@@ -189,9 +191,10 @@ def _finder(index: WindowIndex):
     kind = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
-            others = [batch.column(i) for i in range(batch.num_columns - 1)]
-            for begin, texts in _parts(batch.column(batch.num_columns - 1).to_pylist()):
+            for some in pieces(batch, batch.num_columns - 1, _TOGETHER):
+                *others, texts = some.columns
                 ids, counts = _ids(texts, index.vocabulary)
                 ends = np.cumsum(counts + 1) - 1
                 at, window = match(ids, ends, index)
@@ -210,9 +213,8 @@ def _finder(index: WindowIndex):
                 for t, w in np.unique(np.stack([doc, window], 1), axis=0).tolist():
                     items[t].update(index.owner_items[index.owner_starts[w] : index.owner_starts[w + 1]].tolist())
                 named = [sorted(index.items[i] for i in x if index.items[i] is not None) for x in items]
-                rest = [o.slice(begin, len(texts)) for o in others]
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(counts), pa.array(spans, kind), pa.array(named, pa.list_(pa.string()))],
+                    [*others, pa.array(counts), pa.array(spans, kind), pa.array(named, pa.list_(pa.string()))],
                     names=[*batch.schema.names[:-1], "n_words", "spans", "items"],
                 )
 
@@ -221,9 +223,8 @@ def _finder(index: WindowIndex):
 
 def _build(rows: list, texts: DataFrame, window: int) -> WindowIndex:
     index = WindowIndex([(r[0], r[1]) for r in rows], window)
-    counted = texts.mapInArrow(_counter(index), "s int, shingle long, n long").groupBy("s", "shingle").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_counter(_Shingles(index.vocabulary, index.shingles)), "s int, shingle long, n long").groupBy("s", "shingle").agg(F.sum("n").alias("n"))
     index.choose({(r[0], r[1]): r[2] for r in counted.collect()} if index.windows else {})
-    del index._of_window, index.shingles
     return index
 
 
@@ -259,6 +260,7 @@ def find_contamination(
     have no words; items without words have no window; an item with a null id marks words
     but is not listed; repeated rows count each.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, index_bytes)
     kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,18 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import worker_cache
+from ._common import bound_batches, free_name, release, trim_memory, worker_cache
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _PRIME = np.uint64(0x100000001B3)
 #: Words whose sums a worker keeps.
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 200_000
 
 
 def words_of(text: str) -> list[str]:
-    """The letter runs of whole ``text``, in lower case."""
-    return _WORD.findall(text.lower())
+    """The runs of letters (as ``str.isalpha``) of whole ``text``, in lower case."""
+    words = _WORD.findall(text.lower())
+    if words and not "".join(words).isalpha():  # numerals such as fractions and Roman numbers
+        words = [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return words
 
 
 def subwords(words: list[str], buckets: int, low: int = 2, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -73,20 +77,35 @@ class LanguageModel:
         return z / z.sum(-1, keepdims=True)
 
 
-def _features(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text: the buckets that occur and their share of all its subwords."""
-    kind = np.min_scalar_type(buckets)
-    rows = []
-    for text in texts:
-        counts = Counter(words_of(text))
-        if not counts:
-            rows.append((np.zeros(0, kind), np.zeros(0, np.float32)))
-            continue
-        grams, of = subwords(list(counts), buckets)
-        where, back = np.unique(grams, return_inverse=True)
-        share = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts))[of])
-        rows.append((where.astype(kind), (share / share.sum()).astype(np.float32)))
-    return rows
+class _Features:
+    """Of each text: the buckets that occur and their share of all its subwords, end to end
+    in two arrays."""
+
+    def __init__(self, texts: Iterable[str], buckets: int):
+        kind = np.min_scalar_type(buckets)
+        where, share, ends = [], [], [0]
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for text in texts:
+            counts = Counter(words_of(text))
+            n = 0
+            if counts:
+                grams, of = subwords(list(counts), buckets)
+                found, back = np.unique(grams, return_inverse=True)
+                weight = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts))[of])
+                where.append(found.astype(kind))
+                share.append((weight / weight.sum()).astype(np.float32))
+                n = len(found)
+            ends.append(ends[-1] + n)
+            if len(where) >= 500:  # small arrays are put together now and then
+                parts.append((np.concatenate(where), np.concatenate(share)))
+                where, share = [], []
+        parts.append((np.concatenate([np.zeros(0, kind), *where]), np.concatenate([np.zeros(0, np.float32), *share])))
+        self.where, self.share = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        self.ends = np.array(ends)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        some = slice(self.ends[i], self.ends[i + 1])
+        return self.where[some], self.share[some]
 
 
 def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.1, batch: int = 32, reject: float = 0.001, seed: int = 7) -> LanguageModel:
@@ -101,26 +120,30 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
     model without languages, which answers ``und`` for all.
     """
     names = sorted(set(langs))
-    pairs = [(x, names.index(y)) for x, y in zip(_features(texts, buckets), langs, strict=True) if len(x[0])]
+    code = {name: k for k, name in enumerate(names)}
+    made = _Features(texts, buckets)
+    rows = [i for i in range(len(langs)) if made.ends[i + 1] > made.ends[i]]
+    gold_of = np.array([code[langs[i]] for i in rows], np.int64)
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out = rng.normal(0, 1 / np.sqrt(dim), (dim, len(names))).astype(np.float32)
     model = LanguageModel(names, embed, out, np.zeros(len(names)))
-    if not pairs:
+    if not rows:
         return model
-    order = rng.permutation(len(pairs))
+    order = rng.permutation(len(rows))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
-    prior = np.bincount([pairs[i][1] for i in fit], minlength=len(names))
+    prior = np.bincount(gold_of[fit], minlength=len(names))
     scale = len(fit) / np.maximum(prior, 1) / len(names)  # rare languages weigh as much
     seen_embed, seen_out = np.full(buckets, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32)
     for epoch in range(epochs):
         fit = rng.permutation(fit)
         slow = rate * (1 - epoch / epochs)
         for at in range(0, len(fit), batch):
-            some = [pairs[i] for i in fit[at : at + batch]]
-            mean = np.stack([w @ embed[i] for (i, w), _ in some])
+            chosen = fit[at : at + batch]
+            some = [made[rows[i]] for i in chosen]
+            mean = np.stack([w @ embed[i] for i, w in some])
             grad = model.probabilities(mean @ out).astype(np.float32)
-            gold = np.array([y for _, y in some])
+            gold = gold_of[chosen]
             grad[np.arange(len(some)), gold] -= 1
             grad *= (scale[gold] / len(some))[:, None].astype(np.float32)
             back = grad @ out.T
@@ -128,14 +151,14 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
             seen_out += step**2
             out -= slow * step / np.sqrt(seen_out)
             model.bias -= slow * grad.sum(0)
-            for ((i, w), _), g in zip(some, back, strict=True):
+            for (i, w), g in zip(some, back, strict=True):
                 moved = np.outer(w, g)
                 seen_embed[i] += (moved**2).mean(1)
                 embed[i] -= slow * moved / np.sqrt(seen_embed[i])[:, None]
     if len(held) == 0:
         return model
-    logits = np.stack([pairs[i][0][1] @ (embed[pairs[i][0][0]] @ out) for i in held])
-    gold = np.array([pairs[i][1] for i in held])
+    logits = np.stack([w @ (embed[i] @ out) for i, w in (made[rows[k]] for k in held)])
+    gold = gold_of[held]
 
     soft = 1 / (len(gold) + 2)  # of the truth, as many rows without an error allow
 
@@ -151,7 +174,7 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
     return model
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 6000) -> DataFrame:
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 3000) -> DataFrame:
     """(text, lang) of about ``bound`` labelled documents that are not held out.
 
     The bound is shared out evenly over the languages; of each, documents are drawn by a
@@ -172,10 +195,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 6000, **how) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 3000, **how) -> LanguageModel:
     """Train on ``training_rows``. They come to the driver: the bound is a parameter."""
     rows = training_rows(docs, id_col, text_col, lang_col, bound).orderBy(F.xxhash64("text"), "text", "lang").collect()
-    return train([r[0] for r in rows], [r[1] for r in rows], **how)
+    model = train([r[0] for r in rows], [r[1] for r in rows], **how)
+    del rows
+    release(docs.sparkSession)
+    trim_memory()
+    return model
 
 
 def _word_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -240,5 +267,8 @@ def predict_column(text: Column | str, model: LanguageModel) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out_col: str = "language") -> DataFrame:
-    """``docs`` with a column ``out_col`` as of ``predict_column``."""
-    return docs.withColumn(out_col, predict_column(F.col(text_col), model))
+    """``docs`` with a column ``out_col`` as of ``predict_column``; it gets underscores at its
+    end where ``docs`` has such a column."""
+    bound_batches(docs.sparkSession)
+    (name,) = free_name(docs, out_col)
+    return docs.withColumn(name, predict_column(F.col(text_col), model))

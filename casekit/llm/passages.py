@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bound_batches, discard, drop_worker_caches, materialize, worker_cache
+from ._common import bound_batches, discard, drop_worker_caches, materialize, release, worker_cache
 
 #: Words of the shortest passage, and of the grams whose minima are retained.
 LEAST, GRAM = 50, 8
@@ -416,12 +416,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fetched = wanted.join(source, wanted["first"].eqNullSafe(source["id"]) & (wanted["mark"] == source["of"]))
     fetched = fetched.select("text", "mark", "wanted").mapInArrow(_context_rows(least, gram), _CONTEXT)
     around = materialize(fetched, "around")
+    release(docs.sparkSession)
     right = _along(around, ["gram", "after", "before", "mark"], least, gram, "right")
     left = _along(around, ["gram", "before", "after", "mark"], least, gram, "left")
     reach = right.select("*", F.greatest("r1", "r2").alias("far_r"), F.lit(0).alias("far_l")).unionByName(left.select("*", F.lit(0).alias("far_r"), F.greatest("l1", "l2").alias("far_l")))
     good = F.filter(F.array(*[F.struct(F.col(f"l{i}").alias("l"), F.col(f"r{i}").alias("r")) for i in (1, 2)]), lambda s: s["l"] + s["r"] >= least)
     reach = reach.groupBy("gram", "context").agg(F.array_distinct(F.flatten(F.collect_list(good))).alias("reach"), F.max("far_r").alias("far_r"), F.max("far_l").alias("far_l"))
     reach = materialize(reach, "reach")
+    release(docs.sparkSession)
     exact = _open_windows(around, reach, least)
     whole = contexts.where("low <> high").select("gram", "context", F.array(F.struct(F.lit(least - gram).alias("l"), F.lit(least).alias("r"))).alias("reach"))
     matched = reach.where(F.size("reach") > 0).select("gram", "context", "reach").unionByName(exact).unionByName(whole)

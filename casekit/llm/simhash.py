@@ -1,9 +1,17 @@
-"""Near-duplicates: by the Jaccard similarity of shingles, or by SimHash with multi-index hashing."""
+"""Near-duplicates by SimHash with multi-index hashing.
+
+Fingerprints enter one table per segment; small Hamming balls around each segment are looked
+up, and what is found is verified on complete distances. Two ways are built on that: links
+of 64-bit fingerprints within a few bits, which are exact, and links of texts by the Jaccard
+similarity of their shingles, whose longer fingerprints give candidates for an exact check.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import discard, materialize, worker_cache
-from .components import connected_components
+from ._common import bound_batches, discard, drop_worker_caches, likely, materialize, release
+from .components import connected_components, near_labels
 
 #: (lowest bit, width, radius) of each segment. The radii plus one sum to one more than
 #: the distance: two fingerprints that differ in at most 4 bits are within its radius in
@@ -23,41 +31,114 @@ DISTANCE = 4
 _ROWS = 1 << 16
 #: Words of a shingle and least Jaccard similarity of near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Tables of MinHash keys and minima in a key. A pair at similarity 0.8 shares no key with
-#: a chance of (1 - 0.8 ** 5) ** 32, or 3 in a million; at 0.9 it is under 1 in 10 ** 12.
-BANDS, MINIMA = 32, 5
-#: Times that each bucket is linked to one of its members before it is joined with itself.
-STAR_ROUNDS = 4
-_MIX = np.random.default_rng(8).integers(0, 1 << 63, (3, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _spans(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
+#: Share of the pairs at the least similarity that the tables may miss (of more similar
+#: pairs they miss far fewer), and standard deviations that distances may exceed their mean.
+MISSED, DEVIATIONS = 0.002, 4.5
+#: Tables by which large groups are linked as stars, times that this is done, and least
+#: size of a component whose members are not paired with each other again.
+STAR_TABLES, STAR_ROUNDS, LARGE = 8, 1, 8
+#: Members of a large component whose keys are counted together.
+_TOGETHER = 500
+_BLOCK = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_BYTES, _WORDS = np.random.default_rng(8).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0..n modulo 2 ** 64."""
+    have = _POWERS.get(base)
+    if have is None or len(have) <= n:
+        out = np.full(1 << (n + 1).bit_length(), base, np.uint64)
+        out[0] = 1
+        have = np.multiply.accumulate(out)
+        if n <= 4 * _BLOCK:
+            _POWERS[base] = have
+    return have
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
+
+
+def _spans(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words of ``text`` joined by spaces, and where its shingles begin and end."""
     found = text.encode().lower().split() if text else []
     if not found:
-        return b"", [], []
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
-    return b" ".join(found), starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist()
+    return b" ".join(found), starts[:n], ends[min(words, len(found)) - 1 :]
 
 
 def shingles(text: str | None, words: int = SHINGLE, seed: int = 42) -> np.ndarray:
-    """The distinct XXH64 values (uint64, ascending) of the shingles of whole ``text``, as
-    ``fingerprint`` takes them; none for a null text or one without words."""
+    """The distinct 64-bit hashes (uint64, ascending) of the shingles of whole ``text``, as
+    ``fingerprint`` takes them; none for a null text or one without words. The hash is a
+    mixed polynomial in the bytes, which sums before and after a shingle give."""
     data, starts, ends = _spans(text, words)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(data[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
-
-
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """``BANDS`` MinHash keys (int64) of a set of shingles that is not empty."""
-    times, plus, weight = _MIX
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 512):
-        mixed = values[at : at + 512, None] * times + plus
-        np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(0), out=least)
-    return (least * weight).reshape(BANDS, MINIMA).sum(1, dtype=np.uint64).view(np.int64)
+    raw, out, at = np.frombuffer(data, np.uint8), [], 0
+    back = pow(_BASE, -1, 1 << 64)
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, low + _BLOCK)))
+        high = int(ends[to - 1])
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTES[raw[low:high]] * _powers(_BASE, high - low)[: high - low], out=sums[1:])
+        a, b = starts[at:to] - low, ends[at:to] - low
+        out.append(_mix((sums[b] - sums[a]) * _powers(back, high - low)[a] + (b - a + seed).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        at = to
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def long_fingerprint(values: np.ndarray, n_words: int) -> np.ndarray:
+    """SimHash in ``n_words`` times 64 bits (int64) of a set of shingles: a bit is set if it
+    is set in over half of the hashes, which are mixed anew for each 64 bits."""
+    hits = np.zeros(64 * n_words, np.int64)
+    for at in range(0, len(values), 255 * 64):
+        mixed = values[at : at + 255 * 64, None] * _WORDS[:n_words] if n_words <= len(_WORDS) else values[at : at + 255 * 64, None] * _powers(_BASE, n_words)[1 : n_words + 1]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        for k in range(0, len(bits), 255):  # eight sums of up to 255 fit one lane each
+            hits += np.add.reduce(bits[k : k + 255], axis=0).view(np.uint8)
+    return np.packbits(2 * hits > len(values), bitorder="little").view(np.int64)
+
+
+class Plan(NamedTuple):
+    """How texts are looked up: ``n_words`` words of fingerprint, each cut in ``per``
+    segments of ``width`` bits; balls have radius 1. ``differ`` is the share of bits in
+    which sets at the least similarity differ."""
+
+    width: int
+    per: int
+    n_words: int
+    differ: float
+
+    @property
+    def tables(self) -> int:
+        return self.per * self.n_words
+
+    def most(self, bits: int) -> int:
+        """Bits in which so many of similar sets may differ."""
+        return math.ceil(bits * self.differ + DEVIATIONS * math.sqrt(bits * self.differ * (1 - self.differ)))
+
+
+def plan_tables(n_texts: int, similarity: float = SIMILARITY, missed: float = MISSED) -> Plan:
+    """Segments as wide as ``n_texts`` asks for, so that an entry of a table meets about as
+    many others by chance at any size, and as many tables as bound what is ``missed``.
+
+    Sets at a Jaccard similarity J have a cosine of 2 J / (1 + J) or more, and a bit of
+    their fingerprints differs with the chance of their angle over pi.
+    """
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    width = min(31, max(10, (max(n_texts, 1) - 1).bit_length()))
+    hit = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+    tables = math.ceil(math.log(missed) / math.log1p(-min(hit, 0.999)))
+    return Plan(width, 64 // width, -(-tables // (64 // width)), differ)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -66,12 +147,13 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _shingle_rows(words: int, seed: int, whole: bool):
-    """Batches whose last column is a text to the other columns and fp, n, and the keys of
-    the bands or, if ``whole``, the shingles."""
+def _shingle_rows(words: int, seed: int, n_words: int):
+    """Batches whose last column is a text to the other columns and fp (a hash of the set of
+    shingles), n, size (its class: similar sets are in one class or in two next to each
+    other), and a fingerprint of ``n_words`` words or, if that is 0, the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache(_shingle_rows, lambda: None)  # frees what an operator before has kept
+        drop_worker_caches()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
@@ -79,78 +161,133 @@ def _shingle_rows(words: int, seed: int, whole: bool):
                 sets = [shingles(t.as_py(), words, seed) for t in texts]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)
                 sizes = pa.array([len(x) for x in sets], pa.int32())
-                found = [x.view(np.int64) if whole else band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]
+                found = [long_fingerprint(x, n_words) if n_words else x.view(np.int64) for x in sets]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(fps), sizes, _lists(found)], names=[*some.schema.names[:-1], "fp", "n", "found"])
 
     return run
 
 
-def _likely(rows: DataFrame, key: str, need: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not in ``need``, before they move: by
-    a bitmap of 2 ** 24 bits, whatever the size of ``need``."""
-    word = f"pmod({key}, {1 << 24}) div 64"
-    bit = f"shiftleft(1L, cast(pmod({key}, 64) as int))"
-    bits = need.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_bits"))
-    return rows.withColumn("_word", F.expr(word)).join(F.broadcast(bits), "_word").where(F.expr(f"_bits & {bit} <> 0")).select(*rows.columns)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose whole sets of shingles are similar enough."""
-    pairs = materialize(pairs.distinct(), "candidates")
-    a = _likely(sets.select(F.col("fp").alias("u"), F.col("found").alias("a")), "u", pairs.select("u"))
-    b = _likely(sets.select(F.col("fp").alias("v"), F.col("found").alias("b")), "v", pairs.select("v"))
+def _similar(pairs: DataFrame, codes: DataFrame, texts: DataFrame, plan: Plan, words: int, seed: int, similarity: float) -> DataFrame:
+    """Those of the candidate pairs (u, v) whose complete fingerprints are near each other
+    and whose whole sets of shingles are similar enough."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    side = lambda name: codes.select(F.col("fp").alias(name), F.col("hash").alias(f"h_{name}"), F.col("found").alias(f"c_{name}"))
+    a, b = side("u"), side("v")
+    apart = F.aggregate(F.zip_with("c_u", "c_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = materialize(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(apart <= plan.most(64 * plan.n_words)).select("u", "v", "h_u", "h_v"), "near")
+    need = materialize(near.select(F.explode(F.array(F.struct(F.col("u").alias("fp"), F.col("h_u").alias("hash")), F.struct(F.col("v").alias("fp"), F.col("h_v").alias("hash")))).alias("x")).select("x.*").distinct(), "need")
+    again = likely(texts, "hash", need).mapInArrow(_shingle_rows(words, seed, 0), "hash long, fp long, n int, found array<long>")
+    sets = materialize(again.select("fp", "found").join(need.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("found").alias("found")), "sets")
+    a, b = (sets.select(F.col("fp").alias(x), F.col("found").alias(y)) for x, y in ("ua", "vb"))
     both = F.size(F.array_intersect("a", "b"))
-    out = materialize(pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"), "similar")
-    discard(pairs)
+    out = materialize(near.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"), "similar")
+    for done in (pairs, near, need, sets):
+        discard(done)
+    release(out.sparkSession)
     return out
 
 
-def shingle_links(texts: DataFrame, marked: DataFrame, words: int = SHINGLE, seed: int = 42, similarity: float = SIMILARITY) -> DataFrame:
+def _segments(plan: Plan, tables: int) -> Column:
+    """Array of the keys (table and segment, in one long) of the first tables."""
+    mask = F.lit((1 << plan.width) - 1)
+    cut = lambda t: F.shiftrightunsigned(F.col("found")[t // plan.per], t % plan.per * plan.width).bitwiseAND(mask)
+    return F.array(*[cut(t) + F.lit(t << 40) for t in range(tables)])
+
+
+def shingle_links(texts: DataFrame, marked: DataFrame, plan: Plan, words: int = SHINGLE, seed: int = 42, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between sets of shingles that join sets of at least that Jaccard
     similarity, directly or through others. ``marked`` has rows (fp, n, found, hash) with
-    the bands' keys of each of ``texts`` (hash, text).
-
-    Sets that share a MinHash key are candidates, and are compared as a whole; shingles
-    are made again for texts that have candidates only. As in ``media.image_copies``, every
-    member of a bucket meets one of its members first, in up to ``STAR_ROUNDS`` rounds;
-    then all that are not connected yet meet each other. No bucket is capped, and a large
-    group of near-copies costs links in proportion to its size.
+    the fingerprint of each of ``texts`` (hash, text).
+
+    A fingerprint enters a table for each of its segments, in its own class of size and the
+    one below, and looks for the Hamming ball of radius 1 around each in its own class. What
+    it finds is held against 64 bits inside the join, and against the complete fingerprint
+    and the sets after it; shingles are made again for texts that come so far only.
+
+    Large groups come first: in ``STAR_ROUNDS`` rounds at most (one, by default) every member of a bucket meets
+    one of its members, that of the least or the greatest component in turn, so that a
+    group costs links in proportion to its size. Members of components of ``LARGE`` sets or
+    more are then joined with all others, but not with those of the same component: where
+    a key holds several such components, all but the least one's members meet the whole
+    key, and that one's members meet the others.
     """
-    each = marked.groupBy("fp").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("found").alias("found"))
-    thin = each.select("fp", "n", "hash", F.explode("found").alias("key"))
-    met_by = thin.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key")
-    entries = materialize(thin.join(met_by, "key"), "entries")
-    need = materialize(entries.select("fp", "hash").distinct(), "need")
-    again = _likely(texts, "hash", need).mapInArrow(_shingle_rows(words, seed, True), "hash long, fp long, n int, found array<long>")
-    sets = materialize(again.select("fp", "found").join(need, "fp", "left_semi").groupBy("fp").agg(F.first("found").alias("found")), "sets")
-    sizes = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")
+    size = F.floor(F.log(F.col("n")) / math.log(1 / similarity) if similarity < 1 else F.col("n")).cast("long")
+    each = marked.where("n > 0").groupBy("fp").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("found").alias("found"))
+    codes = materialize(each.withColumn("size", size).withColumn("head", F.col("found")[0]), "codes")
+    near64 = F.bit_count(F.col("head_u").bitwiseXOR(F.col("head_v"))) <= plan.most(64)
     links = roots = None
 
-    def placed() -> DataFrame:
-        if roots is None:
-            return entries.withColumn("root", F.col("fp"))
-        return entries.join(roots, entries["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    def check(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, codes, texts, plan, words, seed, similarity)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("key", F.col("fp").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"))
+    def placed(rows: DataFrame, node: str = "fp") -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col(node)).withColumn("large", F.lit(False))
+        return rows.join(roots.hint("merge"), rows[node] == roots["node"], "left").select(*rows.columns, F.coalesce("root", node).alias("root"), F.coalesce("large", F.lit(False)).alias("large"))
 
+    stars = materialize(codes.select("fp", "head", (F.col("size") * (1 << 48)).alias("at"), F.explode(_segments(plan, min(STAR_TABLES, plan.tables))).alias("key")).select("fp", "head", (F.col("key") + F.col("at")).alias("key")), "stars")
     for turn in range(STAR_ROUNDS):
-        now, one = placed(), F.struct("root", "fp", "n")
+        now, one = placed(stars), F.struct("root", "fp", "head")
         hub = now.groupBy("key").agg((F.max(one) if turn % 2 else F.min(one)).alias("h"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        met = side(now, "v").join(side(hub.select("key", "h.*"), "u"), "key").where(F.col("root_u") != F.col("root_v")).where(sizes)
-        more = _similar(met.select("u", "v"), sets, similarity)
+        hub = hub.select("key", F.col("h.fp").alias("u"), F.col("h.root").alias("root_u"), F.col("h.head").alias("head_u"))
+        met = now.select("key", F.col("fp").alias("v"), F.col("root").alias("root_v"), F.col("head").alias("head_v")).join(hub, "key").where(F.col("root_u") != F.col("root_v")).where(near64)
+        more = check(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         links = more if links is None else links.unionByName(more)
-        roots = materialize(connected_components(links), "star_roots")
+        of = near_labels(links)
+        grown = of.groupBy("root").agg(F.count("*").alias("size"))
+        roots = materialize(of.join(grown.hint("merge"), "root").select("node", "root", (F.col("size") >= LARGE).alias("large"), F.ceil(F.col("size") / _TOGETHER).alias("shares")), "star_roots")
         if more.isEmpty():
             break
-    now = placed()
-    open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    now = materialize(now.join(open_, "key"), "open")
-    a, b = side(now, "u"), side(now, "v")
-    rest = a.join(b, (a["key"] == b["key"]) & (a["u"] < b["v"]) & (a["root_u"] != b["root_v"]) & sizes).select("u", "v")
-    links = links.unionByName(_similar(rest, sets, similarity))
-    for done in (entries, need, sets, now):
+    discard(stars)
+    release(texts.sparkSession)
+    now = materialize(placed(codes.select("fp", "head", "size", "found")), "placed")
+    # Members of a large component have many keys in common: those of some hundreds are
+    # counted where they are together, before they move.
+    held = now.where("large").join(roots.select(F.col("node").alias("fp"), "shares").hint("merge"), "fp")
+    held = held.repartition("root", F.pmod(F.xxhash64("fp"), F.col("shares"))).drop("shares")
+    cut = lambda rows: rows.select("fp", "head", "root", "size", F.explode(_segments(plan, plan.tables)).alias("key"))
+    sources = {"true": cut(now), "not large": cut(now.where("not large")), "large": cut(held)}
+
+    def entries(some: str, *more: str) -> DataFrame:
+        both = F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size")
+        rows = sources[some].select("fp", "head", "key", *more, both)
+        return rows.select(F.col("fp").alias("v"), F.col("head").alias("head_v"), *[F.col(x).alias(f"{x}_v") for x in more], (F.col("key") + F.col("size") * (1 << 48)).alias("key"))
+
+    def probes(some: str, *more: str) -> DataFrame:
+        ball = F.explode(F.array(*[F.lit(m).cast("long") for m in _balls(plan.width, 1)])).alias("flip")
+        rows = sources[some].select("fp", "head", "key", "size", *more, ball)
+        return rows.select(F.col("fp").alias("u"), F.col("head").alias("head_u"), *[F.col(x).alias(f"{x}_u") for x in more], (F.col("key").bitwiseXOR(F.col("flip")) + F.col("size") * (1 << 48)).alias("key"))
+
+    def meet(ask: DataFrame, into: DataFrame, on=None) -> DataFrame:
+        found = ask.join(into, "key").where(near64 & (F.col("u") != F.col("v") if on is None else on))
+        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    # One written table each, so that no plan holds them all.
+    every, small = entries("true"), entries("not large")
+    met = [materialize(meet(likely(probes("not large"), "key", every.select("key"), 26), every).distinct(), "pairs")]
+    release(texts.sparkSession)
+    if not roots.where("large").isEmpty():
+        asked, large = probes("large", "root"), entries("large", "root")
+        asking = likely(asked.drop("root_u"), "key", small.select("key"), 25)
+        met.append(materialize(meet(asking, likely(small, "key", asked.select("key"), 25)).distinct(), "pairs"))
+        # Keys of several large components.
+        many = asked.select("key", F.col("root_u").alias("root")).unionByName(large.select("key", F.col("root_v").alias("root")))
+        many = materialize(many.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "least"), "many")
+        if not many.isEmpty():
+            asked, large = (likely(x, "key", many.select("key")).join(many, "key") for x in (asked, large))
+            apart = F.col("root_u") != F.col("root_v")
+            both = meet(asked.where("root_u <> least"), large.drop("least"), apart).unionByName(meet(asked.where("root_u = least").drop("least"), large.where("root_v <> least").drop("least")))
+            met.append(materialize(both.distinct(), "pairs"))
+        discard(many)
+    release(texts.sparkSession)
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.unionByName(more)
+    known = placed(placed(pairs, "u").select("u", "v", F.col("root").alias("root_u")), "v").where(F.col("root_u") != F.col("root")).select("u", "v")
+    links = links.unionByName(check(known))
+    for done in (codes, now, *met):
         discard(done)
+    release(texts.sparkSession)
     return links
 
 
@@ -184,6 +321,7 @@ def fingerprint_column(text: Column | str, words: int = 4, seed: int = 42) -> Co
 
     @pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
+        drop_worker_caches()
         return pd.Series([fingerprint(t, words, seed) for t in texts], dtype="int64")
 
     return fp(text)
@@ -281,23 +419,26 @@ def near_duplicates(
     row and joins its component, but null is no component's id unless all its ids are
     null. Repeated rows each give a row. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     if distance is None:
         text = F.col(text_col).cast("string")
+        plan = plan_tables(docs.count(), similarity)
         rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
         schema = f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, n int, found array<long>"
-        marked = materialize(rows.mapInArrow(_shingle_rows(words, seed, False), schema), "bands")
+        marked = materialize(rows.mapInArrow(_shingle_rows(words, seed, plan.n_words), schema), "fingerprints")
         least = marked.groupBy("fp").agg(F.min("id").alias("least"))
-        roots = connected_components(shingle_links(rows.select("hash", "text"), marked, words, seed, similarity))
+        roots = connected_components(shingle_links(rows.select("hash", "text"), marked, plan, words, seed, similarity))
         marked = marked.select("id", "fp")
     else:
         marked = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words, seed).alias("fp")), "fps")
         least = marked.groupBy("fp").agg(F.min("id").alias("least"))
         roots = connected_components(fingerprint_links(least.select("fp"), distance, segments))
-    placed = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = least.join(roots.hint("merge"), least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "roots")
+    release(docs.sparkSession)
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = placed.join(component, "root").select("fp", "component_id")
-    return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    labels = placed.join(component.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(labels.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -38,7 +38,7 @@ BLOCK_WORDS = 8
 #: Words whose ids a worker keeps, and the longest first word of a text that it keeps.
 _CACHE_WORDS, _LONGEST = 600_000, 64
 #: Bytes of text that are encoded together.
-_TOGETHER = 3 << 20
+_TOGETHER = 5 << 20
 #: Segments of a file, about; a task begins another file then.
 _FILE_SEGMENTS = 8
 _SPECIAL = "<|"

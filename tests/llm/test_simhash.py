@@ -89,6 +89,53 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_shingle_hashes_tell_shingles_apart():
+    rng = np.random.default_rng(6)
+    text = " ".join(f"W{k}" for k in rng.integers(0, 9, 400))
+    assert len(simhash.shingles(text)) == len(slow_shingles(text))
+    assert simhash.shingles(text.swapcase()).tolist() == simhash.shingles(text).tolist() != simhash.shingles(text, seed=1).tolist()
+    assert len(simhash.shingles("one two")) == 1 and len(simhash.shingles(None)) == len(simhash.shingles(" \n")) == 0
+
+
+def test_blocks_do_not_change_shingle_hashes(monkeypatch):
+    text = " ".join(f"word{k}" for k in range(3000)) + " " + "x" * 5000 + " end of it all"
+    whole = simhash.shingles(text)
+    monkeypatch.setattr(simhash, "_BLOCK", 100)
+    assert simhash.shingles(text).tolist() == whole.tolist() and len(whole) == 3001
+
+
+def test_long_fingerprints():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 300, 20_000):
+        values = rng.integers(0, 1 << 63, n, np.uint64)
+        mixed = values[:, None] * simhash._WORDS[:2]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        want = [sum(1 << b for b in range(64) if 2 * int((mixed[:, w] >> np.uint64(b) & np.uint64(1)).sum()) > n) for w in range(2)]
+        assert simhash.long_fingerprint(values, 2).view(np.uint64).tolist() == want
+    a = rng.integers(0, 1 << 63, 900, np.uint64)
+    b = np.concatenate((a[:800], rng.integers(0, 1 << 63, 100, np.uint64)))  # 0.8
+    plan = simhash.plan_tables(10**6)
+    apart = np.bitwise_count((simhash.long_fingerprint(a, 40) ^ simhash.long_fingerprint(b, 40)).view(np.uint64)).sum()
+    assert abs(apart / 2560 - plan.differ) < 0.03
+    assert plan.width == 20 and plan.tables >= 33 and simhash.plan_tables(10**10).width == 31 and simhash.plan_tables(0).width == 10
+
+
+def test_large_groups_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(2):
+        words = [f"g{g}w{k}" for k in rng.integers(0, 3000, 200)]
+        for _ in range(150):
+            copy = list(words)
+            copy[int(rng.integers(200))] = f"n{rng.integers(1 << 30)}"
+            rows.append(" ".join(copy))
+    rows += [" ".join(f"v{k}" for k in rng.integers(0, 9000, 200)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(400)] == [0] * 150 + [150] * 150 + list(range(300, 400))
+
+
 def slow_shingles(text):
     words = text.lower().split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
