@@ -155,6 +155,8 @@ def likely(rows: DataFrame, key: str, need: DataFrame, bits: int = 24, there: bo
     words = need.groupBy(F.expr(f"{place} div 64").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("b")).toArrow()
     held = np.zeros(1 << bits - 6, np.int64)
     held[words["w"].to_numpy()] = words["b"].to_numpy()
+    del words
+    release(rows.sparkSession)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(held) + 1, 1 << _CHUNK - 6, dtype=np.int32)), pa.array(held))
     bitmap = rows.sparkSession.createDataFrame(pa.table({"_chunk": pa.array(np.arange(len(lists), dtype=np.int64)), "_bits": lists}))
     marked = rows.withColumn("_place", F.expr(place)).withColumn("_chunk", F.expr(f"_place div {1 << _CHUNK}"))

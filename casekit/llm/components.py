@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import discard, materialize
+from ._common import discard, materialize, release
 
 
 #: Nodes whose minima are sent to all tasks, at most: those with most edges.
@@ -62,6 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(large)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
+        release(now.sparkSession)
         now = after
         if tuple(mark) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -264,7 +264,7 @@ def shingle_links(texts: DataFrame, marked: DataFrame, plan: Plan, words: int =
 
     # One written table each, so that no plan holds them all.
     every, small = entries("true"), entries("not large")
-    met = [materialize(meet(likely(probes("not large"), "key", every.select("key"), 26), every).distinct(), "pairs")]
+    met = [materialize(meet(likely(probes("not large"), "key", every.select("key"), 25), every).distinct(), "pairs")]
     release(texts.sparkSession)
     if not roots.where("large").isEmpty():
         asked, large = probes("large", "root"), entries("large", "root")

@@ -33,9 +33,10 @@ def read_raw(spark: SparkSession, raw_dir: str, case_type: str) -> DataFrame:
     exploded with places, so the order holds however files are dealt out.
     """
     word = FILE_KEYWORDS[normalise_case_type(case_type)]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{word}*.json").option("recursiveFileLookup", False).load(raw_dir)
-    if files.select("path").isEmpty():
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(raw_dir, f"*{word}*.json")
+    if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
         raise ValueError(f"no files with {word} in {raw_dir}")
+    files = spark.read.format("binaryFile").load(pattern.toString())
     name = F.regexp_extract("path", "([^/]+)$", 1)
     rows = files.select(name.alias("source_file"), F.from_json(F.decode("content", "UTF-8"), f"array<{RAW.simpleString()}>").alias("records"))
     rows = rows.select("source_file", F.posexplode("records").alias("_i", "r"))
