@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html_tree, langid, media, mixing, passages, secret_scan, simhash, tokens
+from . import chat, decontam, html_tree, langid, media, mixing, passages, quality, secret_scan, simhash, tokens
 from ._common import table
 
 
@@ -84,6 +84,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns.unionByName(hard)))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base statistics, base_failed and kept of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 def _escaped_sql(x: str) -> str:
@@ -147,5 +153,23 @@ named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select d.doc_id, coalesce(len(d.w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(d.w), 0) as contaminated
 from docs d left join words using (doc_id) left join named using (doc_id)
+""",
+    "op12_quality_rules": r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+windows as (select doc_id, any_value(len(w)) as n, list(i) as places from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)
+  group by doc_id, array_to_string(w[i : i + 7], ' ') having count(*) > 1),
+repeats as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as k from (select doc_id, unnest(places) as i from windows)) group by doc_id),
+s as (select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    len(l) as n_lines, length(regexp_replace(t, '\P{Lu}+', '', 'g')) as n_capitals, length(regexp_replace(t, '\P{L}+', '', 'g')) as n_letters,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) as n_lettered, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣]'))) as n_bullets,
+    len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) as n_ellipses
+  from d left join repeats using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols * 10 > n_words or word_chars < n_words * 3 or word_chars > n_words * 10 or n_dup_lines * 2 > n_lines
+    or n_capitals * 2 > n_letters or n_lettered * 10 < n_words * 8 or n_bullets * 10 > n_lines * 9 or n_ellipses * 10 > n_lines * 3) as kept
+from b
 """,
 }
