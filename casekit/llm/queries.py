@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html_tree, langid, media, mixing, passages, quality, secret_scan, simhash, tokens
+from . import chat, decontam, html_tree, langid, media, mixing, passages, quality, secret_scan, simhash, tokens, whitening
 from ._common import table
 
 
@@ -89,6 +89,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every usable
+    vector and its four largest components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op12_quality_rules": op12_quality_rules,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 def _escaped_sql(x: str) -> str:
