@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html_tree, langid, media, mixing, passages, quality, secret_scan, simhash, tokens, whitening
+from . import chat, decontam, html_tree, langid, lexical, media, mixing, passages, quality, secret_scan, simhash, tokens, whitening
 from ._common import table
 
 
@@ -84,6 +84,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns.unionByName(hard)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score of the ten best documents of every benchmark item."""
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"))
+    lexical.drop_index(spark, index)
+    return found
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept of every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -106,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_lexical_search": op11_lexical_search,
     "op12_quality_rules": op12_quality_rules,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -160,6 +169,19 @@ named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select d.doc_id, coalesce(len(d.w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(d.w), 0) as contaminated
 from docs d left join words using (doc_id) left join named using (doc_id)
+""",
+    "op11_lexical_search": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+q as (select row_number() over () as i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from benchmark),
+c as (select count(*) as n_docs, sum(len(t))::bigint as n_terms from d where len(t) > 0),
+asked as (select i, x, count(*) as repeats from (select i, unnest(t) as x from q) group by i, x),
+p as (select r, x, count(*) as tf from (select r, unnest(t) as x from d) where x in (select x from asked) group by r, x),
+w as (select x, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from p, c group by x),
+m as (select r, doc_id, 25 + (75 * len(t)::bigint * n_docs) // n_terms as m from d, c where len(t) > 0),
+scores as (select i, r, any_value(doc_id) as doc_id, sum(repeats * w.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join p using (x) join w using (x) join m using (r) group by i, r),
+ranked as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls first)::integer as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked join q using (i) where rank <= 10
 """,
     "op12_quality_rules": r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
