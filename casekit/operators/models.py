@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.rules import label_code, normalise_case_type
 from ..functions.text import clean_basic, words
@@ -34,6 +36,25 @@ def scored(text: Column, predictor: Callable[[], Predictor], batch: int = 32) ->
     return run(text)
 
 
+def score_texts(df: DataFrame, columns: dict[str, str], predictor: Callable[[], Predictor], batch: int = 32) -> DataFrame:
+    """``df`` with each text column of ``columns`` (text, scores) replaced by the array<double>
+    of its class scores; the other columns pass through in Arrow batches as they are."""
+    kept = [c for c in df.columns if c not in columns]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor()
+        for part in parts:
+            out = [part.column(part.schema.get_field_index(c)) for c in kept]
+            for name in columns:
+                texts = [t or "" for t in part.column(part.schema.get_field_index(name)).to_pylist()]
+                rows = [list(map(float, r)) for at in range(0, len(texts), batch) for r in np.asarray(predict(texts[at : at + batch]))]
+                out.append(pa.array(rows, pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(out, [*kept, *columns.values()])
+
+    schema = StructType([df.schema[c] for c in kept] + [StructField(c, ArrayType(DoubleType())) for c in columns.values()])
+    return df.mapInArrow(run, schema)
+
+
 def prediction_table(df: DataFrame, predictor: Callable[[], Predictor], id_col: str, text_col: str, label_col: str, case_type: str, run_name: str, split: str | None = None) -> DataFrame:
     """(n_processo, y_true, y_pred, proba_<CLASS>…, run_name, case_type[, split]). Labels
     that are not of the case type raise; the first greatest score is predicted."""

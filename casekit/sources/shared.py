@@ -29,4 +29,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     once and a lost executor costs nothing that was written."""
     path = f"{shared_folder(df.sparkSession)}/casekit/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._casekit_path = path
+    return out
+
+
+def discarded(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``tables``; only once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_casekit_path", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
