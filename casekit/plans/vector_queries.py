@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.text import clean_basic, words
-from ..operators import annotate, attribution, evaluate, pooling, profile, retrieve
+from ..operators import annotate, attribution, evaluate, pooling, profile, retrieve, training
 from .stand_ins import table
 
 LABELS = [0, 1]
@@ -128,11 +128,67 @@ def class_weights(spark, sf_dir):
     return out.select("label", "n", F.round("weight", 6).alias("weight"))
 
 
+#: The head of the queries: softmax regression, a few epochs of AdamW, stopped by every fifth vector.
+HEAD = training.Settings(hidden=(), epochs=4, rate=0.05, patience=2)
+
+
+def _head(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("held_out", F.col("vec_id") % 5 == 0)
+    return e, training.fit_network(e, "embedding", "label", "held_out", HEAD)
+
+
 def head_predictions(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    model = pooling.fit_head(e.where("vec_id % 5 <> 0"), "embedding", "label", epochs=20)
-    held_out = F.coalesce(F.col("vec_id") % 5 == 0, F.lit(True))
-    return pooling.score_head(e, model, "embedding").select("vec_id", "label", "y_pred", held_out.alias("held_out"))
+    e, head = _head(spark, sf_dir)
+    out = training.score_network(e.select("vec_id", "label", "embedding", F.coalesce("held_out", F.lit(True)).alias("held_out")), head, "embedding")
+    return out.select("vec_id", "label", "y_pred", "held_out")
+
+
+def head_losses(spark, sf_dir):
+    """Losses of each epoch, their moving average, and the epoch whose weights were kept."""
+    _, head = _head(spark, sf_dir)
+    rows = [(i + 1, a, b, head.best_epoch) for i, (a, b) in enumerate(zip(head.train_losses, head.val_losses))]
+    out = spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, best_epoch int")
+    return out.select("epoch", F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"), "best_epoch")
+
+
+def _head_sql(last: str) -> str:
+    """The same epochs, written out: one table of weights (class, place) for each."""
+    s, parts = HEAD, [
+        "x as (select vec_id, unnest(embedding)::double as v, unnest(range(1, len(embedding) + 1)) as j from embeddings union all select vec_id, 1.0, 0 from embeddings where embedding is not null)",
+        "k as (select label as c, (select count(*) from embeddings where vec_id % 5 <> 0) / ((select count(distinct label) from embeddings where vec_id % 5 <> 0) * count(*))::double as w from embeddings where vec_id % 5 <> 0 group by 1)",
+        "t0 as (select c, j, 0.0::double as t, 0.0::double as m, 0.0::double as v from k, (select distinct j from x))",
+    ]
+    for e in range(s.epochs + 1):
+        parts += [
+            f"z{e} as (select vec_id, c, sum(t * x.v) as z from x join t{e} using (j) group by all)",
+            f"p{e} as (select vec_id, c, z - max(z) over (partition by vec_id) - ln(sum(exp(z - m)) over (partition by vec_id)) as l from (select *, max(z) over (partition by vec_id) as m from z{e}))",
+            f"l{e} as (select vec_id % 5 = 0 as held, sum(-l * w) / sum(w) as loss from p{e} join embeddings e using (vec_id) join k using (c) where e.label = c group by 1)",
+        ]
+        if e < s.epochs:
+            b1, b2 = s.betas
+            parts += [
+                f"g{e} as (select p.c, j, sum(y.w * (exp(l) - (e.label = p.c)::int) * x.v) / (select sum(w) from embeddings join k on label = c where vec_id % 5 <> 0) as g from p{e} p join embeddings e using (vec_id) join k y on y.c = e.label join x using (vec_id) where vec_id % 5 <> 0 group by all)",
+                f"n{e} as (select c, j, t, {b1} * m + {1 - b1} * g as m, {b2} * v + {1 - b2} * g * g as v from t{e} join g{e} using (c, j))",
+                f"t{e + 1} as materialized (select c, j, t * {1 - s.rate * s.weight_decay} - {s.rate} * (m / {1 - b1 ** (e + 1)}) / (sqrt(v / {1 - b2 ** (e + 1)}) + {s.eps}) as t, m, v from n{e})",
+            ]
+    # Smoothed losses after each epoch; the least one's weights count.
+    smooth, waits = [f"(select loss from l1 where held)"], []
+    for e in range(2, s.epochs + 1):
+        smooth.append(f"({s.smooth} * (select loss from l{e} where held) + {1 - s.smooth} * s{e - 1})")
+    chain = "s as (select *" + "".join(f" from (select *, {v} as s{i + 1}" for i, v in reversed(list(enumerate(smooth)))) + " from (select 1 as one)" + ")" * len(smooth) + ")"
+    best = "best as (select epoch as best from (select unnest(range(1, " + str(s.epochs + 1) + ")) as epoch, unnest([" + ", ".join(f"s{i + 1}" for i in range(s.epochs)) + "]) as v from s) order by v, epoch limit 1)"
+    parts += [chain, best]
+    return "with " + ",\n".join(parts) + "\n" + last
+
+
+_HEAD_PREDICTIONS = _head_sql(
+    "select e.vec_id, e.label, arg_max(c, struct_pack(l := l, c := -c)) as y_pred, coalesce(e.vec_id % 5 = 0, true) as held_out from embeddings e join ("
+    + " union all ".join(f"select {e} as epoch, * from p{e}" for e in range(1, HEAD.epochs + 1))
+    + ") p on p.vec_id = e.vec_id and p.epoch = (select best from best) group by all"
+)
+_HEAD_LOSSES = _head_sql(
+    " union all ".join(f"select {e}::int as epoch, round((select loss from l{e - 1} where not held), 6) as train_loss, round((select loss from l{e} where held), 6) as val_loss, (select best from best)::int as best_epoch" for e in range(1, HEAD.epochs + 1))
+)
 
 
 def _long(spark, sf_dir):
@@ -273,7 +329,8 @@ PAIRS = {
     "weighted_pool": (weighted_pool, "select vec_id // 4 as doc, count(*) as window_count, round(sum(embedding[1]::double * (label + 1)) / sum(label + 1), 5) as x0, round(sum(embedding[64]::double * (label + 1)) / sum(label + 1), 5) as x63 from embeddings group by 1"),
     "centroid": (centroid, "with l as (select vec_id // 5 as doc, unnest(embedding)::double as x, unnest(range(1, 65)) as i from embeddings), s as (select doc, i, avg(x) as x from l group by all), c as (select doc, list(x order by i) as c from s group by doc), f as (select vec_id // 5 as doc, embedding::double[] as v from embeddings where vec_id % 5 = 0) select c.doc, round(c[1], 5) as x0, round(list_dot_product(c, v) / (greatest(sqrt(list_dot_product(c, c)), 1e-9) * greatest(sqrt(list_dot_product(v, v)), 1e-9)), 5) as cos from c join f on c.doc = f.doc"),
     "class_weights": (class_weights, "select label, count(*) as n, round((select count(*) from embeddings) / ((select count(distinct label) from embeddings) * count(*))::double, 6) as weight from embeddings group by label"),
-    "head_predictions": (head_predictions, None),
+    "head_predictions": (head_predictions, _HEAD_PREDICTIONS),
+    "head_losses": (head_losses, _HEAD_LOSSES),
     "attribution_long": (attribution_long, f"{_LONG} select case_id, sentence_idx, sentence_text, round(shap_value, 6) as shap_value from long"),
     "attribution_topn": (attribution_topn, f"{_LONG}, m as (select case_id, sentence_text as key, avg(shap_value) as mean from long group by all) select case_id, key, round(mean, 6) as mean, 'positive' as sign, row_number() over (partition by case_id order by m.mean desc, key)::int as rank from m where m.mean > 0 qualify rank <= 2 union all select case_id, key, round(mean, 6) as mean, 'negative' as sign, row_number() over (partition by case_id order by m.mean, key)::int as rank from m where m.mean < 0 qualify rank <= 2"),
     "attribution_corr": (attribution_corr, f"{_LONG}, c as (select case_id, count(*) filter (shap_value > 0) as n, round(sum(shap_value), 6) as t from long group by 1) select round(corr(n::double, t), 6) as r, (select t from c order by n, t limit 1) as at_shortest, (select t from c order by n desc, t desc limit 1) as at_longest from c"),
