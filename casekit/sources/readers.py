@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from ..functions.rules import normalise_case_type
 from ..operators.curate import require_columns
 from ..vocabulary import FILE_KEYWORDS
+from .json_arrays import read_json_arrays
 from .schema import RAW
 
 
@@ -29,18 +30,16 @@ def read_raw(spark: SparkSession, raw_dir: str, case_type: str) -> DataFrame:
 
     Flat columns, and ``source_file`` and ``_row_id``, a struct of the file's name and the
     record's place in it, which orders rows by file name, then as they stand. A folder
-    without such files raises. Each file is one record to the reader; its array is
-    exploded with places, so the order holds however files are dealt out.
+    without such files raises. Files are cut into blocks that many tasks read.
     """
     word = FILE_KEYWORDS[normalise_case_type(case_type)]
     pattern = spark._jvm.org.apache.hadoop.fs.Path(raw_dir, f"*{word}*.json")
     if not pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern):
         raise ValueError(f"no files with {word} in {raw_dir}")
-    files = spark.read.format("binaryFile").load(pattern.toString())
+    rows = read_json_arrays(spark, pattern.toString(), RAW)
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    rows = files.select(name.alias("source_file"), F.from_json(F.decode("content", "UTF-8"), f"array<{RAW.simpleString()}>").alias("records"))
-    rows = rows.select("source_file", F.posexplode("records").alias("_i", "r"))
-    return flatten(rows.select(F.struct(F.col("source_file").alias("file"), F.col("_i").alias("place")).alias("_id"), "source_file", "r.*").withColumnRenamed("_id", "_row")).withColumn("_row_id", F.struct("_row_file", "_row_place")).drop("_row_file", "_row_place")
+    rows = rows.select(F.struct(name.alias("file"), "place").alias("_row"), name.alias("source_file"), "record.*")
+    return flatten(rows).withColumn("_row_id", F.struct("_row_file", "_row_place")).drop("_row_file", "_row_place")
 
 
 def file_counts(df: DataFrame) -> DataFrame:
