@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.text import clean_basic, words
-from ..operators import annotate, attribution, evaluate, pooling, profile, retrieve, training
+from ..operators import annotate, attribution, evaluate, nearest, pooling, profile, retrieve, training
 from .stand_ins import table
 
 LABELS = [0, 1]
@@ -87,6 +87,22 @@ def set_similarity_topk(spark, sf_dir):
     return out.select("query_id", "doc", F.round("similarity", 5).alias("similarity"), "candidate_rank")
 
 
+def indexed_topk(spark, sf_dir):
+    """The twenty nearest by the inverted file, exact."""
+    sets = _sets(spark, sf_dir)
+    index = nearest.build_vector_index(sets, "doc", "case_type", "vectors", ("class",))
+    out = nearest.nearest(index, sets.where("doc % 20 = 0"), "doc", "case_type", "vectors", 20)
+    return out.select("query_id", "doc", F.round("similarity", 5).alias("similarity"), "candidate_rank", "class")
+
+
+def indexed_few_shot(spark, sf_dir):
+    """Diverse examples among the ten nearest by the inverted file."""
+    sets = _sets(spark, sf_dir)
+    index = nearest.build_vector_index(sets, "doc", "case_type", "vectors")
+    out = retrieve.diverse(nearest.nearest(index, sets.where("doc % 20 = 0"), "doc", "case_type", "vectors", 10), "doc", 3, 0.5)
+    return out.select("query_id", "doc", F.round("similarity", 5).alias("similarity"), "diversity_rank")
+
+
 def diverse_topk(spark, sf_dir):
     out = retrieve.diverse(retrieve.top_candidates(_pairs(spark, sf_dir), "doc", 10), "doc", 3, 0.5)
     return out.select("query_id", "doc", F.round("similarity", 5).alias("similarity"), "diversity_rank")
@@ -300,6 +316,11 @@ def _wide_sql(n: int) -> str:
     return f"{_resampled(n)} select {', '.join(parts)}"
 
 
+_DIVERSE = f"""{_SETS}, t as (select pairs.*, named.d, row_number() over (partition by query_id order by similarity desc, pairs.doc) as r from pairs join named on pairs.doc = named.doc qualify r <= 10),
+      p1 as (select * from t where r = 1), p2 as (select t.* from t join p1 on t.query_id = p1.query_id where t.r > 1 and list_dot_product(t.d, p1.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1),
+      p3 as (select t.* from t join p1 on t.query_id = p1.query_id join p2 on t.query_id = p2.query_id where t.r > p2.r and list_dot_product(t.d, p1.d) < 0.5 and list_dot_product(t.d, p2.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1)
+      """ + " union all ".join(f"select query_id, doc, round(similarity, 5) as similarity, {k} as diversity_rank from p{k}" for k in (1, 2, 3))
+
 PAIRS = {
     "confusion_matrix": (confusion_matrix, f"with {_CELLS} select x::int as y_true, coalesce(sum(n) filter (p = 0), 0)::bigint as pred_0, coalesce(sum(n) filter (p = 1), 0)::bigint as pred_1 from (select unnest([0, 1]) as x) left join cells on t = x group by 1"),
     "class_metrics": (class_metrics, f"with {_CELLS}, {_M.format(sums=_SUMS)} " + " union all ".join(f"select {x}::int as label, t{x}::bigint as support, round(case when p{x} > 0 then h{x} / p{x} else 0 end, 6) as precision, round(case when t{x} > 0 then h{x} / t{x} else 0 end, 6) as recall, round(case when t{x} + p{x} > 0 then 2 * h{x} / (t{x} + p{x}) else 0 end, 6) as f1 from m" for x in LABELS)),
@@ -316,10 +337,9 @@ PAIRS = {
     "baseline_summary": (baseline_summary, "select count(*) as n, round((select max(c) / sum(c) from (select count(*) as c from embeddings group by label)), 6)::double as majority_share, round(min(m), 6) as confidence_min, round(avg(m), 6) as confidence_mean, round(max(m), 6) as confidence_max, round(stddev_pop(m), 6) as confidence_std from (select list_max(embedding[1:3])::double as m from embeddings)"),
     "rank_weights": (rank_weights, "select vec_id, round(1.0 / list_sum(list_transform(range(1, label + 2), lambda i: 1.0::double / i)), 6)::double as first, 1.0::double as total from embeddings"),
     "set_similarity_topk": (set_similarity_topk, f"{_SETS} select query_id, doc, round(similarity, 5) as similarity, row_number() over (partition by query_id order by similarity desc, doc)::int as candidate_rank from pairs qualify candidate_rank <= 3"),
-    "diverse_topk": (diverse_topk, f"""{_SETS}, t as (select pairs.*, named.d, row_number() over (partition by query_id order by similarity desc, pairs.doc) as r from pairs join named on pairs.doc = named.doc qualify r <= 10),
-      p1 as (select * from t where r = 1), p2 as (select t.* from t join p1 on t.query_id = p1.query_id where t.r > 1 and list_dot_product(t.d, p1.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1),
-      p3 as (select t.* from t join p1 on t.query_id = p1.query_id join p2 on t.query_id = p2.query_id where t.r > p2.r and list_dot_product(t.d, p1.d) < 0.5 and list_dot_product(t.d, p2.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1)
-      """ + " union all ".join(f"select query_id, doc, round(similarity, 5) as similarity, {k} as diversity_rank from p{k}" for k in (1, 2, 3))),
+    "indexed_topk": (indexed_topk, f"{_SETS} select query_id, doc, round(similarity, 5) as similarity, row_number() over (partition by query_id order by pairs.similarity desc, doc)::int as candidate_rank, class from pairs qualify candidate_rank <= 20"),
+    "diverse_topk": (diverse_topk, _DIVERSE),
+    "indexed_few_shot": (indexed_few_shot, _DIVERSE),
     "few_shot_balanced": (few_shot_balanced, f"{_SETS}, t as (select *, row_number() over (partition by query_id, class order by similarity desc, doc) as r from pairs qualify r <= 2), n as (select query_id, class, max(r) as n from t group by all), l as (select query_id, min(n) as l from n group by 1) select t.query_id, class, doc, r::int as few_shot_rank from t join l on t.query_id = l.query_id where r <= l"),
     "few_shot_map": (few_shot_map, f"""{_SETS}, b as (select *, row_number() over (partition by query_id order by class) as k, count(*) over (partition by query_id) as n from (select * from pairs qualify row_number() over (partition by query_id, class order by similarity desc, doc) = 1)),
       c as (select query_id, class, doc, case when n > 5 then k else 1 end as k from b where k <= 5)
