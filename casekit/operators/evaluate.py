@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.shared import written
 
 METRICS = ("macro_f1", "mcc")
-#: Draws of the bootstrap that are made from one row.
-_SLOTS = 8192
+#: Groups of at most so many values, one of them, have exact p values, if the other is not
+#: larger than what their product allows.
+SMALL, MOST_PRODUCT = 8, 1 << 16
 
 
 def confusion_counts(df: DataFrame, true: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -62,40 +67,62 @@ def overall_metrics(cells: DataFrame, labels: Sequence[int], keys: Sequence[str]
     return wide.select(*keys, F.col("s").alias("n_samples"), F.col("c").alias("n_correct"), (c / s).alias("accuracy"), (add(f1) / len(labels)).alias("macro_f1"), mcc.alias("mcc"))
 
 
+def binomial_quantile(n: int, p: float, u: float) -> int:
+    """The least k whose distribution function, of k successes in ``n`` draws of chance ``p``,
+    reaches ``u``.
+
+    Masses are built up from the mode by their ratios, as far as twelve deviations to either
+    side: what lies beyond is below what doubles can tell.
+    """
+    if n <= 0 or p <= 0 or p >= 1:
+        return n if p >= 1 and n > 0 else 0
+    reach = 12 * math.sqrt(n * p * (1 - p)) + 12
+    low, high = max(0, math.floor(n * p - reach)), min(n, math.ceil(n * p + reach))
+    k = np.arange(low, high, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1) * (p / (1 - p))))])
+    masses = np.exp(logs - logs.max())
+    return min(high, low + int(np.searchsorted(np.cumsum(masses) / masses.sum(), u)))
+
+
+def _uniform(*key) -> float:
+    """A number between 0 and 1 that the key decides."""
+    return (int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+
 def bootstrap_cells(df: DataFrame, true: str, pred: str, n_resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(b, y_true, y_pred, n): cells of resamples, each class drawn with replacement to its
     size.
 
-    The draw for resample b, class and slot is a hash of them and the seed modulo the
-    class's size, so that it is the same everywhere. A draw names a row's place in its
-    class, rows being placed by their predicted label; as metrics depend on cells alone,
-    only the cells (classes squared numbers) come to the driver, and draws are made and
-    counted by resample: nothing but counts is shuffled.
+    As metrics depend on cells alone, a class's draws are one multinomial count over its
+    cells: binomial counts of one cell after the other, given what is left. Each is the
+    quantile of a number that seed, resample, class and cell decide, so that it is the same
+    everywhere. Rows are counted once; a resample costs a few arrays, as long as the root of
+    a class's size. Only the cells (classes squared numbers) come to the driver.
     """
-    ranges: dict = {}
+    cells: dict = {}
     for true_label, pred_label, n in confusion_counts(df, true, pred).orderBy("y_true", "y_pred").collect():
-        begin = ranges[true_label][-1][1] if true_label in ranges else 0
-        ranges.setdefault(true_label, []).append((begin, begin + n, pred_label))
+        cells.setdefault(true_label, []).append((pred_label, n))
     spark = df.sparkSession
     kind = df.schema[true].dataType.simpleString(), df.schema[pred].dataType.simpleString()
-    if not ranges:
-        return spark.createDataFrame([], f"b long, y_true {kind[0]}, y_pred {kind[1]}, n long")
-    lit = lambda x, t: F.lit(x).cast(t)
-    classes = F.array(*[
-        F.struct(lit(c, kind[0]).alias("y_true"), lit(r[-1][1], "long").alias("size"), F.array(*[F.struct(lit(x, "long").alias("begin"), lit(y, "long").alias("end"), lit(p, kind[1]).alias("y_pred")) for x, y, p in r]).alias("ranges"))
-        for c, r in ranges.items()
-    ])
+    schema = f"b long, y_true {kind[0]}, y_pred {kind[1]}, n long"
+    if not cells:
+        return spark.createDataFrame([], schema)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for b in part["id"].tolist():
+                for label, own in cells.items():
+                    left, open_ = sum(n for _, n in own), sum(n for _, n in own)
+                    for guess, n in own:
+                        k = left if n == open_ else binomial_quantile(left, n / open_, _uniform(seed, b, label, guess))
+                        left, open_ = left - k, open_ - n
+                        if k:
+                            rows.append((b, label, guess, k))
+            yield pd.DataFrame(rows, columns=["b", "y_true", "y_pred", "n"])
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = spark.range(0, n_resamples, 1, min(parts, n_resamples)).select(F.col("id").alias("b"), F.explode(classes).alias("c")).select("b", "c.*")
-    # Slots in blocks, so that no array is as long as a class.
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / _SLOTS))).alias("block")
-    drawn = runs.select("b", "y_true", "size", "ranges", blocks)
-    slots = F.explode(F.sequence(F.col("block") * _SLOTS, F.least(F.col("size"), (F.col("block") + 1) * _SLOTS) - 1)).alias("slot")
-    drawn = drawn.select("b", "y_true", "size", "ranges", slots)
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("y_true").cast("string"), F.col("slot").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("size"))
-    hit = F.filter("ranges", lambda r: (r["begin"] <= pick) & (pick < r["end"]))
-    return drawn.select("b", "y_true", F.element_at(hit, 1)["y_pred"].alias("y_pred")).groupBy("b", "y_true", "y_pred").agg(F.count("*").alias("n"))
+    return spark.range(0, n_resamples, 1, min(parts, n_resamples)).mapInPandas(run, schema)
 
 
 def bootstrap_intervals(df: DataFrame, true: str, pred: str, labels: Sequence[int], n_resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
@@ -157,6 +184,59 @@ def mann_whitney(df: DataFrame, group: Column, value: str) -> DataFrame:
     return out.withColumn("p_value", normal_two_sided(F.col("z")))
 
 
+def rank_sum_counts(m: int, n: int) -> list[int]:
+    """How many of the ways to choose ``m`` of ``m + n`` ranks have U = 0, 1, … m n.
+
+    The coefficients of the product of (1 - q^(n+i)) / (1 - q^i) over i up to m, in integers.
+    """
+    out = np.zeros(m * n + 1, dtype=object)
+    out[0] = 1
+    for i in range(1, m + 1):
+        if n + i <= m * n:
+            out[n + i :] = out[n + i :] - out[: m * n + 1 - n - i]
+        for at in range(min(i, m * n + 1)):
+            out[at::i] = np.cumsum(out[at::i])
+    return [int(v) for v in out]
+
+
+def exact_two_sided(n1: int, n2: int, u: float) -> float:
+    """P(U as far from its mean as ``u``, to either side), without ties."""
+    counts = rank_sum_counts(min(n1, n2), max(n1, n2))
+    beyond = sum(counts[int(max(u, n1 * n2 - u)) :])
+    return min(1.0, 2 * beyond / sum(counts))
+
+
+def mann_whitney_by(df: DataFrame, keys: Sequence[str], group: Column, value: str) -> DataFrame:
+    """(keys, n1, n2, u, auc, z, p_value, exact) of each group of rows with equal ``keys``, as
+    ``mann_whitney`` of it, but with the exact distribution of U where one side has at most
+    ``SMALL`` values, the sides' product is at most ``MOST_PRODUCT`` and no values tie.
+
+    Values are aggregated to their counts; running counts are within a key, so a key's
+    distinct values meet in one task: for one very large table take ``mann_whitney``. Null
+    values are left out, null keys are a key; a group without both sides has null results.
+    """
+    named = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), group.alias("g"))
+    counts = named.groupBy(*keys, "v").agg(F.count("*").alias("n"), F.count_if("g").alias("n1"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
+    ranked = counts.withColumn("rank", upto - F.col("n") + (F.col("n") + 1) / 2.0)
+    cubes = (F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")
+    total = ranked.groupBy(*keys).agg(F.sum("n1").cast("double").alias("n1"), F.sum(F.col("n") - F.col("n1")).cast("double").alias("n2"), F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum(cubes).alias("ties"))
+    n1, n2, both = F.col("n1"), F.col("n2"), (F.col("n1") > 0) & (F.col("n2") > 0)
+    u, m = F.col("r1") - n1 * (n1 + 1) / 2, n1 + n2
+    spread = F.sqrt(n1 * n2 / 12 * ((m + 1) - F.try_divide(F.col("ties"), m * (m - 1))))
+    z = F.greatest(F.coalesce(F.try_divide(F.abs(u - n1 * n2 / 2) - 0.5, spread), F.lit(0.0)), F.lit(0.0))
+    small = (F.least(n1, n2) <= SMALL) & (n1 * n2 <= MOST_PRODUCT) & (F.col("ties") == 0)
+    out = total.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.when(both, u).alias("u"), F.when(both, u / F.nullif(n1 * n2, F.lit(0.0))).alias("auc"), F.when(both, z).alias("z"), F.coalesce(both & small, F.lit(False)).alias("exact"))
+
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series, x: pd.Series, use: pd.Series) -> pd.Series:
+        known: dict = {}
+        return pd.Series([known.setdefault((i, j, k), exact_two_sided(int(i), int(j), k)) if e else None for i, j, k, e in zip(a, b, x, use, strict=True)], dtype="float64")
+
+    exact = out.withColumn("_p", tail("n1", "n2", "u", "exact"))
+    return exact.select(*keys, "n1", "n2", "u", "auc", "z", F.coalesce(F.col("_p"), F.when(F.col("z").isNotNull(), normal_two_sided(F.col("z")))).alias("p_value"), "exact")
+
+
 def normal_two_sided(z: Column) -> Column:
     """Two-sided tail of the standard normal distribution beyond ``z`` (0 or more), by the
     series of erf below 3 and the continued fraction of erfc above."""

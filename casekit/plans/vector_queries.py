@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.text import clean_basic, words
-from ..operators import annotate, attribution, evaluate, nearest, pooling, profile, retrieve, training
+from ..operators import annotate, attribution, evaluate, nearest, pooling, profile, projection, retrieve, training
 from .stand_ins import table
 
 LABELS = [0, 1]
@@ -52,6 +52,18 @@ def mann_whitney_auc(spark, sf_dir):
     return out.select("n1", "n2", "u", F.round("auc", 6).alias("auc"), F.round("z", 6).alias("z"))
 
 
+def mann_whitney_small(spark, sf_dir):
+    """For each customer: are open orders priced unlike the others? Exact where few."""
+    out = evaluate.mann_whitney_by(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "O", "o_totalprice")
+    return out.select("o_custkey", "n1", "n2", "u", F.round("p_value", 7).alias("p_value"), "exact")
+
+
+def projected_points(spark, sf_dir):
+    """Three coordinates of every vector."""
+    out = projection.projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return out.select("vec_id", *[F.get("point", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+
+
 def fit_diagnosis(spark, sf_dir):
     rows = _labels(spark, sf_dir).withColumn("split", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("gold"))
     m = evaluate.overall_metrics(evaluate.confusion_counts(rows, "quality", "toxic", ["split"]), LABELS, ["split"])
@@ -299,10 +311,14 @@ _SETS = """with w as (select unnest([1.0, 1.0/2, 1.0/3, 1.0/4, 1.0/5]) / (1.0 +
 
 
 def _resampled(n: int) -> str:
-    """Sums of the cells of ``n`` resamples (m) and of the table itself (o)."""
-    return f"""with {_CELLS}, pl as (select t, p, sum(n) over (partition by t order by p) - n as a, sum(n) over (partition by t order by p) as b, sum(n) over (partition by t) as z from cells),
-      sz as (select distinct t, z::bigint as z from pl), dr as (select b, t, ('0x' || substr(md5('42|' || b || '|' || t || '|' || slot), 1, 8))::bigint % z as k from (select b, t, z, unnest(range(z)) as slot from sz, (select unnest(range({n})) as b))),
-      c2 as (select dr.b as b, dr.t, pl.p, count(*) as n from dr join pl on dr.t = pl.t and dr.k >= pl.a and dr.k < pl.b group by all),
+    """Sums of the cells of ``n`` resamples (m) and of the table itself (o): the first cell of a
+    class is a binomial quantile, the second what is left."""
+    return f"""with {_CELLS}, sz as (select t, sum(n)::bigint as z, min(p) as p, arg_min(n, p)::double as n from cells group by t),
+      mass as (select t, k, exp(lgamma(z + 1) - lgamma(k + 1) - lgamma(z - k + 1) + k * ln(n / z) + (z - k) * ln(1 - n / z)) as w from (select *, unnest(range(z + 1)) as k from sz where n < z)),
+      upto as (select t, k, sum(w) over (partition by t order by k) / sum(w) over (partition by t) as w from mass),
+      us as (select b, t, p, z, n, (('0x' || substr(md5('42|' || b || '|' || t || '|' || p), 1, 8))::bigint + 0.5) / 4294967296 as u from sz, (select unnest(range({n})) as b)),
+      firsts as (select b, us.t, p, z, case when any_value(n) = z then z else count(*) filter (w < u) end as k from us left join upto on us.t = upto.t group by b, us.t, p, z),
+      c2 as (select b, t, p, k as n from firsts union all select b, f.t, cells.p, z - k from firsts f join cells on cells.t = f.t and cells.p <> f.p),
       m as (select b, sum(n) as s, sum(n) filter (t = p) as c, {_SUMS} from c2 group by b), {_M.format(sums=_SUMS).replace('m as', 'o as')}"""
 
 
@@ -316,6 +332,19 @@ def _wide_sql(n: int) -> str:
     return f"{_resampled(n)} select {', '.join(parts)}"
 
 
+#: Ways to choose m of the first n ranks with a given sum, rank by rank; U is the sum less m (m + 1) / 2.
+#: Larger groups, and those with ties, have the normal tail, its density summed by Simpson's rule.
+_SMALL_U = f"""with recursive d as (select o_custkey, o_totalprice::double as v, o_orderstatus = 'O' as g from orders where o_totalprice is not null),
+  r as (select *, rank() over (partition by o_custkey order by v) + (count(*) over (partition by o_custkey, v) - 1) / 2.0 as r from d),
+  k as (select o_custkey, count(*) filter (g)::bigint as n1, count(*) filter (not g)::bigint as n2, coalesce(sum(r) filter (g), 0) as r1, count(*) <> count(distinct v) as tied from r group by 1),
+  t as (select o_custkey, sum(c * c * c - c)::double as t from (select o_custkey, count(*)::double as c from d group by o_custkey, v) group by 1),
+  s as (select k.*, t, case when n1 > 0 and n2 > 0 then r1 - n1 * (n1 + 1) / 2.0 end as u, n1 > 0 and n2 > 0 and least(n1, n2) <= {evaluate.SMALL} and not tied as exact from k join t using (o_custkey)),
+  ways(n, m, total, c) as (select 0, 0, 0, 1::double union all
+    select n + 1, m + take, total + take * (n + 1), sum(c) from ways, (select unnest([0, 1]) as take) where n < (select max(n1 + n2) from s) and m + take <= {evaluate.SMALL} group by 1, 2, 3, n),
+  far as (select o_custkey, 2 * sum(c) filter (total - m * (m + 1) / 2 >= greatest(u, n1 * n2 - u)) / sum(c) as p from s join ways on n = n1 + n2 and m = least(n1, n2) where exact group by 1),
+  z as (select *, greatest((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))), 0) as z from s where u is not null),
+  tails as (select o_custkey, 1 - 2 * sum((case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-0.5 * pow(z * i / 400, 2))) * z / 400 / 3 / sqrt(2 * pi()) as p from z, (select unnest(range(401)) as i) group by o_custkey, z)
+select o_custkey, n1, n2, u::double as u, round(case when exact then least(1, far.p) else tails.p end, 7) as p_value, exact from s left join far using (o_custkey) left join tails using (o_custkey)"""
 _DIVERSE = f"""{_SETS}, t as (select pairs.*, named.d, row_number() over (partition by query_id order by similarity desc, pairs.doc) as r from pairs join named on pairs.doc = named.doc qualify r <= 10),
       p1 as (select * from t where r = 1), p2 as (select t.* from t join p1 on t.query_id = p1.query_id where t.r > 1 and list_dot_product(t.d, p1.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1),
       p3 as (select t.* from t join p1 on t.query_id = p1.query_id join p2 on t.query_id = p2.query_id where t.r > p2.r and list_dot_product(t.d, p1.d) < 0.5 and list_dot_product(t.d, p2.d) < 0.5 qualify row_number() over (partition by t.query_id order by t.r) = 1)
@@ -332,6 +361,8 @@ PAIRS = {
     "mann_whitney_auc": (mann_whitney_auc, """with d as (select n_chars::double as v, toxic = 1 as g from documents d join labels l on d.doc_id = l.doc_id), r as (select g, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from d),
       k as (select count(*) filter (g)::double as n1, count(*) filter (not g)::double as n2, sum(r) filter (g) as r1 from r), t as (select sum(c * c * c - c)::double as t from (select count(*)::double as c from d group by v)),
       u as (select n1, n2, r1 - n1 * (n1 + 1) / 2 as u, t from k, t) select n1::bigint as n1, n2::bigint as n2, u, round(u / (n1 * n2), 6) as auc, round(greatest((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))), 0), 6) as z from u"""),
+    "mann_whitney_small": (mann_whitney_small, _SMALL_U),
+    "projected_points": (projected_points, None),
     "fit_diagnosis": (fit_diagnosis, f"""with cells as (select doc_id % 2 = 0 as tr, quality as t, toxic as p, count(*) as n from labels group by all), m as (select tr, sum(n) as s, sum(n) filter (t = p) as c, {_SUMS} from cells group by tr), v as (select tr, {_F1} as f, {_MCC} as k from m),
       g as (select max(f) filter (tr) - max(f) filter (not tr) as gf, max(k) filter (tr) - max(k) filter (not tr) as gk, max(k) filter (tr) as tk from v) select round(gf, 6) as gap_f1, round(gk, 6) as gap_mcc, case when abs(tk) < 0.05 and gf < 0.10 then 'under' when gf > 0.20 then 'over' else 'inconclusive' end as verdict from g"""),
     "baseline_summary": (baseline_summary, "select count(*) as n, round((select max(c) / sum(c) from (select count(*) as c from embeddings group by label)), 6)::double as majority_share, round(min(m), 6) as confidence_min, round(avg(m), 6) as confidence_mean, round(max(m), 6) as confidence_max, round(stddev_pop(m), 6) as confidence_std from (select list_max(embedding[1:3])::double as m from embeddings)"),
