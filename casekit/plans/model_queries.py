@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import owen
+from ..operators import lexicon, owen
 from .stand_ins import table
 
 
@@ -44,6 +44,30 @@ c as (select doc_id, text, list_transform(s, lambda x: length(x)) as n, list_tra
 select doc_id, round({score(range(4))} - {score([])}, 8) as gap, {', '.join(values)} from c"""
 
 
+#: Words of the vocabulary of the query.
+_WORDS = 200
+
+
+def word_information(spark, sf_dir):
+    """Pairs of the most frequent words of all documents that are near each other more often
+    than by chance, with their counts."""
+    d = table(spark, sf_dir, "documents")
+    known = [r["word"] for r in lexicon.vocabulary(d, F.col("text"), _WORDS).collect()]
+    counts = lexicon.near_counts(d, F.col("text"), known)
+    both = lexicon.information(counts).join(counts, ["i", "j"])
+    name = F.array(*[F.lit(w) for w in known])
+    return both.select(F.get(name, F.col("i")).alias("word"), F.get(name, F.col("j")).alias("other"), "c", F.round("v", 6).alias("information"))
+
+
+_WORD_INFORMATION = rf"""with d as (select row_number() over () as r, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '') as t from documents),
+w as (select r, unnest(t) as word, unnest(range(len(t))) as i from d),
+known as (select word, count(*) as n from w group by 1 having count(*) >= {lexicon.LEAST} order by n desc, word limit {_WORDS}),
+k as (select w.* from w join known using (word)),
+c as (select a.word, b.word as other, count(*) as c from k a join k b on a.r = b.r and b.i between a.i - {lexicon.NEAR} and a.i + {lexicon.NEAR} and a.i <> b.i group by 1, 2),
+s as (select word, sum(c) as s from c group by 1)
+select c.word, other, c, round(ln(c * (select sum(c) from c)::double / (s.s::double * o.s)), 6) as information from c join s using (word) join s o on o.word = c.other where c * (select sum(c) from c)::double / (s.s::double * o.s) > 1"""
+
 PAIRS = {
+    "word_information": (word_information, _WORD_INFORMATION),
     "owen_values": (owen_values, _owen_sql()),
 }
