@@ -14,7 +14,7 @@ from ..functions.rules import canonical_label
 from ..operators import annotate, attribution, curate, extract, models, pooling, prompts, retrieve, sentences
 from ..sources import readers, sinks
 from ..sources.shared import shared_folder
-from ..streaming import ingest
+from ..streaming import frontier, ingest
 from ..vocabulary import ANCHORS, CANONICAL, COMMON_DROP, FILE_KEYWORDS, GOLD_DROP, IDENTIFYING_DROP, LABELS
 from .stand_ins import CASES_SQL, cases, table
 from .text_queries import _SENTENCES
@@ -159,6 +159,19 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(path).select("url", "tribunal")
 
 
+def link_frontier(spark, sf_dir):
+    """Links of all pages as a stream, each once over two runs."""
+    src, out, mark = _place(spark, "links"), _place(spark, "frontier"), _place(spark, "mark")
+    pages = table(spark, sf_dir, "pages")
+    links = extract.page_links(pages.select("page_id", "html")).unionByName(pages.select(F.col("url").alias("href")))
+    links.select("href", (F.xxhash64("href") % 2 == 0).alias("late")).write.parquet(f"{src}/all")
+    found = spark.read.parquet(f"{src}/all")
+    for late in (False, True):  # the second run finds half of them again
+        found.where(F.col("late") | F.lit(not late)).select("href").write.mode("append").parquet(f"{src}/in")
+        frontier.run_frontier(spark.readStream.schema("href string").parquet(f"{src}/in"), out, mark).awaitTermination()
+    return spark.read.schema(frontier.OUT).parquet(out).select("host", "href")
+
+
 # Views, labels, texts -----------------------------------------------------------------------
 
 
@@ -511,6 +524,8 @@ PAIRS = {
     "reports": (reports, "select n_name_safe || '_' || n_nationkey as report, '<!DOCTYPE html><p>' || n_name as value from (select n_nationkey, n_name, regexp_replace(n_name, '[^A-Za-z0-9_.-]+', '_', 'g') as n_name_safe from nation)"),
     "traces": (traces, "select n_name, 1::bigint as n from nation"),
     "saved_model": (saved_model, f"with {_SCALED} select vec_id, 2 as k, {_TWO} as second from z, r"),
+    "link_frontier": (link_frontier, r"""with l as (select unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) as href from pages union select url from pages)
+      select lower(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as host, href from l where href is not null group by all"""),
     "resumed": (resumed, "select c_custkey, c_custkey * 2 as twice from customer"),
     "batch_over_splits": (batch_over_splits, "select ['dv_train', 'dv_gold', 'boc_train', 'boc_gold'][c_custkey % 4 + 1] as split, count(*) as n, sum(c_custkey)::bigint as keys from customer group by 1"),
     "result_lines": (result_lines, "select n_name || '/dv/zero  macro_f1 ' || format('{:.3f}', round(n_nationkey / 3, 4)) || ' [' || format('{:.3f}', round(n_nationkey / 4, 4)) || ', ' || format('{:.3f}', round(n_nationkey / 5, 4)) || ']  mcc ' || format('{:.3f}', round(n_nationkey / 6, 4)) || ' [' || format('{:.3f}', round(n_nationkey / 7, 4)) || ', ' || format('{:.3f}', round(n_nationkey / 8, 4)) || ']' as line from nation"),
