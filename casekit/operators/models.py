@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions.rules import label_code, normalise_case_type
 from ..functions.text import clean_basic, words
 from ..vocabulary import LABELS
+from .batches import in_batches
 from .pooling import pooled, spaced_subset, token_windows
 from .sentences import encoded, hash_encoder
 
@@ -23,14 +24,15 @@ Predictor = Callable[[list[str]], np.ndarray]
 
 def scored(text: Column, predictor: Callable[[], Predictor], batch: int = 32) -> Column:
     """array<double> of class scores of each text. ``predictor`` makes the function, once
-    a worker task; it takes up to ``batch`` texts and gives one row each."""
+    a worker task; it takes up to ``batch`` texts, fewer where memory does not do, and gives
+    one row each."""
 
     @pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = predictor()
         for part in parts:
             texts = ["" if t is None else t for t in part]
-            rows = [list(map(float, r)) for at in range(0, len(texts), batch) for r in np.asarray(predict(texts[at : at + batch]))]
+            rows = [list(map(float, r)) for r in in_batches(predict, texts, batch)]
             yield pd.Series(rows, index=part.index, dtype="object")
 
     return run(text)
@@ -47,7 +49,7 @@ def score_texts(df: DataFrame, columns: dict[str, str], predictor: Callable[[],
             out = [part.column(part.schema.get_field_index(c)) for c in kept]
             for name in columns:
                 texts = [t or "" for t in part.column(part.schema.get_field_index(name)).to_pylist()]
-                rows = [list(map(float, r)) for at in range(0, len(texts), batch) for r in np.asarray(predict(texts[at : at + batch]))]
+                rows = [list(map(float, r)) for r in in_batches(predict, texts, batch)]
                 out.append(pa.array(rows, pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays(out, [*kept, *columns.values()])
 

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.text import let, sentence_tokens, sentences
 from ..functions.vectors import centroid, cosine
 from ..vocabulary import ANCHOR_WEIGHTS, ANCHORS, QUERIES
+from .batches import in_batches
 
 #: Weights of query, centroid and anchors, and the least share of anchored sentences.
 WEIGHTS, MIN_ANCHOR_RATIO = (0.7, 0.3, 0.35), 0.6
@@ -69,14 +70,15 @@ def hash_encoder(dim: int = 64, seed: int = 3) -> Callable[[list[str]], np.ndarr
 
 def encoded(text: Column, encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> Column:
     """array<float> of each text; ``encoder`` makes the encoding function, once a worker
-    task, which then takes ``batch`` texts at a time. Null counts as empty."""
+    task, which then takes up to ``batch`` texts at a time, fewer where memory does not do.
+    Null counts as empty."""
 
     @pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
         for part in parts:
             texts = ["" if t is None else t for t in part]
-            rows = [v for at in range(0, len(texts), batch) for v in encode(texts[at : at + batch])]
+            rows = in_batches(encode, texts, batch)
             yield pd.Series([v.astype(np.float32) for v in rows], index=part.index, dtype="object")
 
     return run(text)
@@ -91,7 +93,7 @@ def encoded_all(texts: Column, encoder: Callable[[], Callable[[list[str]], np.nd
         for part in parts:
             lists = [[] if some is None else ["" if x is None else x for x in some] for some in part]
             flat = [x for some in lists for x in some]
-            rows = [v.astype(np.float32) for at in range(0, len(flat), batch) for v in encode(flat[at : at + batch])]
+            rows = [v.astype(np.float32) for v in in_batches(encode, flat, batch)]
             ends = np.cumsum([0, *map(len, lists)])
             yield pd.Series([rows[a:b] for a, b in pairwise(ends.tolist())], index=part.index, dtype="object")
 
