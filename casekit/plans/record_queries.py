@@ -12,7 +12,7 @@ from ..functions import vectors as v
 from ..functions.dates import stamp
 from ..functions.rules import canonical_label
 from ..operators import annotate, attribution, curate, extract, models, pooling, prompts, retrieve, sentences
-from ..sources import readers, sinks
+from ..sources import progress, readers, sinks
 from ..sources.shared import shared_folder
 from ..streaming import frontier, ingest
 from ..vocabulary import ANCHORS, CANONICAL, COMMON_DROP, FILE_KEYWORDS, GOLD_DROP, IDENTIFYING_DROP, LABELS
@@ -140,6 +140,16 @@ def resumed(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def progress_log(spark, sf_dir):
+    """Orders worked on in two runs, the second of which finds a third of them done."""
+    todo = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    log = progress.ProgressLog(spark, _place(spark, "progress"), "o_orderkey")
+    work = lambda df: df.select("o_orderkey", (F.col("o_totalprice").cast("double") / 2).alias("half"))
+    log.run(todo.where("o_orderkey % 3 = 0"), work)
+    log.run(todo, work, every=5000)
+    return log.read()
+
+
 def batch_over_splits(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     parts = {f"{a}_{b}": c.where((F.col("c_custkey") % 4) == i) for i, (a, b) in enumerate((a, b) for a in ("dv", "boc") for b in ("train", "gold"))}
@@ -526,6 +536,7 @@ PAIRS = {
     "saved_model": (saved_model, f"with {_SCALED} select vec_id, 2 as k, {_TWO} as second from z, r"),
     "link_frontier": (link_frontier, r"""with l as (select unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) as href from pages union select url from pages)
       select lower(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as host, href from l where href is not null group by all"""),
+    "progress_log": (progress_log, "select o_orderkey, o_totalprice::double / 2 as half from orders"),
     "resumed": (resumed, "select c_custkey, c_custkey * 2 as twice from customer"),
     "batch_over_splits": (batch_over_splits, "select ['dv_train', 'dv_gold', 'boc_train', 'boc_gold'][c_custkey % 4 + 1] as split, count(*) as n, sum(c_custkey)::bigint as keys from customer group by 1"),
     "result_lines": (result_lines, "select n_name || '/dv/zero  macro_f1 ' || format('{:.3f}', round(n_nationkey / 3, 4)) || ' [' || format('{:.3f}', round(n_nationkey / 4, 4)) || ', ' || format('{:.3f}', round(n_nationkey / 5, 4)) || ']  mcc ' || format('{:.3f}', round(n_nationkey / 6, 4)) || ' [' || format('{:.3f}', round(n_nationkey / 7, 4)) || ', ' || format('{:.3f}', round(n_nationkey / 8, 4)) || ']' as line from nation"),
