@@ -246,11 +246,15 @@ def over_splits(splits: dict[str, DataFrame], work) -> DataFrame:
 
 
 def epoch_order(df: DataFrame, key: str, epochs: int, seed: int = 42) -> DataFrame:
-    """``df`` once per epoch with ``epoch`` (from 0) and ``place`` (from 1): a fixed shuffle,
-    by a hash of seed, epoch and key; ties by key. One sorted window per epoch."""
+    """``df`` once per epoch with ``epoch`` (from 0) and ``place`` (long, from 1): a fixed
+    shuffle, by a hash of seed, epoch and key; ties by key, rows of one key in any order.
+    Places are total ranks over all epochs, less those of the epochs before, so that an
+    epoch is not one task's."""
+    n = df.count()
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")))
-    return each.withColumn("_m", mark).withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy("_m", key))).drop("_m")
+    ranked = global_rank(each.withColumn("_m", mark), [F.col("epoch"), F.col("_m"), F.col(key)])
+    return ranked.withColumn("place", F.col("_rank") - F.col("epoch") * F.lit(n)).drop("_m", "_rank")
 
 
 def exact_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:

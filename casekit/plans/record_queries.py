@@ -265,7 +265,7 @@ def parsed_state(spark, sf_dir):
 
 
 def epoch_orders(spark, sf_dir):
-    return curate.epoch_order(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 3)
+    return curate.epoch_order(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 3)
 
 
 # Joins and ranks ----------------------------------------------------------------------------
@@ -555,7 +555,7 @@ PAIRS = {
     "stamps": (stamps, "select o_orderkey, strftime(o_orderdate, '%Y%m%d') || '_130500' as stamp from orders"),
     "parsed_vectors": (parsed_vectors, "select vec_id, round(embedding[1]::double, 3) + 0.0 as x0, round(embedding[2]::double, 3) + 0.0 as x1, round(embedding[3]::double, 3) + 0.0 as x2 from embeddings"),
     "parsed_state": (parsed_state, "select c_custkey, c_custkey % 5 in (0, 1, 3) as finalizado, case when c_custkey % 2 = 0 then c_name else '' end as finalizado_em, '' as ultima_gravacao_em from customer"),
-    "epoch_orders": (epoch_orders, "select n_nationkey, epoch::int as epoch, row_number() over (partition by epoch order by md5('42|' || epoch || '|' || n_nationkey), n_nationkey)::int as place from nation, (select unnest([0, 1, 2]) as epoch)"),
+    "epoch_orders": (epoch_orders, "select c_custkey, epoch::int as epoch, row_number() over (partition by epoch order by md5('42|' || epoch || '|' || c_custkey), c_custkey) as place from customer, (select unnest([0, 1, 2]) as epoch)"),
     "inner_join": (inner_join, "select vec_id as id, label, quality from embeddings join labels on vec_id = doc_id"),
     "disjoint_splits": (disjoint_splits, "select not exists (select 1 from customer a join customer b on a.c_custkey = b.c_custkey where a.c_custkey % 2 = 0 and b.c_custkey % 2 = 1) as apart, not exists (select 1 from customer where c_custkey % 2 = 0) as same"),
     "summary_substitution": (summary_substitution, "select doc_id, md5(case when doc_id % 4 = 2 then 'summary ' || doc_id else text end) as md5, doc_id % 4 = 2 as condensed from documents"),

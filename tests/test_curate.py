@@ -74,3 +74,16 @@ def test_validation(spark):
     assert [tuple(r) for r in curate.validate_dataset(df, "id", "text", "label").collect()] == [("a", "x y", "k")]
     with pytest.raises(ValueError, match="nulls or repeats"):
         curate.validate_dataset(df.union(df), "id", "text", "label")
+
+
+def test_epoch_orders_are_shuffles_of_all_rows(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(i, "x") for i in range(50)] + [(None, "y"), (7, "z")], "k long, place string").drop("place")
+    rows = curate.epoch_order(df, "k", 3, 9).collect()
+    for epoch in range(3):
+        own = sorted((r for r in rows if r.epoch == epoch), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, 53)) and sorted(r.k for r in own if r.k is not None) == sorted([*range(50), 7])
+        marks = [hashlib.md5("|".join(["9", str(epoch)] + ([] if r.k is None else [str(r.k)])).encode()).hexdigest() for r in own]
+        assert marks == sorted(marks)
+    assert curate.epoch_order(df.limit(0), "k", 2).collect() == []
