@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import html as _html
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.rules import normalise_case_type
 from ..functions.text import let
@@ -28,8 +23,10 @@ from ..vocabulary import (
     PEACE_COURT,
     REPAIR_DATE,
     REVIEW,
+    SUMMARY_HEADING,
     SUMMARY_TEXT,
 )
+from .dom import page_text, section_and_text
 
 
 def _strip(text: Column) -> Column:
@@ -58,24 +55,6 @@ def html_text(source: Column, drop: tuple[str, ...] = ("script", "style")) -> Co
     return F.array_join(parts, "\n")
 
 
-def html_text_exact(source: Column, drop: tuple[str, ...] = ("script", "style")) -> Column:
-    """As ``html_text``, with every character reference decoded, by Arrow batches."""
-
-    @pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else page_text(p, drop) for p in pages], dtype="object")
-
-    return run(source)
-
-
-def page_text(source: str, drop: tuple[str, ...]) -> str:
-    for tag in drop:
-        source = re.sub(rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)", "\x01", source)
-    source = re.sub(r"(?s)<!--.*?(?:-->|$)", "\x01", source)
-    parts = re.split(r"(?s)<[/!?]?[A-Za-z][^>]*(?:>|$)|<![^>]*>|\x01", source)
-    return "\n".join(t for p in parts if (t := _html.unescape(p).strip()))
-
-
 def page_title(source: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
@@ -115,17 +94,16 @@ def summary(text: Column) -> Column:
 
 
 def summary_of_page(source: Column) -> Column:
-    """Summary of an HTML page: what stands between a bold heading with the word and the
-    next bold text, else as of ``summary`` of its text."""
-    bold = F.regexp_extract(source, r"(?isu)<(?:b|strong)\b[^>]*>[^<]*sum[aá]rio[^<]*</(?:b|strong)>(.*?)(?=<(?:b|strong)\b|$)", 1)
-    text = F.nullif(html_text(bold), F.lit(""))
-    return F.coalesce(F.when(F.length(text) > 20, text), summary(html_text(source)))
+    """Summary of an HTML page: what the elements after a bold heading with the word hold, up
+    to the next bold one beside them, else as of ``summary`` of its text."""
+    page = section_and_text(source, SUMMARY_HEADING)
+    return F.coalesce(page["section"], summary(page["text"]))
 
 
 def full_text(source: Column, case_type: str) -> Column:
     """Text of a page without scripts, styles, menus, headers, footers and forms, from the
     heading of the full decision on if it is there."""
-    text = html_text(source, ("script", "style", "nav", "header", "footer", "form"))
+    text = page_text(source, ("script", "style", "nav", "header", "footer", "form"))
     return F.coalesce(_field(text, FULL_TEXT[normalise_case_type(case_type)], "(?isu)"), text)
 
 

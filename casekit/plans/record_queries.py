@@ -231,13 +231,18 @@ def field_extract_boc(spark, sf_dir):
 
 
 def page_summary(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 2 == 0, "<b>Sumário:</b> ").otherwise("<i>Sumário:</i> "), F.lit("<p>a short account of what was held on "), F.col("page_id").cast("string"), F.lit("</p><b>Decisão Texto Integral:</b> rest")).alias("h"))
-    return p.select("page_id", extract.summary_of_page(F.col("h")).alias("summary"))
+    """Whole pages with a heading put before the article's: bold, with the word in an element, or not bold."""
+    heading = F.element_at(F.array(F.lit("<b>Sumário:</b>"), F.lit("<strong><span>SUMARIO</span></strong>x"), F.lit("<i>Sumário:</i>")), (F.col("page_id") % 3 + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), heading)).alias("h"))
+    return p.select("page_id", F.md5(extract.summary_of_page(F.col("h"))).alias("summary_md5"))
 
 
 def page_full_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<nav>menu</nav><p>before "), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "</p><h2>Decisão Texto Integral:</h2>").otherwise("</p>"), F.lit("<script>x</script><p>the text</p><form>f</form><footer>end</footer>")).alias("h"))
-    return p.select("page_id", extract.full_text(F.col("h"), "dv").alias("text"))
+    """Whole pages, every other one with the heading of the decision, within nested and unclosed forms and headers."""
+    heading = F.when(F.col("page_id") % 2 == 0, "<p>Decisão <!-- x -->Texto Integral:</p>").otherwise("")
+    form = F.lit("<header>a<header>b</header>c</header><div><form>d<p>e</div>")
+    p = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</h1>"), F.concat(F.lit("</h1>"), heading, form)).alias("h"))
+    return p.select("page_id", F.md5(extract.full_text(F.col("h"), "dv")).alias("text_md5"))
 
 
 def advanced_clean(spark, sf_dir):
@@ -519,6 +524,27 @@ def _summary_sql() -> str:
 
 _TOKENS = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
+def _strings(x: str) -> str:
+    """Stripped texts between tags that are not empty."""
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return rf"list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+def _summary_of_page_sql() -> str:
+    """Closed elements are lines; the first unclosed paragraph holds all that follows in the article."""
+    parts = "list_append(string_split_regex(split_part(body, '<p><b>', 1), '</h1>|</p>'), substr(body, length(split_part(body, '<p><b>', 1)) + 1))"
+    lines = f"list_filter(list_transform({parts}, lambda y: array_to_string({_strings('y')}, '')), lambda y: y <> '')"
+    return f"""select page_id, md5(case when page_id % 3 < 2 then array_to_string({lines}, chr(10)) else array_to_string({_strings("body || '<p>' || rest")}, chr(10)) end) as summary_md5
+      from (select page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as body, split_part(html, '</article>', 2) as rest from pages)"""
+
+
+def _full_text_sql() -> str:
+    before = "regexp_replace(split_part(html, '</h1>', 1), '(?s)<(?:script|style|nav)>.*?</(?:script|style|nav)>|<!--.*?-->', '<p>', 'g')"
+    after = _strings("regexp_extract(html, '(?s)</h1>(.*)</article>', 1)")
+    return f"select page_id, md5(array_to_string(list_concat(case when page_id % 2 = 0 then ['Decisão', 'Texto Integral:'] else {_strings(before)} end, {after}), chr(10))) as text_md5 from pages"
+
+
 PAIRS = {
     "raw_records": (raw_records, "select 'u/' || c_custkey as url, case when c_custkey % 7 = 0 then null else c_mktsegment end as tribunal, md5(c_name || ' \"é\"' || chr(10)) as md5, c_mktsegment || '|x' as descritores, 'regex' as metadata_decisao_extraction_method, case when c_custkey % 2 = 0 then 'high' end as metadata_decisao_confidence from customer"),
     "raw_file_counts": (raw_file_counts, "select 1::bigint as n_files, 5::bigint as n_rows, true as stamped"),
@@ -548,8 +574,8 @@ PAIRS = {
     "text_repairs": (text_repairs, """select doc_id, md5(case when doc_id % 2 = 0 then x else ' ' || x end) as after, '0' || (doc_id % 9 + 1) || '/02/2020' as date, 'JP_SEIXAL' as court, case when doc_id % 3 > 0 then 'begin ' || coalesce(lang, '') || ' END.' end as inner
       from (select doc_id, lang, 'Data do Acordão: 0' || (doc_id % 9 + 1) || '/02/2020 BEGIN ' || coalesce(lang, '') || case when doc_id % 3 = 0 then '' else ' end.' end || ' tail' as x from documents)"""),
     "field_extract_boc": (field_extract_boc, "select doc_id, doc_id || '/21' as n_processo, 'RUI' as juiz_relator, ['01-02-2020', '02-03-2021', '03-04-2022'][doc_id % 3 + 1] as data_acordao, 'Procedente' as decisao, 'N' as texto_integral_disponivel, case when doc_id % 2 = 0 then 'JP_VILA_NOVA_DE_GAIA' else 'TRX' end as tribunal from documents"),
-    "page_summary": (page_summary, "select page_id, 'a short account of what was held on ' || page_id || case when page_id % 2 = 0 then '' else chr(10) || 'Decisão Texto Integral:' || chr(10) || 'rest' end as summary from pages"),
-    "page_full_text": (page_full_text, "select page_id, case when page_id % 2 = 0 then 'Decisão Texto Integral:' || chr(10) || 'the text' else 'before ' || page_id || chr(10) || 'the text' end as text from pages"),
+    "page_summary": (page_summary, _summary_of_page_sql()),
+    "page_full_text": (page_full_text, _full_text_sql()),
     "advanced_clean": (advanced_clean, r"select doc_id, md5(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower('Art. 12º, n 3 e ' || text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 and not regexp_full_match(w, '\d+º?')), ' ')) as md5 from documents"),
     "colours": (colours, "select c_custkey, case when v >= 0 then 'rgb(255,' || f || ',' || f || ')' else 'rgb(' || f || ',' || f || ',255)' end as span, '#' || " + " || ".join(f"lpad(lower(to_hex(round(255.0 + (c_custkey % 11) / 10.0 * ({b} - 255.0))::int)), 2, '0')" for b in (0x33, 0x66, 0x99)) + " as blend from (select c_custkey, v, floor(255 * (1.0 - least(1.0, abs(v) / 0.8)))::int as f from (select c_custkey, (c_custkey % 21 - 10) / 10.0::double as v from customer))"),
     "stamps": (stamps, "select o_orderkey, strftime(o_orderdate, '%Y%m%d') || '_130500' as stamp from orders"),

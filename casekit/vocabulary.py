@@ -149,6 +149,7 @@ DESCRIPTOR_EXCLUDE = {
     "dv": (r"data\s+do\s+acord[aã]o", "processo:", "relator:", "tribunal:", "decisão:", "votação:", r"^[0-9\s\-/]+$"),
     "boc": (r"data\s+da\s+senten[çc]a", "processo:", r"ju[ií]z:", "tribunal:", "decisão:", "área:", r"^[0-9\s\-/]+$"),
 }
+SUMMARY_HEADING = r"(?i)sum[aá]rio"
 SUMMARY_TEXT = r"sum[aá]rio:?\s*\n?(.*?)(?=\n\s*(?:decis[aã]o\s+texto|relatório|acordam):|$)"
 FULL_TEXT = {"dv": r"(decis[aã]o\s+texto\s+integral:.*)", "boc": r"((?:decis[aã]o|senten[çc]a)\s+texto\s+integral:.*)"}
 AFTER_HEADING = r"(?:decisão|decisao)\s+texto\s+integral(?:\s*[:\-–—]\s*)?(.*)"

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from casekit.operators import extract
+from casekit.operators import dom, extract
 from casekit.vocabulary import CASCADE, CASCADE_STARTS, DECISION_VERBS, REVIEW
 
 PAGE = "<html><head><title> T </title><style>x</style></head><body><nav>menu</nav><b>Sumário:</b><p>Um resumo bem longo do caso.</p><b>Outro</b><script>1<2</script><p>Processo: 12/20&amp;x</p>Relator: ANA\n<p>Decisão Texto Integral:</p><p>corpo</p></body></html>"
@@ -11,7 +11,7 @@ PAGE = "<html><head><title> T </title><style>x</style></head><body><nav>menu</na
 def test_html(spark):
     df = spark.createDataFrame([(PAGE,), (None,), ("",)], "h string")
     plain = [r[0] for r in df.select(extract.html_text(F.col("h"))).collect()]
-    exact = [r[0] for r in df.select(extract.html_text_exact(F.col("h"))).collect()]
+    exact = [r[0] for r in df.select(dom.page_text(F.col("h"))).collect()]
     assert plain == exact and plain[0].split("\n")[:3] == ["T", "menu", "Sumário:"]
     got = df.select(extract.page_title(F.col("h")), extract.summary_of_page(F.col("h")), extract.full_text(F.col("h"), "dv")).first()
     assert tuple(got) == ("T", "Um resumo bem longo do caso.", "Decisão Texto Integral:\ncorpo")
