@@ -79,6 +79,8 @@ class _Page:
                 out.append(self.node("table", y, "".join(row() for _ in range(r.randint(1, 3)))))
             else:
                 out.append(self.node("figure", y, self.node("figcaption", y, self.words(2, 10))))
+            if r.random() < 0.03:
+                out[-1] = self.node(r.choice(("ins", "del")), y, out[-1])
         return "".join(out)
 
     def boiler(self, inside: bool) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,15 +27,22 @@ _CLOSING = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for tag in
 #: Those that run to the page's end where they are not closed; of the others only the tag goes.
 _TO_THE_END = {"script", "style"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins_", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "meter", "nobr", "output", "progress", "q", "rp", "rt", "ruby", "s", "samp", "slot", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture"}
 #: Embedded content, formulas and drawings, whose text is part of the block around them.
 _INLINE |= {"audio", "canvas", "math", "object", "svg", "video"}
 _INLINE |= {"annotation", "annotation-xml", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics"}
 _INLINE |= {"animate", "circle", "clippath", "defs", "desc", "ellipse", "filter", "foreignobject", "g", "image", "line", "lineargradient", "marker", "mask", "metadata", "path", "pattern", "polygon", "polyline", "radialgradient", "rect", "stop", "symbol", "text", "textpath", "tspan", "use"}
+#: Elements that bound blocks, and those of them that may stand in a paragraph. Any other name (``ins``, ``del``,
+#: names of a page's own) is a block or not by where it stands.
+_BLOCK = set("address article aside blockquote body button caption center colgroup datalist dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html label legend li listing main menu nav noframes ol optgroup option p plaintext pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
+_CONTROLS = {"button", "datalist", "label", "optgroup", "option", "select"}
+_HOLDS_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "caption", "figcaption", "summary", "legend", "label", "button", "option"}
+_BOUND = re.compile(rf"(?:\s+|<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z))*+(?:\Z|</?(?:{'|'.join(sorted(_BLOCK))})[\s/>])", re.I | re.S)
+_ANY_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)[^>]*>?")
 #: Start tags that end an open element of the first set, within the second.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SKIP = {"head"}
-_SPACE_TAGS = {"br", "hr", "img", "wbr"}
+_SPACE_TAGS = {"br", "hr"}
 
 
 @dataclass
@@ -47,13 +55,41 @@ class Node:
     linked: int = 0
 
 
+class _Ahead:
+    """Whether an element that is neither known as a block nor as inline holds blocks, or
+    stands between bounds of blocks. One pass over a page, made when it is first asked."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.ends: dict[str, list[tuple[int, int]]] | None = None
+        self.blocks: list[int] = []
+
+    def block(self, tag: str, at: int) -> bool:
+        if self.ends is None:
+            self.ends = {}
+            for m in _ANY_TAG.finditer(self.source):
+                name = m[2].lower()
+                if m[1]:
+                    self.ends.setdefault(name, []).append((m.start(), m.end()))
+                elif name in _BLOCK:
+                    self.blocks.append(m.start())
+        ends = self.ends.get(tag, [])
+        k = bisect_left(ends, (at, 0))
+        if k == len(ends):
+            return False
+        inner = bisect_left(self.blocks, at)
+        return inner < len(self.blocks) and self.blocks[inner] < ends[k][0] or _BOUND.match(self.source, ends[k][1]) is not None
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes of a page (the first is the root; parents precede children), and its
     blocks (node, text) in page order: text between the bounds of block elements.
 
     Comments, declarations, scripts, styles and the other elements of ``_RAW`` are left
-    out; inline elements, formulas and embedded content are part of their block. Character references are
-    decoded, white space becomes one space, and empty blocks are dropped. Unclosed and
+    out; inline elements, formulas and embedded content are part of their block. Elements
+    of other names, ``ins`` and ``del`` are inline beside text and in what holds text; they
+    are nodes where they hold blocks or stand alone between blocks. Character references
+    are decoded, white space becomes one space, and empty blocks are dropped. Unclosed and
     stray tags are taken as browsers do in the common cases; any input is parsed.
     """
     nodes = [Node("#root", "", -1)]
@@ -62,6 +98,9 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     links = text_links = 0
     at, end = 0, len(source)
     search = _TOKEN.search
+    ahead = _Ahead(source)
+    #: For each open element of another name, whether it is a node.
+    other: dict[str, list[bool]] = {}
 
     def close_block() -> None:
         nonlocal bits, text_links
@@ -113,6 +152,17 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 elif tag in _TO_THE_END:
                     at = end
             continue
+        if tag not in _BLOCK:
+            opened = other.setdefault(tag, [])
+            if m["end"]:
+                if not opened or not opened.pop():
+                    continue
+            elif m["attr"].endswith("/"):
+                continue
+            else:
+                opened.append(nodes[stack[-1]].tag not in _HOLDS_TEXT and not any(b.strip() for b in bits) and ahead.block(tag, at))
+                if not opened[-1]:
+                    continue
         close_block()
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
@@ -121,7 +171,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     links = 0
                     break
             continue
-        if nodes[stack[-1]].tag == "p":
+        if nodes[stack[-1]].tag == "p" and tag not in _CONTROLS:
             stack.pop()
         if rule := _ENDS.get(tag):
             for k in range(len(stack) - 1, 0, -1):
@@ -180,10 +230,12 @@ N_EDGES = 3
 
 @lru_cache(100_000)
 def _static(tag: str, attr: str) -> tuple[int, ...]:
-    """Features of an element by its tag, and by its class, id and role."""
-    out = [_TAGS.index(tag) if tag in _TAGS else len(_TAGS)]
+    """Features of an element by its tag, and by its class, id and role; names of a page's
+    own count as ``ins``, and say what a class would."""
+    own = _own_name(tag)
+    out = [_TAGS.index("ins") if own else _TAGS.index(tag) if tag in _TAGS else len(_TAGS)]
     named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attr)}
-    name = " ".join(v for k in ("class", "id") if (v := named.get(k)))
+    name = " ".join([*(v for k in ("class", "id") if (v := named.get(k))), *([tag] if own else [])])
     if name:
         out += [len(_TAGS) + 1 + i for i, k in enumerate(_HINTS) if k != "role" and _HINT[k].search(name)]
     if (role := named.get("role")) and _HINT["role"].search(role):
@@ -198,8 +250,13 @@ def _dynamic(node: Node) -> int:
     return len(_TAGS) + 1 + len(_HINTS) + size * 3 + (share > 0.05) + (share > 0.6)
 
 
+def _own_name(tag: str) -> bool:
+    return tag not in _BLOCK and tag != "#root"
+
+
 def _edge_kind(parent: Node, node: Node) -> int:
-    return 0 if node.tag in _LANDMARKS and parent.tag in ("#root", "body", "div", "section") else 1 if node.tag in _LANDMARKS else 2
+    landmark = node.tag in _LANDMARKS or _own_name(node.tag)
+    return 0 if landmark and parent.tag in ("#root", "body", "div", "section") else 1 if landmark else 2
 
 
 def marginals(nodes: list[Node], unary: list[float], edge: np.ndarray) -> tuple[list[float], list[tuple[float, float, float, float]], float]:

@@ -80,6 +80,33 @@ def test_formulas_and_embedded_content_keep_their_text():
         assert texts(f"<div>a</div><{tag} class=x>fallback<p>the article</p><p>goes on</p>") == ["a", "fallback", "the article", "goes on"]
 
 
+def test_inline_elements_do_not_split_blocks():
+    texts = lambda page: [t for _, t in html_tree.parse(page)[1]]
+    for tag in ("ins", "del", "output", "custom-x", "b", "slot"):
+        assert texts(f"<p>We have <{tag}>added</{tag}> words here</p>") == ["We have added words here"]
+        assert texts(f"<p><{tag}>Added</{tag}> words</p><p>more") == ["Added words", "more"]
+        assert texts(f"<div><{tag}>Added</{tag}> words<{tag}>.</{tag}></div>") == ["Added words."]
+        assert texts(f"<div>We have <{tag}>added<p>a block</p></{tag}> and more</div>") == ["We have added", "a block", "and more"]
+        assert texts(f"<li><{tag}>an item</{tag}></li><li>b") == ["an item", "b"]
+        assert texts(f"<p>open <{tag}>to the end") == ["open to the end"]
+        assert texts(f"a<{tag}/>b</{tag}>c") == ["abc"]
+    assert texts("<p>one<wbr>two<img src=x>three<br>four</p>") == ["onetwothree four"]
+    assert texts("<div><ins class=ads>Buy</ins><!-- x --> <p>text</p></div>") == ["Buy", "text"]
+    assert texts("<p>Press <button>Go</button> to go on</p><p>b") == ["Press", "Go", "to go on", "b"]
+
+
+def test_kinds_of_inserted_and_own_elements(model):
+    body = "<article><h1>A title here</h1><p>The first paragraph of a text that goes on for a while.</p>{}<p>The last paragraph of the text, which is long too.</p></article>"
+    assert "was added later" in html_tree.main_text(body.format("<ins><p>This paragraph was added later, by the same hand.</p></ins>"), model)
+    assert "Buy" not in html_tree.main_text(body.format('<ins class="ads">Buy this now</ins>'), model)
+    assert "Buy" not in html_tree.main_text(body.format('<amp-ad class="ad-slot"><p>Buy this now</p></amp-ad>'), model)
+
+
+def test_many_unknown_and_unclosed_names_take_linear_time():
+    page = "".join(f"<x{i}>w " for i in range(30_000)) + "<ins>" * 30_000
+    assert len(html_tree.parse(page)[1]) == 1
+
+
 def test_raw_elements_end_where_they_end():
     texts = lambda page: [t for _, t in html_tree.parse(page)[1]]
     assert texts("<p>" + "İ" * 60 + "</p><script>var x = '<p>';</SCRIPT ><p>one</p><p>two</p>") == ["İ" * 60, "one", "two"]
