@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let
@@ -42,14 +43,22 @@ def spaced_subset(windows: Column, most: int = MOST_WINDOWS) -> Column:
 
 
 def pooled(df: DataFrame, id_col: str, vector_col: str, weight: Column | str | None = None, out: str = "embedding") -> DataFrame:
-    """(id, window_count, out): mean of a document's vectors by position, weighted if asked;
-    sums are combined per position before the shuffle. A total weight of 0 gives null."""
+    """(id, window_count, out): mean of a document's vectors by position, weighted if asked.
+
+    Tasks sum up their rows first, so that one vector per document and task moves. Weights
+    are 0 or more, and a document's vectors have one length. Rows without a vector or a
+    weight are counted, but no part of the mean; a document of only such rows has null.
+    """
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("double")
-    counts = df.groupBy(id_col).agg(F.count("*").alias("window_count"))
-    long = df.select(id_col, w.alias("_w"), F.posexplode(vector_col).alias("_i", "_x"))
-    sums = long.groupBy(id_col, "_i").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
-    back = sums.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias(out))
-    return counts.join(back, id_col, "left")
+    used = F.coalesce((F.size(vector_col) > 0) & (w != 0), F.lit(False))
+    # What has no part is a group of its own, as a mean of nothing is an error.
+    rows = df.select(
+        id_col, used.alias("_used"), F.when(used, w).otherwise(F.lit(1.0)).alias("_w"),
+        array_to_vector(F.when(used, F.col(vector_col).cast("array<double>")).otherwise(F.array(F.lit(0.0)))).alias("_v"),
+    )
+    means = rows.groupBy(id_col, "_used").agg(F.count("*").alias("_n"), Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+    mean = F.first(F.when(F.col("_used"), vector_to_array("_m")), ignorenulls=True)
+    return means.groupBy(id_col).agg(F.sum("_n").alias("window_count"), mean.alias(out))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

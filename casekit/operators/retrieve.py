@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import dot, weighted_direction
+from .curate import global_rank
 
 #: Candidates kept by relevance, picks per class, greatest similarity of two picks.
 TOP_N, PER_CLASS, MAX_SIMILARITY = 20, 1, 0.9
 #: Bytes of query vectors that go to all tasks at once, about.
 BLOCK_BYTES = 64 << 20
+#: The greatest cut of ranks that Spark makes before a shuffle (windowGroupLimitThreshold).
+CUT_AHEAD = 1000
 
 
 def directions(df: DataFrame, vectors: str, out: str = "direction") -> DataFrame:
@@ -22,12 +25,26 @@ def rank_sentences(df: DataFrame, group: str, score: str, idx: str = "idx", out:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(idx).desc())))
 
 
-def candidate_pools(df: DataFrame, case_type: str, label: str, id_col: str, cap: int | None = None) -> DataFrame:
-    """(case_type, label, ids, ranks): candidates by id with ranks from 1; null groups are
-    kept. With a cap, the first ``cap`` of each pool."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(case_type, label).orderBy(id_col)))
-    if cap is not None:
-        ranked = ranked.where(F.col("_r") <= cap)
+def pool_places(df: DataFrame, case_type: str, label: str, id_col: str, out: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1 by id, in its pool of one case type and label;
+    null groups are pools too. Pools are few and large, so rows are dealt out by ranges of
+    the whole order, and a pool's first place is taken off."""
+    order = [F.col(c).asc_nulls_first() for c in (case_type, label, id_col)]
+    ranked = global_rank(df, order)
+    starts = ranked.groupBy(F.col(case_type).alias("_case"), F.col(label).alias("_label")).agg(F.min("_rank").alias("_first"))
+    joined = ranked.join(starts, F.col(case_type).eqNullSafe(F.col("_case")) & F.col(label).eqNullSafe(F.col("_label")))
+    return joined.withColumn(out, F.col("_rank") - F.col("_first") + 1).drop("_case", "_label", "_first", "_rank")
+
+
+def candidate_pools(df: DataFrame, case_type: str, label: str, id_col: str, cap: int) -> DataFrame:
+    """(case_type, label, ids, ranks): the first ``cap`` candidates of each pool by id, with
+    ranks from 1; null groups are kept. Whole pools are rows: see ``pool_places``. Each task
+    cuts its part of a pool to ``cap`` before rows move, up to ``CUT_AHEAD``."""
+    if cap <= CUT_AHEAD:
+        ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(case_type, label).orderBy(id_col)))
+    else:
+        ranked = pool_places(df, case_type, label, id_col, "_r").withColumn("_r", F.col("_r").cast("int"))
+    ranked = ranked.where(F.col("_r") <= cap)
     pool = F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(id_col).alias("id"))))
     out = ranked.groupBy(case_type, label).agg(pool.alias("_p"))
     return out.select(case_type, label, F.transform("_p", lambda x: x["id"]).alias("ids"), F.transform("_p", lambda x: x["_r"]).alias("ranks"))

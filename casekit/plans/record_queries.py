@@ -27,8 +27,8 @@ def _place(spark, tag: str) -> str:
 # Sources and sinks --------------------------------------------------------------------------
 
 
-def _raw(spark, sf_dir):
-    """Customers as raw records, in three JSON array files."""
+def _raw(spark, sf_dir, both: bool = False):
+    """Customers as raw records, in three JSON array files, with ``both`` of each case type."""
     c = table(spark, sf_dir, "customer")
     meta = F.struct(F.lit("regex").alias("extraction_method"), F.when(F.col("c_custkey") % 2 == 0, "high").alias("confidence"))
     rows = c.select(
@@ -37,7 +37,8 @@ def _raw(spark, sf_dir):
     )
     folder = _place(spark, "raw")
     sinks.write_json_array(rows.repartition(3, "url"), folder, f"trl_{FILE_KEYWORDS['dv']}")
-    sinks.write_json_array(rows.limit(5).coalesce(1), folder, f"trl_{FILE_KEYWORDS['boc']}")
+    more = rows.repartition(2) if both else rows.limit(5).coalesce(1)
+    sinks.write_json_array(more, folder, f"trl_{FILE_KEYWORDS['boc']}")
     return folder
 
 
@@ -47,8 +48,8 @@ def raw_records(spark, sf_dir):
 
 
 def raw_file_counts(spark, sf_dir):
-    out = readers.file_counts(readers.read_raw(spark, _raw(spark, sf_dir), "ic"))
-    return out.agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.min(F.col("source_file").rlike(r"^trl_.*_\d{8}_\d{6}\.json$")).alias("stamped"))
+    out = readers.file_counts(readers.read_raw(spark, _raw(spark, sf_dir, both=True), "ic"))
+    return out.agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), F.min(F.col("source_file").rlike(r"^trl_.*_\d{8}_\d{6}_\d\.json$")).alias("stamped"))
 
 
 def csv_round_trip(spark, sf_dir):
@@ -86,13 +87,13 @@ def table_json(spark, sf_dir):
 
 def found_paths(spark, sf_dir):
     here = _place(spark, "paths")
-    sinks.write_json(table(spark, sf_dir, "region"), f"{here}/second")
+    sinks.write_json(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), f"{here}/second")
     found = readers.first_path(spark, [f"{here}/{x}" for x in ("first", "second", "third")])
     try:
         missing = readers.first_path(spark, [f"{here}/first"])
     except FileNotFoundError:
         missing = None
-    return spark.createDataFrame([(found.rsplit("/", 1)[1], missing)], "found string, missing string")
+    return spark.read.json(found).select("s_suppkey", "s_name", F.lit(found.rsplit("/", 1)[1]).alias("found"), F.lit(missing).cast("string").alias("missing"))
 
 
 def case_types_of_names(spark, sf_dir):
@@ -118,6 +119,26 @@ def reports(spark, sf_dir):
     return spark.read.text(path).select("report", "value")
 
 
+def report_pages(spark, sf_dir):
+    """A page per customer: two sentences, coloured by their values."""
+    value = (F.col("c_custkey") % 21 - 10) / 10.0
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.concat(F.lit("a < "), "c_name"), F.col("c_mktsegment")).alias("sentences"), F.array(value, F.lit(0.5)).alias("shown"))
+    return c.select("c_custkey", F.md5(attribution.html_report(c, "c_custkey")).alias("md5"))
+
+
+def annotation_long(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("ana"), F.col("c_name").alias("rui"))
+    return annotate.matrix_to_long(c, "c_custkey", "decision")
+
+
+def cross_validation(spark, sf_dir):
+    """Folds in the order of ids; a first position that tells the classes apart is told by every head."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y"), F.expr("concat(array(double(label % 2) * 40 - 20), cast(slice(embedding, 1, 3) as array<double>))").alias("v"))
+    folds = curate.expanding_folds(e.select("vec_id"), [F.col("vec_id")], 3)
+    out = pooling.cross_validated(e, folds, "vec_id", "v", "y")
+    return out.groupBy("fold", "y_true").agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("n_right"))
+
+
 def traces(spark, sf_dir):
     path = _place(spark, "trace")
     for part in (0, 1):
@@ -169,6 +190,30 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(path).select("url", "tribunal")
 
 
+def _event_stream(spark, sf_dir):
+    """All events as a stream, with the time of arrival."""
+    src = _place(spark, "events")
+    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("arrived")).write.parquet(f"{src}/all")
+    return spark.readStream.schema("event_id long, user_id long, event_type string, arrived timestamp").parquet(f"{src}/*")
+
+
+def _streamed(spark, stream, tag):
+    path = _place(spark, tag)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", _place(spark, "mark")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def stream_windows(spark, sf_dir):
+    """Hours that are over by the watermark, two hours before the last event."""
+    out = _streamed(spark, ingest.counts_by_window(_event_stream(spark, sf_dir), "arrived", "event_type"), "windows")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+
+
+def stream_arrivals(spark, sf_dir):
+    out = _streamed(spark, ingest.first_arrivals(_event_stream(spark, sf_dir), "user_id"), "arrivals")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 def link_frontier(spark, sf_dir):
     """Links of all pages as a stream, each once over two runs."""
     src, out, mark = _place(spark, "links"), _place(spark, "frontier"), _place(spark, "mark")
@@ -531,6 +576,16 @@ def _strings(x: str) -> str:
     return rf"list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
+def _report_sql() -> str:
+    def span(value: str, sentence: str) -> str:
+        fade = f"floor(255 * (1.0 - least(1.0, abs({value}) / greatest(abs(v), 0.5))))::int"
+        colour = f"case when {value} >= 0 then 'rgb(255,' || {fade} || ',' || {fade} || ')' else 'rgb(' || {fade} || ',' || {fade} || ',255)' end"
+        return f"""'<span style="background:' || {colour} || '" title="' || format('{{:.6f}}', {value}) || '">' || {sentence} || '</span>'"""
+
+    page = f"""'<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || c_custkey || '</title></head><body><p>' || {span("v", "'a &lt; ' || c_name")} || ' ' || {span("0.5::double", "c_mktsegment")} || '</p></body></html>'"""
+    return f"select c_custkey, md5({page}) as md5 from (select *, (c_custkey % 21 - 10) / 10.0::double as v from customer)"
+
+
 def _summary_of_page_sql() -> str:
     """Closed elements are lines; the first unclosed paragraph holds all that follows in the article."""
     parts = "list_append(string_split_regex(split_part(body, '<p><b>', 1), '</h1>|</p>'), substr(body, length(split_part(body, '<p><b>', 1)) + 1))"
@@ -547,17 +602,22 @@ def _full_text_sql() -> str:
 
 PAIRS = {
     "raw_records": (raw_records, "select 'u/' || c_custkey as url, case when c_custkey % 7 = 0 then null else c_mktsegment end as tribunal, md5(c_name || ' \"é\"' || chr(10)) as md5, c_mktsegment || '|x' as descritores, 'regex' as metadata_decisao_extraction_method, case when c_custkey % 2 = 0 then 'high' end as metadata_decisao_confidence from customer"),
-    "raw_file_counts": (raw_file_counts, "select 1::bigint as n_files, 5::bigint as n_rows, true as stamped"),
+    "raw_file_counts": (raw_file_counts, "select 2::bigint as n_files, count(*) as n_rows, true as stamped from customer"),
     "csv_round_trip": (csv_round_trip, "select c_custkey, 'say \"' || c_name || '\",' || chr(10) as said, '[\"' || c_mktsegment || '\"]' as list from customer"),
     "csv_cases": (csv_cases, "select c_custkey::varchar as n_processo, c_name as texto, case when c_custkey % 3 = 0 then c_mktsegment else '' end as label from customer where c_custkey % 5 <> 0"),
     "parquet_folders": (parquet_folders, "select c_mktsegment as split, count(*) as n, sum(c_custkey)::bigint as keys from customer group by 1"),
     "json_lines": (json_lines, "select n_nationkey::bigint as n_nationkey, case when n_nationkey % 2 = 0 then n_name end as name from nation"),
     "table_json": (table_json, "select c_custkey, md5(c_name || ' \"é' || chr(10)) as md5, round(case when c_custkey % 2 = 0 then c_acctbal end, 2)::double as bal, c_custkey % 3 = 0 as flag from customer"),
-    "found_paths": (found_paths, "select 'second' as found, null::varchar as missing"),
+    "found_paths": (found_paths, "select s_suppkey, s_name, 'second' as found, null::varchar as missing from supplier"),
     "case_types_of_names": (case_types_of_names, "select c_custkey, case c_custkey % 6 when 0 then 'dv' when 3 then 'dv' when 5 then null else 'boc' end as case_type from customer"),
     "resolved_limits": (resolved_limits, "select unnest(['', 'abc', '0', '-3', '7', ' 12 ', '999']) as wanted, unnest([5, 5, 5, 5, 7, 12, (select count(*) from nation)])::int as n"),
     "nested_explanations": (nested_explanations, f"with {_LONG_SQL} select case_id, '{{\"case_id\":' || case_id || ',\"sentences\":[' || string_agg('\"' || sentence_text || '\"', ',' order by sentence_idx) || '],\"base\":' || case when case_id % 2 = 0 then '1.5' else 'null' end || '}}' as json from long group by 1"),
     "reports": (reports, "select n_name_safe || '_' || n_nationkey as report, '<!DOCTYPE html><p>' || n_name as value from (select n_nationkey, n_name, regexp_replace(n_name, '[^A-Za-z0-9_.-]+', '_', 'g') as n_name_safe from nation)"),
+    "report_pages": (report_pages, _report_sql()),
+    "annotation_long": (annotation_long, "select c_custkey, 'ana' as judge, 'decision' as field, case when c_custkey % 3 > 0 then c_mktsegment else '' end as value from customer union all select c_custkey, 'rui', 'decision', c_name from customer"),
+    "cross_validation": (cross_validation, "with e as (select vec_id, (label % 2)::int as y, row_number() over (order by vec_id) as k, count(*) over () as n from embeddings), f as (select *, unnest([0, 1, 2]) as fold from e) select fold, y as y_true, count(*) as n, count(*) as n_right from f where k > n - (3 - fold) * (n // 4) and k <= n - (2 - fold) * (n // 4) group by all"),
+    "stream_windows": (stream_windows, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hours group by all"),
+    "stream_arrivals": (stream_arrivals, "select user_id, 1::bigint as n from events group by all"),
     "traces": (traces, "select n_name, 1::bigint as n from nation"),
     "saved_model": (saved_model, f"with {_SCALED} select vec_id, 2 as k, {_TWO} as second from z, r"),
     "link_frontier": (link_frontier, r"""with l as (select unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) as href from pages union select url from pages)

@@ -135,6 +135,18 @@ def candidate_pools(spark, sf_dir):
     return out.select("case_type", "class", F.array_join("ids", ",").alias("ids"), F.size("ranks").alias("n"))
 
 
+def pool_places(spark, sf_dir):
+    return retrieve.pool_places(_sets(spark, sf_dir).select("doc", "class", "case_type"), "case_type", "class", "doc")
+
+
+def binary_decisions(spark, sf_dir):
+    """Both classes' scores of a logit, and what each row weighs by its class."""
+    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 3).cast("int"))
+    both = v.binary_scores(F.get("embedding", F.lit(0)).cast("double") * 9 - 1)
+    weight = F.when(F.col("y") == 1, pooling.positive_weight(e, "y")).otherwise(F.lit(1.0))
+    return e.select("vec_id", F.round(both[0], 6).alias("p0"), F.round(both[1], 6).alias("p1"), (both[1] >= 0.5).alias("positive"), F.round(weight, 6).alias("weight"))
+
+
 def window_slices(spark, sf_dir):
     wins = pooling.token_windows(words(clean_basic(F.col("text"))), 130, 28)
     return table(spark, sf_dir, "documents").select("doc_id", F.size(wins).alias("n_windows"), F.size(F.element_at(wins, -1)).alias("last_size"), F.size(pooling.spaced_subset(wins, 4)).alias("n_spaced"))
@@ -200,12 +212,15 @@ def _head_sql(last: str) -> str:
                 f"t{e + 1} as materialized (select c, j, t * {1 - s.rate * s.weight_decay} - {s.rate} * (m / {1 - b1 ** (e + 1)}) / (sqrt(v / {1 - b2 ** (e + 1)}) + {s.eps}) as t, m, v from n{e})",
             ]
     # Smoothed losses after each epoch; the least one's weights count.
-    smooth, waits = [f"(select loss from l1 where held)"], []
+    smooth = ["(select loss from l1 where held)"]
     for e in range(2, s.epochs + 1):
         smooth.append(f"({s.smooth} * (select loss from l{e} where held) + {1 - s.smooth} * s{e - 1})")
     chain = "s as (select *" + "".join(f" from (select *, {v} as s{i + 1}" for i, v in reversed(list(enumerate(smooth)))) + " from (select 1 as one)" + ")" * len(smooth) + ")"
-    best = "best as (select epoch as best from (select unnest(range(1, " + str(s.epochs + 1) + ")) as epoch, unnest([" + ", ".join(f"s{i + 1}" for i in range(s.epochs)) + "]) as v from s) order by v, epoch limit 1)"
-    parts += [chain, best]
+    rows = "losses as (select unnest(range(1, " + str(s.epochs + 1) + ")) as epoch, unnest([" + ", ".join(f"s{i + 1}" for i in range(s.epochs)) + "]) as v from s)"
+    least = "least_so_far as (select a.epoch, arg_min(b.epoch, struct_pack(v := b.v, e := b.epoch)) as best from losses a join losses b on b.epoch <= a.epoch group by 1)"
+    stop = f"stop as (select coalesce(min(epoch) filter (epoch - best >= {s.patience}), {s.epochs}) as last from least_so_far)"
+    best = "best as (select best from least_so_far where epoch = (select last from stop))"
+    parts += [chain, rows, least, stop, best]
     return "with " + ",\n".join(parts) + "\n" + last
 
 
@@ -215,7 +230,7 @@ _HEAD_PREDICTIONS = _head_sql(
     + ") p on p.vec_id = e.vec_id and p.epoch = (select best from best) group by all"
 )
 _HEAD_LOSSES = _head_sql(
-    " union all ".join(f"select {e}::int as epoch, round((select loss from l{e - 1} where not held), 6) as train_loss, round((select loss from l{e} where held), 6) as val_loss, (select best from best)::int as best_epoch" for e in range(1, HEAD.epochs + 1))
+    "select * from (" + " union all ".join(f"select {e}::int as epoch, round((select loss from l{e - 1} where not held), 6) as train_loss, round((select loss from l{e} where held), 6) as val_loss, (select best from best)::int as best_epoch" for e in range(1, HEAD.epochs + 1)) + ") where epoch <= (select last from stop)"
 )
 
 
@@ -376,6 +391,8 @@ PAIRS = {
       c as (select query_id, class, doc, case when n > 5 then k else 1 end as k from b where k <= 5)
       select query_id, count(*)::int as n, '[' || string_agg('{{"class":' || class || ',"few_shot_rank":' || k || ',"doc":' || doc || '}}', ',' order by class, k, doc) || ']' as examples from c group by 1"""),
     "candidate_pools": (candidate_pools, "with s as (select doc, class, case when doc % 2 = 0 then 'dv' else 'boc' end as case_type from (select vec_id // 5 as doc, min(label) as class from embeddings group by 1)), r as (select *, row_number() over (partition by case_type, class order by doc) as k from s qualify k <= 20) select case_type, class, string_agg(doc::varchar, ',' order by doc) as ids, count(*)::int as n from r group by all"),
+    "pool_places": (pool_places, "with s as (select doc, class, case when doc % 2 = 0 then 'dv' else 'boc' end as case_type from (select vec_id // 5 as doc, min(label) as class from embeddings group by 1)) select *, row_number() over (partition by case_type, class order by doc) as place from s"),
+    "binary_decisions": (binary_decisions, "with w as (select count(*) filter (label >= 3) / greatest(count(*) filter (label < 3), 1)::double as w from embeddings), e as (select vec_id, label, 1.0::double / (1.0::double + exp(-(embedding[1]::double * 9 - 1))) as p from embeddings) select vec_id, round(1.0::double - p, 6) as p0, round(p, 6) as p1, p >= 0.5 as positive, round(case when label < 3 then w else 1.0::double end, 6) as weight from e, w"),
     "window_slices": (window_slices, r"select doc_id, case when n <= 128 then 1 else (ceil((n - 128) / 100.0) + 1)::int end as n_windows, case when n <= 128 then n else (n - 100 * ceil((n - 128) / 100.0))::int end as last_size, least(4, case when n <= 128 then 1 else (ceil((n - 128) / 100.0) + 1)::int end)::int as n_spaced from (select doc_id, len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> ''))::int as n from documents)"),
     "weighted_pool": (weighted_pool, "select vec_id // 4 as doc, count(*) as window_count, round(sum(embedding[1]::double * (label + 1)) / sum(label + 1), 5) as x0, round(sum(embedding[64]::double * (label + 1)) / sum(label + 1), 5) as x63 from embeddings group by 1"),
     "centroid": (centroid, "with l as (select vec_id // 5 as doc, unnest(embedding)::double as x, unnest(range(1, 65)) as i from embeddings), s as (select doc, i, avg(x) as x from l group by all), c as (select doc, list(x order by i) as c from s group by doc), f as (select vec_id // 5 as doc, embedding::double[] as v from embeddings where vec_id % 5 = 0) select c.doc, round(c[1], 5) as x0, round(list_dot_product(c, v) / (greatest(sqrt(list_dot_product(c, c)), 1e-9) * greatest(sqrt(list_dot_product(v, v)), 1e-9)), 5) as cos from c join f on c.doc = f.doc"),

@@ -89,7 +89,7 @@ def frontier(links: DataFrame, href: str = "href", pace: float = 0.0) -> DataFra
 
 
 @contextlib.contextmanager
-def _rocks(spark: SparkSession):
+def rocks(spark: SparkSession):
     """State that is larger than memory: queries started meanwhile keep it in RocksDB."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
@@ -105,6 +105,6 @@ def _rocks(spark: SparkSession):
 def run_frontier(links: DataFrame, path: str, checkpoint: str, href: str = "href", pace: float = 0.0, once: bool = True) -> StreamingQuery:
     """Append the frontier of ``links`` to the Parquet table at ``path``, each link once over
     all runs with the same ``checkpoint``; ``once``: what is there, then stop."""
-    with _rocks(links.sparkSession):
+    with rocks(links.sparkSession):
         writer = frontier(links, href, pace).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="200 milliseconds")).start()

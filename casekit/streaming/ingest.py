@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from ..functions.rules import normalise_case_type
 from ..sources.readers import flatten
 from ..sources.schema import RAW
 from ..vocabulary import FILE_KEYWORDS
+from .frontier import rocks
 
 
 def raw_stream(spark: SparkSession, raw_dir: str, case_type: str, files_at_once: int = 100) -> DataFrame:
@@ -25,22 +27,46 @@ def first_arrivals(stream: DataFrame, key: str = "n_processo", within: str = "30
     return stream.withWatermark("arrived", within).dropDuplicatesWithinWatermark([key])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lasts as long as the checkpoint."""
+    place = f"{checkpoint}/run_name"
+    if not _exists(spark, f"{place}/_SUCCESS"):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place).first()[0]
+
+
 def add_new(stream: DataFrame, path: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
-    """Add the batches of ``stream``, after ``work``, to the table at ``path``, leaving out
-    keys that are there. A batch that is run again after a failure finds its rows there, so
-    each row is added once."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if work is None else work(batch)
-        rows = rows.dropDuplicates([key])
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(path)
-
-    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Add the rows of ``stream``, after ``work``, to the table at ``path``, the first of each
+    key (null is one, too) over all runs with this ``checkpoint``.
+
+    Keys that came before are in the stream's state, so a batch costs what its own rows do,
+    however large the table is. Batches are folders ``run=<name>/batch=<number>`` that are
+    written anew when a batch is run again after a failure, so each row is there once. Keys
+    that other runs put into the table are left out as well; only such rows are read.
+    """
+    spark = stream.sparkSession
+    run = _run_of(spark, checkpoint)
+    others = None
+    if _exists(spark, path):
+        found = spark.read.parquet(path)
+        if "run" not in found.columns:
+            raise ValueError(f"{path} has a table of another make")
+        others = found.where(F.col("run") != run).select(key)
+        others = None if others.isEmpty() else others.distinct()
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch if others is None else batch.join(others, key, "left_anti")
+        rows = rows if work is None else work(rows)
+        rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    with rocks(spark):
+        writer = stream.dropDuplicates([key]).writeStream.foreachBatch(put).option("checkpointLocation", f"{checkpoint}/stream")
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def counts_by_window(stream: DataFrame, time_col: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

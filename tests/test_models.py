@@ -118,6 +118,10 @@ def test_retrieval_against_numpy(spark):
     few = retrieve.few_shot(pairs, "id", "cls", 10, 2, None, max_total=5)
     assert few.groupBy("query_id").count().where("count <> 5").isEmpty()
     pools = retrieve.candidate_pools(df, "ct", "cls", "id", 2).orderBy("cls").collect()
+    places = retrieve.pool_places(df, "ct", "cls", "id").select("id", "cls", "place").collect()
+    assert all(r.place == 1 + sum(o.cls == r.cls and o.id < r.id for o in places) for r in places)
+    many = [r.ids for r in retrieve.candidate_pools(df, "ct", "cls", "id", 2000).orderBy("cls").collect()]
+    assert [sorted(x) for x in many] == many and sum(map(len, many)) == df.count()
     assert [r.ids for r in pools] == [[0, 3], [1, 4], [2, 5]] and pools[0].ranks == [1, 2]
 
 
@@ -128,6 +132,8 @@ def test_windows_and_pooling(spark):
     assert got[25][-1] == [str(i) for i in range(18, 25)] and got[0] == [[]]
     v = spark.createDataFrame([(1, 1.0, [1.0, 2.0]), (1, 3.0, [5.0, 6.0]), (2, 1.0, [7.0, 8.0])], "d int, w double, v array<double>")
     assert {r.d: (r.window_count, r.embedding) for r in pooling.pooled(v, "d", "v", "w").collect()} == {1: (2, [4.0, 5.0]), 2: (1, [7.0, 8.0])}
+    odd = spark.createDataFrame([(1, 0.0, [1.0]), (1, None, [2.0]), (2, 2.0, None), (2, 1.0, [4.0]), (3, 1.0, []), (None, 1.0, [5.0])], "d int, w double, v array<float>")
+    assert {r.d: (r.window_count, r.embedding) for r in pooling.pooled(odd, "d", "v", "w").collect()} == {1: (2, None), 2: (2, [4.0]), 3: (1, None), None: (1, [5.0])}
     assert spark.range(1).select(pooling.stop_epoch(F.array(*[F.lit(x) for x in (3.0, 2.0, 2.5, 2.4, 1.0)]), 2)).first()[0] == 4
 
 

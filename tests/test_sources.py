@@ -69,7 +69,8 @@ def test_resume(spark, tmp_path):
     assert spark.read.parquet(path).count() == 15
 
 
-def test_stream_adds_once(spark, raw, tmp_path):
+def test_stream_adds_once(spark, raw, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("added")
     path, mark = f"{tmp_path}/table", f"{tmp_path}/mark"
 
     def run():
@@ -81,6 +82,21 @@ def test_stream_adds_once(spark, raw, tmp_path):
     (raw / "c_violencia_domestica.json").write_text(json.dumps([RECORD | {"url": "new"}, RECORD | {"url": "a_violencia_domestica_trl.json0"}]))
     run()
     assert spark.read.parquet(path).count() == 6
+    # The last batch is run again, as after a failure before it was marked as done.
+    commits = sorted((tmp_path / "mark" / "stream" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert spark.read.parquet(path).count() == 6
+    # Another run, whose state knows nothing, adds no key that is there.
+    (raw / "d_violencia_domestica.json").write_text(json.dumps([RECORD | {"url": "newer"}]))
+    mark = f"{tmp_path}/other"
+    run()
+    found = spark.read.parquet(path)
+    assert found.count() == 7 == found.select("url").distinct().count()
+    spark.range(3).write.parquet(f"{tmp_path}/foreign")
+    with pytest.raises(ValueError):
+        ingest.add_new(ingest.raw_stream(spark, str(raw), "dv"), f"{tmp_path}/foreign", f"{tmp_path}/third", "url")
 
 
 def test_case_type_of_names(spark):
