@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._common import bound_batches, drop_worker_caches, materialize, new_path, pieces, worker_cache
 
@@ -421,9 +421,22 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before += seg.n_tokens
 
 
-def _file_order(path: str) -> tuple[int, int]:
-    found = re.search(r"part-(\d+)-[^/]*?(?:-c(\d+))?(?:\.[a-z]+)*$", path)
-    return int(found[1]), int(found[2] or 0)
+def _tokens_before(rows: DataFrame) -> DataFrame:
+    """(file, before): the tokens of all files before each, in the order in which they were
+    written. Files are dealt out by ranges of that order; one sum for each range comes to
+    the driver."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long")
+    piece = F.coalesce(F.nullif(F.regexp_extract("file", r"-c(\d+)(?:\.[a-z]+)*$", 1), F.lit("")).cast("long"), F.lit(0))
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"part": part, "piece": piece})
+    dealt = materialize(sums.repartitionByRange(parts, "part", "piece").withColumn("range", F.spark_partition_id()), "files")
+    starts, at = [], 0
+    for number, n in sorted((r[0], r[1]) for r in dealt.groupBy("range").agg(F.sum("n")).collect()):
+        starts += [F.lit(number), F.lit(at).cast("long")]
+        at += n
+    within = Window.partitionBy("range").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    add = F.create_map(*starts)[F.col("range")] if starts else F.lit(0)
+    return dealt.select("file", (F.coalesce(F.sum("n").over(within), F.lit(0)) + add).cast("long").alias("before"))
 
 
 def token_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -431,17 +444,11 @@ def token_directory(spark: SparkSession, path: str) -> DataFrame:
     documents before it), n_tokens, ids_crc32, and where it is: file, segment (its place in
     the file), k (its number in the segment), begin (its first token in the segment).
 
-    Only sums per file come to the driver: two numbers for each.
+    What precedes a file is a table that is joined as its size allows.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = materialize(files.mapInArrow(_entries, _ENTRY), "directory")
-    sums = sorted(((r[0], r[1]) for r in rows.groupBy("file").agg(F.sum("n_tokens")).collect()), key=lambda r: _file_order(r[0]))
-    before, at = [], 0
-    for name, n in sums:
-        before.append((name, at))
-        at += n
-    starts = spark.createDataFrame(before, "file string, before long")
-    out = rows.join(F.broadcast(starts), "file")
+    out = rows.join(_tokens_before(rows), "file")
     return out.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "segment", "k", "begin")
 
 

@@ -107,3 +107,16 @@ def test_words_beyond_the_cache_and_long_texts(plain, monkeypatch):
 
 def test_empty_table(spark):
     assert tokens.encode_to_directory(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tokens_before_files(spark, tmp_path):
+    rows = [(f"file:/x/part-{p:05d}-8f0a-c123-{p}-c{c:03d}.txt", (p * 7 + c) % 5) for p in (*range(12), 100_000, 123_456) for c in range(3)]
+    docs = [(name, n) for name, n in rows for _ in range(2)]
+    random.Random(4).shuffle(docs)
+    got = {r.file: r.before for r in tokens._tokens_before(spark.createDataFrame(docs, "file string, n_tokens long").repartition(5)).collect()}
+    at, want = 0, {}
+    for name, n in rows:
+        want[name] = at
+        at += 2 * n
+    assert got == want
+    assert tokens._tokens_before(spark.createDataFrame([], "file string, n_tokens long")).count() == 0
