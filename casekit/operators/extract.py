@@ -87,23 +87,25 @@ def descriptors(text: Column, case_type: str) -> Column:
     return F.filter(entries, lambda x: (F.length(x) > 2) & ~x.rlike(bad))
 
 
-def summary(text: Column) -> Column:
-    """What follows the summary heading up to the next heading; null under 21 characters."""
+def summary(text: Column, least: int = 21) -> Column:
+    """What follows the summary heading up to the next heading; null under ``least`` characters."""
     found = _field(text, SUMMARY_TEXT, "(?isu)")
-    return F.when(F.length(found) > 20, found)
+    return F.when(F.length(found) >= least, found)
 
 
-def summary_of_page(source: Column) -> Column:
+def summary_of_page(source: Column, closed: bool = False, least: int = 21) -> Column:
     """Summary of an HTML page: what the elements after a bold heading with the word hold, up
-    to the next bold one beside them, else as of ``summary`` of its text."""
-    page = section_and_text(source, SUMMARY_HEADING)
-    return F.coalesce(page["section"], summary(page["text"]))
+    to the next bold one beside them, else as of ``summary`` of its text. A summary has
+    ``least`` characters. With ``closed``, character references count only with their
+    semicolon."""
+    page = section_and_text(source, SUMMARY_HEADING, closed, least)
+    return F.coalesce(page["section"], summary(page["text"], least))
 
 
-def full_text(source: Column, case_type: str) -> Column:
+def full_text(source: Column, case_type: str, closed: bool = False) -> Column:
     """Text of a page without scripts, styles, menus, headers, footers and forms, from the
-    heading of the full decision on if it is there."""
-    text = page_text(source, ("script", "style", "nav", "header", "footer", "form"))
+    heading of the full decision on if it is there; ``closed`` as of ``summary_of_page``."""
+    text = page_text(source, ("script", "style", "nav", "header", "footer", "form"), closed)
     return F.coalesce(_field(text, FULL_TEXT[normalise_case_type(case_type)], "(?isu)"), text)
 
 

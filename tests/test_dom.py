@@ -115,3 +115,18 @@ def test_columns(spark):
     assert got[0] == (None, None) and got[1] == (None, "") and got[2][0] is None
     assert got[3][0] == got[4][0] == "o que se diz em mais de vinte"
     assert spark.createDataFrame([], "h string").select(extract.summary_of_page(F.col("h"))).count() == 0
+
+
+def test_references_without_semicolon(spark):
+    """The query's SQL reads a name that is cut off before its semicolon as text."""
+    assert dom.tree("a &amp</h1>b &amp; c &lt;d").lines() == ["a &", "b & c <d"]
+    assert dom.tree("a &amp</h1>b &amp; c &lt;d &#65; &#x42; &none; &notit; &amp;quot;", True).lines() == ["a &amp", 'b & c <d A B &none; &notit; &quot;']
+    df = spark.createDataFrame([("<b>Sumário</b><p>o que se diz em mais de vinte &amp</p>",)], "h string")
+    got = df.select(extract.summary_of_page(F.col("h"), closed=True).alias("s"), extract.full_text(F.col("h"), "dv", closed=True).alias("t")).first()
+    assert got.s == "o que se diz em mais de vinte &amp" and got.t.endswith("vinte &amp")
+
+
+def test_summaries_of_any_length(spark):
+    df = spark.createDataFrame([("<b>Sumário:</b><h1>um</h1><p>dois</p></article><footer>o que fica de fora da página</footer>",)], "h string")
+    got = df.select(extract.summary_of_page(F.col("h"), least=0).alias("s"), extract.summary_of_page(F.col("h")).alias("t")).first()
+    assert got.s.startswith("um\ndois") and got.t is not None
