@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import pairwise
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import let, sentence_tokens, sentences
-from ..functions.vectors import centroid, cosine
+from ..functions.vectors import TINY
 from ..vocabulary import ANCHOR_WEIGHTS, ANCHORS, QUERIES
 from .batches import in_batches
 
@@ -108,6 +109,49 @@ def query_vector(case_type: str, encode: Callable[[list[str]], np.ndarray]) -> l
 # Scores and selection -----------------------------------------------------------------------
 
 
+def fused_dot(a: Sequence[float], b: Sequence[float]) -> float:
+    """Sum of products, each added before it is rounded, as ``list_dot_product`` of the SQL
+    does: vectors that point the same way differ in the last bit of their cosines by the
+    order of roundings, and with it in rank."""
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total = math.fma(x, y, total)
+    return total
+
+
+def fused_cosines(vectors: Column, query: Sequence[float]) -> Column:
+    """Struct of the arrays ``query`` and ``centre``: the cosines of each of ``vectors`` with
+    the query and with their mean; norms are at least 1e-9. Null for a null vector or one of
+    another length."""
+
+    def size(v: Sequence[float]) -> float:
+        return max(math.sqrt(fused_dot(v, v)), TINY)
+
+    def mean(some: list) -> list[float] | None:
+        if not some or any(v is None for v in some):
+            return None
+        total = np.zeros(max(map(len, some)))
+        for v in some:
+            total[: len(v)] += v
+        return (total / len(some)).tolist()
+
+    def cosines(some: list, target: list[float] | None) -> list[float | None]:
+        if target is None:
+            return [None] * len(some)
+        whole = size(target)
+        return [None if v is None or len(v) != len(target) else fused_dot(v, target) / (size(v) * whole) for v in some]
+
+    @pandas_udf("struct<query:array<double>,centre:array<double>>")
+    def run(many: pd.Series) -> pd.DataFrame:
+        rows = []
+        for vs in many:
+            some = None if vs is None else [None if v is None else v.tolist() for v in vs]
+            rows.append((None, None) if some is None else (cosines(some, query), cosines(some, mean(some))))
+        return pd.DataFrame(rows, columns=["query", "centre"], dtype="object")
+
+    return run(vectors)
+
+
 def with_scores(df: DataFrame, query: Sequence[float], sentence_col: str = "sentences", vector_col: str = "vectors", weights: Sequence[float] = WEIGHTS, out: str = "scores") -> DataFrame:
     """``df`` with one score per sentence: cosine with the query, cosine with the document's
     centroid and anchor score, by ``weights`` scaled to sum to 1 (negative or all zero raise).
@@ -115,11 +159,10 @@ def with_scores(df: DataFrame, query: Sequence[float], sentence_col: str = "sent
     if len(weights) != 3 or min(weights) < 0 or not sum(weights):
         raise ValueError("three weights are needed, none negative and not all zero")
     q, c, a = (w / sum(weights) for w in weights)
-    target = F.array(*[F.lit(float(x)) for x in query])
-    paired = F.arrays_zip(F.col(vector_col).alias("v"), F.col(sentence_col).alias("s"))
-    middle = df.withColumn("_centre", centroid(F.col(vector_col)))
-    score = F.transform(paired, lambda p: q * cosine(p["v"], target) + c * cosine(p["v"], F.col("_centre")) + a * anchor_score(p["s"]))
-    return middle.withColumn(out, score).drop("_centre")
+    found = df.withColumn("_near", fused_cosines(F.col(vector_col), [float(x) for x in query]))
+    paired = F.arrays_zip(F.col("_near.query").alias("q"), F.col("_near.centre").alias("c"), F.col(sentence_col).alias("s"))
+    score = F.transform(paired, lambda p: q * p["q"] + c * p["c"] + a * anchor_score(p["s"]))
+    return found.withColumn(out, score).drop("_near")
 
 
 def _empty(kind: str) -> Column:
