@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_basic, words
@@ -27,6 +28,8 @@ MORE, PASSES = 10, 3
 RARE = 1e-3
 #: Pairs that a task counts before it hands them on.
 _HELD = 1 << 20
+#: Texts that are counted at once.
+_TEXTS = 200
 
 
 def vocabulary(df: DataFrame, text: Column, most: int = VOCABULARY, least: int = LEAST) -> DataFrame:
@@ -37,7 +40,7 @@ def vocabulary(df: DataFrame, text: Column, most: int = VOCABULARY, least: int =
 
 
 def _pairs(place: dict[str, int], near: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    v = len(place)
+    v, names = len(place), pa.array(list(place), pa.string())
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         all_, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -47,25 +50,33 @@ def _pairs(place: dict[str, int], near: int) -> Callable[[Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array((keys // v).astype(np.int32)), pa.array((keys % v).astype(np.int32)), pa.array(counts)], ["i", "j", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Put together once there are as many as are held: a copy for each text would take
+        # time with the square of their number.
+        keys, counts, held = [], [], 0
         for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                ids = np.fromiter((place.get(w, -1) for w in tokens or ()), np.int64)
+            for at in range(0, batch.num_rows, _TEXTS):
+                lists = batch.column(0).slice(at, _TEXTS)
+                # All texts of the slice at once; words of two texts are not near.
+                ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                text = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
                 found = []
                 for d in range(1, min(near, len(ids) - 1) + 1):
                     a, b = ids[:-d], ids[d:]
-                    both = (a >= 0) & (b >= 0)
+                    both = (a >= 0) & (b >= 0) & (text[:-d] == text[d:])
                     found += [a[both] * v + b[both], b[both] * v + a[both]]
                 if found:
                     own, n = np.unique(np.concatenate(found), return_counts=True)
-                    keys, counts = np.concatenate([keys, own]), np.concatenate([counts, n])
-                if len(keys) > _HELD:
-                    keys, counts = summed([keys], [counts])
-                    if len(keys) > _HELD // 2:
-                        yield rows(keys, counts)
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield rows(*summed([keys], [counts]))
+                    keys.append(own)
+                    counts.append(n)
+                    held += len(own)
+                if held > _HELD:
+                    own, n = summed(keys, counts)
+                    if len(own) > _HELD // 2:
+                        yield rows(own, n)
+                        own, n = own[:0], n[:0]
+                    keys, counts, held = [own], [n], len(own)
+        if held:
+            yield rows(*summed(keys, counts))
 
     return run
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import lexicon, owen
+from ..sources.shared import written
 from .stand_ins import table
 
 
@@ -53,7 +54,8 @@ def word_information(spark, sf_dir):
     than by chance, with their counts."""
     d = table(spark, sf_dir, "documents")
     known = [r["word"] for r in lexicon.vocabulary(d, F.col("text"), _WORDS).collect()]
-    counts = lexicon.near_counts(d, F.col("text"), known)
+    # Read for sums, their total and the pairs: counted once.
+    counts = written(lexicon.near_counts(d, F.col("text"), known), "near_counts")
     both = lexicon.information(counts).join(counts, ["i", "j"])
     name = F.array(*[F.lit(w) for w in known])
     return both.select(F.get(name, F.col("i")).alias("word"), F.get(name, F.col("j")).alias("other"), "c", F.round("v", 6).alias("information"))

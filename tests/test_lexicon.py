@@ -116,3 +116,18 @@ def test_counts_are_handed_on_in_parts(monkeypatch):
     want = total()
     monkeypatch.setattr(x, "_HELD", 100)
     assert total() == want and len(list(x._pairs(place, 4)(iter([batch])))) > 1
+
+
+def test_words_of_two_texts_are_not_near(spark, monkeypatch):
+    """Texts are counted many at a time; nulls and empty lists between them count nothing."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(x, "_TEXTS", 2)
+    texts = ["a b c a a", "b", "", "c c d e f g a b", "x a y b"]
+    known = ["a", "b", "c", "d", "g"]
+    lists = [texts[0].split(), None, [], *[t.split() for t in texts[1:]], None]
+    got = np.zeros((5, 5))
+    for out in x._pairs({w: i for i, w in enumerate(known)}, 3)(iter([pa.record_batch([pa.array(lists, pa.list_(pa.string()))], ["t"])])):
+        for i, j, c in zip(*(col.to_pylist() for col in out.columns), strict=True):
+            got[i, j] += c
+    assert np.array_equal(got, by_hand(texts, known, 3))
