@@ -26,10 +26,8 @@ VOCABULARY, DIM, NEAR, LEAST = 50_000, 100, 4, 5
 MORE, PASSES = 10, 3
 #: Weight of a word of share p in a sentence: RARE / (RARE + p).
 RARE = 1e-3
-#: Pairs that a task counts before it hands them on.
+#: Pairs that a task counts, at once and before it hands them on.
 _HELD = 1 << 20
-#: Texts that are counted at once.
-_TEXTS = 200
 
 
 def vocabulary(df: DataFrame, text: Column, most: int = VOCABULARY, least: int = LEAST) -> DataFrame:
@@ -54,11 +52,15 @@ def _pairs(place: dict[str, int], near: int) -> Callable[[Iterator[pa.RecordBatc
         # time with the square of their number.
         keys, counts, held = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, _TEXTS):
-                lists = batch.column(0).slice(at, _TEXTS)
-                # All texts of the slice at once; words of two texts are not near.
+            # Texts of up to so many pairs at once; words of two texts are not near.
+            size = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(size), 0
+            while at < batch.num_rows:
+                first, before = at, ends[at] - size[at]
+                at = max(at + 1, int(np.searchsorted(ends, before + _HELD // max(1, 2 * near), "right")))
+                lists = batch.column(0).slice(first, at - first)
                 ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                text = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                text = np.repeat(np.arange(first, at), size[first:at])
                 found = []
                 for d in range(1, min(near, len(ids) - 1) + 1):
                     a, b = ids[:-d], ids[d:]

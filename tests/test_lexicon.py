@@ -118,11 +118,10 @@ def test_counts_are_handed_on_in_parts(monkeypatch):
     assert total() == want and len(list(x._pairs(place, 4)(iter([batch])))) > 1
 
 
-def test_words_of_two_texts_are_not_near(spark, monkeypatch):
+def test_words_of_two_texts_are_not_near():
     """Texts are counted many at a time; nulls and empty lists between them count nothing."""
     import pyarrow as pa
 
-    monkeypatch.setattr(x, "_TEXTS", 2)
     texts = ["a b c a a", "b", "", "c c d e f g a b", "x a y b"]
     known = ["a", "b", "c", "d", "g"]
     lists = [texts[0].split(), None, [], *[t.split() for t in texts[1:]], None]
