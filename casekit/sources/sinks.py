@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import stamp
 from ..functions.text import safe_fragment
+from .progress import MOST_PORTIONS
 from .shared import shared_folder
 
 
@@ -115,8 +116,9 @@ def append_trace(df: DataFrame, path: str) -> None:
 
 def resume(todo: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], every: int | None = None) -> int:
     """Do ``work`` on the rows of ``todo`` whose key is not in the table at ``path``, and add
-    the results; with ``every``, in portions of about as many rows, each of which is kept
-    when a later one fails. Returns the number of portions that were written."""
+    the results; with ``every``, in portions of about as many rows, at most ``MOST_PORTIONS``
+    whatever their number, each of which is kept when a later one fails. Returns the number
+    of portions that were written."""
     spark = todo.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -126,7 +128,7 @@ def resume(todo: DataFrame, path: str, key: str, work: Callable[[DataFrame], Dat
     n = left.count()
     if n == 0:
         return 0
-    portions = 1 if every is None else max(1, -(-n // every))
+    portions = 1 if every is None else max(1, min(MOST_PORTIONS, -(-n // every)))
     if portions == 1:
         work(left).write.mode("append").parquet(path)
         return 1

@@ -102,3 +102,14 @@ def test_stream_adds_once(spark, raw, tmp_path_factory):
 def test_case_type_of_names(spark):
     df = spark.createDataFrame([("x/dv_gold.parquet",), ("/a/pred_ic_run.csv",), ("boc.csv",), ("q",)], "p string")
     assert [r[0] for r in df.select(readers.case_type_of(F.col("p"))).collect()] == ["dv", "boc", "boc", None]
+
+
+def test_portions_of_resume_are_bounded(spark, tmp_path):
+    path, seen = f"{tmp_path}/many", []
+
+    def work(df):
+        seen.append(1)
+        return df.withColumn("y", F.col("id") * 2)
+
+    assert sinks.resume(spark.range(200), path, "id", work, every=2) == len(seen) <= 16
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(i, 2 * i) for i in range(200)]
