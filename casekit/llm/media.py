@@ -23,6 +23,8 @@ BITS = 64 * WORDS
 #: Fields of each word, one for a hash table each, and keys that a pair of images must share
 #: to be compared.
 FIELDS, VOTES = 3, 2
+#: Bits of a field.
+KEY_BITS = 32
 #: Bits in which matching descriptors may differ, pixels by which a consensus may miss, and
 #: corners that must agree on one similarity transform.
 DISTANCE, SLACK, AGREE = 44, 4.0, 4
@@ -307,10 +309,10 @@ def _compare_rows(distance: int, agree: int):
     return run
 
 
-def key_bits(n_images: int) -> int:
-    """Bits of a table's key: as many more as the number of images has, so that about as
-    many images meet by chance at any size."""
-    return min(60, max(24, (max(1, n_images) - 1).bit_length() + 16))
+def key_bits(n_images: int = 0) -> int:
+    """Bits of a table's key: the same for any number of images, as a pair that meets in a
+    small table must meet in a large one, too."""
+    return KEY_BITS
 
 
 def _keys(bits: int):
@@ -331,7 +333,7 @@ def image_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
 
     Images with the same bytes are one representative (that with the least id, which must
     be an integer). Its corners' descriptors enter ``FIELDS * WORDS`` hash tables, by a field
-    of ``key_bits`` of their bits each. Two images that share ``votes`` keys or more are
+    of ``KEY_BITS`` of their bits each. Two images that share ``votes`` keys or more are
     compared: all their descriptors within ``distance`` on all bits, and a geometric
     consensus of ``agree`` corners. A corner of a copy keeps a key with a chance that falls
     with the bits that its edit changes; as two keys of hundreds suffice, copies are found
@@ -363,7 +365,7 @@ def image_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
     n = named.count()
     # So few images a task that counting their keys needs no spill.
     dealt = found.select("id", "codes").repartition(max(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), "id")
-    thin = dealt.select("id", F.explode(_keys(key_bits(n))).alias("key"))
+    thin = dealt.select("id", F.explode(_keys(KEY_BITS)).alias("key"))
     met_by = thin.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     met_by = materialize(met_by, "keys")
     entries = materialize(likely(thin, "key", met_by, 25).join(met_by, "key"), "entries")

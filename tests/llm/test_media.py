@@ -114,3 +114,7 @@ def test_media_of_vectors(spark):
     out = media.media_of_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted(r.id for r in out if r.id is not None and r.id < 0) == [-41, -21, -1] and len(out) == 45 + 3
     assert all((r.image is None) == (r.id in (60, 80, 100)) for r in out)
+
+
+def test_keys_do_not_depend_on_the_number_of_images():
+    assert {media.key_bits(n) for n in (0, 1, 20, 1 << 16, 1 << 19, 1 << 40)} == {media.KEY_BITS}
