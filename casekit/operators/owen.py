@@ -14,10 +14,11 @@ double in width, so that a budget takes as many as it has binary digits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.shared import discarded, written
@@ -85,18 +86,35 @@ def _after(state: DataFrame) -> DataFrame:
     return state.select("row", "case_id", "n", "base", "prediction", F.explode(made).alias("p")).select("row", "case_id", "n", "p.*", "base", "prediction").select(*_PART)
 
 
-def _folded(parts: pd.DataFrame) -> pd.DataFrame:
-    """Values of one document: each part's weighted change, spread evenly over its sentences."""
-    n, base = int(parts["n"].iloc[0]), np.asarray(parts["base"].iloc[0], float)
-    steps = np.zeros((n + 1, len(base)))
-    order = parts.sort_values(["lo", "hi"], kind="stable")
-    for lo, hi, weight, off, on in zip(order["lo"], order["hi"], order["weight"], order["f_off"], order["f_on"], strict=True):
-        if hi > lo:
-            share = weight * (np.asarray(on, float) - np.asarray(off, float)) / (hi - lo)
-            steps[lo] += share
-            steps[hi] -= share
-    values = np.cumsum(steps, axis=0)[:n]
-    return pd.DataFrame({"case_id": parts["case_id"].iloc[:1], "base": [base], "prediction": [np.asarray(parts["prediction"].iloc[0], float)], "values": [[v for v in values]]})
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array of lists one after the other, and where each list begins and the last ends."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+    return lists.flatten(), ends
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (case_id, n, base, prediction, parts) to values: each part's weighted change,
+    spread evenly over its sentences."""
+    for batch in batches:
+        parts, ends = _flat(batch.column("parts"))
+        lo, hi, weight = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "weight"))
+        (off, many), (on, _) = (_flat(parts.field(c)) for c in ("f_off", "f_on"))
+        off, on = (x.to_numpy(zero_copy_only=False).astype(float) for x in (off, on))
+        sizes, values = batch.column("n").to_numpy(), []
+        for row, n in enumerate(sizes):
+            some = slice(ends[row], ends[row + 1])
+            a, b = many[ends[row]], many[ends[row + 1]]
+            change = (on[a:b] - off[a:b]).reshape(ends[row + 1] - ends[row], -1)
+            at, to = lo[some], hi[some]
+            share = weight[some, None] * change / np.maximum(to - at, 1)[:, None]
+            steps = np.zeros((n + 1, change.shape[1]))
+            np.add.at(steps, at, share)
+            np.add.at(steps, to, -share)
+            values.append(np.cumsum(steps, axis=0)[:n])
+        inner = np.concatenate(([0], np.cumsum(np.repeat([v.shape[1] for v in values], sizes)))).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0), *(v.ravel() for v in values)])))
+        outer = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("case_id", "base", "prediction")), pa.ListArray.from_arrays(pa.array(outer), each)], ["case_id", "base", "prediction", "values"])
 
 
 def owen_values(df: DataFrame, predictor: Callable[[], Predictor], max_evals: int = MAX_EVALS, case: str = "case_id", sentences: str = "sentences", mask: str = MASK, batch: int = 32) -> DataFrame:
@@ -110,8 +128,8 @@ def owen_values(df: DataFrame, predictor: Callable[[], Predictor], max_evals: in
     empty array gives no values; cases may be null or repeat. ``predictor`` makes, once a
     task, the function from texts to rows of class scores.
 
-    A document is at most 1.5 ``max_evals`` parts, which is what its groups hold. Rounds are
-    written to the shared folder.
+    A document is at most 1.5 ``max_evals`` parts, which is what its groups hold; they are
+    folded for a batch of documents at once. Rounds are written to the shared folder.
     """
     spark = df.sparkSession
     docs = df.select(F.col(case).alias("case_id"), F.coalesce(F.col(sentences), F.expr("cast(array() as array<string>)")).alias("sentences"))
@@ -133,6 +151,9 @@ def owen_values(df: DataFrame, predictor: Callable[[], Predictor], max_evals: in
         state = written(rest.unionByName(_scored_halves(marked.where("go"), docs, predictor, mask, batch)), "owen_parts")
         discarded(spark, last)
         parts, last = _after(state), state
+    # Of all documents of a batch at once: a Python call a document costs far more than its sums.
+    one = F.array_sort(F.collect_list(F.struct("lo", "hi", "weight", "f_off", "f_on"))).alias("parts")
+    folded = parts.groupBy("row").agg(*[F.first(c).alias(c) for c in ("case_id", "n", "base", "prediction")], one).drop("row")
     kind = docs.schema["case_id"].dataType.simpleString()
-    out = parts.groupBy("row").applyInPandas(_folded, f"case_id {kind}, base array<double>, prediction array<double>, values array<array<double>>")
+    out = folded.mapInArrow(_folded, f"case_id {kind}, base array<double>, prediction array<double>, values array<array<double>>")
     return out.withColumnRenamed("case_id", case)
