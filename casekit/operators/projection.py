@@ -15,8 +15,8 @@ import contextlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.vectors import unit
@@ -57,25 +57,34 @@ def numbered(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return written(global_rank(rows, [F.col("id"), F.col("x")]).select((F.col("_rank") - 1).alias("node"), "id", "x"), "nodes")
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of an array of lists one after the other, and where each list begins and the last ends."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
 def _introduced(k: int):
     """Rows (node, met: array of (x, vector, least)) to (u, v, sim): the best pairs among
     those met that beat the least similarity in their list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            met, ends = _flat(batch.column(0))
+            others, least = (met.field(c).to_numpy(zero_copy_only=False) for c in ("other", "least"))
+            flat, cuts = _flat(met.field("x"))
+            flat = flat.to_numpy(zero_copy_only=False).astype(float)
             us, vs, sims = [], [], []
-            for met in batch.column(0).to_pylist():
-                ids, first = np.unique([m["other"] for m in met], return_index=True)
-                x = np.array([met[i]["x"] for i in first], dtype=float)
-                least = np.array([met[i]["least"] for i in first])
+            for start, end in zip(ends[:-1], ends[1:]):
+                ids, first = np.unique(others[start:end], return_index=True)
+                x = flat[cuts[start] : cuts[end]].reshape(end - start, -1)[first]
                 near = x @ x.T
                 np.fill_diagonal(near, -np.inf)
-                for a in range(len(ids)):
-                    order = np.argsort(-near[a], kind="stable")[:k]
-                    order = order[near[a][order] > least[a]]
-                    us.append(np.full(len(order), ids[a]))
-                    vs.append(ids[order])
-                    sims.append(near[a][order])
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                sim = np.take_along_axis(near, order, 1)
+                a, at = np.nonzero(sim > least[start:end][first, None])
+                us.append(ids[a])
+                vs.append(ids[order[a, at]])
+                sims.append(sim[a, at])
             join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
             yield pa.RecordBatch.from_arrays([join(us, pa.int64()), join(vs, pa.int64()), join(sims, pa.float64())], ["u", "v", "sim"])
 
@@ -164,18 +173,24 @@ def _moved(dims: int, turn: int, seed: int, rate: float):
     """Points of one part, after some passes over their edges."""
     a, b = CURVE
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        node = rows["node"].to_numpy()
-        y = np.stack(rows["y"].to_list()).astype(float)
-        met = [sorted((m["v"], m["w"], tuple(m["y"])) for m in (e if e is not None else [])) for e in rows["met"]]
-        tail = np.repeat(np.arange(len(node)), [len(m) for m in met])
-        heads = np.array([v for m in met for v, _, _ in m], dtype=np.int64)
-        w = np.array([x for m in met for _, x, _ in m])
-        still = np.array([p for m in met for _, _, p in m], dtype=float).reshape(-1, dims)
+    def added(move: np.ndarray, t: np.ndarray, size: np.ndarray, gap: np.ndarray) -> None:
+        steps = np.clip(size[:, None] * gap, -4, 4)
+        for d in range(dims):  # sums along one axis at a time have a fast path
+            np.add.at(move[d], t, np.ascontiguousarray(steps[:, d]))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
+        one = lambda c: rows[c].chunk(0)
+        node = one("node").to_numpy()
+        y = one("y").flatten().to_numpy().astype(float).reshape(-1, dims)
+        met, ends = _flat(one("met"))
+        tail, heads = np.repeat(np.arange(len(node)), np.diff(ends)), met.field("v").to_numpy()
+        order = np.lexsort((heads, tail))
+        tail, heads, w = tail[order], heads[order], met.field("w").to_numpy()[order]
+        still = met.field("y").flatten().to_numpy().astype(float).reshape(-1, dims)[order]
         at = np.minimum(np.searchsorted(node, heads), len(node) - 1)
         here = node[at] == heads if len(heads) else np.zeros(0, bool)
-        rng = np.random.default_rng([seed, turn, int(rows["part"].iloc[0])])
+        rng = np.random.default_rng([seed, turn, rows["part"][0].as_py()])
         chance = w / w.max() if len(w) else w
         for step in range(PASSES):
             speed = rate * (1 - step / PASSES)
@@ -185,16 +200,17 @@ def _moved(dims: int, turn: int, seed: int, rate: float):
             far = (gap**2).sum(axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 pull = np.where(far > 0, -2 * a * b * far ** (b - 1) / (1 + a * far**b), 0.0)
-            move = np.zeros_like(y)
-            np.add.at(move, t, np.clip(pull[:, None] * gap, -4, 4))
+            move = np.zeros((dims, len(y)))
+            added(move, t, pull, gap)
             for _ in range(OTHERS):
                 o = rng.integers(0, len(node), len(t))
                 gap = y[t] - y[o]
                 far = (gap**2).sum(axis=1)
                 push = np.where(o != t, 2 * b / ((0.001 + far) * (1 + a * far**b)), 0.0)
-                np.add.at(move, t, np.clip(push[:, None] * gap, -4, 4))
-            y += speed * move
-        return pd.DataFrame({"node": node, "y": list(y)})
+                added(move, t, push, gap)
+            y += speed * move.T
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, dims, dtype=np.int32)), pa.array(y.ravel()))
+        return pa.table({"node": pa.array(node), "y": lists})
 
     return run
 
@@ -218,7 +234,7 @@ def laid_out(nodes: DataFrame, weights: DataFrame, dims: int = 3, seed: int = 42
         met = weights.join(there, "v").groupBy(F.col("u").alias("node")).agg(F.collect_list(F.struct("v", "w", "y")).alias("met"))
         part = F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(parts)).alias("part")
         rows = points.join(met, "node", "left").select("node", "y", "met", part)
-        after = written(rows.groupBy("part").applyInPandas(_moved(dims, turn, seed, rate * (1 - turn / rounds)), "node long, y array<double>"), "points")
+        after = written(rows.groupBy("part").applyInArrow(_moved(dims, turn, seed, rate * (1 - turn / rounds)), "node long, y array<double>"), "points")
         discarded(spark, points)
         points = after
     return points
