@@ -136,26 +136,35 @@ def _memberships(k: int):
     """Rows (u, v: array of (sim, v)) to (u, v, p): how surely each is a neighbour. The nearest
     surely is; the others fade so that a point has log2(k) neighbours in all."""
 
+    goal = np.log2(k)
+
+    def sure(d: np.ndarray) -> np.ndarray:
+        """Rows of distances of one length each to how surely each is a neighbour."""
+        nearest = np.where(d > 0, d, np.inf).min(axis=1)
+        over = np.maximum(d - np.where(np.isfinite(nearest), nearest, 0.0)[:, None], 0.0)
+        low, high, width = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+        open_ = np.ones(len(d), bool)
+        for _ in range(64):
+            total = np.exp(-over / width[:, None]).sum(axis=1)
+            open_ &= np.abs(total - goal) >= 1e-5
+            if not open_.any():
+                break
+            low, high = np.where(open_ & (total <= goal), width, low), np.where(open_ & (total > goal), width, high)
+            width = np.where(open_, np.where(np.isfinite(high), (low + high) / 2, width * 2), width)
+        mean = d.mean(axis=1)
+        width = np.maximum(width, 1e-3 * np.where(mean == 0, 1.0, mean))
+        return np.exp(-over / width[:, None])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs, ps = [], [], []
-            for u, met in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                d = np.maximum(1.0 - np.array([m["sim"] for m in met]), 0.0)
-                apart = d[d > 0]
-                over = np.maximum(d - (apart.min() if len(apart) else 0.0), 0.0)
-                low, high = 0.0, np.inf
-                width = 1.0
-                for _ in range(64):
-                    total = np.exp(-over / width).sum()
-                    if abs(total - np.log2(k)) < 1e-5:
-                        break
-                    low, high = (low, width) if total > np.log2(k) else (width, high)
-                    width = (low + high) / 2 if np.isfinite(high) else width * 2
-                width = max(width, 1e-3 * (d.mean() or 1.0))
-                us += [u] * len(d)
-                vs += [m["v"] for m in met]
-                ps.append(np.exp(-over / width))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(np.concatenate(ps) if ps else [], pa.float64())], ["u", "v", "p"])
+            met, ends = _flat(batch.column(1))
+            d, sizes = np.maximum(1.0 - met.field("sim").to_numpy(), 0.0), np.diff(ends)
+            p = np.zeros(len(d))
+            for size in np.unique(sizes[sizes > 0]):
+                at = ends[:-1][sizes == size, None] + np.arange(size)
+                p[at] = sure(d[at])
+            us = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), met.field("v"), pa.array(p)], ["u", "v", "p"])
 
     return run
 
@@ -164,7 +173,7 @@ def fuzzy_graph(edges: DataFrame, k: int = K) -> DataFrame:
     """(u, v, w): the weights of ``edges`` (u, v, sim), where either end is sure of the other:
     p + q - p q of both views. Edges stay with the ends that list them."""
     lists = edges.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("sim", "v"))).alias("met"))
-    own = lists.mapInArrow(_memberships(k), "u long, v long, p double")
+    own = written(lists.mapInArrow(_memberships(k), "u long, v long, p double"), "memberships")  # read for both views
     other = own.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("p").alias("q"))
     return own.join(other, ["u", "v"], "left").select("u", "v", (F.col("p") + F.coalesce(F.col("q"), F.lit(0.0)) * (1 - F.col("p"))).alias("w"))
 
