@@ -147,18 +147,17 @@ def likely(rows: DataFrame, key: str, need: DataFrame, bits: int = 24, there: bo
     """``rows`` without most of those whose ``key`` is not in ``need``, before they move; or,
     if not ``there``, exactly the rows that this leaves out.
 
-    A bitmap of 2 ** ``bits`` bits (2 MB by default), whatever the size of ``need``, comes
-    to the driver and goes to all tasks. Follow it by an inner join: the optimiser would move
-    a semi join before it.
+    A bitmap of 2 ** ``bits`` bits (2 MB by default), whatever the size of ``need``, is made
+    by Spark, written to the shared folder and goes to all tasks; the driver's Python holds
+    nothing of it. Follow it by an inner join: the optimiser would move a semi join before it.
     """
     place = f"pmod(xxhash64({key}), {1 << bits})"
-    words = need.groupBy(F.expr(f"{place} div 64").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("b")).toArrow()
-    held = np.zeros(1 << bits - 6, np.int64)
-    held[words["w"].to_numpy()] = words["b"].to_numpy()
-    del words
+    words = need.select(F.expr(f"{place} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))").alias("b"))
+    zeros = rows.sparkSession.range(1 << bits - 6).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = words.unionByName(zeros).groupBy("w").agg(F.bit_or("b").alias("b"))
+    chunks = words.groupBy(F.expr(f"w div {1 << _CHUNK - 6}").alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("x"))
+    bitmap = materialize(chunks.select("_chunk", F.col("x.b").alias("_bits")), "bitmap")
     release(rows.sparkSession)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(held) + 1, 1 << _CHUNK - 6, dtype=np.int32)), pa.array(held))
-    bitmap = rows.sparkSession.createDataFrame(pa.table({"_chunk": pa.array(np.arange(len(lists), dtype=np.int64)), "_bits": lists}))
     marked = rows.withColumn("_place", F.expr(place)).withColumn("_chunk", F.expr(f"_place div {1 << _CHUNK}"))
     hit = F.expr(f"_bits[cast(_place % {1 << _CHUNK} div 64 as int)] & shiftleft(1L, cast(_place % 64 as int)) <> 0")
     found = marked.join(F.broadcast(bitmap), "_chunk").where(hit if there else ~hit)

@@ -74,10 +74,13 @@ def near_labels(edges: DataFrame, hops: int = 4) -> DataFrame:
     """(node, root): a label of each node of ``edges`` (u, v), such that nodes with the same
     one are connected: the least node within ``hops`` edges. Groups around a few hubs get one
     label each; wider components may keep several, which ``connected_components`` would
-    join. One plan, no rounds."""
+    join. No rounds to a fixed point; every two hops are written, so that the driver plans
+    and runs few shuffles at a time."""
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
     out = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root"))
-    for _ in range(hops - 1):
+    for hop in range(1, hops):
+        if hop % 2 == 0:
+            out = materialize(out, "labels")
         known = out.select(F.col("node").alias("other"), "root").hint("merge")
         out = both.join(known, "other").groupBy("node").agg(F.min("root").alias("root"))
     return out

@@ -268,7 +268,7 @@ def shingle_links(texts: DataFrame, marked: DataFrame, plan: Plan, words: int =
     release(texts.sparkSession)
     if not roots.where("large").isEmpty():
         asked, large = probes("large", "root"), entries("large", "root")
-        asking = likely(asked.drop("root_u"), "key", small.select("key"), 25)
+        asking = likely(asked.drop("root_u"), "key", small.select("key"), 27)
         met.append(materialize(meet(asking, likely(small, "key", asked.select("key"), 25)).distinct(), "pairs"))
         # Keys of several large components.
         many = asked.select("key", F.col("root_u").alias("root")).unionByName(large.select("key", F.col("root_v").alias("root")))

@@ -3,8 +3,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from casekit.llm import simhash
-from casekit.llm.components import connected_components
+from casekit.llm import components, simhash
+from casekit.llm._common import likely
+from casekit.llm.components import connected_components, near_labels
 
 
 def slow_fingerprint(text):
@@ -164,3 +165,22 @@ def test_near_copies_by_similarity(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(label)
     far = simhash.near_duplicates(df, words=4, distance=4)  # 4 bits miss most of them
     assert far.select("component_id").distinct().count() > len(set(label)) + 20
+
+
+def test_a_bitmap_of_keys_does_not_pass_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: pytest.fail("the driver holds the keys"))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("the driver makes the bitmap"))
+    rows, need = spark.range(4000).withColumn("k", F.col("id") * 7), spark.range(0, 4000, 4).select((F.col("id") * 7).alias("k"))
+    for bits in (18, 24):
+        kept = {r.id for r in likely(rows, "k", need, bits).collect()}
+        assert set(range(0, 4000, 4)) <= kept and len(kept) < 1100
+        assert {r.id for r in likely(rows, "k", need, bits, there=False).collect()} == set(range(4000)) - kept
+    assert likely(rows, "k", need.limit(0)).count() == 0
+
+
+def test_labels_are_written_every_two_hops(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, tag: written.append(tag) or df)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8)], "u long, v long")
+    assert {r.node: r.root for r in near_labels(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
+    assert len(written) == 1
