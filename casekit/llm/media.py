@@ -317,29 +317,49 @@ def key_bits(n_images: int = 0) -> int:
 
 def _keys(bits: int):
     """Array of all keys of an image's ``codes``: fields of each word, marked by their table."""
-    fields = [(64 - bits) * k // (FIELDS - 1) for k in range(FIELDS)]
 
     def of(x, i):
-        table = (i % WORDS).cast("long") * FIELDS
-        cut = lambda at: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1))
-        return F.array(*[F.shiftleft(table + k, bits).bitwiseOR(cut(at)) for k, at in enumerate(fields)])
+        return F.array(*_fields(x, (i % WORDS).cast("long"), bits))
 
     return F.array_distinct(F.flatten(F.transform("codes", of)))
 
 
+def _fields(word, table, bits: int) -> list:
+    cut = lambda at: F.shiftrightunsigned(word, at).bitwiseAND(F.lit((1 << bits) - 1))
+    return [F.shiftleft(table * FIELDS + k, bits).bitwiseOR(cut((64 - bits) * k // (FIELDS - 1))) for k in range(FIELDS)]
+
+
+#: Columns of a descriptor's words.
+_CODE = [f"c{w}" for w in range(WORDS)]
+
+
+def _corner_keys(bits: int):
+    """Array of (key, descriptor) of all corners of an image's ``codes``."""
+
+    def of(j):
+        code = [F.get("codes", j * WORDS + w) for w in range(WORDS)]
+        keys = [key for w in range(WORDS) for key in _fields(code[w], F.lit(w).cast("long"), bits)]
+        return F.array(*[F.struct(key.alias("key"), *[x.alias(c) for x, c in zip(code, _CODE, strict=True)]) for key in keys])
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size("codes") / WORDS).cast("int") - 1), of))
+
+
 def image_copies(media: DataFrame, id_col: str = "id", image_col: str = "image", distance: int = DISTANCE, agree: int = AGREE, votes: int = VOTES) -> tuple[DataFrame, DataFrame]:
     """(classes, links). ``classes`` has one row per row of ``media``: (id, class_id,
     n_links); ``links`` has pairs (u, v, agree) of class representatives that were verified.
 
     Images with the same bytes are one representative (that with the least id, which must
     be an integer). Its corners' descriptors enter ``FIELDS * WORDS`` hash tables, by a field
-    of ``KEY_BITS`` of their bits each. Two images that share ``votes`` keys or more are
+    of ``KEY_BITS`` of their bits each. Corners that share a key meet if their descriptors
+    are within ``distance`` on all bits: of keys shared by chance, whose number grows with
+    the square of the table, hardly any remain. Two images that meet ``votes`` times or more are
     compared: all their descriptors within ``distance`` on all bits, and a geometric
     consensus of ``agree`` corners. A corner of a copy keeps a key with a chance that falls
     with the bits that its edit changes; as two keys of hundreds suffice, copies are found
     with the recall that the README states by kind of edit. First every image meets one of
     each bucket's images only, that of the least and in turn of the greatest component, in
-    up to ``STAR_ROUNDS`` rounds; then, where a bucket holds several components, the members
+    up to ``STAR_ROUNDS`` rounds, and is compared with that of them which it meets most
+    often; all others are left to what follows: where a bucket holds several components, the members
     of all but the least one meet the whole bucket. So a large group of copies costs pairs
     in proportion to its size, and nothing is lost to a cap. Images without corners, that
     cannot be decoded, or null, link only to the same bytes; null images are each their own
@@ -368,29 +388,40 @@ def image_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
     thin = dealt.select("id", F.explode(_keys(KEY_BITS)).alias("key"))
     met_by = thin.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     met_by = materialize(met_by, "keys")
-    entries = materialize(likely(thin, "key", met_by, 25).join(met_by, "key"), "entries")
+    thick = dealt.select("id", F.explode(_corner_keys(KEY_BITS)).alias("x")).select("id", "x.*")
+    entries = materialize(likely(thick, "key", met_by, 25).join(met_by, "key").distinct(), "entries")
     links = roots = None
     release(media.sparkSession)
 
     def placed() -> DataFrame:
         if roots is None:
             return entries.withColumn("root", F.col("id"))
-        return entries.join(roots, entries["id"] == roots["node"], "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+        return entries.join(roots, entries["id"] == roots["node"], "left").select("id", "key", *_CODE, F.coalesce("root", "id").alias("root"))
+
+    def ends(rows: DataFrame, end: str, *more: str) -> DataFrame:
+        return rows.select("key", F.col("id").alias(end), F.col("root").alias(f"root_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in (*_CODE, *more)])
+
+    # Of a pair that meets at a key, whether the two corners match.
+    apart = [F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _CODE]
+    match = (sum(apart[1:], apart[0]) <= distance) & (F.col("root_u") != F.col("root_v"))
+
+    def often(met: DataFrame, by: list[str]) -> DataFrame:
+        return met.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= votes)
 
-    def verified(met: DataFrame) -> DataFrame:
-        """The pairs (u, v, agree) that reach a consensus, of those met often enough."""
-        pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").count().where(F.col("count") >= votes).select("u", "v")
-        pairs = materialize(pairs, "pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v, agree) that reach a consensus."""
+        pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         for end in "uv":
             side = found.select(F.col("id").alias(end), F.col("places").alias(f"places_{end}"), F.col("codes").alias(f"codes_{end}"))
             pairs = pairs.join(side, end)
         return materialize(pairs.mapInArrow(_compare_rows(distance, agree), "u long, v long, agree int"), "verified")
 
     for turn in range(STAR_ROUNDS):
-        now, one = placed(), F.struct("root", "id")
+        now, one = placed(), F.struct("root", "id", *_CODE)
         hub = now.groupBy("key").agg((F.max(one) if turn % 2 else F.min(one)).alias("h"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        met = now.select("key", F.col("id").alias("v"), F.col("root").alias("root_v")).join(hub.select("key", F.col("h.id").alias("u"), F.col("h.root").alias("root_u")), "key")
-        more = verified(met.where("root_u <> root_v"))
+        met = ends(now, "v").join(ends(hub.select("key", "h.*"), "u"), "key").where(match)
+        best = often(met, ["v", "u"]).groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("of"))).alias("x"))
+        more = verified(best.select("v", (-F.col("x.of")).alias("u")))
         links = more if links is None else links.unionByName(more)
         roots = materialize(near_labels(links), "star_roots")
         release(media.sparkSession)
@@ -399,10 +430,11 @@ def image_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
     now = placed()
     several = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "least")
     now = materialize(now.join(several, "key"), "open")
-    a, b = (now.select("key", F.col("id").alias(end), F.col("root").alias(f"root_{end}"), F.col("least").alias(f"least_{end}")) for end in "uv")
+    a, b = (ends(now, end, "least") for end in "uv")
     # Of two that are both outside the least component, the smaller id asks.
     asks = (F.col("root_v") == F.col("least_v")) | (F.col("u") < F.col("v"))
-    met = a.where("root_u <> least_u").join(b, "key").where((F.col("root_u") != F.col("root_v")) & asks)
+    met = a.where("root_u <> least_u").join(b, "key").where(match & asks)
+    met = often(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"])
     links = materialize(links.unionByName(verified(met)).groupBy("u", "v").agg(F.max("agree").alias("agree")), "links")
     classes = connected_components(links)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

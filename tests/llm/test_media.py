@@ -118,3 +118,26 @@ def test_media_of_vectors(spark):
 
 def test_keys_do_not_depend_on_the_number_of_images():
     assert {media.key_bits(n) for n in (0, 1, 20, 1 << 16, 1 << 19, 1 << 40)} == {media.KEY_BITS}
+
+
+def test_groups_and_chance_keys_cost_few_rows(spark, monkeypatch):
+    """A group costs a comparison an image; keys that unlike corners share cost none."""
+    counts, real = [], media.materialize
+
+    def counted(df, tag):
+        out = real(df, tag)
+        counts.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(media, "materialize", counted)
+    rng, base = np.random.default_rng(2), image(7)
+    rows = [(i, media.encode_pgm(np.clip(base + rng.normal(0, 3 + i / 4, base.shape), 0, 255))) for i in range(40)]
+    classes, links = media.image_copies(spark.createDataFrame(rows, "id long, image binary"))
+    assert {r.class_id for r in classes.collect()} == {0} and classes.count() == 40
+    assert sum(n for tag, n in counts if tag == "pairs") <= 2 * 40 and links.count() <= 2 * 40
+    monkeypatch.setattr(media, "KEY_BITS", 4)  # every two images share keys
+    counts.clear()
+    rows = [(i, media.encode_pgm(image(i))) for i in range(12)]
+    classes, _ = media.image_copies(spark.createDataFrame(rows, "id long, image binary"))
+    assert [r.class_id for r in classes.orderBy("id").collect()] == list(range(12))
+    assert sum(n for tag, n in counts if tag == "pairs") <= 12 and dict(counts)["keys"] > 12
