@@ -34,9 +34,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Share of the pairs at the least similarity that the tables may miss (of more similar
 #: pairs they miss far fewer), and standard deviations that distances may exceed their mean.
 MISSED, DEVIATIONS = 0.002, 4.5
-#: Tables by which large groups are linked as stars, times that this is done, and least
-#: size of a component whose members are not paired with each other again.
-STAR_TABLES, STAR_ROUNDS, LARGE = 8, 1, 8
+#: Tables by which large groups are linked as stars, times that this is done at most, and
+#: least size of a component whose members are not paired with each other again.
+STAR_TABLES, STAR_ROUNDS, LARGE = 8, 2, 8
+#: Bits of a segment that a key leaves out, at most.
+OPEN = 6
+#: Bits of a set's odd sketch, and members of a key above which they are held against each
+#: other by their sketches where they meet: as many as chance brings together at most.
+ODD_BITS, CROWD = 512, 1 << OPEN
+#: Tables whose entries move at once, so that no step's shuffles hold all.
+AT_ONCE = 14
 #: Members of a large component whose keys are counted together.
 _TOGETHER = 500
 _BLOCK = 1 << 18
@@ -108,6 +115,19 @@ def long_fingerprint(values: np.ndarray, n_words: int) -> np.ndarray:
     return np.packbits(2 * hits > len(values), bitorder="little").view(np.int64)
 
 
+def odd_sketch(values: np.ndarray) -> np.ndarray:
+    """``ODD_BITS`` bits (int64): whether an odd number of the shingles falls on each. Two
+    sets' sketches differ in no more bits than the sets have shingles that are in one only."""
+    hits = np.bincount((values >> np.uint64(20) & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS)
+    return np.packbits(hits & 1, bitorder="little").view(np.int64)
+
+
+def _may_be_similar(a: Column, b: Column, n: Column, similarity: float) -> Column:
+    """Whether sets of ``n`` shingles together can have that similarity, by their odd sketches."""
+    apart = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(ODD_BITS // 64)]
+    return sum(apart[1:], apart[0]) * (1 + similarity) <= n * (1 - similarity) + 1e-6
+
+
 class Plan(NamedTuple):
     """How texts are looked up: ``n_words`` words of fingerprint, each cut in ``per``
     segments of ``width`` bits; balls have radius 1. ``differ`` is the share of bits in
@@ -149,8 +169,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _shingle_rows(words: int, seed: int, n_words: int):
     """Batches whose last column is a text to the other columns and fp (a hash of the set of
-    shingles), n, size (its class: similar sets are in one class or in two next to each
-    other), and a fingerprint of ``n_words`` words or, if that is 0, the shingles."""
+    shingles), n (their number), and a fingerprint of ``n_words`` words with the odd sketch
+    or, if that is 0, the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_caches()
@@ -162,19 +182,21 @@ def _shingle_rows(words: int, seed: int, n_words: int):
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)
                 sizes = pa.array([len(x) for x in sets], pa.int32())
                 found = [long_fingerprint(x, n_words) if n_words else x.view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(fps), sizes, _lists(found)], names=[*some.schema.names[:-1], "fp", "n", "found"])
+                odd = {"odd": _lists([odd_sketch(x) for x in sets])} if n_words else {}
+                yield pa.RecordBatch.from_arrays([*others, pa.array(fps), sizes, _lists(found), *odd.values()], names=[*some.schema.names[:-1], "fp", "n", "found", *odd])
 
     return run
 
 
 def _similar(pairs: DataFrame, codes: DataFrame, texts: DataFrame, plan: Plan, words: int, seed: int, similarity: float) -> DataFrame:
-    """Those of the candidate pairs (u, v) whose complete fingerprints are near each other
-    and whose whole sets of shingles are similar enough."""
+    """Those of the candidate pairs (u, v) whose complete fingerprints are near each other,
+    whose odd sketches allow it, and whose whole sets of shingles are similar enough."""
     pairs = materialize(pairs.distinct(), "pairs")
-    side = lambda name: codes.select(F.col("fp").alias(name), F.col("hash").alias(f"h_{name}"), F.col("found").alias(f"c_{name}"))
+    side = lambda name: codes.select(F.col("fp").alias(name), F.col("hash").alias(f"h_{name}"), F.col("found").alias(f"c_{name}"), F.col("odd").alias(f"odd_{name}"), F.col("n").alias(f"n_{name}"))
     a, b = side("u"), side("v")
+    may = _may_be_similar(F.col("odd_u"), F.col("odd_v"), F.col("n_u") + F.col("n_v"), similarity)
     apart = F.aggregate(F.zip_with("c_u", "c_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = materialize(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(apart <= plan.most(64 * plan.n_words)).select("u", "v", "h_u", "h_v"), "near")
+    near = materialize(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(may & (apart <= plan.most(64 * plan.n_words))).select("u", "v", "h_u", "h_v"), "near")
     need = materialize(near.select(F.explode(F.array(F.struct(F.col("u").alias("fp"), F.col("h_u").alias("hash")), F.struct(F.col("v").alias("fp"), F.col("h_v").alias("hash")))).alias("x")).select("x.*").distinct(), "need")
     again = likely(texts, "hash", need).mapInArrow(_shingle_rows(words, seed, 0), "hash long, fp long, n int, found array<long>")
     sets = materialize(again.select("fp", "found").join(need.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("found").alias("found")), "sets")
@@ -187,35 +209,63 @@ def _similar(pairs: DataFrame, codes: DataFrame, texts: DataFrame, plan: Plan, w
     return out
 
 
-def _segments(plan: Plan, tables: int) -> Column:
-    """Array of the keys (table and segment, in one long) of the first tables."""
+def _segments(plan: Plan, tables: Sequence[int]) -> Column:
+    """Array of the keys (table and segment, in one long) of some tables."""
     mask = F.lit((1 << plan.width) - 1)
     cut = lambda t: F.shiftrightunsigned(F.col("found")[t // plan.per], t % plan.per * plan.width).bitwiseAND(mask)
-    return F.array(*[cut(t) + F.lit(t << 40) for t in range(tables)])
+    return F.array(*[cut(t) + F.lit(t << 40) for t in tables])
+
+
+def _blocks(plan: Plan) -> list[tuple[int, int]]:
+    """(lowest bit, width) of the blocks of a segment: segments that differ in one bit at
+    most agree on all of it but one block."""
+    n = -(-plan.width // OPEN)
+    cuts = [plan.width * i // n for i in range(n + 1)]
+    return [(low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)]
+
+
+def _opened(plan: Plan, classes: Sequence[tuple[Column, int]]) -> Column:
+    """Rows of a segment's ``key``: for each block one (key, part) in each class of size, with
+    the block left out of the key, and the block's bits plus a mark as the part."""
+    out = []
+    for i, (low, bits) in enumerate(_blocks(plan)):
+        mask = (1 << bits) - 1
+        key = F.col("key").bitwiseAND(F.lit(~(mask << low))) + F.lit(i << 36)
+        part = F.shiftrightunsigned("key", low).bitwiseAND(F.lit(mask))
+        out += [F.struct((key + at * (1 << 48)).alias("key"), (part + F.lit(mark)).cast("short").alias("part")) for at, mark in classes]
+    return F.explode(F.array(*out)).alias("x")
 
 
 def shingle_links(texts: DataFrame, marked: DataFrame, plan: Plan, words: int = SHINGLE, seed: int = 42, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between sets of shingles that join sets of at least that Jaccard
-    similarity, directly or through others. ``marked`` has rows (fp, n, found, hash) with
-    the fingerprint of each of ``texts`` (hash, text).
-
-    A fingerprint enters a table for each of its segments, in its own class of size and the
-    one below, and looks for the Hamming ball of radius 1 around each in its own class. What
-    it finds is held against 64 bits inside the join, and against the complete fingerprint
-    and the sets after it; shingles are made again for texts that come so far only.
-
-    Large groups come first: in ``STAR_ROUNDS`` rounds at most (one, by default) every member of a bucket meets
-    one of its members, that of the least or the greatest component in turn, so that a
-    group costs links in proportion to its size. Members of components of ``LARGE`` sets or
-    more are then joined with all others, but not with those of the same component: where
-    a key holds several such components, all but the least one's members meet the whole
-    key, and that one's members meet the others.
+    similarity, directly or through others. ``marked`` has rows (fp, n, found, odd, hash) with
+    the fingerprint and odd sketch of each of ``texts`` (hash, text).
+
+    Fingerprints are candidates if a segment of theirs differs in one bit at most and their
+    classes of size are the same or next to each other. A Hamming ball of radius 1 is looked
+    up by blocks of the segment: a fingerprint enters a table once for each of its segment's
+    blocks, with the block left out of the key, and what shares a key is held against the
+    block's bits and against 64 bits inside the join. A block has ``OPEN`` bits at most, so
+    that rows a fingerprint grow with the tables and their width only, and those that share
+    a key by chance stay as many at any size. What is found is held against the complete
+    fingerprint and the sets after it; shingles are made again for texts that come so far only.
+
+    Large groups come first: in ``STAR_ROUNDS`` rounds at most every member of a key in the
+    first tables meets one of its members, that of the least or the greatest component in
+    turn, so that a group costs links in proportion to its size; classes of size are moved by
+    half a class in turn, so that no group stays cut by one. Members of components of ``LARGE``
+    sets or more then meet all others, but not those of the same component: where a key holds
+    several such components, all members but those of the commonest one meet the whole key,
+    and that one's members meet the others. Where unlike sets crowd together, as many variants
+    of one text do that are just not similar enough, members of a key with over ``CROWD`` of
+    them carry their odd sketches, which drop pairs inside the join that can't be similar.
     """
-    size = F.floor(F.log(F.col("n")) / math.log(1 / similarity) if similarity < 1 else F.col("n")).cast("long")
-    each = marked.where("n > 0").groupBy("fp").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("found").alias("found"))
-    codes = materialize(each.withColumn("size", size).withColumn("head", F.col("found")[0]), "codes")
+    scale = F.log(F.col("n")) / math.log(1 / similarity) if similarity < 1 else F.col("n").cast("double")
+    each = marked.where("n > 0").groupBy("fp").agg(F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("found").alias("found"), F.first("odd").alias("odd"))
+    classes = [F.floor(scale + shift).cast("long").alias(name) for shift, name in ((0, "size"), (0.5, "moved"))]
+    codes = materialize(each.select("*", *classes, F.col("found")[0].alias("head")), "codes")
     near64 = F.bit_count(F.col("head_u").bitwiseXOR(F.col("head_v"))) <= plan.most(64)
-    links = roots = None
+    links = roots = crowd = None
 
     def check(pairs: DataFrame) -> DataFrame:
         return _similar(pairs, codes, texts, plan, words, seed, similarity)
@@ -225,67 +275,76 @@ def shingle_links(texts: DataFrame, marked: DataFrame, plan: Plan, words: int =
             return rows.withColumn("root", F.col(node)).withColumn("large", F.lit(False))
         return rows.join(roots.hint("merge"), rows[node] == roots["node"], "left").select(*rows.columns, F.coalesce("root", node).alias("root"), F.coalesce("large", F.lit(False)).alias("large"))
 
-    stars = materialize(codes.select("fp", "head", (F.col("size") * (1 << 48)).alias("at"), F.explode(_segments(plan, min(STAR_TABLES, plan.tables))).alias("key")).select("fp", "head", (F.col("key") + F.col("at")).alias("key")), "stars")
     for turn in range(STAR_ROUNDS):
-        now, one = placed(stars), F.struct("root", "fp", "head")
-        hub = now.groupBy("key").agg((F.max(one) if turn % 2 else F.min(one)).alias("h"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        now = placed(codes.select("fp", "head", F.col("moved" if turn % 2 else "size").alias("size"), "found"))
+        now = now.select("fp", "head", "root", "size", F.explode(_segments(plan, range(min(STAR_TABLES, plan.tables)))).alias("key"))
+        now, one = now.select("fp", "head", "root", _opened(plan, [(F.col("size"), 0)])).select("fp", "head", "root", "x.key"), F.struct("root", "fp", "head")
+        hub = now.groupBy("key").agg((F.max(one) if turn % 2 else F.min(one)).alias("h"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b")
+        if crowd is None:
+            hub = materialize(hub, "hubs")
+            crowd = materialize(now.select("key", "fp").join(hub.where(F.col("n") > CROWD).select("key"), "key").select("fp").distinct().withColumn("crowded", F.lit(True)), "crowd")
         hub = hub.select("key", F.col("h.fp").alias("u"), F.col("h.root").alias("root_u"), F.col("h.head").alias("head_u"))
         met = now.select("key", F.col("fp").alias("v"), F.col("root").alias("root_v"), F.col("head").alias("head_v")).join(hub, "key").where(F.col("root_u") != F.col("root_v")).where(near64)
         more = check(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         links = more if links is None else links.unionByName(more)
-        of = near_labels(links)
+        # Labels of the round before are links, too.
+        of = near_labels(links if roots is None else links.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
         grown = of.groupBy("root").agg(F.count("*").alias("size"))
         roots = materialize(of.join(grown.hint("merge"), "root").select("node", "root", (F.col("size") >= LARGE).alias("large"), F.ceil(F.col("size") / _TOGETHER).alias("shares")), "star_roots")
-        if more.isEmpty():
+        release(texts.sparkSession)
+        if more.isEmpty() or roots.where("large").isEmpty():
             break
-    discard(stars)
-    release(texts.sparkSession)
-    now = materialize(placed(codes.select("fp", "head", "size", "found")), "placed")
+    sketch = F.when(F.col("crowded"), F.concat("odd", F.array(F.col("n").cast("long")))).alias("odd")
+    now = placed(codes.join(crowd.hint("merge"), "fp", "left").select("fp", "head", "size", "found", sketch))
+    now = materialize(now, "placed")
+    own, below, above = F.col("size"), F.col("size") - 1, F.col("size") + 1
+    # Marks an entry that any may ask for; of two of one class that both ask, the smaller one does.
+    any_asks = 1 << 8
+    small, large = now.where("not large"), now.where("large")
     # Members of a large component have many keys in common: those of some hundreds are
     # counted where they are together, before they move.
-    held = now.where("large").join(roots.select(F.col("node").alias("fp"), "shares").hint("merge"), "fp")
+    held = large.join(roots.select(F.col("node").alias("fp"), "shares").hint("merge"), "fp")
     held = held.repartition("root", F.pmod(F.xxhash64("fp"), F.col("shares"))).drop("shares")
-    cut = lambda rows: rows.select("fp", "head", "root", "size", F.explode(_segments(plan, plan.tables)).alias("key"))
-    sources = {"true": cut(now), "not large": cut(now.where("not large")), "large": cut(held)}
-
-    def entries(some: str, *more: str) -> DataFrame:
-        both = F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size")
-        rows = sources[some].select("fp", "head", "key", *more, both)
-        return rows.select(F.col("fp").alias("v"), F.col("head").alias("head_v"), *[F.col(x).alias(f"{x}_v") for x in more], (F.col("key") + F.col("size") * (1 << 48)).alias("key"))
-
-    def probes(some: str, *more: str) -> DataFrame:
-        ball = F.explode(F.array(*[F.lit(m).cast("long") for m in _balls(plan.width, 1)])).alias("flip")
-        rows = sources[some].select("fp", "head", "key", "size", *more, ball)
-        return rows.select(F.col("fp").alias("u"), F.col("head").alias("head_u"), *[F.col(x).alias(f"{x}_u") for x in more], (F.col("key").bitwiseXOR(F.col("flip")) + F.col("size") * (1 << 48)).alias("key"))
-
-    def meet(ask: DataFrame, into: DataFrame, on=None) -> DataFrame:
-        found = ask.join(into, "key").where(near64 & (F.col("u") != F.col("v") if on is None else on))
+    any_large, met = not roots.where("large").isEmpty(), []
+
+    def side(rows: DataFrame, end: str, entered: list, *more: str) -> DataFrame:
+        rows = rows.select("fp", "head", "odd", "root", "size", F.explode(_segments(plan, some)).alias("key"))
+        rows = rows.select("fp", "head", "odd", *more, _opened(plan, entered))
+        return rows.select(*[F.col(c).alias(e) for c, e in (("fp", end), ("head", f"head_{end}"), ("odd", f"odd_{end}"), *[(x, f"{x}_{end}") for x in more])], "x.key", F.col("x.part").alias(f"part_{end}"))
+
+    def meet(ask: DataFrame, into: DataFrame) -> DataFrame:
+        differ = F.bit_count(F.col("part_u").bitwiseXOR(F.col("part_v").bitwiseAND(F.lit(any_asks - 1).cast("short"))))
+        # Equal segments share the keys of all blocks and meet by the first.
+        ball = (differ == 1) | (differ == 0) & (F.col("key").bitwiseAND(F.lit(7 << 36)) == 0)
+        a, b, words = F.col("odd_u"), F.col("odd_v"), ODD_BITS // 64
+        may = a.isNull() | b.isNull() | _may_be_similar(a, b, a[words] + b[words], similarity)
+        found = ask.join(into, "key").where(((F.col("part_v") >= any_asks) | (F.col("u") < F.col("v"))) & ball & near64 & may)
         return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
-    # One written table each, so that no plan holds them all.
-    every, small = entries("true"), entries("not large")
-    met = [materialize(meet(likely(probes("not large"), "key", every.select("key"), 25), every).distinct(), "pairs")]
-    release(texts.sparkSession)
-    if not roots.where("large").isEmpty():
-        asked, large = probes("large", "root"), entries("large", "root")
-        asking = likely(asked.drop("root_u"), "key", small.select("key"), 27)
-        met.append(materialize(meet(asking, likely(small, "key", asked.select("key"), 25)).distinct(), "pairs"))
-        # Keys of several large components.
-        many = asked.select("key", F.col("root_u").alias("root")).unionByName(large.select("key", F.col("root_v").alias("root")))
-        many = materialize(many.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "least"), "many")
+    for first in range(0, plan.tables, AT_ONCE):
+        some = range(first, min(plan.tables, first + AT_ONCE))
+        entered = side(small, "v", [(own, 0), (below, any_asks)]).unionByName(side(large, "v", [(own, any_asks), (below, any_asks), (above, any_asks)]))
+        met.append(materialize(meet(side(small, "u", [(own, 0)]), entered).distinct(), "pairs"))
+        release(texts.sparkSession)
+        if not any_large:
+            continue
+        counted = side(held, "v", [(own, 0), (below, 0)], "root").groupBy("key", "root_v").agg(F.count("*").alias("n"))
+        many = counted.groupBy("key").agg(F.max(F.struct("n", "root_v")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        many = materialize(many.select("key", F.col("most.root_v").alias("most")), "many")
         if not many.isEmpty():
-            asked, large = (likely(x, "key", many.select("key")).join(many, "key") for x in (asked, large))
-            apart = F.col("root_u") != F.col("root_v")
-            both = meet(asked.where("root_u <> least"), large.drop("least"), apart).unionByName(meet(asked.where("root_u = least").drop("least"), large.where("root_v <> least").drop("least")))
+            asked = side(large, "u", [(own, 0)], "root").join(many, "key")
+            into = side(large, "v", [(own, 0), (below, any_asks)], "root").join(many, "key")
+            both = meet(asked.where("root_u <> most").drop("most"), into.drop("most"))
+            both = both.unionByName(meet(asked.where("root_u = most").drop("most"), into.where("root_v <> most").drop("most")))
             met.append(materialize(both.distinct(), "pairs"))
         discard(many)
-    release(texts.sparkSession)
+        release(texts.sparkSession)
     pairs = met[0]
     for more in met[1:]:
         pairs = pairs.unionByName(more)
     known = placed(placed(pairs, "u").select("u", "v", F.col("root").alias("root_u")), "v").where(F.col("root_u") != F.col("root")).select("u", "v")
     links = links.unionByName(check(known))
-    for done in (codes, now, *met):
+    for done in (codes, crowd, now, *met):
         discard(done)
     release(texts.sparkSession)
     return links
@@ -424,7 +483,7 @@ def near_duplicates(
         text = F.col(text_col).cast("string")
         plan = plan_tables(docs.count(), similarity)
         rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-        schema = f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, n int, found array<long>"
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, n int, found array<long>, odd array<long>"
         marked = materialize(rows.mapInArrow(_shingle_rows(words, seed, plan.n_words), schema), "fingerprints")
         least = marked.groupBy("fp").agg(F.min("id").alias("least"))
         roots = connected_components(shingle_links(rows.select("hash", "text"), marked, plan, words, seed, similarity))

@@ -184,3 +184,54 @@ def test_labels_are_written_every_two_hops(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8)], "u long, v long")
     assert {r.node: r.root for r in near_labels(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
     assert len(written) == 1
+
+
+def test_odd_sketches_bound_what_sets_do_not_share():
+    rng = np.random.default_rng(11)
+    for n, new in ((146, 5), (146, 25), (900, 120), (3, 1)):
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate((a[new:], rng.integers(0, 1 << 63, new, np.uint64)))
+        apart = np.bitwise_count((simhash.odd_sketch(a) ^ simhash.odd_sketch(b)).view(np.uint64)).sum()
+        assert 0.6 * 2 * new <= apart <= 2 * new
+
+
+def test_blocks_find_the_balls_of_radius_one(spark):
+    """Segments share a key, and its part's bits allow it, if they differ in one bit at most."""
+    for width in (10, 16, 18, 24, 31):
+        plan = simhash.Plan(width, 64 // width, 1, 0.15)
+        blocks = simhash._blocks(plan)
+        assert [low for low, _ in blocks] + [width] == [0] + [low + bits for low, bits in blocks] and max(bits for _, bits in blocks) <= simhash.OPEN
+        rows = spark.createDataFrame([(0, 5 << 40)] + [(1 + b, 5 << 40 | 1 << b) for b in range(width)], "id int, key long")
+        got = rows.select("id", simhash._opened(plan, [(F.lit(3), 0)])).select("id", "x.*").collect()
+        base = {r.key: r.part for r in got if r.id == 0}
+        assert len(base) == len(blocks)
+        assert all(sum(r.key in base and (r.part ^ base[r.key]).bit_count() == 1 for r in got if r.id == 1 + b) == 1 for b in range(width))
+
+
+def test_unlike_variants_of_one_text_cost_few_pairs(spark, monkeypatch):
+    """Variants that are just not similar enough for each other are no rows; those that are, are found."""
+    counts, real = [], simhash.materialize
+
+    def counted(df, tag):
+        out = real(df, tag)
+        counts.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in rng.integers(0, 3000, 150)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for k in rng.choice(150, 1 if i % 8 == 0 else 4, replace=False):
+            copy[int(k)] = f"n{rng.integers(1 << 30)}"
+        rows.append(" ".join(copy))
+    sets = [slow_shingles(t) for t in rows]
+    alike = {(i, j) for i in range(200) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).collect()}
+    label = list(range(200))
+    for _ in range(20):
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    assert [got[i] for i in range(200)] == label and len(set(label)) > 100
+    assert sum(n for tag, n in counts if tag == "pairs") < 200 * 199 / 2 / 4
