@@ -143,6 +143,12 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
 _CHUNK = 16
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap (``likely``) for ``n`` keys, as a power of two: keys set a 64th of them
+    at most, so that what passes by chance stays a fixed share, up to 2 ** 27 bits (16 MB)."""
+    return min(27, max(25, (64 * n - 1).bit_length()))
+
+
 def likely(rows: DataFrame, key: str, need: DataFrame, bits: int = 24, there: bool = True) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``need``, before they move; or,
     if not ``there``, exactly the rows that this leaves out.

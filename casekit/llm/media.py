@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bound_batches, discard, drop_worker_caches, likely, materialize, release
+from ._common import bitmap_bits, bound_batches, discard, drop_worker_caches, likely, materialize, release
 from .components import connected_components, near_labels
 
 #: Side of the cells of a pyramid level that keep their strongest corner each; pyramid
@@ -389,7 +389,7 @@ def image_copies(media: DataFrame, id_col: str = "id", image_col: str = "image",
     met_by = thin.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     met_by = materialize(met_by, "keys")
     thick = dealt.select("id", F.explode(_corner_keys(KEY_BITS)).alias("x")).select("id", "x.*")
-    entries = materialize(likely(thick, "key", met_by, 25).join(met_by, "key").distinct(), "entries")
+    entries = materialize(likely(thick, "key", met_by, bitmap_bits(met_by.count())).join(met_by, "key").distinct(), "entries")
     links = roots = None
     release(media.sparkSession)
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from casekit.llm import media
+from casekit.llm._common import bitmap_bits
 
 
 def png(image, colour=0, way=0):
@@ -141,3 +142,17 @@ def test_groups_and_chance_keys_cost_few_rows(spark, monkeypatch):
     classes, _ = media.image_copies(spark.createDataFrame(rows, "id long, image binary"))
     assert [r.class_id for r in classes.orderBy("id").collect()] == list(range(12))
     assert sum(n for tag, n in counts if tag == "pairs") <= 12 and dict(counts)["keys"] > 12
+
+
+def test_the_bitmap_of_keys_grows_with_them(spark, monkeypatch):
+    """At a fixed size ever more keys pass it by chance as their number grows."""
+    used, real = [], media.likely
+    monkeypatch.setattr(media, "likely", lambda rows, key, need, *bits, **how: used.append(bits) or real(rows, key, need, *bits, **how))
+    monkeypatch.setattr(media, "bitmap_bits", lambda n: used.append(n) or 18)
+    rows = [(i, media.encode_pgm(media.edit(image(0), i) if i else image(0))) for i in range(2)]
+    assert {r.class_id for r in media.image_copies(spark.createDataFrame(rows, "id long, image binary"))[0].collect()} == {0}
+    assert (18,) in used and any(isinstance(x, int) and x > 10 for x in used)
+
+
+def test_a_bitmap_has_few_bits_set():
+    assert [bitmap_bits(n) for n in (0, 1, 1 << 19, (1 << 19) + 1, 1 << 21, 1 << 40)] == [25, 25, 25, 26, 27, 27]
